@@ -48,6 +48,8 @@ def choose_bands(similarity: float, recall: float, most: int = SIGNATURE) -> tup
     best = None
     for rows in range(1, most + 1):
         p = similarity**rows
+        if p < 1e-9:
+            break
         bands = 1 if p >= 1 else math.ceil(math.log(1 - recall) / math.log(1 - p))
         if bands * rows <= most:
             best = (bands, rows)
