@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import queries_images
+from . import queries_images, queries_shapes
 
-QUERIES = dict(queries_images.QUERIES)
-ORACLES = dict(queries_images.ORACLES)
+flagship = queries_shapes.flagship  # importing that module registers its queries too
+QUERIES = queries_images.QUERIES
+ORACLES = queries_images.ORACLES

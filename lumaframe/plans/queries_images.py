@@ -15,6 +15,8 @@ from .kernels import apply_stack, measure
 from .views import colors, img8, img8rgb
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Keeps colour values off the ties of rounding, which inputs of few digits would otherwise hit.
+NUDGE = 1.7e-12
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -129,7 +131,7 @@ def _color(name: str) -> Query:
             out = back(*rgb)
         else:
             out = first(*rgb)
-        return colors(s, d).select(*[F.round(F.col(k), 6).alias(k) for k in "rgb"], *[(F.round(v, 9) + 0.0).alias(f"c{k}") for k, v in enumerate(out)])
+        return colors(s, d).select(*[F.round(F.col(k), 6).alias(k) for k in "rgb"], *[(F.round(v + NUDGE, 9) + 0.0).alias(f"c{k}") for k, v in enumerate(out)])
 
     return query
 
@@ -140,7 +142,7 @@ def _color_sql(parts: list[str], *steps: str) -> str:
     for k, step in enumerate(steps):
         ctes.append(f"s{k} AS (SELECT *, {step} FROM {body})")
         body = f"s{k}"
-    return f"WITH {', '.join(ctes)} SELECT round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b, " + ", ".join(f"round({p}, 9) + 0.0 AS c{k}" for k, p in enumerate(parts)) + f" FROM {body}"
+    return f"WITH {', '.join(ctes)} SELECT round(r, 6) AS r, round(g, 6) AS g, round(b, 6) AS b, " + ", ".join(f"round({p} + {NUDGE!r}, 9) + 0.0 AS c{k}" for k, p in enumerate(parts)) + f" FROM {body}"
 
 
 _HUE = (
