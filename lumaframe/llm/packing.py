@@ -19,6 +19,7 @@ table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -37,40 +38,95 @@ SLACK = 8
 FAN_IN = 16
 #: Receiving bins of a merged group, in multiples of the fan-in.
 REACH = 64
-#: Cached white-space separated chunks of a worker.
-CACHE = 400_000
+#: Cached chunks, and words, of a worker in each of two generations.
+CACHE = 200_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in of each byte in byte-level vocabularies."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class Cache:
+    """Least recently used entries go first, a generation at a time."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key: str) -> tuple | None:
+        out = self.new.get(key)
+        if out is None and (out := self.old.get(key)) is not None:
+            self.put(key, out)
+        return out
+
+    def put(self, key: str, value: tuple) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
 
 
 class ChunkTokenizer:
     """Ids of a text from cached ids of its chunks between ASCII white space.
 
-    Exact for a tokenizer that drops white space and never forms a token across
-    it: then a text's ids are its chunks' ids one after the other.
+    Exact for a tokenizer that lower-cases, drops white space and never forms a
+    token across it: then a text's ids are its chunks' ids one after the other. Where letters
+    and punctuation are split apart and words are byte-level, as here, a chunk of
+    plain Latin letters and trailing signs goes to the vocabulary's model directly;
+    any other chunk is encoded by the whole tokenizer.
     """
 
+    SIGNS = ".,!?;:"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, list[int]] = {"": []}
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.chunks, self.words = Cache(CACHE), Cache(CACHE)
+
+    def _word(self, word: str) -> tuple:
+        ids = self.words.get(word)
+        if ids is None:
+            shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
+            ids = tuple(t.id for t in self.model.tokenize(shown))
+            self.words.put(word, ids)
+        return ids
+
+    def _chunk(self, chunk: str) -> tuple:
+        core = chunk.rstrip(self.SIGNS)
+        if core.isalpha() and max(core) < "\u0250" and "\u0130" not in core:
+            ids = self._word(core.lower()) + (self._word(chunk[len(core) :]) if len(core) < len(chunk) else ())
+        else:
+            ids = tuple(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        self.chunks.put(chunk, ids)
+        return ids
 
     def ids(self, text: str) -> list[int]:
-        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        cache = self.cache
-        new = [c for c in dict.fromkeys(chunks) if c not in cache]
-        if new:
-            if len(cache) + len(new) > CACHE:
-                cache.clear()
-                cache[""] = []
-                new = list(dict.fromkeys(chunks))
-            for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                cache[c] = e.ids
         out: list[int] = []
-        for c in chunks:
-            out += cache[c]
+        new, get = self.chunks.new, self.chunks.get
+        for c in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
+            if c:
+                ids = new.get(c)
+                if ids is None:
+                    ids = get(c) or self._chunk(c)
+                    new = self.chunks.new
+                out += ids
         return out
 
 
+_TOKENIZERS: dict[str, ChunkTokenizer] = {}
+
+
+def chunk_tokenizer(path: str) -> ChunkTokenizer:
+    """One tokenizer, with its cache, for all tasks of a worker."""
+    if path not in _TOKENIZERS:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _TOKENIZERS[path] = ChunkTokenizer(path)
+    return _TOKENIZERS[path]
+
+
 class BestFit:
     """Best-fit decreasing over integer sizes; the open bins are found by free room in a bit set."""
 
@@ -106,7 +162,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 
 def _pieces(tokenizer: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, make, out, sizes = TaskContext.get().partitionId(), ChunkTokenizer(tokenizer), [], []
+        pid, make, out, sizes = TaskContext.get().partitionId(), chunk_tokenizer(tokenizer), [], []
         for b in batches:
             owner, piece, start, length, crc = [], [], [], [], []
             for row, text in enumerate(b.column("text").to_pylist()):
