@@ -3,8 +3,8 @@
 The index stores one posting (term, document, position) for each training token
 that is a term of some test item; postings of other tokens could never be read.
 It is written sorted by term, so a term's list lies together in each file and
-row-group statistics skip the rest. An exact match starts from the rarest term of
-each test window (by its postings in the corpus): its offset-adjusted list gives
+row-group statistics skip the rest. An exact match starts from the two rarest terms of
+each test window (by their postings in the corpus): their intersected offset-adjusted lists give
 alignments of an item with a document, which are intersected with the
 offset-adjusted lists of all other terms of the item; runs of at least a window's
 length are matches. Everything is DataFrame operations; no Python runs on executors.
@@ -60,7 +60,8 @@ def test_terms(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
 def build_index(docs: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Postings (term, k1, k2, pos) of the words in ``vocabulary`` (word, term), written sorted by term."""
     text = F.col(f"`{text_col}`")
-    tokens = docs.select(*keys(F.col(f"`{id_col}`"), text), F.posexplode(words(text)).alias("pos", "word")).withColumn("word", lower_ascii(F.col("word")))
+    rows = docs.select(*keys(F.col(f"`{id_col}`"), text), words(text).alias("words"))  # hashed once a row, not once a word
+    tokens = rows.select(*KEY, F.posexplode("words").alias("pos", "word")).withColumn("word", lower_ascii(F.col("word")))
     return written(tokens.join(small(vocabulary), "word").select("term", *KEY, "pos").sortWithinPartitions("term"), "postings")
 
 
@@ -68,16 +69,19 @@ def phrase_matches(index: DataFrame, terms: DataFrame, window: int = WINDOW) ->
     """Exact matches (k1, k2, item_id, start, end): maximal runs of at least a window of an item's consecutive words."""
     df = index.groupBy("term").agg(F.count("*").alias("postings"))
     terms = written(terms.join(df, "term", "left").fillna(0, ["postings"]).withColumn("length", F.least("n", F.lit(window))), "terms")
-    # Of each window the rarest term; a window with a term that never occurs has no match.
+    # Of each window the two rarest terms; a window with a term that never occurs has no match.
     starts = terms.withColumn("w", F.explode(F.sequence(F.greatest(F.lit(0), F.col("i") - F.col("length") + 1), F.least("i", F.col("n") - F.col("length")))))
-    rarest = starts.groupBy("item", "w").agg(F.min(F.struct("postings", "i", "term")).alias("r")).filter("r.postings > 0")
-    seeds = written(rarest.select("item", F.col("r.i").alias("i"), F.col("r.term").alias("term")).distinct(), "seeds")
-    # Offset-adjusted lists of the rarest terms: alignments of an item with a document.
-    aligned = written(index.join(small(seeds), "term").select(*KEY, "item", (F.col("pos") - F.col("i")).alias("delta")).distinct(), "alignments")
-    # Intersected with those of all other terms, within documents that have an alignment.
+    rare = starts.groupBy("item", "w").agg(F.slice(F.array_sort(F.collect_list(F.struct("postings", "i", "term"))), 1, 2).alias("r")).filter(F.col("r")[0]["postings"] > 0)
+    rare = written(rare.select("item", F.col("r")[0].alias("a"), F.element_at("r", -1).alias("b")), "rare")
+    # Their offset-adjusted lists, intersected: alignments of an item with a document.
+    adjusted = lambda end: index.join(small(rare.select("item", f"{end}.i", f"{end}.term").distinct()), "term").select(*KEY, "item", (F.col("pos") - F.col("i")).alias("delta"), F.col("i").alias(f"i_{end}"))
+    pairs = rare.select("item", F.col("a.i").alias("i_a"), F.col("b.i").alias("i_b")).distinct()
+    met = adjusted("a").join(adjusted("b"), [*KEY, "item", "delta"]).join(small(pairs), ["item", "i_a", "i_b"], "left_semi")
+    aligned = written(met.select(*KEY, "item", "delta").distinct(), "alignments")
+    # Intersected with the lists of all other terms, within documents that have an alignment.
     lists = index.join(small(written(aligned.select(*KEY).distinct(), "documents")), KEY, "left_semi")
     wanted = aligned.join(small(terms.select("item_id", "item", "i", "term", "length")), "item").withColumn("pos", F.col("delta") + F.col("i"))
-    met = wanted.join(lists.distinct(), [*KEY, "term", "pos"]).select(*KEY, "item_id", "item", "delta", "i", "length")
+    met = wanted.join(lists, [*KEY, "term", "pos"]).select(*KEY, "item_id", "item", "delta", "i", "length").distinct()
     place = Window.partitionBy(*KEY, "item", "delta").orderBy("i")
     runs = met.withColumn("run", F.col("i") - F.row_number().over(place)).groupBy(*KEY, "item_id", "item", "delta", "run").agg(F.min("i").alias("a"), F.max("i").alias("b"), F.first("length").alias("length"))
     return runs.filter(F.col("b") - F.col("a") + 1 >= F.col("length")).select(*KEY, "item_id", (F.col("delta") + F.col("a")).alias("start"), (F.col("delta") + F.col("b")).alias("end"))
