@@ -220,9 +220,10 @@ CONTOURS = "array<struct<points:array<struct<x:int,y:int>>,next:int,prev:int,fir
 
 def inpaint(a: np.ndarray, mask: np.ndarray, radius: float = 3.0) -> np.ndarray:
     """Fast marching from the rim of the mask inwards: each pixel is the distance-weighted mean of known ones near it."""
-    hole = np.asarray(mask).reshape(-1, *a.shape[1:])[0] != 0
-    if hole.shape != a.shape[1:]:
+    mask = np.asarray(mask)
+    if mask.shape[-2:] != a.shape[1:]:
         raise DimensionMismatch("image and mask differ in size")
+    hole = mask.reshape(-1, *a.shape[1:])[0] != 0
     out, known = a.copy(), ~hole
     h, w = hole.shape
     r = max(1, int(math.ceil(radius)))
