@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches
 
-NGRAM, WINNOW, COVERAGE, BAND = 3, 2, 0.8, 12
+NGRAM, WINNOW, COVERAGE = 3, 2, 0.8
+#: Diagonals on either side in an alignment: half the template's words, within these bounds.
+BAND = (2, 12)
 
 # The texts of public licenses' notices.
 TEMPLATES: dict[str, str] = {
@@ -70,10 +72,11 @@ def winnow(hashes: np.ndarray, window: int) -> list[int]:
 
 
 class Scanner:
-    def __init__(self, templates: dict[str, str], n: int = NGRAM, window: int = WINNOW, coverage: float = COVERAGE, band: int = BAND):
-        self.n, self.coverage, self.band = n, coverage, band
+    def __init__(self, templates: dict[str, str], n: int = NGRAM, window: int = WINNOW, coverage: float = COVERAGE, band: tuple[int, int] = BAND):
+        self.n, self.coverage = n, coverage
         self.names = sorted(templates)
         self.words = [words(templates[k]) for k in self.names]
+        self.bands = [min(max(len(t) // 2, band[0]), band[1]) for t in self.words]
         self.vocabulary = {w: np.uint64(xxhash.xxh64_intdigest(w)) for t in self.words for w in t}
         self.index: dict[int, list[tuple[int, int]]] = {}
         for k, t in enumerate(self.words):
@@ -110,10 +113,10 @@ class Scanner:
         found = []
         last: dict[int, int] = {}
         for k, diagonal in sorted(self.candidates(w)):
-            if k in last and diagonal - last[k] <= self.band:
+            if k in last and diagonal - last[k] <= self.bands[k]:
                 continue  # the same place, some words inserted or left out
             last[k] = diagonal
-            matched, a, b = align(self.words[k], w, diagonal, self.band)
+            matched, a, b = align(self.words[k], w, diagonal, self.bands[k])
             if matched and matched / len(self.words[k]) >= self.coverage:
                 found.append((matched / len(self.words[k]), matched, k, a, b))
         out, taken = [], []
