@@ -1,7 +1,6 @@
 """Histograms, equalisation and automatic thresholds.
 
-The per-image operators are stack kernels; :func:`calc_hist` and
-:func:`compare_hist` are relational.
+The per-image operators are kernels; :func:`compare_hist` is a column function.
 """
 
 from __future__ import annotations
@@ -10,7 +9,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.pixel import byte
 from ..schema import InvalidParameter
 from .filters import gray
 
@@ -22,12 +20,12 @@ def bins_of(s: np.ndarray) -> np.ndarray:
 
 
 def calc_hist(images: DataFrame) -> DataFrame:
-    """(image_id, ch, bin, count) with all 256 bins: one array aggregation a plane, no shuffle."""
-    n = F.col("h") * F.col("w")
-    planes = images.select("image_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("c") - 1), lambda k: F.slice("data", k * n + 1, n))).alias("ch", "p"))
-    found = planes.select("image_id", "ch", F.transform("p", byte).alias("b"))
-    counts = found.select("image_id", "ch", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(BINS - 1)), lambda k: F.size(F.filter("b", lambda x: x == k)).cast("long"))).alias("bin", "count"))
-    return counts
+    """(image_id, ch, bin, count) with all 256 bins: one pass over each image, no shuffle."""
+    from ..plans.kernels import measure
+
+    counted = measure(images, "_hist", "array<array<long>>", lambda a: histogram(a[None])[0].tolist())
+    planes = counted.select("image_id", F.posexplode("_hist").alias("ch", "p"))
+    return planes.select("image_id", "ch", F.posexplode("p").alias("bin", "count"))
 
 
 def histogram(s: np.ndarray) -> np.ndarray:

@@ -118,14 +118,31 @@ def suppress(boxes: np.ndarray, scores: np.ndarray, score_threshold: float, nms_
 
 
 def nms_boxes(boxes: DataFrame, score_threshold: float, nms_threshold: float) -> DataFrame:
-    """The boxes (group_id, seq, x, y, width, height, score) that stay, with their rank in the group."""
+    """The boxes (group_id, seq, x, y, width, height, score) that stay, with their rank in the group.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable").reset_index(drop=True)
-        keep = suppress(pdf[["x", "y", "width", "height"]].to_numpy(float), pdf["score"].to_numpy(float), score_threshold, nms_threshold)
-        return pdf.iloc[keep].assign(rank=range(len(keep)))[["group_id", "seq", "rank"]]
+    Rows are dealt by group and sorted by Spark; a task streams its groups, holding one at a time.
+    """
 
-    return boxes.select("group_id", "seq", "x", "y", "width", "height", "score").groupBy("group_id").applyInPandas(run, "group_id long, seq int, rank int")
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for pdf in pdfs:
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            last = pdf["group_id"].to_numpy().searchsorted(pdf["group_id"].iloc[-1])  # its group may go on
+            rest = pdf.iloc[last:]
+            yield kept(pdf.iloc[:last])
+        if rest is not None:
+            yield kept(rest)
+
+    def kept(pdf: pd.DataFrame) -> pd.DataFrame:
+        group, seq = pdf["group_id"].to_numpy(), pdf["seq"].to_numpy()
+        box, score = pdf[["x", "y", "width", "height"]].to_numpy(float), pdf["score"].to_numpy(float)
+        cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
+        rows = [(a + i, rank) for a, b in zip(cuts, cuts[1:], strict=False) if b > a for rank, i in enumerate(suppress(box[a:b], score[a:b], score_threshold, nms_threshold))]
+        at = np.array([r[0] for r in rows], int)
+        return pd.DataFrame({"group_id": group[at], "seq": seq[at], "rank": [r[1] for r in rows]})
+
+    ordered = boxes.filter(F.col("score") >= score_threshold).select("group_id", "seq", "x", "y", "width", "height", "score").repartition("group_id").sortWithinPartitions("group_id", "seq")
+    return ordered.mapInPandas(run, "group_id long, seq int, rank int")
 
 
 # --- shapes that need an order of points ------------------------------------------------------
