@@ -162,20 +162,25 @@ def _words(text: str) -> set[bytes]:
 
 
 def _linear_svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 40) -> tuple[np.ndarray, float]:
-    """Squared hinge loss with an L2 penalty, by Newton's method."""
+    """Squared hinge loss with an L2 penalty, by Newton's method; rows are read in blocks."""
     n, d = x.shape
-    z = np.concatenate([x, np.ones((n, 1))], 1)
     ridge = np.eye(d + 1)
     ridge[d, d] = 1e-3
     w = np.zeros(d + 1)
     for _ in range(rounds):
-        active = y * (z @ w) < 1
-        zc = z[active] * cost[active, None]
-        new = np.linalg.solve(ridge + zc.T @ z[active], zc.T @ y[active])
-        if np.abs(new - w).max() < 1e-5:
-            w = new
-            break
+        left, right = ridge.copy(), np.zeros(d + 1)
+        for at in range(0, n, 2048):
+            part, yp = x[at : at + 2048], y[at : at + 2048]
+            on = yp * (part @ w[:d].astype(np.float32) + w[d]) < 1
+            z = np.concatenate([part[on].astype(np.float64), np.ones((int(on.sum()), 1))], 1)
+            zc = z * cost[at : at + 2048][on, None]
+            left += zc.T @ z
+            right += zc.T @ yp[on]
+        new = np.linalg.solve(left, right)
+        done = np.abs(new - w).max() < 1e-5
         w = new
+        if done:
+            break
     return w[:d], float(w[d])
 
 
@@ -211,7 +216,7 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, seed: i
     gram = table[:-1].T @ table[:-1]
     value, vector = np.linalg.eigh(gram.astype(np.float64))
     live = value > 1e-6 * value.max()
-    root = vector[:, live] / np.sqrt(value[live])  # Nyström map: K(., landmarks) @ root
+    root = (vector[:, live] / np.sqrt(value[live])).astype(np.float32)  # Nyström map: K(., landmarks) @ root
 
     def features(windows: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(windows), len(maps)), np.float32)
