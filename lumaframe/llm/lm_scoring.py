@@ -7,14 +7,16 @@ already ruled out (exclusion). A context's escape has the weight of its distinct
 that of occurrences whose symbols were too rare to be kept. Below the empty context all
 remaining symbols are equally likely. Each text ends in an end symbol.
 
-*Pretrained*: counts are gathered over all training texts, and a (context, symbol) pair is kept
-if its share of all training bytes reaches ``SHARE``; so each order keeps at most ``1/SHARE``
-pairs however large the corpus is, and what is sent to the executors has that bound. *Adaptive*:
-:class:`AdaptiveTrie` starts empty and learns each symbol after coding it.
+*Pretrained*: counts are gathered over all training texts and every pair is kept. A symbol's probability depends
+on the gram (context and symbol) alone, so each distinct gram is coded once: the table of grams is dealt by the last
+``LOW + 1`` bytes of the context, which puts all that longer contexts need in one place; what contexts of up to ``LOW``
+bytes need is sent to all, and has at most as many rows as there are strings of ``LOW + 1`` bytes. Texts
+meet their grams' logs by chunks of documents. *Adaptive*: :class:`AdaptiveTrie` starts empty and learns
+each symbol after coding it. :class:`PPM` is the pretrained model in memory, for tables that fit there.
 
 The base score is an add-one unigram model over words with counts of all training
-texts. Words are encoded by chunks of documents with their own small vocabularies, so
-that a frequent word is one row of a chunk, not of each document.
+texts. Words and grams are exchanged by chunks of documents, numbered in their order within the chunk, so
+that a frequent one is one row of a chunk, not of each document.
 
 Defined cases: a null text is empty and holds the end token alone; a null id hashes as the
 empty text; repeated rows are scored and counted as often as they occur; without
@@ -32,7 +34,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -40,12 +42,14 @@ from .common import bounded_batches, crc_bucket, written
 
 #: Longest context, in bytes; a gram is a context and its symbol.
 ORDER = 4
-#: Least share of the training bytes of a pair that is kept.
-SHARE = 1e-6
+#: Longest context, in bytes, whose counts are sent to all tasks.
+LOW = 2
+#: Distinct grams coded at once, about.
+BUCKET_GRAMS = 250_000
 START, END = 0xFE, 0xFF  # never part of UTF-8
 ALPHABET = 257  # 256 byte values and one spare
 #: Distinct words and bytes of text in one chunk, about.
-CHUNK_WORDS, CHUNK_BYTES = 150_000, 8_000_000
+CHUNK_WORDS, CHUNK_BYTES = 400_000, 8_000_000
 _BLOCK = 1 << 20
 
 
@@ -326,9 +330,33 @@ def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return written(docs.select("text").mapInArrow(_gram_counts(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
 
 
-def _scored_chunks(shared, id_type: pa.DataType):
-    """From documents: their score and words by number in the chunk (kind 0), and each chunk's words (kind 1)."""
-    kinds = {"id": id_type, "held": pa.bool_(), "score": pa.float64(), "tokens": pa.list_(pa.int32()), "word": pa.binary(), "number": pa.int32(), "n": pa.int64()}
+def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The gram of order + 1 bytes that ends at each byte of the texts, filled up with START, and the number of its text."""
+    pad = bytes([START]) * order
+    data = np.frombuffer(b"".join(pad + t for t in texts), np.uint8).astype(np.int64)
+    g = np.zeros(len(data), np.int64)
+    for k in range(order + 1):
+        g[k:] |= data[: len(data) - k] << np.int64(8 * k)
+    solid = data != START
+    return g[solid], np.repeat(np.arange(len(texts)), [len(t) + order for t in texts])[solid]
+
+
+def _blocks(texts: list[bytes]) -> Iterator[list[bytes]]:
+    block: list[bytes] = []
+    size = 0
+    for t in texts:
+        block.append(t)
+        size += len(t)
+        if size > _BLOCK:
+            yield block
+            block, size = [], 0
+    if block:
+        yield block
+
+
+def _chunks(order: int, id_type: pa.DataType):
+    """From documents: themselves with the number of their chunk (kind 0), and each chunk's words (kind 1) and grams (kind 2) with their counts in training texts."""
+    kinds = {"id": id_type, "held": pa.bool_(), "text": pa.string(), "word": pa.binary(), "gram": pa.int64(), "number": pa.int32(), "n": pa.int64()}
 
     def out(kind: int, rows: int, chunk: int, **cols) -> pa.RecordBatch:
         arrays = [pa.array([kind] * rows, pa.int8()), pa.array([chunk] * rows, pa.int64())]
@@ -337,312 +365,130 @@ def _scored_chunks(shared, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, size = TaskContext.get().partitionId() << 24, 0
         words: dict[bytes, int] = {}
-        trained: list[int] = []
+        grams: list[np.ndarray] = []
 
         def close() -> Iterator[pa.RecordBatch]:
-            items = list(words)
+            items = sorted(words)
             for at in range(0, len(items), 20_000):
                 part = items[at : at + 20_000]
-                yield out(1, len(part), chunk, word=part, number=range(at, at + len(part)), n=trained[at : at + len(part)])
-            words.clear(), trained.clear()
+                yield out(1, len(part), chunk, word=part, number=range(at, at + len(part)), n=[words[w] for w in part])
+            g = np.concatenate(grams, 1)
+            keys, where = np.unique(g[0], return_inverse=True)
+            n = np.bincount(where, g[1]).astype(np.int64)
+            for at in range(0, len(keys), 50_000):
+                part = keys[at : at + 50_000]
+                yield out(2, len(part), chunk, gram=part, number=range(at, at + len(part)), n=n[at : at + 50_000])
+            words.clear(), grams.clear()
 
         for b in batches:
             texts, held = b.column("text").to_pylist(), b.column("held").to_pylist()
-            tokens = []
+            coded: dict[bool, list[bytes]] = {True: [], False: []}
             for text, h in zip(texts, held, strict=True):
-                data = (text or "").encode("utf-8", "surrogatepass")
-                numbers = []
-                for w in data.lower().split():
-                    k = words.get(w)
-                    if k is None:
-                        k = words[w] = len(words)
-                        trained.append(0)
-                    numbers.append(k)
-                    if not h:
-                        trained[k] += 1
-                tokens.append(numbers)
+                data = encoded(text)
+                coded[h].append(data)
                 size += len(data)
-            yield out(0, len(texts), chunk, id=b.column("id").to_pylist(), held=held, score=_model(shared).scores(texts), tokens=tokens)
+                for w in data[:-1].lower().split():
+                    words[w] = words.get(w, 0) + (not h)
+            for h, some in coded.items():
+                for block in _blocks(some):
+                    keys, n = np.unique(_grams(block, order)[0], return_counts=True)
+                    grams.append(np.stack([keys, n * (not h)]))
+            yield out(0, len(texts), chunk, id=b.column("id").to_pylist(), held=held, text=texts)
             if len(words) >= CHUNK_WORDS or size >= CHUNK_BYTES:
                 yield from close()
                 chunk, size = chunk + 1, 0
-        if words:
+        if grams:
             yield from close()
 
     return run
 
 
-def train(self, text: str | None) -> None:
-        data = encoded(text)
-        for i in range(len(data)):
-            self.learn(data[max(0, i - self.order) : i], data[i])
-
-
-# --- pretrained, whole arrays at once ------------------------------------------------
-
-
-class GramTable:
-    """Index of each 64-bit key, or -1; an open-addressing table probed for whole arrays."""
-
-    def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(len(keys) * 2).bit_length())
-        self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.value = np.full(1 << self.bits, -1, np.int32)
-        left, idx = keys.astype(np.int64), np.arange(len(keys), dtype=np.int32)
-        slot = self._slot(left)
-        while len(left):
-            free = self.keys[slot] == -1
-            _, firsts = np.unique(np.where(free, slot, -1 - np.arange(len(slot))), return_index=True)
-            put = firsts[free[firsts]]
-            self.keys[slot[put]], self.value[slot[put]] = left[put], idx[put]
-            rest = np.ones(len(left), bool)
-            rest[put] = False
-            left, idx, slot = left[rest], idx[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        slot = self._slot(keys)
-        found = self.keys[slot]
-        out = np.where(found == keys, self.value[slot], -1)
-        todo = np.flatnonzero((found != keys) & (found != -1))
-        while len(todo):
-            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
-            found = self.keys[slot[todo]]
-            hit = found == keys[todo]
-            out[todo[hit]] = self.value[slot[todo[hit]]]
-            todo = todo[~hit & (found != -1)]
-        return out
-
-
-def _key(grams: np.ndarray, length: int) -> np.ndarray:
-    """A gram of ``length`` bytes with its length above them."""
-    return (grams & np.int64((1 << (8 * length)) - 1)) | np.int64(length << 56)
+def _find(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each wanted value in the sorted keys, or -1."""
+    if not len(keys):
+        return np.full(len(wanted), -1, np.int64)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
 
 
 @dataclass
-class PPM:
-    """Kept grams: ``keys`` by length, counts, totals as contexts; logs are worked out once."""
+class Level:
+    """Grams whose context has one length, with counts, and their contexts."""
 
-    keys: np.ndarray  # int64, (length << 56) | bytes
+    keys: np.ndarray
     counts: np.ndarray
-    totals: np.ndarray  # training occurrences of the gram followed by any symbol
-    root_total: int
-    order: int = ORDER
-
-    def __post_init__(self) -> None:
-        n = len(self.keys)
-        self.table = GramTable(self.keys)
-        length = (self.keys >> 56).astype(np.int64)
-        grams = self.keys & np.int64((1 << 56) - 1)
-        # Row n stands for the empty context.
-        context = np.full(n, n, np.int64)
-        suffix = np.full(n + 1, n, np.int64)
-        for k in range(2, self.order + 2):
-            at = np.flatnonzero(length == k)
-            context[at] = self.table(_key(grams[at] >> 8, k - 1))
-            suffix[at] = self.table(_key(grams[at], k - 1))
-        kept = np.bincount(context, self.counts, n + 1)
-        distinct = np.bincount(context, minlength=n + 1)
-        total = np.append(self.totals, self.root_total)
-        escape = distinct + total - kept
-        plain = kept + escape
-        # Under a longer context, its symbols are ruled out in the shorter one.
-        ruled = np.zeros(n + 1)
-        for k in range(2, self.order + 2):  # gram (context, symbol) -> its shorter gram's count
-            at = np.flatnonzero(length == k)
-            np.add.at(ruled, context[at], self.counts[suffix[at]])
-        self.known = np.append(distinct[:-1] > 0, True) if n else np.array([False])
-        up = np.append(suffix[:-1], n)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            under = plain[up] - ruled  # room of the shorter context, given this one
-            log_escape, log_plain, log_under = (np.log10(np.maximum(x, 1e-300)) for x in (escape, plain, under))
-        self.log_count = np.log10(self.counts.astype(np.float64)).astype(np.float32) if n else np.zeros(0, np.float32)
-        self.log_plain, self.log_under = log_plain.astype(np.float32), log_under.astype(np.float32)
-        self.log_escape = log_escape.astype(np.float32)
-        # Escapes from every shorter context down to the empty one, each under the next longer.
-        step = np.where(np.arange(n + 1) < n, log_escape[up] - log_under, 0.0)
-        self.cum = np.zeros(n + 1)
-        for k in range(1, self.order + 1):
-            at = np.flatnonzero(length == k)
-            self.cum[at] = step[at] + (self.cum[suffix[at]] if k > 1 else 0.0)
-        self.log_uniform = math.log10(ALPHABET - int(distinct[n]))
-        self.root = n
-
-    def symbol_logs(self, data: np.ndarray) -> np.ndarray:
-        """log10 probability of every byte of ``data`` after the first ``order`` ones."""
-        d, n = self.order, len(data)
-        wide = data.astype(np.int64)
-        gram = np.zeros(n, np.int64)  # the last order + 1 bytes
-        for k in range(d + 1):
-            gram[k:] |= wide[: n - k] << np.int64(8 * k)
-        # The longest kept gram that ends at each place, up to order + 1 bytes.
-        longest, index = np.zeros(n, np.int8), np.full(n, -1, np.int64)
-        todo = np.arange(n)
-        for k in range(d + 1, 0, -1):
-            hit = self.table(_key(gram[todo], k))
-            ok = hit >= 0
-            longest[todo[ok]], index[todo[ok]] = k, hit[ok]
-            todo = todo[~ok]
-            if not len(todo):
-                break
-        here = np.arange(d, n)
-        # The longest known context of each place: kept grams that end just before it and have kept symbols.
-        m = np.minimum(longest[here - 1], d)
-        top = np.where(longest[here - 1] == 0, self.root, index[here - 1])
-        cut = np.flatnonzero(longest[here - 1] > d)
-        top[cut] = self.table(_key(gram[here[cut] - 1], d))
-        while True:  # a kept gram without kept symbols says nothing: go to its suffix
-            dry = np.flatnonzero((m > 0) & ~self.known[top])
-            if not len(dry):
-                break
-            m[dry] -= 1
-            one = m[dry] > 0
-            top[dry] = self.root
-            for k in np.unique(m[dry[one]]):
-                w = dry[one][m[dry[one]] == k]
-                top[w] = self.table(_key(gram[here[w] - 1], int(k)))
-        hit = longest[here].astype(np.int64) - 1  # order of the context that has the symbol; -1: none
-        entry = index[here]
-        out = np.zeros(len(here), np.float64)
-        direct = hit == m
-        out[direct] = self.log_count[entry[direct]] - self.log_plain[top[direct]]
-        esc = np.flatnonzero(~direct)
-        low = np.full(len(esc), self.root, np.int64)  # the context just longer than the one that has the symbol
-        want = hit[esc] + 1
-        for k in np.unique(want[want > 0]):
-            w = np.flatnonzero(want == k)
-            low[w] = self.table(_key(gram[here[esc[w]] - 1], int(k)))
-        base = self.log_escape[top[esc]] - self.log_plain[top[esc]]
-        found = hit[esc] >= 0
-        f, g = esc[found], low[found]
-        out[f] = base[found] + self.cum[top[f]] - self.cum[g] + self.log_count[entry[f]] - self.log_under[g]
-        miss = esc[~found]
-        out[miss] = base[~found] + self.cum[top[miss]] - self.log_uniform
-        return out
-
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        out, size, at = np.zeros(len(texts)), 0, 0
-        todo: list[bytes] = []
-        pad = bytes([START]) * self.order
-
-        def solve(first: int) -> None:
-            joined = np.frombuffer(b"".join(pad + t for t in todo), np.uint8)
-            logs = np.concatenate([np.zeros(self.order), self.symbol_logs(joined)])
-            logs[joined == START] = 0
-            starts = np.cumsum([0] + [len(t) + len(pad) for t in todo[:-1]])
-            out[first : first + len(todo)] = np.add.reduceat(logs, starts)
+    contexts: np.ndarray
+    total: np.ndarray
+    distinct: np.ndarray
+    ruled: np.ndarray  # occurrences of the context's symbols under the next shorter context
+
+
+def levels(grams: np.ndarray, n: np.ndarray, order: int, shorter: list[Level]) -> list[Level]:
+    """``shorter``, and the levels above it up to ``order``, from grams of more bytes filled up with START."""
+    out = list(shorter)
+    for k in range(len(out), order + 1):
+        whole = (grams >> np.int64(8 * k) & 0xFF) != START
+        keys, where = np.unique(grams[whole] & np.int64((1 << 8 * (k + 1)) - 1), return_inverse=True)
+        counts = np.bincount(where, n[whole], len(keys))
+        first = np.flatnonzero(np.diff(keys >> 8, prepend=-1)) if len(keys) else np.zeros(0, np.int64)
+        under = out[-1].counts[_find(out[-1].keys, keys & np.int64((1 << 8 * k) - 1))] if k and len(keys) else counts
+        sums = lambda v: np.add.reduceat(v, first) if len(first) else np.zeros(0)  # noqa: E731,B023
+        out.append(Level(keys, counts, keys[first] >> 8, sums(counts), np.diff(first, append=len(keys)), sums(under)))
+    return out
+
+
+def gram_logs(grams: np.ndarray, known: list[Level]) -> np.ndarray:
+    """log10 probability of each gram's symbol after its context."""
+    out, open_ = np.zeros(len(grams)), np.ones(len(grams), bool)
+    ruled, gone = np.zeros(len(grams)), np.zeros(len(grams))  # occurrences and symbols already ruled out
+    for k in range(len(known) - 1, -1, -1):
+        level = known[k]
+        at = np.flatnonzero(open_ & ((grams >> np.int64(8 * k) & 0xFF) != START))
+        gram = grams[at] & np.int64((1 << 8 * (k + 1)) - 1)
+        context = _find(level.contexts, gram >> 8)
+        at, gram, context = at[context >= 0], gram[context >= 0], context[context >= 0]
+        room = level.total[context] + level.distinct[context] - ruled[at]
+        hit = _find(level.keys, gram)
+        seen = hit >= 0
+        weight = level.distinct[context].astype(np.float64)
+        weight[seen] = level.counts[hit[seen]]
+        out[at] += np.log10(weight / room)
+        open_[at[seen]] = False
+        ruled[at], gone[at] = level.ruled[context], level.distinct[context]
+    out[open_] -= np.log10(ALPHABET - gone[open_])
+    return out
+
+
+_LEVELS: dict[int, list[Level]] = {}
+
+
+def _shorter(shared, order: int) -> list[Level]:
+    """The broadcast levels, made ready once in each worker."""
+    key = id(shared.value)
+    if key not in _LEVELS:
+        _LEVELS.clear()
+        _LEVELS[key] = levels(*shared.value, min(LOW, order), [])
+    return _LEVELS[key]
 
-        for t in texts:
-            todo.append(encoded(t))
-            size += len(todo[-1])
-            if size > _BLOCK:
-                solve(at)
-                at, todo, size = at + len(todo), [], 0
-        if todo:
-            solve(at)
-        return out
 
+def coded_grams(counts: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, log) of all grams of ``counts`` (gram, n; n is 0 where no training text has it), written."""
+    low = counts.filter("n > 0").groupBy(F.col("gram").bitwiseAND((1 << 8 * (LOW + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
+    shared = counts.sparkSession.sparkContext.broadcast((low.column("gram").to_numpy(), low.column("n").to_numpy()))
+    buckets = max(32, counts.count() // BUCKET_GRAMS)
+    end = F.shiftright("gram", 8).bitwiseAND((1 << 8 * (LOW + 1)) - 1)
 
-# --- gathering counts ----------------------------------------------------------------
+    def code(t: pa.Table) -> pa.Table:
+        grams, n = t.column("gram").to_numpy(), t.column("n").to_numpy()
+        trained = n > 0
+        return pa.table({"gram": grams, "log": gram_logs(grams, levels(grams[trained], n[trained], order, _shorter(shared, order)))})
 
+    dealt = counts.withColumn("bucket", F.pmod(F.xxhash64(end), F.lit(buckets)))
+    return written(dealt.groupBy("bucket").applyInArrow(code, "gram long, log double").select("gram", F.col("log").cast("float").alias("log")), "logs")
 
-def _gathered(order: int, id_type: pa.DataType):
-    """From documents: words of each chunk, documents in chunk word numbers, and counts of grams."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid, chunk = TaskContext.get().partitionId(), 0
-        pad = bytes([START]) * order
-        words: dict[bytes, int] = {}
-        trained: list[int] = []
-        docs: list[tuple] = []
-        size = 0
-        grams: list[np.ndarray] = []
-        pending: list[bytes] = []
-        pending_size = 0
-
-        def out(kind, rows, chunk_id, **cols):
-            kinds = {"id": id_type, "held": pa.bool_(), "tokens": pa.list_(pa.int32()), "text": pa.string(), "word": pa.binary(), "number": pa.int32(), "n": pa.int64(), "gram": pa.int64()}
-            arrays = [pa.array([kind] * rows, pa.int8()), pa.array([chunk_id] * rows, pa.int64())]
-            arrays += [cols[c] if c in cols else pa.nulls(rows, t) for c, t in kinds.items()]
-            return pa.RecordBatch.from_arrays(arrays, names=["kind", "chunk", *kinds])
-
-        def close_chunk():
-            nonlocal chunk, size
-            key = (pid << 24) | chunk
-            items = list(words)
-            for at in range(0, len(items), 20_000):
-                part = items[at : at + 20_000]
-                yield out(1, len(part), key, word=pa.array(part, pa.binary()), number=pa.array(range(at, at + len(part)), pa.int32()), n=pa.array(trained[at : at + len(part)], pa.int64()))
-            for at in range(0, len(docs), 256):
-                part = docs[at : at + 256]
-                yield out(0, len(part), key, id=pa.array([x[0] for x in part], id_type), held=pa.array([x[1] for x in part]), tokens=pa.array([x[2] for x in part], pa.list_(pa.int32())), text=pa.array([x[3] for x in part], pa.string()))
-            chunk, size = chunk + 1, 0
-            words.clear(), trained.clear(), docs.clear()
-
-        def count_pending():
-            nonlocal pending_size
-            data = np.frombuffer(b"".join(pending), np.uint8).astype(np.int64)
-            pending.clear()
-            pending_size = 0
-            g = np.zeros(len(data), np.int64)
-            for k in range(order + 1):
-                g[k:] |= data[: len(data) - k] << np.int64(8 * k)
-            g = g[(data != START)]
-            g.sort()
-            first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
-            grams.append(np.stack([g[first], np.diff(np.append(first, len(g)))]))
-
-        def merged_grams():
-            g = np.concatenate(grams, 1)
-            grams.clear()
-            order_ = np.argsort(g[0], kind="stable")
-            g = g[:, order_]
-            first = np.flatnonzero(np.concatenate([[True], g[0, 1:] != g[0, :-1]]))
-            return g[0, first], np.add.reduceat(g[1], first)
-
-        def gram_rows():
-            keys, n = merged_grams()
-            for at in range(0, len(keys), 50_000):
-                part = keys[at : at + 50_000]
-                yield out(2, len(part), 0, gram=pa.array(part), n=pa.array(n[at : at + 50_000]))
-
-        for b in batches:
-            for i, held, text in zip(*(b.column(c).to_pylist() for c in ("id", "held", "text")), strict=True):
-                data = (text or "").encode("utf-8", "surrogatepass")
-                numbers = []
-                for w in data.lower().split():
-                    k = words.get(w)
-                    if k is None:
-                        k = words[w] = len(words)
-                        trained.append(0)
-                    numbers.append(k)
-                    if not held:
-                        trained[k] += 1
-                docs.append((i, held, numbers, text))
-                size += len(data) + 64
-                if not held:
-                    pending.append(pad + data + bytes([END]))
-                    pending_size += len(data) + order + 1
-                    if pending_size > 4 * _BLOCK:
-                        count_pending()
-                        if sum(x.shape[1] for x in grams) > 4_000_000:
-                            yield from gram_rows()
-                if len(words) >= CHUNK_WORDS or size >= CHUNK_BYTES:
-                    yield from close_chunk()
-        if docs:
-            yield from close_chunk()
-        if pending:
-            count_pending()
-        if grams:
-            yield from gram_rows()
-
-    return run
-
-
-def train(counts: DataFrame, order: int = ORDER, share: float = SHARE) -> PPM:
-    """The model of gram counts (gram of order + 1 bytes, n), summed level by level."""
+def train(counts: DataFrame, order: int = ORDER, share: float = 0.0) -> PPM:
+    """The model in memory of gram counts (gram of order + 1 bytes, n), summed level by level; pairs under ``share`` of all bytes become escape weight."""
     level = counts
     size = level.agg(F.sum("n")).first()[0] or 0
     least = max(1.0, size * share)
@@ -662,18 +508,6 @@ def train(counts: DataFrame, order: int = ORDER, share: float = SHARE) -> PPM:
     return PPM(keys, n, totals, size, order)
 
 
-_MODELS: dict[int, PPM] = {}
-
-
-def _model(shared) -> PPM:
-    """The broadcast model, made ready once in each worker."""
-    key = id(shared.value)
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = PPM(*shared.value)
-    return _MODELS[key]
-
-
 def adaptive_scores(df: DataFrame, text_col: str = "text", out: str = "score") -> DataFrame:
     """``df`` with each text's log10 probability under a model that starts empty and learns as it codes."""
 
@@ -685,24 +519,38 @@ def adaptive_scores(df: DataFrame, text_col: str = "text", out: str = "score") -
     return df.withColumn(out, score(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
 
 
-def _base(total: int, distinct: int, ends: int):
+def _scores(total: int, distinct: int, ends: int, order: int):
+    """Of each chunk: its texts, and by number the counts of its words (from 0 up) and the logs of its grams (from -1 down)."""
     room = math.log10(total + distinct + 1)
     end = math.log10(ends + 1) - room
 
-    def run(docs: pa.Table, words: pa.Table) -> pa.Table:
-        table = np.zeros(words.num_rows, np.int64)
-        table[words.column("number").to_numpy()] = words.column("c").to_numpy()
-        logs = np.log10(table + 1.0) - room
-        tokens = docs.column("tokens").combine_chunks()
-        offsets, flat = tokens.offsets.to_numpy().astype(np.int64), tokens.values.to_numpy()
-        sums = lambda v: (lambda c: c[offsets[1:]] - c[offsets[:-1]])(np.append(0, np.cumsum(v)))
-        base, known, n = sums(logs[flat]) + end, sums(table[flat] > 0) + int(ends > 0), np.diff(offsets) + 1
-        return pa.table({"id": docs.column("id"), "held_out": docs.column("held"), "n_tokens": n, "n_known": known, "train_tokens": np.full(len(n), total), "base_score": base, "score": docs.column("score")})
+    def run(docs: pa.Table, told: pa.Table) -> pa.Table:
+        number, value = told.column("number").to_numpy(), told.column("value").to_numpy()
+        table, logs = np.zeros(int((number >= 0).sum())), np.zeros(int((number < 0).sum()))
+        table[number[number >= 0]] = value[number >= 0]
+        logs[~number[number < 0]] = value[number < 0]
+        texts = [encoded(t) for t in docs.column("text").to_pylist()]
+
+        split = [t[:-1].lower().split() for t in texts]
+        index = {w: k for k, w in enumerate(sorted({w for ws in split for w in ws}))}
+        flat = np.fromiter((index[w] for ws in split for w in ws), np.int64)
+        n = np.array([len(ws) for ws in split])
+        of = np.repeat(np.arange(len(texts)), n)
+        base = np.bincount(of, np.log10(table[flat] + 1.0) - room, len(texts)) + end
+        known = np.bincount(of, table[flat] > 0, len(texts)).astype(np.int64) + int(ends > 0)
+
+        parts = []
+        for block in _blocks(texts):
+            g, which = _grams(block, order)
+            parts.append((*np.unique(g, return_inverse=True), which, len(block)))
+        keys = np.unique(np.concatenate([u for u, *_ in parts]))
+        score = np.concatenate([np.bincount(which, logs[np.searchsorted(keys, u)][where], rows) for u, where, which, rows in parts])
+        return pa.table({"id": docs.column("id"), "held_out": docs.column("held"), "n_tokens": n + 1, "n_known": known, "train_tokens": np.full(len(n), total), "base_score": base, "score": score})
 
     return run
 
 
-def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, order: int = ORDER, share: float = SHARE) -> DataFrame:
+def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: Column | None = None, order: int = ORDER) -> DataFrame:
     """id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row."""
     from pyspark.sql.pandas.types import to_arrow_type
 
@@ -712,15 +560,18 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     t = kind.simpleString()
     held = held_out if held_out is not None else crc_bucket(F.col(f"`{id_col}`"), 7) == 2
     docs = df.select(F.col(f"`{id_col}`").alias("id"), held.alias("held"), F.col(f"`{text_col}`").alias("text"))
-    model = train(gram_counts(docs.filter(~F.col("held")), order), order, share)
-    shared = spark.sparkContext.broadcast((model.keys, model.counts, model.totals, model.root_total, model.order))
-    got = written(docs.mapInArrow(_scored_chunks(shared, to_arrow_type(kind)), f"kind tinyint, chunk long, id {t}, held boolean, score double, tokens array<int>, word binary, number int, n long"), "chunks")
-    words = got.filter("kind = 1").select("chunk", "word", "number", "n")
-    counts = written(words.groupBy("word").agg(F.sum("n").alias("c")), "words")
+    got = written(docs.mapInArrow(_chunks(order, to_arrow_type(kind)), f"kind tinyint, chunk long, id {t}, held boolean, text string, word binary, gram long, number int, n long"), "chunks")
     ends = got.filter("kind = 0 and not held").count()
-    total, distinct = counts.filter("c > 0").agg(F.sum("c"), F.count("*")).first()
+    # A word has one row a chunk; the first of them tells of the word.
+    same = Window.partitionBy("word")
+    words = got.filter("kind = 1").select("word", "chunk", "number", "n")
+    words = written(words.select("chunk", "number", "n", F.sum("n").over(same).alias("c"), (F.col("chunk") == F.min("chunk").over(same)).alias("first")), "words")
+    total, distinct = words.agg(F.sum("n"), F.count(F.when(F.col("first") & (F.col("c") > 0), 1))).first()
     total, distinct = (total or 0) + ends, distinct + (ends > 0)
-    numbered = words.join(counts, "word").select(F.col("chunk").alias("of"), "number", "c")
-    told = got.filter("kind = 0").select("chunk", "id", "held", "score", "tokens")
-    out = told.groupBy("chunk").cogroup(numbered.groupBy("of")).applyInArrow(_base(total, distinct, ends), f"id {t}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    grams = got.filter("kind = 2").select("chunk", "number", "gram", "n")
+    logs = coded_grams(written(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams"), order)
+    told = words.select(F.col("chunk").alias("of"), "number", F.col("c").cast("double").alias("value"))
+    told = told.unionAll(grams.join(logs, "gram").select(F.col("chunk").alias("of"), F.bitwise_not("number").alias("number"), F.col("log").cast("double").alias("value")))
+    texts = got.filter("kind = 0").select("chunk", "id", "held", "text")
+    out = texts.groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(_scores(total, distinct, ends, order), f"id {t}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)

@@ -257,6 +257,21 @@ def test_ppm_against_the_plain_model(spark):
     assert np.allclose(model.scores(texts), [plain.score(t, learn=False) for t in texts], atol=1e-3)
 
 
+def test_scores_keep_every_gram(spark):
+    """Score of the whole model, at every size: here over 1 MB of training text, where a share of the bytes would drop grams."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(rng.choice(BASE.split(), 4000)) for _ in range(60)] + [None, "", "Ünïcode ß", "zzzz " + BASE, "qwx jkv"]
+    plain = lm_scoring.AdaptiveTrie()
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    for t, h in zip(texts, held, strict=True):
+        if not h:
+            plain.train(t)
+    assert plain.total[b""] > 1e6
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(docs_of(spark, *texts)).collect()}
+    for i in [0, *range(58, len(texts))]:
+        assert math.isclose(got[i], plain.score(texts[i], learn=False), rel_tol=1e-5), i
+
+
 def test_probabilities_sum_to_one():
     m = lm_scoring.AdaptiveTrie(2)
     m.train("abracadabra")
