@@ -41,7 +41,7 @@ from pyspark.sql.types import DoubleType
 from .common import bounded_batches, crc_bucket, written
 
 #: Longest context, in bytes; a gram is a context and its symbol.
-ORDER = 4
+ORDER = 5
 #: Longest context, in bytes, whose counts are sent to all tasks.
 LOW = 2
 #: Distinct grams coded at once, about.

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumaframe.llm import chat_template as ct
 from lumaframe.llm import language_id, licenses, lm_scoring, ngram_join, packing, toxicity
@@ -272,6 +273,17 @@ def test_scores_keep_every_gram(spark):
         assert math.isclose(got[i], plain.score(texts[i], learn=False), rel_tol=1e-5), i
 
 
+def test_contexts_of_five_bytes(spark):
+    texts = ["abcdeX", "abcdeX", "bbcdeY", "bbcdeY", "abcdeX", "abcdeY"]
+    df = docs_of(spark, *texts)
+    plain = lm_scoring.AdaptiveTrie(5)
+    for t in texts[:4]:
+        plain.train(t)
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(df, held_out=F.col("doc_id") >= 4).collect()}
+    assert all(math.isclose(got[i], plain.score(t, learn=False), rel_tol=1e-5) for i, t in enumerate(texts))
+    assert got[4] > got[5] + 0.3  # four bytes of context say nothing of X and Y
+
+
 def test_probabilities_sum_to_one():
     m = lm_scoring.AdaptiveTrie(2)
     m.train("abracadabra")
