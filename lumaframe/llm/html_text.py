@@ -6,8 +6,9 @@ those inside links; its density is ``C/T * log_b(C/LC' * T/LT')`` with base
 is, characters per tag, lowered where text is mostly links. A node's density sum
 is the sum of its children's densities. The threshold is the least density on
 the path from ``body`` to the node with the largest density sum; the main content
-is the largest-sum node whose density reaches it. Its text, without blocks that are
-boilerplate by tag, role, class or id, is returned block by block.
+is the nearest node that holds this node and all others whose density reaches the threshold and whose text is not mostly
+links; where that lies inside an article or main element, it is that element. Between these nodes, parts that are mostly
+links are left out. Its text, without blocks that are boilerplate by tag, role, class or id, is returned block by block.
 
 Defined cases: null or empty html, and pages without text, give an empty text; unclosed or
 cut tags, comments and references are read as far as they go; a page without
@@ -160,13 +161,33 @@ def main_node(root: Node) -> Node:
     threshold, up = best.density, best
     while up is not None and up is not body.parent:
         threshold, up = min(threshold, up.density) if up.chars else threshold, up.parent
-    best = max((n for n in below if n.density >= threshold), key=lambda n: n.total)
-    # A container whose siblings belong to the same article: an article or main element above it is the content.
+    above, up = set(), best
+    while up is not body:
+        up = up.parent
+        above.add(up)
+    dense = {n for n in below if n is best or n.density >= threshold and n not in above and 2 * n.link_chars <= n.chars}
+    held: dict[Node, int] = {}
+    for n in reversed(nodes):
+        held[n] = (n in dense) + sum(held[c] for c in n.children if isinstance(c, Node))
+    inner = best
+    while held[best] < len(dense):
+        best = best.parent
+    # An article or main element above it is the content.
     up = best
-    while up is not None and up.parent is not None and up is not body:
+    while up is not body and up.parent is not None:
         if up.tag in ("article", "main"):
             best = up
         up = up.parent
+    # Lists of links beside the parts that were put together.
+    while inner is not best:
+        if inner.tag in ("article", "main"):
+            break
+        inner = inner.parent
+        if inner.tag in ("article", "main"):
+            break
+        for c in inner.children:
+            if isinstance(c, Node) and c.tag in BLOCK and not held[c] and 2 * c.link_chars > c.chars:
+                c.noise = True
     if best.tag in HEADING or best.tag == "p":
         best = best.parent or best
     return best

@@ -390,6 +390,23 @@ def test_main_text():
     assert main_text("a < b and <b>bold") == "a < b and bold"
 
 
+def test_main_text_of_several_parts():
+    def page(*parts):
+        return "<html><body><nav><a href=/>Home</a></nav><div>" + "".join(parts) + "</div><footer>us</footer></body></html>"
+
+    def paragraphs(n, size, mark):
+        return [f"{mark}{i} ".ljust(size, "x") for i in range(n)]
+
+    two, items = paragraphs(2, 200, "p"), paragraphs(20, 60, "i")
+    got = main_text(page("<h1>Head</h1>", *(f"<p>{x}</p>" for x in two), "<ul>", *(f"<li>{x}</li>" for x in items), "</ul>"))
+    assert got.split("\n\n") == ["Head", *two, *items]
+    first, second = paragraphs(10, 300, "a"), paragraphs(8, 300, "b")
+    sections = ["<section>" + "".join(f"<p>{x}</p>" for x in some) + "</section>" for some in (first, second)]
+    for links in (0, 15, 30):  # without links, and with a tenth of the text in a list of links
+        more = "<ul>" + "".join(f"<li><a href=/{k}>related page {k:02}</a></li>" for k in range(links)) + "</ul>"
+        assert main_text(page(*sections, more)).split("\n\n") == [*first, *second]
+
+
 # --- queries and the pipeline ------------------------------------------------------------------------------
 
 
