@@ -30,17 +30,19 @@ from .common import bounded_batches
 
 # HTML element names and boilerplate words.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript iframe template svg math xmp noembed noframes".split())
+RAW = frozenset("script style textarea title noscript iframe template svg xmp noembed noframes".split())
 BLOCK = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
+    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul xmp".split()
 )
 HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
-SKIP = frozenset("nav footer aside form script style noscript template iframe svg math button select option textarea input label fieldset dialog menu object embed canvas audio video title head search".split())
+SKIP = frozenset("nav footer aside form script style noscript template iframe svg button select option textarea input fieldset dialog menu object embed canvas audio video title head search".split())
 SKIP_ROLE = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|sidebar\w*|side|footer|foot|masthead|site-?header|page-?header|topbar|cookies?\w*|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|comment-?list|commentlist|disqus|replies|reply|respond|widget|toolbar|pager|pagination|skip-?link|copyright|legal|disclaimer)(?:$|[\s_-])",
+    r"(?:^|[_-])(?:ad|ads|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|menu\w*|nav|navbar|navigation|breadcrumbs?|sidebar\w*|side|footer|foot|masthead|site-?header|page-?header|topbar|cookies?\w*|consent|gdpr|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|comments?|comment-?list|commentlist|disqus|replies|reply|respond|widget|toolbar|pager|pagination|skip-?link|copyright|legal|disclaimer)(?:$|[_-])",
     re.I,
 )
+#: Class names that tell of a layout or a state, not of what the element is.
+FLAG = re.compile(r"(?:^|[_-])(?:has|no|not|with|without|is|hide|show)[_-]|[_-](?:open|opened|closed|on|off|enabled|disabled|allowed|layout)$", re.I)
 #: Elements that an opening tag closes, where they are open.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: Inside these, an opening tag closes nothing that is open outside.
@@ -51,24 +53,29 @@ SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "noise", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "noise", "named", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "total")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool = False):
-        self.tag, self.parent, self.noise, self.children = tag, parent, noise, []
+    def __init__(self, tag: str, parent: Node | None, noise: bool = False, named: bool = False):
+        self.tag, self.parent, self.noise, self.children = tag, parent, noise or named, []
+        self.named = named and not noise  # noise by class or id alone
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.total = 0.0
 
 
-def _noise(tag: str, attrs: str) -> bool:
+def _noise(tag: str, attrs: str) -> tuple[bool, bool]:
+    """Whether tag, role or visibility, and whether a class or id make an element boilerplate."""
+    named = False
     if tag in SKIP:
-        return True
+        return True, named
     for m in ATTR.finditer(attrs) if attrs else ():
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
-            return True
-        if key == "role" and value.lower() in SKIP_ROLE or key in ("class", "id") and tag not in ("body", "html", "article", "main") and NOISE.search(value):
-            return True
-    return False
+            return True, named
+        if key == "role" and value.lower() in SKIP_ROLE:
+            return True, named
+        if key in ("class", "id") and tag not in ("body", "html", "article", "main"):
+            named = named or any(NOISE.search(name) and not FLAG.search(name) for name in value.split())
+    return False, named
 
 
 def parse(page: str) -> Node:
@@ -107,10 +114,12 @@ def parse(page: str) -> Node:
                 up = up.parent
             if up.tag in CLOSES[tag]:
                 node = up.parent if up.tag != "td" and up.tag != "th" or tag != "tr" else (up.parent.parent or up.parent)
-        new = Node(tag, node, _noise(tag, m[3] or ""))
+        new = Node(tag, node, *_noise(tag, m[3] or ""))
         node.children.append(new)
         if tag in RAW:
             close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if tag == "xmp":
+                new.children.append(page[at : close.start() if close else end])
             at = close.end() if close else end
         elif tag not in VOID and not (m[3] or "").rstrip().endswith("/"):
             node = new
@@ -140,6 +149,9 @@ def densities(root: Node) -> list[Node]:
                 n.link_tags += c.link_tags + (c.tag == "a")
     body = next((n for n in nodes if n.tag == "body"), root)
     ratio = body.link_chars / max(body.chars, 1)
+    for n in nodes:  # a wrapper around most of the text is no boilerplate, whatever its name
+        if n.named and 2 * (n.chars - n.link_chars) > body.chars - body.link_chars and any(isinstance(c, Node) and c.tag in BLOCK for c in n.children):
+            n.noise = False
     for n in nodes:
         if n.chars and not n.noise:
             plain = max(n.chars - n.link_chars, 1)

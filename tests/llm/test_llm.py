@@ -407,6 +407,15 @@ def test_main_text_of_several_parts():
         assert main_text(page(*sections, more)).split("\n\n") == [*first, *second]
 
 
+def test_boilerplate_names():
+    text = "<h1>Head</h1><p>" + "words of the article " * 20 + "</p><p>" + "and some more of them " * 20 + "</p>"
+    want = ["Head", ("words of the article " * 20).strip(), ("and some more of them " * 20).strip()]
+    for name in ("content has-sidebar", "layout-no-sidebar", "entry comments-open", "with-ads", "widget"):
+        got = main_text(f"<body><div class='{name}'>{text}</div><div class='sidebar-box'><p>{'aside ' * 30}</p></div><div class='entry post-comments'><p>{'comment ' * 30}</p></div></body>")
+        assert got.split("\n\n") == want, name
+    assert main_text("<body><p>sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math> of <label>two</label> terms<xmp>a <b> c</xmp></body>").split("\n\n") == ["sum a+b of two terms", "a <b> c"]
+
+
 # --- queries and the pipeline ------------------------------------------------------------------------------
 
 
