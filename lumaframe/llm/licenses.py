@@ -4,7 +4,9 @@ The templates' word n-grams are hashed and winnowed (of each window of hashes th
 is kept) into an inverted index hash -> (template, place). A text's n-grams are looked up
 in the index; hits whose diagonals lie close together are one candidate place of a template. There the
 words are aligned with the template in a band around the diagonal, which
-gives the matched words, their share of the template (coverage) and their span.
+gives the matched words, their share of the template (coverage) and their span. Hits that
+are in no place found so are chained across diagonals, in the order of text and template, and aligned in a band that holds
+all diagonals of the chain; so any number of words may be left out, and up to as many as the template has be put in at one point.
 
 The templates are short and of fixed number, so their index goes to every task.
 Every n-gram of the text is looked up, so any template passage of ``NGRAM + WINNOW - 1`` words
@@ -18,6 +20,7 @@ repeats its rows; an empty table gives an empty result; other columns are not re
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -85,25 +88,37 @@ class Scanner:
                 self.index.setdefault(int(h[place]), []).append((k, place))
         self.hashes = np.array(sorted(self.index), np.uint64)
 
-    def candidates(self, text: list[bytes]) -> dict[tuple[int, int], int]:
-        """(template, diagonal) -> fingerprints found."""
+    def hits(self, text: list[bytes]) -> list[tuple[int, int, int]]:
+        """(template, word of the text, word of the template) of the fingerprints found, in the order of the text."""
         known = self.vocabulary.get
         none = np.uint64(0)
         ids = np.fromiter((known(w, none) for w in text), np.uint64, len(text))
         live = np.flatnonzero(ids)
         if len(live) < self.n:
-            return {}
+            return []
         h = _gram_hashes(ids, self.n)
         solid = ids[: len(h)] != 0
         for k in range(1, self.n):
             solid &= ids[k : k + len(h)] != 0
         at = np.flatnonzero(solid)
         at = at[np.isin(h[at], self.hashes)]
-        out: dict[tuple[int, int], int] = {}
-        for p in at.tolist():
-            for k, place in self.index[int(h[p])]:
-                out[k, p - place] = out.get((k, p - place), 0) + 1
-        return out
+        return [(k, p, place) for p in at.tolist() for k, place in self.index[int(h[p])]]
+
+    def chained(self, k: int, hits: list[tuple[int, int]], text: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        """Alignments of template ``k`` along chains of hits (word of the text, of the template) over several diagonals."""
+        template = self.words[k]
+        size, least = len(template), self.coverage * len(template)
+        for chain in chains(hits, size):
+            diagonals = [p - t for p, t in chain]
+            lo, hi = min(diagonals), max(diagonals)
+            if lo == hi:
+                continue
+            margin = self.bands[k]
+            window = Counter(text[max(0, chain[0][0] - size - margin) : chain[-1][0] + size + margin])
+            if sum(min(n, window[w]) for w, n in Counter(template).items()) >= least:
+                matched, a, b = align(template, text, (lo + hi) // 2, (hi - lo + 1) // 2 + margin)
+                if matched >= least:
+                    yield matched, a, b
 
     def scan(self, text: str | None) -> list[tuple[str, float, int, int, int]]:
         """(license, coverage, matched words, start, end) of each place, in characters of the text."""
@@ -112,7 +127,8 @@ class Scanner:
         w = words(text)
         found = []
         last: dict[int, int] = {}
-        for k, diagonal in sorted(self.candidates(w)):
+        hits = self.hits(w)
+        for k, diagonal in sorted({(k, p - place) for k, p, place in hits}):
             if k in last and diagonal - last[k] <= self.bands[k]:
                 continue  # the same place, some words inserted or left out
             last[k] = diagonal
@@ -120,10 +136,19 @@ class Scanner:
             if matched and matched / len(self.words[k]) >= self.coverage:
                 found.append((matched / len(self.words[k]), matched, k, a, b))
         out, taken = [], []
-        for cov, matched, k, a, b in sorted(found, key=lambda x: (x[2], -x[0], x[3])):
-            if not any(j == k and a <= d and c <= b for j, c, d in taken):
-                taken.append((k, a, b))
-                out.append((k, cov, matched, a, b))
+
+        def take(found: list[tuple]) -> None:
+            for cov, matched, k, a, b in sorted(found, key=lambda x: (x[2], -x[0], x[3])):
+                if not any(j == k and a <= d and c <= b for j, c, d in taken):
+                    taken.append((k, a, b))
+                    out.append((k, cov, matched, a, b))
+
+        take(found)
+        left: dict[int, list[tuple[int, int]]] = {}
+        for k, p, place in hits:
+            if not any(j == k and a < p + self.n and p <= b for j, a, b in taken):
+                left.setdefault(k, []).append((p, place))
+        take([(matched / len(self.words[k]), matched, k, a, b) for k, some in left.items() for matched, a, b in self.chained(k, some, w)])
         if not out:
             return []
         spans = _word_spans(text, w)
@@ -137,6 +162,30 @@ def _word_spans(text: str, w: list[bytes]) -> list[tuple[int, int]]:
     return spans
 
 
+def chains(hits: list[tuple[int, int]], longest: int) -> Iterator[list[tuple[int, int]]]:
+    """Hits in rising order of both places, at most ``longest`` words put in between two of them; the chain of most hits first, each hit in one chain."""
+    p, t = np.array(sorted(hits), np.int64).T
+    number, shift, before = np.ones(len(p), np.int64), np.zeros(len(p), np.int64), np.full(len(p), -1)
+    for i in range(1, len(p)):
+        lo = int(np.searchsorted(p, p[i] - 2 * longest))
+        step = (p[i] - p[lo:i]) - (t[i] - t[lo:i])
+        ok = np.flatnonzero((p[lo:i] < p[i]) & (t[lo:i] < t[i]) & (step <= longest))
+        if len(ok):
+            # Most hits, then the least change of diagonals.
+            moved = shift[lo + ok] + np.abs(step[ok])
+            best = np.lexsort((moved, -number[lo + ok]))[0]
+            before[i], number[i], shift[i] = lo + ok[best], number[lo + ok[best]] + 1, moved[best]
+    used = np.zeros(len(p), bool)
+    for i in np.lexsort((shift, -number)).tolist():
+        chain = []
+        while i >= 0 and not used[i]:
+            used[i] = True
+            chain.append((int(p[i]), int(t[i])))
+            i = int(before[i])
+        if len(chain) > 1:
+            yield chain[::-1]
+
+
 def align(template: list[bytes], text: list[bytes], diagonal: int, band: int) -> tuple[int, int, int]:
     """Longest common subsequence of the template and the text within a band of diagonals: (matched words, first, last text word)."""
     lo = diagonal - band

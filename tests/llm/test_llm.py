@@ -376,6 +376,24 @@ def test_alignment_is_the_longest_common_subsequence():
     assert licenses.align(list("abc"), list("xyz"), 0, 3)[0] == 0
 
 
+def test_licenses_with_words_put_in_or_left_out():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name in ("apache-2.0", "mit", "gpl-3.0-or-later", "bsd"):
+        w = licenses.TEMPLATES[name].split()
+        middle, size = len(w) // 2, len(licenses.words(licenses.TEMPLATES[name]))
+        for put in (14, 40):
+            text = " ".join(["before", *w[:middle], *(f"new{k}" for k in range(put)), *w[middle:], "after"])
+            found = {x[0]: x for x in scanner.scan(text)}
+            assert name in found and found[name][2] == size, (name, put)
+            assert text[found[name][3] : found[name][4]].split()[0].lower() == w[0].lower()
+        out = max(13, int(0.15 * size))
+        if out < 0.19 * size:
+            text = " ".join(w[: middle - out // 2] + w[middle - out // 2 + out :])
+            assert name in {x[0] for x in scanner.scan(f"before {text} after")}, name
+    twice = f"{licenses.TEMPLATES['apache-2.0']} {licenses.TEMPLATES['apache-2.0']}"
+    assert [x[1] for x in scanner.scan(twice) if x[0] == "apache-2.0"] == [1.0, 1.0]
+
+
 PAGE = """<html><head><title>t</title><script>if(a<b){}</script></head><body><header><a href=/>Home</a></header><nav><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></nav>
 <div class="cookie-notice">We use cookies</div><div class=layout><aside>side</aside><div class="content"><h1>Head &amp; shoulders</h1><p>One two three four five, six seven eight <a href=x>nine</a> ten.
 <p>More words that go on for a good while, so that the text is dense enough.</p><div class="ad">buy</div><ul><li>item one<li>item two</ul></div></div>
