@@ -188,7 +188,7 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, seed: i
     """``share``: of toxic documents among all labelled ones, to which scores are calibrated (default: as in the sample)."""
     y = np.array(labels, int)
     if not len(y) or y.min() == y.max():
-        return ToxicityModel(float(y.mean()) if len(y) else 0.0)
+        return ToxicityModel(float(y.mean() if share is None else share) if len(y) else 0.0)
     share = min(max(y.mean() if share is None else share, 1e-6), 1 - 1e-6)
     odds_shift = np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
     rng = np.random.default_rng(seed)
@@ -287,18 +287,26 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, seed: i
 
 
 def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[str], list[int], float | None]:
-    """Texts and labels of a bounded sample, per class the ids with the least hash, and the share of toxic ids of all."""
-    marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y")).withColumn("mark", F.xxhash64(F.lit(5), id_col))
-    ids = [r for c, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)) for r in marked.filter(F.col("y") == c).orderBy("mark").limit(2 * n).collect()]
+    """Texts and labels of a bounded sample, and the share of toxic ids of all.
+
+    Per class it holds the documents with a text whose ids have the least hash, toxic ones with a short text first; of a
+    longer text a window is taken.
+    """
+    marked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("key")).agg(F.max(label_col).alias("y")).withColumn("mark", F.xxhash64(F.lit(5), "key"))
+    text = F.col(f"`{text_col}`")
+    texts = docs.filter(text.isNotNull()).select(F.col(f"`{id_col}`").alias("key"), text.alias("text"))
+    order = [(F.col("y") == 1) & F.col("long"), "mark"]
+    there = texts.select("key", (F.length("text") > SAMPLE_CHARS).alias("long")).join(marked, "key")
+    ids = {r["key"]: r for c, n in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)) for r in there.filter(F.col("y") == c).orderBy(*order).limit(2 * n).collect()}
     if not ids:
         return [], [], None
     share = marked.agg(F.avg(F.col("y").cast("double"))).first()[0]
     spark = docs.sparkSession
-    picked = F.broadcast(spark.createDataFrame([(r[id_col], int(r["y"]), r["mark"]) for r in ids], f"key {labels.schema[id_col].dataType.simpleString()}, y int, mark long"))
-    text = F.col(f"`{text_col}`")
-    found = docs.select(F.col(f"`{id_col}`").alias("key"), text.alias("text")).join(picked, "key").filter(text.isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    picked = F.broadcast(spark.createDataFrame([(k, int(r["y"]), r["mark"]) for k, r in ids.items()], f"key {docs.schema[id_col].dataType.simpleString()}, y int, mark long"))
+    at = F.pmod(F.xxhash64(F.lit(6), "key"), F.greatest(F.length("text") - SAMPLE_CHARS + 1, F.lit(1))).cast("int") + 1
+    found = texts.join(picked, "key").select("y", "mark", (F.length("text") > SAMPLE_CHARS).alias("long"), F.substring("text", at, F.lit(SAMPLE_CHARS)).alias("text"))
     per = {1: SAMPLE_TOXIC, 0: SAMPLE_CLEAN}
-    rows = [r for c in per for r in found.filter(F.col("y") == c).orderBy("mark", "text").limit(per[c]).collect()]
+    rows = [r for c in per for r in found.filter(F.col("y") == c).orderBy(*order, "text").limit(per[c]).collect()]
     return [r["text"] for r in rows], [r["y"] for r in rows], share
 
 

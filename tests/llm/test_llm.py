@@ -353,6 +353,17 @@ def test_toxicity(spark):
     assert {r["score"] for r in none.collect()} == {0.0}
 
 
+def test_toxicity_sample_of_long_and_absent_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_TOXIC", 5)
+    monkeypatch.setattr(toxicity, "SAMPLE_CLEAN", 5)
+    docs = docs_of(spark, *["bad " * 4000] * 8, *["fine " * 4000] * 8)
+    labels = spark.createDataFrame([(i, int(i < 8 or i >= 500)) for i in [*range(16), *range(500, 900)]], "doc_id long, toxic int")
+    texts, y, share = toxicity.sample(docs, labels, "doc_id", "text", "toxic")
+    assert sorted(y) == [0] * 5 + [1] * 5 and {len(t) for t in texts} == {toxicity.SAMPLE_CHARS}
+    assert all(("bad" in t) == bool(c) for t, c in zip(texts, y, strict=True)) and math.isclose(share, 408 / 416)
+    assert toxicity.fit(["fine"], [0], 0.25).scores(["fine"])[0] == 0.25
+
+
 def test_kernel_tolerates_gaps():
     assert toxicity.kernel("idiot", "idiot") > toxicity.kernel("idxiot", "idiot") > 1.5 * toxicity.kernel("flower", "idiot")
 
