@@ -52,7 +52,7 @@ def match_descriptors(query: DataFrame, train: DataFrame, idx: str = "idx", vec:
 
 
 def approximate_matches(query: DataFrame, train: DataFrame, radius: float, idx: str = "idx", vec: str = "vec", width: float = 1.0, tables: int = 5) -> DataFrame:
-    """As :func:`match_descriptors`, within ``radius`` only and by random-projection hashing (recall under 1)."""
+    """As :func:`match_descriptors`, by random-projection hashing within ``radius`` (recall under 1); queries without a hit there are matched exactly."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
@@ -60,7 +60,9 @@ def approximate_matches(query: DataFrame, train: DataFrame, radius: float, idx:
     a, b = side(query), side(train)
     model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(b)
     found = model.approxSimilarityJoin(a, b, radius, "distance")
-    return found.groupBy(F.col("datasetA.i").alias("query_idx")).agg(F.min(F.struct("distance", F.col("datasetB.i").alias("train_idx"))).alias("m")).select("query_idx", "m.train_idx", "m.distance")
+    near = found.groupBy(F.col("datasetA.i").alias("query_idx")).agg(F.min(F.struct("distance", F.col("datasetB.i").alias("train_idx"))).alias("m")).select("query_idx", "m.train_idx", "m.distance").persist()
+    left = query.join(near, F.col(idx) == near["query_idx"], "left_anti")
+    return near.unionByName(match_descriptors(left, train, idx, vec))
 
 
 def _distances(vec: Column, centroids: list[list[float]]) -> Column:

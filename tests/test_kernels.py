@@ -193,3 +193,16 @@ def test_drawing_clips():
 def test_models_need_a_model():
     with pytest.raises(ModelNotProvided):
         models.solve_pnp()
+
+
+def test_approximate_matches_answer_every_query(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=8) * (1 if i < 60 else 9)]) for i in range(80)]
+    df = spark.createDataFrame(rows, "idx long, vec array<double>")
+    query, train = df.filter("idx % 2 = 0"), df.filter("idx % 2 = 1")
+    exact = {r[0]: r[1:] for r in matching.match_descriptors(query, train).collect()}
+    got = {r[0]: r[1:] for r in matching.approximate_matches(query, train, radius=1.2).collect()}
+    assert got.keys() == exact.keys() and len(exact) == 40
+    assert sum(got[k][0] == exact[k][0] for k in exact) >= 36
+    assert all(math.isclose(got[k][1], exact[k][1]) for k in exact if exact[k][1] > 1.2)
+    assert matching.approximate_matches(train, train, radius=1.2).count() == 40
