@@ -14,11 +14,12 @@ not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
@@ -26,6 +27,8 @@ from .common import bounded_batches, crc_bucket
 
 #: Labelled rows and windows of each that a model is trained on, at most.
 SAMPLE_ROWS, SAMPLE_WINDOWS, WINDOW_CHARS = 6000, 4, 80
+#: Training rows of each language, where it has so many.
+LEAST_ROWS = 50
 HIDDEN, TRAIN_BYTES, BATCH, STEPS, RATE = 8, 64, 192, 360, 0.02
 #: Bytes labelled in one segment, context on each side, segments at once.
 SEGMENT, CONTEXT, ROWS = 112, 16, 1024
@@ -182,9 +185,9 @@ def fit(windows: list[tuple[str, str]], seed: int = 0) -> LanguageModel:
 
 
 def sample_windows(df: DataFrame, id_col: str, text_col: str, lang_col: str, rows: int = SAMPLE_ROWS) -> list[tuple[str, str]]:
-    """(language, window) of at most ``rows`` labelled rows, those with the least hash of their id.
+    """(language, window) of at most ``rows`` labelled rows, those with the least hash of their id, and of up to ``LEAST_ROWS`` rows of each language.
 
-    The hash threshold is found first, over ids alone, so that no text is sorted.
+    The hash threshold is found first, over ids alone, so that no text is sorted; that of a rare language follows from its count.
     """
     mark = F.xxhash64(F.lit(11), F.col(f"`{id_col}`"))
     text, lang = F.col(f"`{text_col}`"), F.col(f"`{lang_col}`")
@@ -193,8 +196,17 @@ def sample_windows(df: DataFrame, id_col: str, text_col: str, lang_col: str, row
     if least is None:
         return []
     cut = lambda k: F.substring(text, F.pmod(F.xxhash64(F.lit(k), F.col(f"`{id_col}`")), F.greatest(F.length(text) - WINDOW_CHARS, F.lit(1))).cast("int") + 1, F.lit(WINDOW_CHARS))
-    picked = known.filter((mark <= least) & text.isNotNull()).select(lang.cast("string").alias("lang"), mark.alias("mark"), F.array(*[cut(k) for k in range(SAMPLE_WINDOWS)]).alias("windows"))
-    found = picked.orderBy("mark").limit(rows).collect()  # repeated ids share a hash
+    drawn = known.filter(text.isNotNull()).select(lang.cast("string").alias("lang"), mark.alias("mark"), F.array(*[cut(k) for k in range(SAMPLE_WINDOWS)]).alias("windows"))
+    found = drawn.filter(F.col("mark") <= least).orderBy("mark").limit(rows).collect()  # repeated ids share a hash
+    have = Counter(r["lang"] for r in found)
+    counts = {r["lang"]: r["count"] for r in known.filter(text.isNotNull()).groupBy(lang.cast("string").alias("lang")).count().collect()}
+    rare = [(x, -(1 << 63) + min(4 * LEAST_ROWS * (1 << 64) // n, (1 << 64) - 1)) for x, n in counts.items() if have[x] < min(n, LEAST_ROWS)]
+    if rare:
+        limits = F.broadcast(df.sparkSession.createDataFrame(rare, "lang string, most long"))
+        few = drawn.join(limits, "lang").filter(F.col("mark") <= F.col("most"))
+        few = few.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("mark"))).filter(F.col("rank") <= LEAST_ROWS)
+        rare_names = {x for x, _ in rare}
+        found = [r for r in found if r["lang"] not in rare_names] + few.orderBy("lang", "mark").collect()
     return [(r["lang"], w) for r in found for w in r["windows"]]
 
 

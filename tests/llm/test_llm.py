@@ -323,6 +323,12 @@ def test_language(spark):
     assert language_id.identify_language(spark.createDataFrame([], "doc_id long, text string, lang string")).count() == 0
 
 
+def test_rare_languages_are_sampled(spark):
+    rows = [(i, f"text {i} " * 5, "xx" if i % 100 == 7 else "yy" if i == 5 else "en") for i in range(8000)]
+    got = Counter(x for x, _ in language_id.sample_windows(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", rows=20))
+    assert got["xx"] == 50 * language_id.SAMPLE_WINDOWS and got["yy"] == language_id.SAMPLE_WINDOWS and got["en"] > 0
+
+
 def test_every_position_is_labelled():
     m = language_id.fit([("x", "kalomi " * 12), ("y", "strung " * 12)] * 20)
     for n in (1, 50, 112, 113, 700):
