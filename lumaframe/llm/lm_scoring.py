@@ -3,19 +3,19 @@
 A byte-context trie holds, for each context of up to ``ORDER`` bytes, the symbols seen after it. A
 symbol is coded in its longest known context; where it is not among that context's
 symbols, an escape is coded and the next shorter context is tried, without the symbols
-already ruled out (exclusion). A context's escape has the weight of its distinct symbols plus
-that of occurrences whose symbols were too rare to be kept. Below the empty context all
+already ruled out (exclusion). A context's escape has the weight of its distinct symbols. Below the empty context all
 remaining symbols are equally likely. Each text ends in an end symbol.
 
 *Pretrained*: counts are gathered over all training texts and every pair is kept. A symbol's probability depends
-on the gram (context and symbol) alone, so each distinct gram is coded once: the table of grams is dealt by the last
+on the gram (context and symbol) alone, so each distinct gram is coded once: grams are dealt into buckets by the last
 ``LOW + 1`` bytes of the context, which puts all that longer contexts need in one place; what contexts of up to ``LOW``
-bytes need is sent to all, and has at most as many rows as there are strings of ``LOW + 1`` bytes. Texts
-meet their grams' logs by chunks of documents. *Adaptive*: :class:`AdaptiveTrie` starts empty and learns
-each symbol after coding it. :class:`PPM` is the pretrained model in memory, for tables that fit there.
+bytes need is sent to all, and has at most as many rows as there are strings of ``LOW + 1`` bytes. A chunk of documents sends
+each bucket its distinct grams as one row of compressed arrays; the chunks' rows of a bucket are streamed, first to
+be summed and coded, then to be told their logs, which go back to the chunk as one row a bucket. *Adaptive*: :class:`AdaptiveTrie` starts empty and learns
+each symbol after coding it.
 
 The base score is an add-one unigram model over words with counts of all training
-texts. Words and grams are exchanged by chunks of documents, numbered in their order within the chunk, so
+texts. Words are exchanged by chunks of documents too, numbered in their order within the chunk, so
 that a frequent one is one row of a chunk, not of each document.
 
 Defined cases: a null text is empty and holds the end token alone; a null id hashes as the
@@ -27,12 +27,14 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -44,13 +46,16 @@ from .common import bounded_batches, crc_bucket, written
 ORDER = 5
 #: Longest context, in bytes, whose counts are sent to all tasks.
 LOW = 2
-#: Distinct grams coded at once, about.
-BUCKET_GRAMS = 250_000
+#: Buckets of grams: one for so many bytes of text, and at most so many.
+BUCKET_BYTES, MOST_BUCKETS = 8_000_000, 4096
+#: Chunks of a bucket told by one task: as many, and more by the root of how often that number goes into all of them.
+PART_CHUNKS = 512
 START, END = 0xFE, 0xFF  # never part of UTF-8
 ALPHABET = 257  # 256 byte values and one spare
 #: Distinct words and bytes of text in one chunk, about.
 CHUNK_WORDS, CHUNK_BYTES = 400_000, 8_000_000
 _BLOCK = 1 << 20
+_CODEC = pa.Codec("zstd", 1)
 
 
 def encoded(text: str | None) -> bytes:
@@ -75,13 +80,6 @@ class AdaptiveTrie:
             seen = self.counts.setdefault(c, {})
             seen[symbol] = seen.get(symbol, 0) + 1
 
-    def prune(self, least: float) -> None:
-        """Forgets pairs seen fewer than ``least`` times; their occurrences become escape weight."""
-        for c in list(self.counts):
-            self.counts[c] = {s: n for s, n in self.counts[c].items() if n >= least}
-            if not self.counts[c]:
-                del self.counts[c]
-
     def log10(self, context: bytes, symbol: int) -> float:
         out, excluded = 0.0, frozenset()
         for k in range(min(self.order, len(context)), -1, -1):
@@ -89,7 +87,7 @@ class AdaptiveTrie:
             seen = self.counts.get(c)
             if not seen:
                 continue
-            escape = len(seen) + self.total[c] - sum(seen.values())
+            escape = len(seen)
             room = escape + sum(n for s, n in seen.items() if s not in excluded)
             if symbol in seen:
                 return out + math.log10(seen[symbol] / room)
@@ -113,221 +111,7 @@ class AdaptiveTrie:
             self.learn(data[max(0, i - self.order) : i], data[i])
 
 
-# --- pretrained, whole arrays at once ------------------------------------------------
-
-
-class GramTable:
-    """Index of each 64-bit key, or -1; an open-addressing table probed for whole arrays."""
-
-    def __init__(self, keys: np.ndarray):
-        self.bits = max(4, int(len(keys) * 2).bit_length())
-        self.keys = np.full(1 << self.bits, -1, np.int64)
-        self.value = np.full(1 << self.bits, -1, np.int32)
-        left, idx = keys.astype(np.int64), np.arange(len(keys), dtype=np.int32)
-        slot = self._slot(left)
-        while len(left):
-            free = self.keys[slot] == -1
-            _, firsts = np.unique(np.where(free, slot, -1 - np.arange(len(slot))), return_index=True)
-            put = firsts[free[firsts]]
-            self.keys[slot[put]], self.value[slot[put]] = left[put], idx[put]
-            rest = np.ones(len(left), bool)
-            rest[put] = False
-            left, idx, slot = left[rest], idx[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
-
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
-
-    def __call__(self, keys: np.ndarray) -> np.ndarray:
-        slot = self._slot(keys)
-        found = self.keys[slot]
-        out = np.where(found == keys, self.value[slot], -1)
-        todo = np.flatnonzero((found != keys) & (found != -1))
-        while len(todo):
-            slot[todo] = (slot[todo] + 1) & ((1 << self.bits) - 1)
-            found = self.keys[slot[todo]]
-            hit = found == keys[todo]
-            out[todo[hit]] = self.value[slot[todo[hit]]]
-            todo = todo[~hit & (found != -1)]
-        return out
-
-
-def _key(grams: np.ndarray, length: int) -> np.ndarray:
-    """A gram of ``length`` bytes with its length above them."""
-    return (grams & np.int64((1 << (8 * length)) - 1)) | np.int64(length << 56)
-
-
-@dataclass
-class PPM:
-    """Kept grams: ``keys`` by length, counts, totals as contexts; logs are worked out once."""
-
-    keys: np.ndarray  # int64, (length << 56) | bytes
-    counts: np.ndarray
-    totals: np.ndarray  # training occurrences of the gram followed by any symbol
-    root_total: int
-    order: int = ORDER
-
-    def __post_init__(self) -> None:
-        n = len(self.keys)
-        self.table = GramTable(self.keys)
-        length = (self.keys >> 56).astype(np.int64)
-        grams = self.keys & np.int64((1 << 56) - 1)
-        # Row n stands for the empty context.
-        context = np.full(n, n, np.int64)
-        suffix = np.full(n + 1, n, np.int64)
-        for k in range(2, self.order + 2):
-            at = np.flatnonzero(length == k)
-            context[at] = self.table(_key(grams[at] >> 8, k - 1))
-            suffix[at] = self.table(_key(grams[at], k - 1))
-        kept = np.bincount(context, self.counts, n + 1)
-        distinct = np.bincount(context, minlength=n + 1)
-        total = np.append(self.totals, self.root_total)
-        escape = distinct + total - kept
-        plain = kept + escape
-        # Under a longer context, its symbols are ruled out in the shorter one.
-        ruled = np.zeros(n + 1)
-        for k in range(2, self.order + 2):  # gram (context, symbol) -> its shorter gram's count
-            at = np.flatnonzero(length == k)
-            np.add.at(ruled, context[at], self.counts[suffix[at]])
-        self.known = np.append(distinct[:-1] > 0, True) if n else np.array([False])
-        up = np.append(suffix[:-1], n)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            under = plain[up] - ruled  # room of the shorter context, given this one
-            log_escape, log_plain, log_under = (np.log10(np.maximum(x, 1e-300)) for x in (escape, plain, under))
-        self.log_count = np.log10(self.counts.astype(np.float64)).astype(np.float32) if n else np.zeros(0, np.float32)
-        self.log_plain, self.log_under = log_plain.astype(np.float32), log_under.astype(np.float32)
-        self.log_escape = log_escape.astype(np.float32)
-        # Escapes from every shorter context down to the empty one, each under the next longer.
-        step = np.where(np.arange(n + 1) < n, log_escape[up] - log_under, 0.0)
-        self.cum = np.zeros(n + 1)
-        for k in range(1, self.order + 1):
-            at = np.flatnonzero(length == k)
-            self.cum[at] = step[at] + (self.cum[suffix[at]] if k > 1 else 0.0)
-        self.log_uniform = math.log10(ALPHABET - int(distinct[n]))
-        self.root = n
-
-    def symbol_logs(self, data: np.ndarray) -> np.ndarray:
-        """log10 probability of every byte of ``data`` after the first ``order`` ones."""
-        d, n = self.order, len(data)
-        wide = data.astype(np.int64)
-        gram = np.zeros(n, np.int64)  # the last order + 1 bytes
-        for k in range(d + 1):
-            gram[k:] |= wide[: n - k] << np.int64(8 * k)
-        # The longest kept gram that ends at each place, up to order + 1 bytes.
-        longest, index = np.zeros(n, np.int8), np.full(n, -1, np.int64)
-        todo = np.arange(n)
-        for k in range(d + 1, 0, -1):
-            hit = self.table(_key(gram[todo], k))
-            ok = hit >= 0
-            longest[todo[ok]], index[todo[ok]] = k, hit[ok]
-            todo = todo[~ok]
-            if not len(todo):
-                break
-        here = np.arange(d, n)
-        # The longest known context of each place: kept grams that end just before it and have kept symbols.
-        m = np.minimum(longest[here - 1], d)
-        top = np.where(longest[here - 1] == 0, self.root, index[here - 1])
-        cut = np.flatnonzero(longest[here - 1] > d)
-        top[cut] = self.table(_key(gram[here[cut] - 1], d))
-        while True:  # a kept gram without kept symbols says nothing: go to its suffix
-            dry = np.flatnonzero((m > 0) & ~self.known[top])
-            if not len(dry):
-                break
-            m[dry] -= 1
-            one = m[dry] > 0
-            top[dry] = self.root
-            for k in np.unique(m[dry[one]]):
-                w = dry[one][m[dry[one]] == k]
-                top[w] = self.table(_key(gram[here[w] - 1], int(k)))
-        hit = longest[here].astype(np.int64) - 1  # order of the context that has the symbol; -1: none
-        entry = index[here]
-        out = np.zeros(len(here), np.float64)
-        direct = hit == m
-        out[direct] = self.log_count[entry[direct]] - self.log_plain[top[direct]]
-        esc = np.flatnonzero(~direct)
-        low = np.full(len(esc), self.root, np.int64)  # the context just longer than the one that has the symbol
-        want = hit[esc] + 1
-        for k in np.unique(want[want > 0]):
-            w = np.flatnonzero(want == k)
-            low[w] = self.table(_key(gram[here[esc[w]] - 1], int(k)))
-        base = self.log_escape[top[esc]] - self.log_plain[top[esc]]
-        found = hit[esc] >= 0
-        f, g = esc[found], low[found]
-        out[f] = base[found] + self.cum[top[f]] - self.cum[g] + self.log_count[entry[f]] - self.log_under[g]
-        miss = esc[~found]
-        out[miss] = base[~found] + self.cum[top[miss]] - self.log_uniform
-        return out
-
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        out, size, at = np.zeros(len(texts)), 0, 0
-        todo: list[bytes] = []
-        pad = bytes([START]) * self.order
-
-        def solve(first: int) -> None:
-            joined = np.frombuffer(b"".join(pad + t for t in todo), np.uint8)
-            logs = np.concatenate([np.zeros(self.order), self.symbol_logs(joined)])
-            logs[joined == START] = 0
-            starts = np.cumsum([0] + [len(t) + len(pad) for t in todo[:-1]])
-            out[first : first + len(todo)] = np.add.reduceat(logs, starts)
-
-        for t in texts:
-            todo.append(encoded(t))
-            size += len(todo[-1])
-            if size > _BLOCK:
-                solve(at)
-                at, todo, size = at + len(todo), [], 0
-        if todo:
-            solve(at)
-        return out
-
-
-# --- gathering counts ----------------------------------------------------------------
-
-
-def _gram_counts(order: int):
-    """From training texts: (gram of order + 1 bytes, n), summed within the task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pad = bytes([START]) * order
-        counted: list[np.ndarray] = []
-        pending: list[bytes] = []
-        size = 0
-
-        def count() -> None:
-            data = np.frombuffer(b"".join(pending), np.uint8).astype(np.int64)
-            pending.clear()
-            g = np.zeros(len(data), np.int64)
-            for k in range(order + 1):
-                g[k:] |= data[: len(data) - k] << np.int64(8 * k)
-            counted.append(np.stack(np.unique(g[data != START], return_counts=True)))
-
-        def rows() -> Iterator[pa.RecordBatch]:
-            g = np.concatenate(counted, 1)
-            counted.clear()
-            keys, where = np.unique(g[0], return_inverse=True)
-            n = np.bincount(where, g[1]).astype(np.int64)
-            for at in range(0, len(keys), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 50_000]), pa.array(n[at : at + 50_000])], names=["gram", "n"])
-
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                pending.append(pad + encoded(text))
-                size += len(pending[-1])
-                if size > 4 * _BLOCK:
-                    count()
-                    size = 0
-                    if sum(x.shape[1] for x in counted) > 4_000_000:
-                        yield from rows()
-        if pending:
-            count()
-        if counted:
-            yield from rows()
-
-    return run
-
-
-def gram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """Counts over all texts of ``docs`` (text), written."""
-    return written(docs.select("text").mapInArrow(_gram_counts(order), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "grams")
+# --- grams ---------------------------------------------------------------------------
 
 
 def _grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -354,9 +138,49 @@ def _blocks(texts: list[bytes]) -> Iterator[list[bytes]]:
         yield block
 
 
-def _chunks(order: int, id_type: pa.DataType):
-    """From documents: themselves with the number of their chunk (kind 0), and each chunk's words (kind 1) and grams (kind 2) with their counts in training texts."""
-    kinds = {"id": id_type, "held": pa.bool_(), "text": pa.string(), "word": pa.binary(), "gram": pa.int64(), "number": pa.int32(), "n": pa.int64()}
+def _squeezed(values: np.ndarray) -> bytes:
+    """64-bit whole numbers as compressed planes of bytes; for sorted values hand over the differences."""
+    planes = np.ascontiguousarray(values.astype("<i8").view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + _CODEC.compress(planes.tobytes(), asbytes=True)
+
+
+def _whole(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(_CODEC.decompress(data[8:], 8 * n, asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
+def _squeezed_logs(values: np.ndarray) -> bytes:
+    planes = np.ascontiguousarray(values.astype("<f4").view(np.uint8).reshape(-1, 4).T)
+    return len(values).to_bytes(8, "little") + _CODEC.compress(planes.tobytes(), asbytes=True)
+
+
+def _whole_logs(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(_CODEC.decompress(data[8:], 4 * n, asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view("<f4").ravel()
+
+
+def _dealt(grams: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of sorted grams by bucket, and where each bucket begins; a bucket has all grams whose contexts end in the same ``LOW + 1`` bytes."""
+    end = (grams >> np.int64(8)) & np.int64((1 << 8 * (LOW + 1)) - 1)
+    mixed = (end.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+    bucket = (mixed % np.uint64(buckets)).astype(np.int64)
+    by = np.argsort(bucket, kind="stable")
+    return by, np.searchsorted(bucket[by], np.arange(buckets + 1))
+
+
+def _packed_texts(ids: list, held: list, texts: list[bytes], id_type: pa.DataType) -> bytes:
+    t = pa.table({"id": pa.array(ids, id_type), "held": pa.array(held, pa.bool_()), "text": pa.array(texts, pa.binary())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, t.schema, options=pa.ipc.IpcWriteOptions(compression=_CODEC)) as out:
+        out.write_table(t)
+    return sink.getvalue().to_pybytes()
+
+
+def _chunks(order: int, buckets: int, id_type: pa.DataType):
+    """From documents, chunk by chunk: the documents in one piece (kind 0), words (kind 1), grams by bucket (kind 2) and the grams of short contexts (kind 3), with their counts in training texts."""
+    kinds = {"bucket": pa.int32(), "word": pa.binary(), "gram": pa.int64(), "number": pa.int32(), "n": pa.int64(), "packed": pa.binary(), "counts": pa.binary()}
 
     def out(kind: int, rows: int, chunk: int, **cols) -> pa.RecordBatch:
         arrays = [pa.array([kind] * rows, pa.int8()), pa.array([chunk] * rows, pa.int64())]
@@ -365,39 +189,52 @@ def _chunks(order: int, id_type: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, size = TaskContext.get().partitionId() << 24, 0
         words: dict[bytes, int] = {}
-        grams: list[np.ndarray] = []
+        ids: list = []
+        helds: list[bool] = []
+        coded: list[bytes] = []
 
         def close() -> Iterator[pa.RecordBatch]:
+            yield out(0, 1, chunk, packed=[_packed_texts(ids, helds, coded, id_type)], n=[len(ids) - sum(helds)])
             items = sorted(words)
             for at in range(0, len(items), 20_000):
                 part = items[at : at + 20_000]
                 yield out(1, len(part), chunk, word=part, number=range(at, at + len(part)), n=[words[w] for w in part])
+            grams = []
+            for h in (True, False):
+                for block in _blocks([t for t, x in zip(coded, helds, strict=True) if x == h]):
+                    keys, n = np.unique(_grams(block, order)[0], return_counts=True)
+                    grams.append(np.stack([keys, n * (not h)]))
             g = np.concatenate(grams, 1)
+            grams.clear()
             keys, where = np.unique(g[0], return_inverse=True)
             n = np.bincount(where, g[1]).astype(np.int64)
-            for at in range(0, len(keys), 50_000):
-                part = keys[at : at + 50_000]
-                yield out(2, len(part), chunk, gram=part, number=range(at, at + len(part)), n=n[at : at + 50_000])
-            words.clear(), grams.clear()
+            del g, where
+            short, where = np.unique(keys & np.int64((1 << 8 * (LOW + 1)) - 1), return_inverse=True)
+            few = np.bincount(where, n).astype(np.int64)
+            short, few = short[few > 0], few[few > 0]
+            for at in range(0, len(short), 50_000):
+                part = short[at : at + 50_000]
+                yield out(3, len(part), chunk, gram=part, n=few[at : at + 50_000])
+            by, begin = _dealt(keys, buckets)
+            keys, n = keys[by], n[by]
+            for at in range(0, buckets, 64):
+                some = [k for k in range(at, min(at + 64, buckets)) if begin[k] < begin[k + 1]]
+                parts = [slice(begin[k], begin[k + 1]) for k in some]
+                yield out(2, len(some), chunk, bucket=some, packed=[_squeezed(np.diff(keys[p], prepend=0)) for p in parts], counts=[_squeezed(n[p]) for p in parts])
+            for held in (words, ids, helds, coded):
+                held.clear()
 
         for b in batches:
-            texts, held = b.column("text").to_pylist(), b.column("held").to_pylist()
-            coded: dict[bool, list[bytes]] = {True: [], False: []}
-            for text, h in zip(texts, held, strict=True):
+            for i, text, h in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), b.column("held").to_pylist(), strict=True):
                 data = encoded(text)
-                coded[h].append(data)
+                ids.append(i), helds.append(h), coded.append(data)
                 size += len(data)
                 for w in data[:-1].lower().split():
                     words[w] = words.get(w, 0) + (not h)
-            for h, some in coded.items():
-                for block in _blocks(some):
-                    keys, n = np.unique(_grams(block, order)[0], return_counts=True)
-                    grams.append(np.stack([keys, n * (not h)]))
-            yield out(0, len(texts), chunk, id=b.column("id").to_pylist(), held=held, text=texts)
-            if len(words) >= CHUNK_WORDS or size >= CHUNK_BYTES:
-                yield from close()
-                chunk, size = chunk + 1, 0
-        if grams:
+                if len(words) >= CHUNK_WORDS or size >= CHUNK_BYTES:
+                    yield from close()
+                    chunk, size = chunk + 1, 0
+        if ids:
             yield from close()
 
     return run
@@ -459,53 +296,84 @@ def gram_logs(grams: np.ndarray, known: list[Level]) -> np.ndarray:
     return out
 
 
-_LEVELS: dict[int, list[Level]] = {}
+_LEVELS: dict[str, list[Level]] = {}
 
 
-def _shorter(shared, order: int) -> list[Level]:
-    """The broadcast levels, made ready once in each worker."""
-    key = id(shared.value)
-    if key not in _LEVELS:
+def _shorter(shared, name: str, order: int) -> list[Level]:
+    """The broadcast levels, made ready once in each worker; ``name`` is this model's own."""
+    if name not in _LEVELS:
         _LEVELS.clear()
-        _LEVELS[key] = levels(*shared.value, min(LOW, order), [])
-    return _LEVELS[key]
-
-
-def coded_grams(counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """(gram, log) of all grams of ``counts`` (gram, n; n is 0 where no training text has it), written."""
-    low = counts.filter("n > 0").groupBy(F.col("gram").bitwiseAND((1 << 8 * (LOW + 1)) - 1).alias("gram")).agg(F.sum("n").alias("n")).toArrow()
-    shared = counts.sparkSession.sparkContext.broadcast((low.column("gram").to_numpy(), low.column("n").to_numpy()))
-    buckets = max(32, counts.count() // BUCKET_GRAMS)
-    end = F.shiftright("gram", 8).bitwiseAND((1 << 8 * (LOW + 1)) - 1)
-
-    def code(t: pa.Table) -> pa.Table:
-        grams, n = t.column("gram").to_numpy(), t.column("n").to_numpy()
-        trained = n > 0
-        return pa.table({"gram": grams, "log": gram_logs(grams, levels(grams[trained], n[trained], order, _shorter(shared, order)))})
-
-    dealt = counts.withColumn("bucket", F.pmod(F.xxhash64(end), F.lit(buckets)))
-    return written(dealt.groupBy("bucket").applyInArrow(code, "gram long, log double").select("gram", F.col("log").cast("float").alias("log")), "logs")
-
-
-def train(counts: DataFrame, order: int = ORDER, share: float = 0.0) -> PPM:
-    """The model in memory of gram counts (gram of order + 1 bytes, n), summed level by level; pairs under ``share`` of all bytes become escape weight."""
-    level = counts
-    size = level.agg(F.sum("n")).first()[0] or 0
-    least = max(1.0, size * share)
-    kept: list[pa.Table] = []
-    for k in range(order + 1, 0, -1):
-        if k <= order:  # drop the first byte
-            level = level.groupBy(F.col("gram").bitwiseAND((1 << (8 * k)) - 1).alias("gram")).agg(F.sum("n").alias("n"))
-            level = written(level, f"grams{k}") if k > 1 else level
-        whole = F.shiftright("gram", 8 * (k - 1)).bitwiseAND(0xFF) != START  # not cut off by the text's beginning
-        kept.append(level.filter((F.col("n") >= least) & whole).select((F.col("gram").bitwiseOR(F.lit(k << 56))).alias("key"), "n").toArrow())
-    keys = np.concatenate([t.column("key").to_numpy() for t in kept]).astype(np.int64)
-    n = np.concatenate([t.column("n").to_numpy() for t in kept]).astype(np.int64)
-    by = np.argsort(keys)
-    keys, n = keys[by], n[by]
-    # Followed by any symbol: every occurrence but those of grams that hold the end symbol.
-    totals = np.where((keys & 0xFF) == END, 0, n)
-    return PPM(keys, n, totals, size, order)
+        _LEVELS[name] = levels(*shared.value, min(LOW, order), [])
+    return _LEVELS[name]
+
+
+def _summed(grams: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    keys, where = np.unique(np.concatenate(grams), return_inverse=True)
+    return keys, np.bincount(where, np.concatenate(counts), len(keys)).astype(np.int64)
+
+
+def _coded(order: int, shared, name: str):
+    """From chunks' grams sorted by bucket, one row at a time: each bucket's distinct grams and the log10 probabilities of their symbols."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, grams, counts, waiting = None, [], [], 0
+
+        def close() -> pa.RecordBatch:
+            keys, n = _summed(grams, counts)
+            grams.clear(), counts.clear()
+            logs = gram_logs(keys, levels(keys[n > 0], n[n > 0], order, _shorter(shared, name, order)))
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([_squeezed(np.diff(keys, prepend=0))], pa.binary()), pa.array([_squeezed_logs(logs)], pa.binary())], names=["bucket", "packed", "logs"])
+
+        for b in batches:
+            packed, counted = b.column("packed"), b.column("counts")
+            for i, k in enumerate(b.column("bucket").to_pylist()):
+                if k != bucket and grams:
+                    yield close()
+                    waiting = 0
+                bucket = k
+                grams.append(np.cumsum(_whole(packed[i].as_py()))), counts.append(_whole(counted[i].as_py()))
+                waiting += len(grams[-1])
+                if waiting > 4_000_000:  # sum up what has come so far
+                    both = _summed(grams, counts)
+                    grams[:], counts[:] = [both[0]], [both[1]]
+                    waiting = 0
+        if grams:
+            yield close()
+
+    return run
+
+
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by (bucket, part), a bucket's logs before chunks' grams: each chunk's logs, in the order of its grams."""
+    keys = logs = None
+    for b in batches:
+        chunks, buckets, out = b.column("chunk").to_pylist(), b.column("bucket").to_pylist(), []
+        packed, told = b.column("packed"), b.column("logs")
+        of: list[tuple[int, int]] = []
+        for i, (chunk, bucket) in enumerate(zip(chunks, buckets, strict=True)):
+            grams = np.cumsum(_whole(packed[i].as_py()))
+            if chunk is None:
+                keys, logs = grams, _whole_logs(told[i].as_py())
+            else:
+                of.append((chunk, bucket))
+                out.append(_squeezed_logs(logs[np.searchsorted(keys, grams)]))
+        yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in of], pa.int64()), pa.array([k for _, k in of], pa.int32()), pa.array(out, pa.binary())], names=["of", "bucket", "logs"])
+
+
+def gram_tables(got: DataFrame, order: int) -> DataFrame:
+    """(of, bucket, logs): of each chunk, by bucket, the log10 probabilities of its grams' symbols."""
+    spark = got.sparkSession
+    low = got.filter("kind = 3").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()  # at most one row for each string of LOW + 1 bytes
+    shared = spark.sparkContext.broadcast((low.column("gram").to_numpy(), low.column("n").to_numpy()))
+    grams = got.filter("kind = 2").select("bucket", "chunk", "packed", "counts")
+    code = _coded(order, shared, uuid.uuid4().hex)
+    model = written(grams.select("bucket", "packed", "counts").repartition("bucket").sortWithinPartitions("bucket").mapInArrow(code, "bucket int, packed binary, logs binary"), "model")
+    # A bucket's chunks are dealt over several parts, each with its own copy of the bucket's logs.
+    parts = max(1, math.isqrt(got.filter("kind = 0").count() // PART_CHUNKS))
+    copies = model.select("bucket", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(None).cast("long").alias("chunk"), "packed", "logs")
+    rows = grams.select("bucket", F.pmod(F.xxhash64("chunk"), F.lit(parts)).cast("int").alias("part"), "chunk", "packed", F.lit(None).cast("binary").alias("logs"))
+    dealt = rows.unionByName(copies).repartition("bucket", "part").sortWithinPartitions("bucket", "part", F.col("chunk").asc_nulls_first())
+    return dealt.mapInArrow(_told, "of long, bucket int, logs binary")
 
 
 def adaptive_scores(df: DataFrame, text_col: str = "text", out: str = "score") -> DataFrame:
@@ -519,31 +387,39 @@ def adaptive_scores(df: DataFrame, text_col: str = "text", out: str = "score") -
     return df.withColumn(out, score(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))))
 
 
-def _scores(total: int, distinct: int, ends: int, order: int):
-    """Of each chunk: its texts, and by number the counts of its words (from 0 up) and the logs of its grams (from -1 down)."""
+def _scores(total: int, distinct: int, ends: int, order: int, buckets: int):
+    """Of each chunk: its texts, and the counts of its words by number and the logs of its grams by bucket."""
     room = math.log10(total + distinct + 1)
     end = math.log10(ends + 1) - room
 
     def run(docs: pa.Table, told: pa.Table) -> pa.Table:
-        number, value = told.column("number").to_numpy(), told.column("value").to_numpy()
-        table, logs = np.zeros(int((number >= 0).sum())), np.zeros(int((number < 0).sum()))
-        table[number[number >= 0]] = value[number >= 0]
-        logs[~number[number < 0]] = value[number < 0]
-        texts = [encoded(t) for t in docs.column("text").to_pylist()]
+        packed = docs.column("packed")[0].as_py()
+        docs = pa.ipc.open_stream(packed).read_all()
+        texts = docs.column("text").to_pylist()
+        words = told.filter(pc.is_valid(told.column("number")))
+        table = np.zeros(len(words))
+        table[words.column("number").to_numpy()] = words.column("value").to_numpy()
 
         split = [t[:-1].lower().split() for t in texts]
         index = {w: k for k, w in enumerate(sorted({w for ws in split for w in ws}))}
         flat = np.fromiter((index[w] for ws in split for w in ws), np.int64)
         n = np.array([len(ws) for ws in split])
+        del split, index
         of = np.repeat(np.arange(len(texts)), n)
         base = np.bincount(of, np.log10(table[flat] + 1.0) - room, len(texts)) + end
         known = np.bincount(of, table[flat] > 0, len(texts)).astype(np.int64) + int(ends > 0)
+        del flat, of
 
         parts = []
         for block in _blocks(texts):
             g, which = _grams(block, order)
-            parts.append((*np.unique(g, return_inverse=True), which, len(block)))
-        keys = np.unique(np.concatenate([u for u, *_ in parts]))
+            keys, where = np.unique(g, return_inverse=True)
+            parts.append((keys, where.astype(np.int32), which.astype(np.int32), len(block)))
+        keys = np.unique(np.concatenate([p[0] for p in parts]))
+        by, _ = _dealt(keys, buckets)
+        gram_rows = told.filter(pc.is_valid(told.column("bucket"))).sort_by("bucket")
+        logs = np.zeros(len(keys))
+        logs[by] = np.concatenate([_whole_logs(x.as_py()) for x in gram_rows.column("logs")])
         score = np.concatenate([np.bincount(which, logs[np.searchsorted(keys, u)][where], rows) for u, where, which, rows in parts])
         return pa.table({"id": docs.column("id"), "held_out": docs.column("held"), "n_tokens": n + 1, "n_known": known, "train_tokens": np.full(len(n), total), "base_score": base, "score": score})
 
@@ -560,18 +436,18 @@ def score_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     t = kind.simpleString()
     held = held_out if held_out is not None else crc_bucket(F.col(f"`{id_col}`"), 7) == 2
     docs = df.select(F.col(f"`{id_col}`").alias("id"), held.alias("held"), F.col(f"`{text_col}`").alias("text"))
-    got = written(docs.mapInArrow(_chunks(order, to_arrow_type(kind)), f"kind tinyint, chunk long, id {t}, held boolean, text string, word binary, gram long, number int, n long"), "chunks")
-    ends = got.filter("kind = 0 and not held").count()
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = min(MOST_BUCKETS, max(32, size // BUCKET_BYTES))
+    got = written(docs.mapInArrow(_chunks(order, buckets, to_arrow_type(kind)), "kind tinyint, chunk long, bucket int, word binary, gram long, number int, n long, packed binary, counts binary"), "chunks")
+    ends = got.filter("kind = 0").agg(F.sum("n")).first()[0] or 0
     # A word has one row a chunk; the first of them tells of the word.
     same = Window.partitionBy("word")
     words = got.filter("kind = 1").select("word", "chunk", "number", "n")
-    words = written(words.select("chunk", "number", "n", F.sum("n").over(same).alias("c"), (F.col("chunk") == F.min("chunk").over(same)).alias("first")), "words")
+    words = written(words.select("chunk", "number", F.sum("n").over(same).alias("c"), "n", (F.col("chunk") == F.min("chunk").over(same)).alias("first")), "words")
     total, distinct = words.agg(F.sum("n"), F.count(F.when(F.col("first") & (F.col("c") > 0), 1))).first()
     total, distinct = (total or 0) + ends, distinct + (ends > 0)
-    grams = got.filter("kind = 2").select("chunk", "number", "gram", "n")
-    logs = coded_grams(written(grams.groupBy("gram").agg(F.sum("n").alias("n")), "grams"), order)
-    told = words.select(F.col("chunk").alias("of"), "number", F.col("c").cast("double").alias("value"))
-    told = told.unionAll(grams.join(logs, "gram").select(F.col("chunk").alias("of"), F.bitwise_not("number").alias("number"), F.col("log").cast("double").alias("value")))
-    texts = got.filter("kind = 0").select("chunk", "id", "held", "text")
-    out = texts.groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(_scores(total, distinct, ends, order), f"id {t}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    told = words.select(F.col("chunk").alias("of"), "number", F.col("c").cast("double").alias("value"), F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("logs"))
+    told = told.unionByName(gram_tables(got, order).select("of", F.lit(None).cast("int").alias("number"), F.lit(None).cast("double").alias("value"), "bucket", "logs"))
+    texts = got.filter("kind = 0").select("chunk", "packed")
+    out = texts.groupBy("chunk").cogroup(told.groupBy("of")).applyInArrow(_scores(total, distinct, ends, order, buckets), f"id {t}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return out.withColumnRenamed("id", id_col)

@@ -244,18 +244,21 @@ def test_chat_round_trip(spark):
 # --- language-model scoring -----------------------------------------------------------------------
 
 
-def test_ppm_against_the_plain_model(spark):
+def test_scores_against_the_plain_model(spark, monkeypatch):
+    """Many small chunks and buckets; repeated rows and null ids."""
+    monkeypatch.setattr(lm_scoring, "CHUNK_WORDS", 20)
     rng = np.random.default_rng(6)
-    texts = [" ".join(rng.choice(BASE.split(), 40)) for _ in range(30)] + [None, "", "Ünïcode ß", "zzzz"]
+    texts = [" ".join(rng.choice(BASE.split(), 40)) for _ in range(30)] + [None, "", "\u00dcn\u00efcode \u00df", "zzzz", "zzzz"]
     plain = lm_scoring.AdaptiveTrie()
     for t in texts[:28]:
         plain.train(t)
-    size = sum(len(lm_scoring.encoded(t)) for t in texts[:28])
-    least = 3
-    plain.prune(least)
-    counts = lm_scoring.gram_counts(docs_of(spark, *texts[:28]))
-    model = lm_scoring.train(counts, share=least / size)
-    assert np.allclose(model.scores(texts), [plain.score(t, learn=False) for t in texts], atol=1e-3)
+    rows = lm_scoring.score_documents(docs_of(spark, *texts).repartition(3), held_out=F.col("doc_id") >= 28).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert math.isclose(r["score"], plain.score(texts[r["doc_id"]], learn=False), rel_tol=1e-5)
+    same = docs_of(spark, BASE).withColumn("doc_id", F.lit(None).cast("long"))
+    got = [r["score"] for r in lm_scoring.score_documents(same.union(same)).collect()]
+    assert len(got) == 2 and got[0] == got[1]
 
 
 def test_scores_keep_every_gram(spark):
