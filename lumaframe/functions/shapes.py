@@ -39,6 +39,9 @@ def bounding_rect(points: Column) -> Column:
     return F.struct(F.array_min(xs).alias("x"), F.array_min(ys).alias("y"), (F.array_max(xs) - F.array_min(xs)).alias("width"), (F.array_max(ys) - F.array_min(ys)).alias("height"))
 
 
+MOMENTS = ("m00", "m10", "m01", "m20", "m11", "m02", "m30", "m21", "m12", "m03")
+
+
 def moments(points: Column) -> dict[str, Column]:
     """Of a polygon's area by Green's theorem, each without its sign."""
     e = _edges(points)

@@ -79,43 +79,62 @@ def kmeans_predict(df: DataFrame, centroids: list[list[float]], vec: str = "vec"
 
 
 def kmeans_fit(df: DataFrame, k: int, max_iter: int, idx: str = "idx", vec: str = "vec") -> list[list[float]]:
-    """Lloyd's algorithm from the first k rows; a cluster without rows becomes the zero vector.
+    """Lloyd's algorithm from the first k rows, until the centroids rest; a cluster without rows becomes the zero vector.
 
-    Only k centroids ever reach the driver; each round is one pass with partial aggregation.
+    Only k centroids ever reach the driver; each round is one pass over the persisted vectors with partial sums.
     """
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.ml.stat import Summarizer
+
     first = df.orderBy(idx).limit(k).select(F.col(vec).cast("array<double>").alias("v")).collect()
     centroids = [list(r["v"]) for r in first]
     if not centroids:
         return []
-    dim = len(centroids[0])
-    for _ in range(max_iter):
-        means = kmeans_predict(df.select(F.col(vec).cast("array<double>").alias("vec")), centroids).groupBy("cluster").agg(*[F.avg(F.col("vec")[j]).alias(f"m{j}") for j in range(dim)]).collect()
-        new = {r["cluster"]: [r[f"m{j}"] for j in range(dim)] for r in means}
-        centroids = [new.get(c, [0.0] * dim) for c in range(len(centroids))]
+    vectors = df.select(F.col(vec).cast("array<double>").alias("vec")).persist()
+    try:
+        for _ in range(max_iter):
+            means = kmeans_predict(vectors, centroids).groupBy("cluster").agg(Summarizer.mean(array_to_vector(F.col("vec"))).alias("m")).collect()
+            new = {r["cluster"]: r["m"].toArray().tolist() for r in means}
+            last, centroids = centroids, [new.get(c, [0.0] * len(centroids[0])) for c in range(len(centroids))]
+            if centroids == last:
+                break
+    finally:
+        vectors.unpersist()
     return centroids
 
 
 def iou_pairs(boxes: DataFrame, least: float) -> DataFrame:
-    """Pairs of boxes of a group (seq_a < seq_b) with an overlap of at least ``least``."""
-    box = lambda p: F.struct("x", "y", "width", "height").alias(p)
-    a, b = boxes.select("group_id", F.col("seq").alias("seq_a"), box("a")), boxes.select("group_id", F.col("seq").alias("seq_b"), box("b"))
-    return a.join(b, "group_id").filter("seq_a < seq_b").withColumn("iou", iou(F.col("a"), F.col("b"))).filter(F.col("iou") >= least).select("group_id", "seq_a", "seq_b", "iou")
+    """Pairs of boxes of a group (seq_a < seq_b) with an overlap of at least ``least``, which is over 0.
+
+    Boxes meet by group and cell of a grid whose cells are as large as the largest box, so a box lies in four cells at
+    most; a pair is taken in the first cell that both lie in.
+    """
+    if least <= 0:
+        raise InvalidParameter("boxes that do not meet have no overlap")
+    top = boxes.agg(F.max("width").alias("tw"), F.max("height").alias("th"))  # one row
+    cell = lambda v, side: F.floor(v / F.greatest(side, F.lit(1)))
+    b = boxes.crossJoin(F.broadcast(top)).select(
+        "group_id", "seq", F.struct("x", "y", "width", "height").alias("box"), cell(F.col("x"), F.col("tw")).alias("x0"), cell(F.col("y"), F.col("th")).alias("y0"), cell(F.col("x") + F.col("width"), F.col("tw")).alias("x1"), cell(F.col("y") + F.col("height"), F.col("th")).alias("y1")
+    )
+    b = b.withColumn("cx", F.explode(F.sequence("x0", "x1"))).withColumn("cy", F.explode(F.sequence("y0", "y1")))
+    side = lambda e: b.select("group_id", "cx", "cy", *[F.col(c).alias(c + e) for c in ("seq", "box", "x0", "y0")])
+    met = side("_a").join(side("_b"), ["group_id", "cx", "cy"]).filter("seq_a < seq_b AND cx = greatest(x0_a, x0_b) AND cy = greatest(y0_a, y0_b)")
+    return met.withColumn("iou", iou(F.col("box_a"), F.col("box_b"))).filter(F.col("iou") >= least).select("group_id", "seq_a", "seq_b", "iou")
 
 
 def suppress(boxes: np.ndarray, scores: np.ndarray, score_threshold: float, nms_threshold: float) -> list[int]:
     """Greedy non-maximum suppression of (x, y, width, height) rows; best first, earlier ones first among equals."""
-    left = [i for i in np.argsort(-scores, kind="stable") if scores[i] >= score_threshold]
+    left = np.argsort(-scores, kind="stable")
+    left = left[scores[left] >= score_threshold]
     keep: list[int] = []
-    for i in left:
+    while len(left):
+        i, left = left[0], left[1:]
+        keep.append(int(i))
         x, y, w, h = boxes[i]
-        for j in keep:
-            u, v, m, n = boxes[j]
-            inter = max(0, min(x + w, u + m) - max(x, u)) * max(0, min(y + h, v + n) - max(y, v))
-            union = w * h + m * n - inter
-            if union > 0 and inter / union > nms_threshold:
-                break
-        else:
-            keep.append(int(i))
+        u, v, m, n = boxes[left].T
+        inter = np.clip(np.minimum(x + w, u + m) - np.maximum(x, u), 0, None) * np.clip(np.minimum(y + h, v + n) - np.maximum(y, v), 0, None)
+        union = w * h + m * n - inter
+        left = left[~((union > 0) & (inter > nms_threshold * union))]
     return keep
 
 
@@ -126,14 +145,22 @@ def nms_boxes(boxes: DataFrame, score_threshold: float, nms_threshold: float) ->
     """
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rest = None
+        parts: list[pd.DataFrame] = []  # of the last group, which may go on
         for pdf in pdfs:
-            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
-            last = pdf["group_id"].to_numpy().searchsorted(pdf["group_id"].iloc[-1])  # its group may go on
-            rest = pdf.iloc[last:]
-            yield kept(pdf.iloc[:last])
-        if rest is not None:
-            yield kept(rest)
+            group = pdf["group_id"].to_numpy()
+            if parts and group[0] != parts[0]["group_id"].iloc[0]:
+                yield kept(pd.concat(parts))
+                parts = []
+            last = group.searchsorted(group[-1])
+            if last and parts:
+                first = group.searchsorted(group[0], "right")
+                yield kept(pd.concat([*parts, pdf.iloc[:first]]))
+                parts, pdf, last = [], pdf.iloc[first:], last - first
+            if last:
+                yield kept(pdf.iloc[:last])
+            parts.append(pdf.iloc[last:])
+        if parts:
+            yield kept(pd.concat(parts))
 
     def kept(pdf: pd.DataFrame) -> pd.DataFrame:
         group, seq = pdf["group_id"].to_numpy(), pdf["seq"].to_numpy()

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import DimensionMismatch, InvalidParameter
@@ -117,14 +117,13 @@ def background_masks(frames: DataFrame, learning_rate: float = 0.05, threshold:
     return ordered.mapInPandas(run, "video_id long, index long, c int, h int, w int, data array<double>")
 
 
-def _next(frames: DataFrame) -> DataFrame:
-    w = Window.partitionBy("video_id").orderBy("index")
-    return frames.withColumns({"before": F.lag("data").over(w), "before_index": F.lag("index").over(w)}).filter(F.col("before").isNotNull())
-
-
 def frame_differences(frames: DataFrame) -> DataFrame:
-    """Absolute difference of each frame from the one before it."""
-    return _next(frames).select("video_id", "index", "c", "h", "w", F.zip_with("data", "before", lambda a, b: F.abs(a - b)).alias("data"))
+    """Absolute difference of each frame from the one numbered one less.
+
+    Frames meet by (video_id, index), so that a long video is dealt over all tasks.
+    """
+    before = frames.select("video_id", (F.col("index") + 1).alias("index"), F.col("data").alias("before"))
+    return frames.join(before, ["video_id", "index"]).select("video_id", "index", "c", "h", "w", F.zip_with("data", "before", lambda a, b: F.abs(a - b)).alias("data"))
 
 
 def motion_magnitudes(frames: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import InvalidParameter
@@ -46,12 +46,20 @@ def metadata(frames: DataFrame) -> DataFrame:
     return m.withColumns({"fps": F.coalesce(F.try_divide(F.col("frame_count") * 1e6, F.col("duration_us")), F.lit(30.0)), "aspect_ratio": F.coalesce(F.try_divide(F.col("width").cast("double"), F.col("height").cast("double")), F.lit(0.0))})
 
 
+def synthetic_metadata(spark: SparkSession, width: int, height: int, fps: float, frame_count: int) -> DataFrame:
+    """Metadata of a video that no file holds."""
+    seen = spark.range(1).select(F.lit(width).alias("width"), F.lit(height).alias("height"), F.lit(frame_count).cast("long").alias("frame_count"))
+    return seen.withColumns({"duration_us": F.round(F.lit(frame_count * 1e6 / fps)).cast("long"), "fps": F.lit(float(fps)), "aspect_ratio": F.lit(width / height if height else 0.0)})
+
+
 def stream_count(streams: Column, kind: str) -> Column:
     """Streams of a kind in an array of structs with a field ``kind``."""
     return F.size(F.filter(streams, lambda s: s["kind"] == kind))
 
 
-def to_batch(frames: DataFrame) -> DataFrame:
-    """(video_id, n, batch): the frames' data in order, one array a frame."""
-    batch = frames.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("index", "data"))).alias("b"))
-    return batch.select("video_id", F.size("b").alias("n"), F.transform("b", lambda x: x["data"]).alias("batch"))
+def to_batch(frames: DataFrame, size: int = 16) -> DataFrame:
+    """(video_id, part, n, batch): the data of ``size`` frames in a row, one array a frame."""
+    if size < 1:
+        raise InvalidParameter("a batch holds a frame at least")
+    batch = frames.groupBy("video_id", F.floor(F.col("index") / size).alias("part")).agg(F.array_sort(F.collect_list(F.struct("index", "data"))).alias("b"))
+    return batch.select("video_id", "part", F.size("b").alias("n"), F.transform("b", lambda x: x["data"]).alias("batch"))

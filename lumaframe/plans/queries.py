@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import queries_images, queries_shapes
+from . import oracles_more, queries_images, queries_more, queries_shapes
 
-flagship = queries_shapes.flagship  # importing that module registers its queries too
+flagship = queries_shapes.flagship  # importing the modules registers their queries too
+assert queries_more.add is queries_images.add
 QUERIES = queries_images.QUERIES
-ORACLES = queries_images.ORACLES
+ORACLES = queries_images.ORACLES | oracles_more.MORE

@@ -123,15 +123,13 @@ column_query(
 
 def _color(name: str) -> Query:
     def query(s: SparkSession, d: str) -> DataFrame:
-        first = color.CODES[name] if name.startswith("rgb") else None
-        rgb = tuple(F.col(k) for k in "rgb")
-        if first is None:  # there and back
-            back = color.CODES[name]
-            rgb = color.CODES["rgb_to_" + name.split("_to_")[0]](*rgb)
-            out = back(*rgb)
-        else:
-            out = first(*rgb)
-        return colors(s, d).select(*[F.round(F.col(k), 6).alias(k) for k in "rgb"], *[(F.round(v + NUDGE, 9) + 0.0).alias(f"c{k}") for k, v in enumerate(out)])
+        df, made = colors(s, d), tuple(F.col(k) for k in "rgb")
+        if not name.startswith("rgb"):  # there and back
+            there = color.CODES["rgb_to_" + name.split("_to_")[0]](*made)
+            df = df.select(*"rgb", *[v.alias(f"t{k}") for k, v in enumerate(there)])
+            made = tuple(F.col(f"t{k}") for k in range(len(there)))
+        out = color.CODES[name](*made)
+        return df.select(*[F.round(F.col(k), 6).alias(k) for k in "rgb"], *[(F.round(v + NUDGE, 9) + 0.0).alias(f"c{k}") for k, v in enumerate(out)])
 
     return query
 
@@ -240,13 +238,12 @@ kernel_query("bilateral_filter", filters.bilateral_filter, O.image(O.neighbours(
 _SEP = [[a * b for b in (0.25, 0.5, 0.25)] for a in (0.1, 0.8, 0.1)]
 kernel_query("sep_filter_2d", filters.sep_filter_2d, O.image(O.correlate("kk", "clamp"), O.kernel_cte("kk", _SEP)), kernel_x=[0.25, 0.5, 0.25], kernel_y=[0.1, 0.8, 0.1])
 for _name, _k in (("sobel", filters.SOBEL), ("scharr", filters.SCHARR)):
-    kernel_query(_name, getattr(filters, _name), O.image(O.gradient("gx", "gy", "sqrt(a.v * a.v + b.v * b.v)"), O.kernel_cte("gx", _k.tolist()), O.kernel_cte("gy", _k.T.tolist())))
-kernel_query("laplacian", filters.laplacian, O.image(O.gradient("gx", "gx", "abs(a.v)"), O.kernel_cte("gx", filters.CROSS.tolist())))
+    kernel_query(_name, getattr(filters, _name), O.image(O.gradient("gk", "sqrt(a.v * a.v + b.v * b.v)"), O.two_kernels("gk", _k.tolist(), _k.T.tolist())))
+kernel_query("laplacian", filters.laplacian, O.image(O.gradient("gk", "abs(a.v)"), O.two_kernels("gk", filters.CROSS.tolist(), filters.CROSS.tolist())))
 _DIL, _ERO = O.neighbours("max(b.v)", 1), O.neighbours("min(b.v)", 1)
 _CTE = lambda name, agg, source: f"{name} AS ({O.neighbours(agg, 1, source)})"
 _OPEN = (_CTE("e1", "min(b.v)", "px"), _CTE("o1", "max(b.v)", "e1"))
 _CLOSE = (_CTE("d1", "max(b.v)", "px"), _CTE("c1", "min(b.v)", "d1"))
-_MINUS = "SELECT a.image_id, a.ch, a.y, a.x, a.v - b.v AS v FROM {} a JOIN {} b USING (image_id, ch, y, x)"
 kernel_query("dilate", filters.dilate, O.image(_DIL), kernel_size=3)
 kernel_query("erode", filters.erode, O.image(_ERO), kernel_size=3)
 _PLUS = [[0, 1, 0], [1, 1, 1], [0, 1, 0]]
@@ -256,9 +253,9 @@ kernel_query("morph_open", filters.morph_open, O.image("SELECT * FROM o1", *_OPE
 kernel_query("morph_close", filters.morph_close, O.image("SELECT * FROM c1", *_CLOSE), kernel_size=3)
 kernel_query("morphology_ex_opening", filters.morphology_ex, O.image("SELECT * FROM o1", *_OPEN), op="opening")
 kernel_query("morphology_ex_closing", filters.morphology_ex, O.image("SELECT * FROM c1", *_CLOSE), op="closing")
-kernel_query("morphology_ex_gradient", filters.morphology_ex, O.image(_MINUS.format("d1", "e1"), _CLOSE[0], _OPEN[0]), op="gradient")
-kernel_query("morphology_ex_top_hat", filters.morphology_ex, O.image(_MINUS.format("px", "o1"), *_OPEN), op="top_hat")
-kernel_query("morphology_ex_black_hat", filters.morphology_ex, O.image(_MINUS.format("c1", "px"), *_CLOSE), op="black_hat")
+kernel_query("morphology_ex_gradient", filters.morphology_ex, O.image(O.minus("d1", "e1"), _CLOSE[0], _OPEN[0]), op="gradient")
+kernel_query("morphology_ex_top_hat", filters.morphology_ex, O.image(O.minus("px", "o1"), *_OPEN), op="top_hat")
+kernel_query("morphology_ex_black_hat", filters.morphology_ex, O.image(O.minus("c1", "px"), *_CLOSE), op="black_hat")
 kernel_query("hit_or_miss", filters.hit_or_miss, O.image(
     """SELECT a.image_id, a.ch, a.y, a.x, CASE WHEN a.v > 0.5 AND l.v > 0.5 AND r.v <= 0.5 THEN 1 ELSE 0 END AS v FROM px a LEFT JOIN px l ON l.image_id = a.image_id AND l.ch = a.ch AND l.y = a.y AND l.x = a.x - 1
     LEFT JOIN px r ON r.image_id = a.image_id AND r.ch = a.ch AND r.y = a.y AND r.x = a.x + 1"""), pattern=[[0, 0, 0], [1, 1, 0], [0, 0, 0]], background=[[0, 0, 0], [0, 0, 1], [0, 0, 0]])
@@ -293,11 +290,11 @@ def _min_max_loc(s: SparkSession, d: str) -> DataFrame:
     return df.select("image_id", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"), iy.alias("lo_y"), ix.alias("lo_x"), jy.alias("hi_y"), jx.alias("hi_x"))
 
 
-add("min_max_loc", _min_max_loc, f"""WITH {O.IMG8}, lo AS (SELECT image_id, v AS lo, y AS lo_y, x AS lo_x FROM px QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY v, y, x) = 1),
-hi AS (SELECT image_id, v AS hi, y AS hi_y, x AS hi_x FROM px QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY v DESC, y, x) = 1)
-SELECT CAST(image_id AS BIGINT) AS image_id, round(lo, 6) AS lo, round(hi, 6) AS hi, lo_y, lo_x, hi_y, hi_x FROM lo JOIN hi USING (image_id)""")
+_PLANES = "im AS (SELECT image_id, ch, list(v ORDER BY y, x) AS p FROM px GROUP BY image_id, ch)"
+add("min_max_loc", _min_max_loc, f"""WITH {O.IMG8}, {_PLANES}, ends AS (SELECT image_id, list_min(p) AS lo, list_max(p) AS hi, list_position(p, list_min(p)) - 1 AS i, list_position(p, list_max(p)) - 1 AS j FROM im)
+SELECT CAST(image_id AS BIGINT) AS image_id, round(lo, 6) AS lo, round(hi, 6) AS hi, CAST(i // 8 AS INTEGER) AS lo_y, CAST(i % 8 AS INTEGER) AS lo_x, CAST(j // 8 AS INTEGER) AS hi_y, CAST(j % 8 AS INTEGER) AS hi_x FROM ends""")
 _BINS = f"hs AS (SELECT image_id, ch, {O.BYTE.format('v')} AS bin, count(*) AS n FROM px GROUP BY ALL)"
-_FULL = "full_hs AS (SELECT g.image_id, g.ch, g.bin, coalesce(n, 0) AS n FROM (SELECT * FROM (SELECT DISTINCT image_id, ch FROM px), (SELECT unnest(range(256)) AS bin)) g LEFT JOIN hs USING (image_id, ch, bin))"
+_FULL = "full_hs AS (SELECT g.image_id, g.ch, g.bin, coalesce(n, 0) AS n FROM (SELECT * FROM (SELECT DISTINCT image_id, ch FROM px), (SELECT unnest(range(256)) AS bin)) g LEFT JOIN hs ON hs.image_id = g.image_id AND hs.ch = g.ch AND hs.bin = g.bin)"
 add("calc_hist", lambda s, d: histograms.calc_hist(img8(s, d)), f"WITH {O.IMG8}, {_BINS}, {_FULL} SELECT CAST(image_id AS BIGINT) AS image_id, CAST(ch AS INTEGER) AS ch, CAST(bin AS INTEGER) AS bin, CAST(n AS BIGINT) AS count FROM full_hs")
 
 
@@ -339,8 +336,8 @@ LEFT JOIN events e ON e.event_type = t.event_type AND ((CAST(floor(e.value) AS B
 for _m, _e in {"correlation": "coalesce(corr(a.n, b.n), 0)", "chi_square": "sum(CASE WHEN a.n + b.n > 0 THEN pow(a.n - b.n, 2) / (a.n + b.n) ELSE 0 END)", "intersection": "sum(least(a.n, b.n))", "hellinger": "sqrt(sum(pow(sqrt(a.n) - sqrt(b.n), 2)) / 2)"}.items():
     add(f"compare_hist_{_m}", _compare(_m), f"WITH {_HB} SELECT a.event_type, b.event_type AS other, round({_e}, 6) AS distance FROM hb a JOIN hb b ON a.bin = b.bin AND a.event_type < b.event_type GROUP BY ALL")
 add("compare_hist_color", lambda s, d: _hists(s, d).select("event_type", F.round(histograms.compare_hist_color(F.array("h", "h"), F.array(F.reverse("h"), F.col("h")), "intersection")[1], 6).alias("same")), f"WITH {_HB} SELECT event_type, round(sum(n), 6) AS same FROM hb GROUP BY event_type")
-add("hog_compute", lambda s, d: measure(img8(s, d), "f", "array<double>", histograms.hog).select("image_id", F.transform("f", lambda v: F.round(v, 6)).alias("features")))
-add("get_structuring_element", lambda s, d: s.createDataFrame([(k, filters.get_structuring_element(k, 5, 3)) for k in ("rect", "cross", "ellipse")], "shape string, element array<array<int>>"))
+add("hog_compute", lambda s, d: measure(img8(s, d), "f", "array<double>", histograms.hog).select("image_id", F.posexplode("f").alias("bin", "v")).select("image_id", "bin", F.round("v", 6).alias("v")))
+add("get_structuring_element", lambda s, d: s.createDataFrame([(k, filters.get_structuring_element(k, 5, 3)) for k in ("rect", "cross", "ellipse")], "shape string, element array<array<int>>").select("shape", F.posexplode("element").alias("y", "r")).select("shape", "y", F.posexplode("r").alias("x", "v")))
 add("lerp", lambda s, d: s.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.round(pixel.lerp(F.lit(1.0), F.lit(3.0), F.col("o_totalprice") / 300000), 6).alias("v")), "SELECT o_orderkey, round(1 + 2 * least(greatest(o_totalprice / 300000, 0), 1), 6) AS v FROM orders")
 add("format_duration_ms", lambda s, d: s.read.parquet(f"{d}/nation.parquet").select("n_nationkey", pixel.format_duration_ms(F.col("n_nationkey") * 1.5).alias("t")), "SELECT n_nationkey, printf('%.2f ms', n_nationkey * 1.5) AS t FROM nation")
 add("compute_similarity", lambda s, d: s.read.parquet(f"{d}/embeddings.parquet").select("vec_id", F.round(pixel.cosine_similarity(F.col("embedding"), F.reverse("embedding")), 5).alias("sim")), "SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(list_reverse(embedding) AS DOUBLE[])), 5) AS sim FROM embeddings")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,8 +80,27 @@ _MO = {
 _shape("moments", lambda: {k: v for k, v in shapes.moments(F.col("points")).items() if k in _MO}, _edge_sql(**_MO))
 _shape("moments_third_order", lambda: {k: v for k, v in shapes.moments(F.col("points")).items() if k not in _MO})
 _shape("centroid", lambda: dict(zip(("cx", "cy"), shapes.centroid(shapes.moments(F.col("points"))), strict=True)), _edge_sql(cx=f"CASE WHEN abs(sum{_CR}) / 2 >= 1e-9 THEN ({_MO['m10']}) / ({_MO['m00']}) END", cy=f"CASE WHEN abs(sum{_CR}) / 2 >= 1e-9 THEN ({_MO['m01']}) / ({_MO['m00']}) END"))
-_shape("hu_moments", lambda: {f"h{k}": v for k, v in enumerate(shapes.hu_moments(shapes.moments(F.col("points"))))})
-_shape("match_shapes", lambda: {"d": shapes.match_shapes(shapes.hu_moments(shapes.moments(F.col("points"))), shapes.hu_moments(shapes.moments(F.reverse(F.col("points")))))}, f"WITH {O.POLYS} SELECT DISTINCT group_id, 0.0 AS d FROM pl")
+def _with_moments(df: DataFrame) -> DataFrame:
+    """One column a moment, so that each is worked out once."""
+    return df.select("group_id", *[v.alias(k) for k, v in shapes.moments(F.col("points")).items()])
+
+
+def _hu(s: SparkSession, d: str) -> DataFrame:
+    """Logarithms, as the invariants differ by many powers of ten."""
+    hu = shapes.hu_moments({k: F.col(k) for k in shapes.MOMENTS})
+    return _with_moments(polygons(s, d)).select("group_id", *[(F.round(F.signum(v) * F.log10(F.abs(v) + 1), 3) + 0).alias(f"h{k}") for k, v in enumerate(hu)])
+
+
+def _matched(s: SparkSession, d: str) -> DataFrame:
+    p = polygons(s, d)
+    there = _with_moments(p)
+    back = _with_moments(p.withColumn("points", F.reverse("points"))).select("group_id", *[F.col(k).alias(f"{k}_back") for k in shapes.MOMENTS])
+    hu = [shapes.hu_moments({k: F.col(k + end) for k in shapes.MOMENTS}) for end in ("", "_back")]
+    return there.join(back, "group_id").select("group_id", (F.round(shapes.match_shapes(*hu), 4) + 0).alias("d"))
+
+
+add("hu_moments", _hu)
+add("match_shapes", _matched, f"WITH {O.POLYS} SELECT DISTINCT group_id, 0.0 AS d FROM pl")
 _CROSS = "(y > 50) <> (ny > 50) AND 25 < (nx - x) * (50 - y) / (ny - y + 1e-9) + x"
 _shape("point_inside_polygon", lambda: {"inside": shapes.point_inside_polygon(F.lit(25.0), F.lit(50.0), F.col("points")).cast("int")}, _edge_sql(inside=f"count(*) FILTER ({_CROSS}) % 2").replace("round(count", "CAST(round(count").replace(", 4) + 0 AS inside", ", 4) AS INTEGER) AS inside"))
 _DIST = "sqrt(pow(25 - (x + t * (nx - x)), 2) + pow(50 - (y + t * (ny - y)), 2))"
@@ -113,7 +132,7 @@ _COMPONENTS = f"""WITH RECURSIVE {O.IMG8}, on_px AS (SELECT image_id, y, x, y *
 reach AS (SELECT image_id, i AS src, y, x FROM on_px UNION SELECT r.image_id, r.src, o.y, o.x FROM reach r JOIN on_px o ON o.image_id = r.image_id AND abs(o.y - r.y) + abs(o.x - r.x) = 1),
 root AS (SELECT image_id, y, x, min(src) AS root FROM reach GROUP BY ALL),
 lab AS (SELECT *, dense_rank() OVER (PARTITION BY image_id ORDER BY root) AS k FROM root)"""
-add("connected_components", lambda s, d: _out(apply_image(img8(s, d), segmentation.connected_components)), _COMPONENTS + f" SELECT CAST(px.image_id AS BIGINT) AS image_id, CAST(0 AS INTEGER) AS ch, CAST(px.y AS INTEGER) AS y, CAST(px.x AS INTEGER) AS x, CAST(coalesce(k, 0) AS DOUBLE) AS v FROM px LEFT JOIN lab USING (image_id, y, x)")
+add("connected_components", lambda s, d: _out(apply_image(img8(s, d), segmentation.connected_components)), _COMPONENTS + f" SELECT CAST(px.image_id AS BIGINT) AS image_id, CAST(0 AS INTEGER) AS ch, CAST(px.y AS INTEGER) AS y, CAST(px.x AS INTEGER) AS x, CAST(coalesce(k, 0) AS DOUBLE) AS v FROM px LEFT JOIN lab ON lab.image_id = px.image_id AND lab.y = px.y AND lab.x = px.x")
 add("connected_components_with_stats", lambda s, d: measure(img8(s, d), "st", segmentation.STATS, segmentation.component_stats).select("image_id", F.explode("st").alias("q")).select("image_id", "q.label", "q.x", "q.y", "q.width", "q.height", "q.area", F.round("q.cx", 4).alias("cx"), F.round("q.cy", 4).alias("cy")),
     _COMPONENTS + " SELECT CAST(image_id AS BIGINT) AS image_id, CAST(k AS INTEGER) AS label, CAST(min(x) AS INTEGER) AS x, CAST(min(y) AS INTEGER) AS y, CAST(max(x) - min(x) + 1 AS INTEGER) AS width, CAST(max(y) - min(y) + 1 AS INTEGER) AS height, count(*) AS area, round(avg(x), 4) AS cx, round(avg(y), 4) AS cy FROM lab GROUP BY image_id, k")
 _MARK = np.zeros((8, 8), int)
@@ -219,10 +238,11 @@ for _name, _make, _where in (("get_frame", lambda f: video.get_frame(f, 3), "idx
 add("loop_iter", lambda s, d: video.play(frames(s, d), 2).select(F.col("index").alias("idx"), F.col("position").cast("long").alias("position")), _FR + "SELECT DISTINCT CAST(idx AS BIGINT) AS idx, CAST(k * (SELECT count(*) FROM days) + idx AS BIGINT) AS position FROM fr, (SELECT unnest(range(2)) AS k)")
 add("total_duration", lambda s, d: video.total_duration(frames(s, d)), _FR + "SELECT CAST(0 AS BIGINT) AS video_id, CAST(count(*) * 40000 AS BIGINT) AS duration_us FROM days")
 add("video_metadata", lambda s, d: video.metadata(frames(s, d)).select("video_id", "width", "height", "frame_count", F.round("fps", 4).alias("fps"), F.round("aspect_ratio", 4).alias("aspect_ratio")), _FR + "SELECT CAST(0 AS BIGINT) AS video_id, CAST(32 AS INTEGER) AS width, CAST(24 AS INTEGER) AS height, count(*) AS frame_count, 25.0 AS fps, 1.3333 AS aspect_ratio FROM days")
-add("to_batch_tensor", lambda s, d: video.to_batch(frames(s, d)).select("video_id", "n", F.size(F.flatten("batch")).alias("values")), _FR + "SELECT CAST(0 AS BIGINT) AS video_id, CAST(count(*) AS INTEGER) AS n, CAST(count(*) * 768 AS INTEGER) AS \"values\" FROM days")
+add("to_batch_tensor", lambda s, d: video.to_batch(frames(s, d), 8).select("video_id", "part", "n", F.size(F.flatten("batch")).alias("values")), _FR + "SELECT CAST(0 AS BIGINT) AS video_id, CAST(idx // 8 AS BIGINT) AS part, CAST(count(DISTINCT idx) AS INTEGER) AS n, CAST(count(*) AS INTEGER) AS \"values\" FROM fr GROUP BY idx // 8")
 add("stream_counts", lambda s, d: s.createDataFrame([([("video",), ("audio",), ("video",)],)], "streams array<struct<kind:string>>").select(video.stream_count(F.col("streams"), "video").alias("video"), video.stream_count(F.col("streams"), "audio").alias("audio")), "SELECT CAST(2 AS INTEGER) AS video, CAST(1 AS INTEGER) AS audio")
-add("background_subtractor", lambda s, d: tracking.background_masks(frames(s, d)).select(F.col("index").alias("idx"), F.aggregate("data", F.lit(0.0), lambda a, v: a + v).cast("long").alias("foreground")), f"""WITH RECURSIVE {O.FRAMES}, bg AS (SELECT idx, y, x, v, v AS m FROM fr WHERE idx = 0
-  UNION ALL SELECT f.idx, f.y, f.x, f.v, 0.95 * bg.m + 0.05 * f.v FROM bg JOIN fr f ON f.idx = bg.idx + 1 AND f.y = bg.y AND f.x = bg.x) SELECT CAST(idx AS BIGINT) AS idx, count(*) FILTER (abs(v - m) > 0.1) AS foreground FROM bg GROUP BY idx""")
+BACKGROUND = f"""WITH RECURSIVE {O.FRAMES}, bg AS (SELECT idx, y, x, v, v AS m FROM fr WHERE idx = 0
+  UNION ALL SELECT f.idx, f.y, f.x, f.v, 0.95 * bg.m + 0.05 * f.v FROM bg JOIN fr f ON f.idx = bg.idx + 1 AND f.y = bg.y AND f.x = bg.x) SELECT CAST(idx AS BIGINT) AS idx, count(*) FILTER (abs(v - m) > 0.1) AS foreground FROM bg GROUP BY idx"""
+add("background_subtractor", lambda s, d: tracking.background_masks(frames(s, d)).select(F.col("index").alias("idx"), F.aggregate("data", F.lit(0.0), lambda a, v: a + v).cast("long").alias("foreground")), BACKGROUND)
 add("kalman", lambda s, d: tracking.kalman_tracks(tracks(s, d)).select("track_id", "seq", F.round("position", 6).alias("position"), F.round("speed", 6).alias("speed")), """WITH RECURSIVE tr AS (SELECT user_id AS track_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, value AS z FROM events),
 st(track_id, seq, x, s, a, b, c) AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE) FROM events
   UNION ALL SELECT track_id, seq, px + pa / (pa + 0.1) * (z - px), s + pb / (pa + 0.1) * (z - px), pa - pa * pa / (pa + 0.1), pb - pa * pb / (pa + 0.1), pc - pb * pb / (pa + 0.1)
@@ -235,11 +255,8 @@ add("mean_shift_tracker", lambda s, d: tracking.track_boxes(frames(s, d).withCol
 # --- streaming: a file stream drained into a table -------------------------------------------------
 
 
-def _drained(s: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
-    name = f"stream_{abs(hash(id(stream)))}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).option("checkpointLocation", tempfile.mkdtemp()).start()
-    q.awaitTermination()
-    return s.table(name)
+def _drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    return stateful.drained(stream, mode)
 
 
 def _event_stream(s: SparkSession, d: str) -> DataFrame:
@@ -250,11 +267,11 @@ def _event_stream(s: SparkSession, d: str) -> DataFrame:
 
 def _kalman_stream(s: SparkSession, d: str) -> DataFrame:
     m = _event_stream(s, d).select(F.col("user_id").alias("track_id"), F.unix_micros("ts").alias("seq"), F.col("value").alias("z"))
-    return _drained(s, stateful.kalman_stream(m)).select("track_id", "seq", F.round("position", 6).alias("position"))
+    return _drained(stateful.kalman_stream(m)).select("track_id", "seq", F.round("position", 6).alias("position"))
 
 
 add("kalman_stream", _kalman_stream)
-add("windowed_counts_stream", lambda s, d: _drained(s, stateful.windowed_counts(_event_stream(s, d)), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total")), "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+add("windowed_counts_stream", lambda s, d: _drained(stateful.windowed_counts(_event_stream(s, d)), "complete").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total")), "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 
 # --- sources and models -----------------------------------------------------------------------------
 
@@ -274,7 +291,12 @@ def _round_trip(s: SparkSession, d: str) -> DataFrame:
     from ..sources.codecs import read_png
 
     files = sources.encode(img8(s, d), "png")
-    back = files.select("image_id", F.udf(lambda b: [float(x) for x in read_png(bytes(b))[0].ravel()], "array<double>")("content").alias("back"), "data")
+
+    @F.pandas_udf("array<double>")
+    def decoded(content: pd.Series) -> pd.Series:
+        return content.map(lambda b: read_png(b)[0].ravel())
+
+    back = files.select("image_id", decoded("content").alias("back"), "data")
     return back.select("image_id", (F.array_max(F.zip_with("back", "data", lambda a, b: F.abs(a - b))) < 1 / 254).alias("close"))
 
 
@@ -293,7 +315,6 @@ def flagship(s: SparkSession, d: str) -> DataFrame:
 
 
 _BLUR = f"bl AS ({O.neighbours('avg(b.v)', 1)})"
-_K3 = (O.kernel_cte("gx", [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]]), O.kernel_cte("gy", [[-1, -2, -1], [0, 0, 0], [1, 2, 1]]))
-add("flagship_edges", flagship, f"""WITH {O.IMG8}, {_BLUR}, {_K3[0]}, {_K3[1]}, mg AS (SELECT p.image_id, CASE WHEN p.y BETWEEN 1 AND 6 AND p.x BETWEEN 1 AND 6 THEN sqrt(a.v * a.v + b.v * b.v) ELSE 0 END AS v
-FROM bl p JOIN ({O.correlate('gx', 'zero', 'bl')}) a USING (image_id, ch, y, x) JOIN ({O.correlate('gy', 'zero', 'bl')}) b USING (image_id, ch, y, x))
+_K3 = O.two_kernels("gk", [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]], [[-1, -2, -1], [0, 0, 0], [1, 2, 1]])
+add("flagship_edges", flagship, f"""WITH {O.IMG8}, {_BLUR}, {_K3}, mg AS ({O.gradient('gk', 'sqrt(a.v * a.v + b.v * b.v)', 'bl')})
 SELECT CAST(image_id AS BIGINT) AS image_id, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, count(*) FILTER (v > 0) AS n FROM mg GROUP BY image_id ORDER BY mean DESC, image_id LIMIT 10""")

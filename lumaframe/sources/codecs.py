@@ -83,6 +83,48 @@ def read_png(data: bytes) -> np.ndarray:
     return from_rgb8(rgb)
 
 
+def _png_chunks(data: bytes):
+    at = 8
+    while at + 8 <= len(data):
+        (n,) = struct.unpack(">I", data[at : at + 4])
+        yield data[at + 4 : at + 8], data[at + 8 : at + 8 + n]
+        at += 12 + n
+
+
+def read_apng(data: bytes) -> list[tuple[np.ndarray, int]]:
+    """(frame, delay in ms) of each frame of an animated PNG; a plain PNG is one frame of no delay.
+
+    Each frame's data is read as a PNG of the frame's size and drawn over its predecessors.
+    """
+    if data[:8] != b"\x89PNG\r\n\x1a\n":
+        raise UnsupportedFormat("not a PNG")
+    parts = list(_png_chunks(data))
+    if not any(kind == b"acTL" for kind, _ in parts):
+        return [(read_png(data), 0)]
+    head = parts[0][1]
+    shared = [(k, v) for k, v in parts if k in (b"PLTE", b"tRNS")]
+    frames: list[tuple[tuple, list[bytes]]] = []
+    for kind, body in parts:
+        if kind == b"fcTL":
+            frames.append((struct.unpack(">IIIIHHBB", body[4:26]), []))
+        elif kind == b"IDAT" and frames:  # a still that is no part of the animation comes before the first frame
+            frames[-1][1].append(body)
+        elif kind == b"fdAT":
+            frames[-1][1].append(body[4:])
+    w, h = struct.unpack(">II", head[:8])
+    canvas, out = np.zeros((3, h, w)), []
+    for (fw, fh, x, y, num, den, dispose, _), bodies in frames:
+        file = data[:8] + _chunk(b"IHDR", struct.pack(">II", fw, fh) + head[8:]) + b"".join(_chunk(k, v) for k, v in shared) + _chunk(b"IDAT", b"".join(bodies)) + _chunk(b"IEND", b"")
+        before = canvas.copy()
+        canvas[:, y : y + fh, x : x + fw] = read_png(file)
+        out.append((canvas.copy(), round(1000 * num / (den or 100))))
+        if dispose == 1:
+            canvas[:, y : y + fh, x : x + fw] = 0
+        elif dispose == 2:
+            canvas = before
+    return out
+
+
 # --- GIF -------------------------------------------------------------------------------
 
 
@@ -135,15 +177,24 @@ def _lzw(index: np.ndarray) -> bytes:
     return bytes(out)
 
 
+GIF_END = b"\x3b"
+
+
+def gif_head(a: np.ndarray, loops: int = 0) -> bytes:
+    """What comes before the frames, all of the size of ``a``."""
+    h, w = a.shape[1:]
+    return b"".join([b"GIF89a", struct.pack("<HHBBB", w, h, 0xF7, 0, 0), _palette(), b"\x21\xff\x0bNETSCAPE2.0\x03\x01", struct.pack("<HB", loops, 0)])
+
+
+def gif_frame(a: np.ndarray, ms: int) -> bytes:
+    body = _lzw(_cube(to_rgb8(a)).ravel())
+    out = [b"\x21\xf9\x04\x00", struct.pack("<H", max(0, ms // 10)), b"\0\0", b"\x2c", struct.pack("<HHHHB", 0, 0, a.shape[2], a.shape[1], 0), b"\x08"]
+    return b"".join(out + [bytes([len(body[i : i + 255])]) + body[i : i + 255] for i in range(0, len(body), 255)] + [b"\0"])
+
+
 def write_gif(frames: list[np.ndarray], delays_ms: list[int], loops: int = 0) -> bytes:
     """An animation; ``loops`` 0 repeats for ever. Colours are rounded to 252 levels."""
-    h, w = frames[0].shape[1:]
-    out = [b"GIF89a", struct.pack("<HHBBB", w, h, 0xF7, 0, 0), _palette(), b"\x21\xff\x0bNETSCAPE2.0\x03\x01", struct.pack("<HB", loops, 0)]
-    for a, ms in zip(frames, delays_ms, strict=True):
-        body = _lzw(_cube(to_rgb8(a)).ravel())
-        out += [b"\x21\xf9\x04\x00", struct.pack("<H", max(0, ms // 10)), b"\0\0", b"\x2c", struct.pack("<HHHHB", 0, 0, w, h, 0), b"\x08"]
-        out += [bytes([len(body[i : i + 255])]) + body[i : i + 255] for i in range(0, len(body), 255)] + [b"\0"]
-    return b"".join(out) + b"\x3b"
+    return gif_head(frames[0], loops) + b"".join(gif_frame(a, ms) for a, ms in zip(frames, delays_ms, strict=True)) + GIF_END
 
 
 def _unlzw(body: bytes, least: int, n: int) -> np.ndarray:

@@ -7,9 +7,9 @@ writers run on the executors, one file a row or video.
 from __future__ import annotations
 
 import json
-import os
 import struct
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from ..schema import FRAME, IMAGE, DimensionMismatch, InvalidParameter, UnsupportedFormat
 from . import codecs
+from .files import Whole
 
 IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "bmp", "tiff", "webp")
 # Container formats by file suffix.
@@ -69,11 +70,19 @@ def read_images(spark: SparkSession, path: str, pattern: str | None = None) -> D
 
 
 def read_image_sequence(spark: SparkSession, path: str, pattern: str = "", fps: float = 30.0, video_id: int = 0) -> DataFrame:
-    """A folder's images whose names hold ``pattern`` as frames, in order of their paths."""
-    df = read_images(spark, path, "*.{" + ",".join(IMAGE_SUFFIXES) + "}")
-    df = df.filter(F.element_at(F.split("path", "/"), -1).contains(pattern))
-    index = F.row_number().over(Window.partitionBy(F.lit(video_id)).orderBy("path")).cast("long") - 1
-    return _framed(df.withColumn("index", index), fps, video_id)
+    """A folder's images whose names hold ``pattern`` as frames, in order of their paths.
+
+    Only the paths are numbered in one place; the images are decoded where they are read.
+    """
+    glob = "*.{" + ",".join(IMAGE_SUFFIXES) + "}"
+    paths = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path").filter(F.element_at(F.split("path", "/"), -1).contains(pattern))
+    numbered = paths.select(_plain(F.col("path")).alias("place"), (F.row_number().over(Window.partitionBy(F.lit(video_id)).orderBy("path")).cast("long") - 1).alias("index"))
+    return _framed(read_images(spark, path, glob).withColumn("place", _plain(F.col("path"))).join(numbered, "place"), fps, video_id)
+
+
+def _plain(path: Column) -> Column:
+    """A local file has one slash after its scheme or three."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
 
 
 def _framed(df: DataFrame, fps: float, video_id: int) -> DataFrame:
@@ -82,12 +91,12 @@ def _framed(df: DataFrame, fps: float, video_id: int) -> DataFrame:
 
 
 def read_animation(spark: SparkSession, path: str, max_frames: int = 0) -> DataFrame:
-    """Frames of GIF animations, one video a file; other files are one still. Start times add up the delays."""
+    """Frames of GIF and APNG animations, one video a file; other files are one still. Start times add up the delays."""
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
             for name, video, content in zip(pdf["path"], pdf["video_id"], pdf["content"], strict=True):
-                frames = codecs.read_gif(content) if content[:3] == b"GIF" else [(codecs.read_qoi(content) if content[:4] == b"qoif" else codecs.read_png(content), 0)]
+                frames = codecs.read_gif(content) if content[:3] == b"GIF" else [(codecs.read_qoi(content), 0)] if content[:4] == b"qoif" else codecs.read_apng(content)
                 frames = frames[: max_frames or None]
                 if not frames:
                     raise UnsupportedFormat(f"no frames in {name}")
@@ -181,13 +190,12 @@ def encode(images: DataFrame, kind: str = "png", out: str = "content") -> DataFr
 
 
 def save_images(images: DataFrame, folder: str, kind: str = "png") -> None:
-    """One file an image, ``{image_id}.{kind}``, in a folder that all executors share."""
+    """One file an image, ``{image_id}.{kind}``, in a folder that all executors share (a path or a URI)."""
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in pdfs:
-            os.makedirs(folder, exist_ok=True)
             for i, content in zip(pdf["image_id"], pdf["content"], strict=True):
-                with open(os.path.join(folder, f"{i}.{kind}"), "wb") as f:
+                with Whole(folder, f"{i}.{kind}") as f:
                     f.write(content)
             yield pd.DataFrame({"n": [len(pdf)]})
 
@@ -195,8 +203,12 @@ def save_images(images: DataFrame, folder: str, kind: str = "png") -> None:
 
 
 def write_video(frames: DataFrame, path: str, fps: float = 30.0, loops: int = 0) -> None:
-    """An animation (``.gif``, delays by the frames' durations), or one file a frame: ``{stem}_{index:06}``."""
-    kind = path.rsplit(".", 1)[-1].lower()
+    """An animation (``.gif``, delays by the frames' durations), or one file a frame: ``{stem}_{index:06}``.
+
+    An animation's frames are sorted by Spark and streamed into its file; single frames are written side by side.
+    """
+    folder, name = path.rsplit("/", 1) if "/" in path else (".", path)
+    stem, kind = name.rsplit(".", 1)[0], name.rsplit(".", 1)[-1].lower()
     sizes = frames.select("h", "w").distinct().limit(2).collect()
     if not sizes:
         raise InvalidParameter("no frames")
@@ -204,20 +216,29 @@ def write_video(frames: DataFrame, path: str, fps: float = 30.0, loops: int = 0)
         raise DimensionMismatch("frames differ in size")
     if kind not in WRITERS:
         raise UnsupportedFormat(f"no encoder for {kind!r}")
-    os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    stem = path.rsplit(".", 1)[0]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("index")
-        arrays = [np.asarray(d, float).reshape(int(c), int(h), int(w)) for c, h, w, d in zip(pdf["c"], pdf["h"], pdf["w"], pdf["data"], strict=True)]
-        if kind == "gif":
-            with open(path, "wb") as f:
-                f.write(codecs.write_gif(arrays, [int(u // 1000) or round(1000 / fps) for u in pdf["duration_us"]], loops))
-        else:
-            for i, a in zip(pdf["index"], arrays, strict=True):
-                with open(f"{stem}_{i:06}.{kind}", "wb") as f:
-                    f.write(WRITERS[kind](a))
-        return pd.DataFrame({"n": [len(pdf)]})
-
-    key = "video_id" if kind == "gif" else "index"  # an animation is one file; single frames are written side by side
-    frames.groupBy(key).applyInPandas(run, "n long").collect()
+
+    def rows(pdfs: Iterator[pd.DataFrame]) -> Iterator[tuple]:
+        for pdf in pdfs:
+            for c, h, w, data, *rest in zip(pdf["c"], pdf["h"], pdf["w"], pdf["data"], pdf["video_id"], pdf["index"], pdf["duration_us"], strict=True):
+                yield np.asarray(data, float).reshape(int(c), int(h), int(w)), *rest
+
+    def animate(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _, mine in groupby(rows(pdfs), key=lambda r: r[1]):
+            n = 0
+            with Whole(folder, name) as f:
+                for array, _, _, us in mine:
+                    f.write((b"" if n else codecs.gif_head(array, loops)) + codecs.gif_frame(array, int(us // 1000) or round(1000 / fps)))
+                    n += 1
+                f.write(codecs.GIF_END)
+            yield pd.DataFrame({"n": [n]})
+
+    def single(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for array, _, i, _ in rows(pdfs):
+            with Whole(folder, f"{stem}_{i:06}.{kind}") as f:
+                f.write(WRITERS[kind](array))
+            yield pd.DataFrame({"n": [1]})
+
+    told = frames.select("video_id", "index", "duration_us", "c", "h", "w", "data")
+    if kind == "gif":
+        told = told.repartition("video_id").sortWithinPartitions("video_id", "index")
+    told.mapInPandas(animate if kind == "gif" else single, "n long").agg(F.sum("n")).collect()

@@ -206,3 +206,21 @@ def test_approximate_matches_answer_every_query(spark):
     assert sum(got[k][0] == exact[k][0] for k in exact) >= 36
     assert all(math.isclose(got[k][1], exact[k][1]) for k in exact if exact[k][1] > 1.2)
     assert matching.approximate_matches(train, train, radius=1.2).count() == 40
+
+
+def test_suppression_streams_groups(spark):
+    """Groups that span Arrow batches give what one batch gives."""
+    from lumaframe.operators import matching
+
+    rng = np.random.default_rng(2)
+    rows = [(int(g), int(i), int(rng.integers(40)), int(rng.integers(40)), 10, 10, float(rng.random())) for g in range(7) for i in range(int(rng.integers(1, 60)))]
+    df = spark.createDataFrame(rows, "group_id long, seq int, x long, y long, width long, height long, score double")
+    whole = sorted(map(tuple, matching.nms_boxes(df, 0.1, 0.2).collect()))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        assert sorted(map(tuple, matching.nms_boxes(df, 0.1, 0.2).collect())) == whole
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pairs = {(r["group_id"], r["seq_a"], r["seq_b"]) for r in matching.iou_pairs(df, 0.15).collect()}
+    over = lambda a, b: max(0, min(a[2], b[2]) + 10 - max(a[2], b[2])) * max(0, min(a[3], b[3]) + 10 - max(a[3], b[3]))
+    assert pairs == {(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and over(a, b) / (200 - over(a, b)) >= 0.15}

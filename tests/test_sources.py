@@ -64,3 +64,25 @@ def test_rows_and_pixels(spark):
     df = spark.createDataFrame([(1, 3, 9, 11, RGB.ravel().tolist())], ROW)
     (back,) = to_images(to_pixels(df)).collect()
     assert back["data"] == RGB.ravel().tolist() and (back["c"], back["h"], back["w"]) == (3, 9, 11)
+
+
+def test_apng():
+    """Two frames, the second a part drawn over the first."""
+    whole, part = np.zeros((3, 4, 5)), np.ones((3, 2, 2))
+
+    def chunks(png):
+        at, out = 8, []
+        while at < len(png):
+            (n,) = struct.unpack(">I", png[at : at + 4])
+            out.append((png[at + 4 : at + 8], png[at + 8 : at + 8 + n]))
+            at += 12 + n
+        return out
+
+    control = lambda seq, w, h, x, y: codecs._chunk(b"fcTL", struct.pack(">IIIIIHHBB", seq, w, h, x, y, 1, 20, 0, 0))
+    first = codecs.write_png(whole)
+    head, data = dict(chunks(first))[b"IHDR"], dict(chunks(first))[b"IDAT"]
+    more = dict(chunks(codecs.write_png(part)))[b"IDAT"]
+    file = first[:8] + codecs._chunk(b"IHDR", head) + codecs._chunk(b"acTL", struct.pack(">II", 2, 0)) + control(0, 5, 4, 0, 0) + codecs._chunk(b"IDAT", data) + control(1, 2, 2, 1, 1) + codecs._chunk(b"fdAT", struct.pack(">I", 2) + more) + codecs._chunk(b"IEND", b"")
+    (a, d), (b, _) = codecs.read_apng(file)
+    assert d == 50 and not a.any() and b[:, 1:3, 1:3].all() and b.sum() == 12
+    assert len(codecs.read_apng(first)) == 1
