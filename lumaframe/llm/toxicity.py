@@ -64,6 +64,7 @@ def _symbols() -> np.ndarray:
 
 
 _TABLE = _symbols()
+_NONE = np.zeros(2, np.uint8)
 
 
 def symbols(text: str) -> np.ndarray:
@@ -78,18 +79,27 @@ def symbols(text: str) -> np.ndarray:
 
 
 def subsequences(s: np.ndarray):
-    """(codes, weight) for each pattern of gaps: codes[i] is the subsequence that starts at i; symbols past the end are spaces."""
-    n = len(s)
-    wide = np.concatenate([s, np.zeros(SPAN, np.uint8)]).astype(np.int32)
-    head = wide[:n] << (LETTERS * (ORDER - 1))
-    steps = [[None] + [wide[o : o + n] << (LETTERS * (ORDER - 1 - k)) for o in range(1, SPAN)] for k in range(1, ORDER)]
+    """(codes, weight) for each pattern of gaps: codes[i] is the subsequence that starts at i, as far as it ends within ``s``."""
+    wide = s.astype(np.int32)
+    shifted = [wide << (LETTERS * (ORDER - 1 - k)) for k in range(ORDER)]
     for offsets, weight in _OFFSETS:
-        code = head.copy()
+        n = max(len(s) - offsets[-1], 0)
+        code = shifted[0][:n].copy()
         for k, o in enumerate(offsets):
-            code |= steps[k][o]
+            code |= shifted[k + 1][o : o + n]
         yield code, weight
 
 
+def _by_start(s: np.ndarray, weights: np.ndarray) -> dict[int, np.ndarray]:
+    """By the last offset of their patterns, the weighted subsequences that start at each place."""
+    out: dict[int, np.ndarray] = {}
+    for (offsets, _), (codes, weight) in zip(_OFFSETS, subsequences(s), strict=True):
+        if offsets[-1] not in out:
+            out[offsets[-1]] = np.zeros(len(s), np.float32)
+        out[offsets[-1]][: len(codes)] += np.float32(weight) * weights[codes]
+    return out
+
+
 def feature_map(s: np.ndarray) -> dict[int, float]:
     """Weight of each subsequence in ``s``; the kernel of two strings is the product of their maps."""
     out: dict[int, float] = {}
@@ -114,13 +124,14 @@ class ToxicityModel:
     shift: float = 0.0
 
     def window_sums(self, s: np.ndarray) -> np.ndarray:
-        """Kernel machine's value of each window."""
-        v = np.zeros(len(s), np.float32)
-        for codes, weight in subsequences(s):
-            v += np.float32(weight) * self.weights[codes]
-        total = np.concatenate([[0.0], np.cumsum(v, dtype=np.float64)])
+        """Kernel machine's value of each window: of the subsequences that lie wholly inside it."""
         width = min(WINDOW, len(s))
-        return total[width:] - total[:-width]
+        out = np.zeros(len(s) - width + 1)
+        for last, v in _by_start(s, self.weights).items():
+            if width > last:
+                total = np.concatenate([[0.0], np.cumsum(v, dtype=np.float64)])
+                out += total[width - last : len(s) - last + 1] - total[: len(out)]
+        return out
 
     def peak(self, text: str | None) -> float:
         return float(self.window_sums(symbols(text)).max()) if text else 0.0
@@ -141,9 +152,12 @@ class ToxicityModel:
                 out[i] = v[a:b].max()
 
         for i, t in enumerate(texts):
-            if t:
-                todo.append((i, symbols(t)))
-                size += len(todo[-1][1])
+            s = symbols(t) if t else _NONE
+            if len(s) < WINDOW:
+                out[i] = self.window_sums(s).max()
+            else:
+                todo.append((i, s))
+                size += len(s)
                 if size > BLOCK:
                     solve()
                     todo, size = [], 0
@@ -250,7 +264,7 @@ def fit(texts: list[str], labels: list[int], share: float | None = None, seed: i
 
     def gapped(s: np.ndarray) -> np.ndarray:
         """The window with a letter put in where the machine sees most, as insults are disguised."""
-        v = sum(np.float32(weight) * model.weights[codes] for codes, weight in subsequences(s))
+        v = sum(_by_start(s, model.weights).values(), np.zeros(len(s), np.float32))
         at = int(v.argmax()) + 1 + int(rng.integers(3))
         return np.insert(s, min(at, len(s)), rng.integers(1, 27)).astype(np.uint8)
 
