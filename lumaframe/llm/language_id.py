@@ -13,7 +13,6 @@ not read.
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -33,7 +32,6 @@ HIDDEN, TRAIN_BYTES, BATCH, STEPS, RATE = 8, 64, 192, 360, 0.02
 #: Bytes labelled in one segment, context on each side, segments at once.
 SEGMENT, CONTEXT, ROWS = 112, 16, 1024
 UND = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def _gates(params: dict, side: str):
@@ -122,7 +120,7 @@ class LanguageModel:
 
     def pooled(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and probability of each text: the mean over its positions."""
-        live = [i for i, t in enumerate(texts) if t and self.languages and _LETTER.search(t)]
+        live = [i for i, t in enumerate(texts) if t and self.languages and any(map(str.isalpha, t))]
         langs, scores = [UND] * len(texts), np.zeros(len(texts))
         if live:
             total = np.zeros((len(live), len(self.languages)))
@@ -241,4 +239,4 @@ def identify_language(df: DataFrame, train: DataFrame | None = None, id_col: str
     held = held_out if held_out is not None else crc_bucket(F.col(f"`{id_col}`"), 4) == 2
     model = fit(sample_windows(train if train is not None else df.filter(~held), id_col, text_col, lang_col))
     out = df.select(F.col(f"`{id_col}`").alias(id_col), held.alias("held_out"), predictor(model, spark)(F.col(f"`{text_col}`")).alias("p"))
-    return out.select(id_col, "held_out", "p.lang_pred", "p.score")
+    return out.select(F.col(f"`{id_col}`"), "held_out", "p.lang_pred", "p.score")
