@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as html_lib
 import math
 import re
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -81,6 +82,15 @@ def _noise(tag: str, attrs: str) -> tuple[bool, bool]:
 def parse(page: str) -> Node:
     """The page's tree; texts are ``str`` children with references decoded."""
     root = node = Node("#root", None)
+    opened: Counter[str] = Counter()  # tags from the root to the node, so that what isn't open is not looked for
+
+    def leave(top: Node) -> Node:
+        up = node
+        while up is not top:
+            opened[up.tag] -= 1
+            up = up.parent
+        return top
+
     at, end = 0, len(page)
     while at < end:
         m = TOKEN.search(page, at)
@@ -94,26 +104,28 @@ def parse(page: str) -> Node:
         if not tag:
             continue
         if m[1]:  # a closing tag: up to the element it closes, if that is open
+            if not opened[tag]:
+                continue
             up = node
             while up.parent is not None and up.tag != tag:
                 if tag not in BLOCK and up.tag in SCOPE:
                     break
                 up = up.parent
             if up.parent is not None and up.tag == tag:
-                node = up.parent
+                node = leave(up.parent)
             continue
-        if tag in BLOCK:  # closes an open paragraph
+        if tag in BLOCK and opened["p"]:  # closes an open paragraph
             up = node
             while up.parent is not None and up.tag not in SCOPE and up.tag != "p":
                 up = up.parent
             if up.tag == "p":
-                node = up.parent
-        if tag in CLOSES:
+                node = leave(up.parent)
+        if tag in CLOSES and any(opened[x] for x in CLOSES[tag]):
             up = node
             while up.parent is not None and up.tag not in CLOSES[tag] and up.tag not in SCOPE - {"td", "th"}:
                 up = up.parent
             if up.tag in CLOSES[tag]:
-                node = up.parent if up.tag != "td" and up.tag != "th" or tag != "tr" else (up.parent.parent or up.parent)
+                node = leave(up.parent if up.tag != "td" and up.tag != "th" or tag != "tr" else (up.parent.parent or up.parent))
         new = Node(tag, node, *_noise(tag, m[3] or ""))
         node.children.append(new)
         if tag in RAW:
@@ -123,6 +135,7 @@ def parse(page: str) -> Node:
             at = close.end() if close else end
         elif tag not in VOID and not (m[3] or "").rstrip().endswith("/"):
             node = new
+            opened[tag] += 1
     return root
 
 
@@ -166,7 +179,11 @@ def densities(root: Node) -> list[Node]:
 def main_node(root: Node) -> Node:
     nodes = densities(root)
     body = next((n for n in nodes if n.tag == "body"), root)
-    below = [n for n in _nodes(body) if n.chars and not n.noise and not _under_noise(n)]
+    under: set[Node] = set()  # what lies in boilerplate
+    for n in nodes:  # parents first
+        if n.parent is not None and (n.parent.noise or n.parent in under):
+            under.add(n)
+    below = [n for n in _nodes(body) if n.chars and not n.noise and n not in under]
     if not below:
         return body
     best = max(below, key=lambda n: n.total)
@@ -205,15 +222,6 @@ def main_node(root: Node) -> Node:
     return best
 
 
-def _under_noise(n: Node) -> bool:
-    up = n.parent
-    while up is not None:
-        if up.noise:
-            return True
-        up = up.parent
-    return False
-
-
 def blocks(top: Node) -> list[str]:
     """The subtree's text blocks in page order, without boilerplate inside it."""
     out: list[str] = []
