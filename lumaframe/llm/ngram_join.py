@@ -205,7 +205,7 @@ def _joined(df: DataFrame, id_col: str, text_col: str, n: int, similarity: float
     source = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *carry)
     feats = written(source.mapInArrow(_features(n, bands, rows, extra), f"{FEATURES}, id {t}{extra_type}"), "ngrams")
     # Equal sets form a class; its band hashes are those of any member.
-    classes = written(feats.filter("digest is not null").groupBy("digest").agg(F.min("rid").alias("rep"), F.min("id").alias("min_id"), F.count("*").alias("size"), F.max("chars").alias("chars"), F.first("bands").alias("bands")), "classes")
+    classes = written(feats.filter("digest is not null").groupBy("digest").agg(F.min("rid").alias("rep"), F.min("id").alias("min_id"), F.count("*").alias("size"), F.max("chars").alias("chars"), F.first("bands").alias("bands"), F.min(F.struct(F.col("id").isNull(), "id", "rid"))["rid"].alias("first_rid")), "classes")
     keyed = classes.select("rep", F.posexplode("bands").alias("band", "hash"))
     buckets = keyed.groupBy("band", "hash").agg(F.min("rep").alias("lead"), F.count("*").alias("k")).filter("k > 1")
     star = keyed.join(buckets.select("band", "hash", "lead"), ["band", "hash"]).filter("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v"))
@@ -220,16 +220,14 @@ def _joined(df: DataFrame, id_col: str, text_col: str, n: int, similarity: float
     links = written(units.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(_verify(n, similarity), "rep long, links long, leader long"), "links")
     groups = connected_components(links.filter("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")))
     degree = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    told = classes.select("digest", "rep", "min_id", "size").join(groups, F.col("rep") == F.col("node"), "left").join(degree, "rep", "left").withColumn("group", F.coalesce("component", "rep")).select("digest", "rep", "min_id", "size", "group", F.coalesce("links", F.lit(0)).alias("links"))
+    told = classes.select("digest", "rep", "min_id", "size", "first_rid").join(groups, F.col("rep") == F.col("node"), "left").join(degree, "rep", "left").withColumn("group", F.coalesce("component", "rep")).select("digest", "rep", "min_id", "size", "first_rid", "group", F.coalesce("links", F.lit(0)).alias("links"))
     told = written(told, "told")
     names = told.groupBy("group").agg(F.min("min_id").alias("class_id"), F.min(F.struct(F.col("min_id").isNull(), "min_id", "rep"))["rep"].alias("stays_rep"))
-    told = told.join(names, "group").select("digest", "rep", "min_id", "stays_rep", "class_id", (F.col("links") + F.col("size") - 1).alias("n_links"))
+    told = told.join(names, "group").select("digest", "rep", "min_id", "first_rid", "stays_rep", "class_id", (F.col("links") + F.col("size") - 1).alias("n_links"))
     columns = feats.select("rid", "digest", *extra)
     known = columns.filter("digest is not null").join(told, "digest")
     alone = columns.filter("digest is null")
     # Of the class that stays, one row stays: the first of those with its least id.
-    first = columns.filter("digest is not null").select("digest", "id", "rid").groupBy("digest").agg(F.min(F.struct(F.col("id").isNull(), "id", "rid"))["rid"].alias("first_rid"))
-    known = known.join(first, "digest")
     mine = (F.col("rep") == F.col("stays_rep")) & (F.col("rid") == F.col("first_rid"))
     return known.select(*extra, "class_id", "n_links", F.col("min_id").alias("set_class_id"), mine.alias("stays")).unionByName(
         alone.select(*extra, F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("set_class_id"), F.lit(True).alias("stays"))
