@@ -40,6 +40,10 @@ FAN_IN = 16
 REACH = 64
 #: Cached chunks, and words, of a worker in each of two generations.
 CACHE = 200_000
+#: Characters of the longest chunk that is cached.
+LONGEST = 64
+#: Slices of a merged group whose emptiest bins are found side by side, so that no window holds all of its bins.
+SLICES = 64
 
 
 def _byte_letters() -> dict[int, str]:
@@ -91,7 +95,8 @@ class ChunkTokenizer:
         if ids is None:
             shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.letters)
             ids = tuple(t.id for t in self.model.tokenize(shown))
-            self.words.put(word, ids)
+            if len(word) <= LONGEST:
+                self.words.put(word, ids)
         return ids
 
     def _chunk(self, chunk: str) -> tuple:
@@ -100,7 +105,8 @@ class ChunkTokenizer:
             ids = self._word(core.lower()) + (self._word(chunk[len(core) :]) if len(core) < len(chunk) else ())
         else:
             ids = tuple(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-        self.chunks.put(chunk, ids)
+        if len(chunk) <= LONGEST:
+            self.chunks.put(chunk, ids)
         return ids
 
     def ids(self, text: str) -> list[int]:
@@ -213,8 +219,11 @@ def best_fit_packing(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     while nodes > 1:
         nodes = -(-nodes // FAN_IN)
         tops = moved.select(F.col("into").alias("bin"), "fill", F.floor(F.col("node") / FAN_IN).alias("node")).distinct()
-        rank = F.row_number().over(Window.partitionBy("node").orderBy("fill", "bin"))
-        going = tops.withColumn("rank", rank).filter(F.col("rank") <= REACH * FAN_IN).drop("rank")
+        going = tops.withColumn("slice", F.pmod(F.xxhash64("bin"), F.lit(SLICES)))
+        for group in (("node", "slice"), ("node",)):
+            rank = F.row_number().over(Window.partitionBy(*group).orderBy("fill", "bin"))
+            going = going.withColumn("rank", rank).filter(F.col("rank") <= REACH * FAN_IN)
+        going = going.drop("rank", "slice")
         if going.filter(F.col("fill") <= capacity // 2).limit(1).count() == 0:
             break
         done = written(going.groupBy("node").applyInArrow(_merge(capacity), "bin long, into long, shift long, fill long, node long"), "merged")

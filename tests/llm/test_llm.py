@@ -479,3 +479,50 @@ def test_pipeline(spark):
     left = {ids[k]: left[ids[k]] for k in sorted(set(lead))}
     want = {i for i, v in brute_contamination(list(left.items()), bench).items() if not v[4]}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf).collect()} == want
+
+
+# --- against brute force ------------------------------------------------------------------------------
+
+
+def test_windows_are_scored_by_the_kernel_machine():
+    """Each window's sum is that of the subsequences of the window alone, in long, short and empty texts."""
+    rng = np.random.default_rng(4)
+    m = toxicity.ToxicityModel(0.5, rng.random(toxicity.SYMBOLS**toxicity.ORDER).astype(np.float32), 1.0, 0.0)
+    texts = ["some harmless words, and more of them", "short", "", "a", "x" * 30, "fourteen chars"]
+    for t in texts:
+        s = toxicity.symbols(t) if t else toxicity._NONE
+        width = min(toxicity.WINDOW, len(s))
+        brute = [sum(w * m.weights[c] for c, w in toxicity.feature_map(s[i : i + width]).items()) for i in range(len(s) - width + 1)]
+        assert np.allclose(m.window_sums(s), brute, rtol=1e-4)
+        assert math.isclose(m.peaks([None, t, BASE])[1], max(brute), rel_tol=1e-4, abs_tol=1e-6)
+
+
+def test_letters_are_what_unicode_calls_so(spark):
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate([("plain words here", "en"), ("mots simples ici", "fr")] * 20 + [("² ½ Ⅷ 12", None), ("é", None)])], "doc_id long, text string, lang string")
+    out = {r["doc_id"]: r["lang_pred"] for r in language_id.identify_language(df).collect()}
+    assert out[40] == "und" and out[41] != "und"
+
+
+def test_deep_and_broken_pages_take_linear_time():
+    import time
+
+    def took(n):
+        began = time.time()
+        main_text("<body>" + "<div>" * n + "some text of a page" + "</p>" * n + "</section>" * n)
+        return time.time() - began
+
+    took(500)
+    assert took(16000) < 12 * max(took(4000), 0.01)
+
+
+def test_bins_of_many_nodes_stay_whole(spark, monkeypatch):
+    """Packing over many partitions and slices: every piece once, no bin over its capacity, few bins."""
+    monkeypatch.setattr(packing, "REACH", 2)
+    rng = np.random.default_rng(1)
+    df = docs_of(spark, *[" ".join(rng.choice(BASE.split(), int(rng.integers(1, 60)))) for _ in range(300)]).repartition(24)
+    rows = packing.best_fit_packing(df, tokenizer_path(), capacity=128).collect()
+    fills = Counter()
+    for r in sorted(rows, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == fills[r["sequence_id"]]
+        fills[r["sequence_id"]] += r["length"]
+    assert max(fills.values()) <= 128 and len(fills) <= 1.15 * sum(fills.values()) / 128 + 2
