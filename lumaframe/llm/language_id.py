@@ -102,8 +102,9 @@ class LanguageModel:
             where = first[at : at + ROWS, None] + span
             inside = where < ends[at : at + ROWS, None]
             data = np.where(inside, buffer[np.minimum(where, len(buffer) - 1)], 0).T
-            ahead = _run(p["xf"], p["uf"], data)[CONTEXT:-CONTEXT]
-            behind = _run(p["xb"], p["ub"], data[::-1])[::-1][CONTEXT:-CONTEXT]
+            # What comes after a position says nothing to the first direction, what comes before nothing to the second.
+            ahead = _run(p["xf"], p["uf"], data[:-CONTEXT])[CONTEXT:]
+            behind = _run(p["xb"], p["ub"], data[CONTEXT:][::-1])[::-1][:SEGMENT]
             n = p["uf"].shape[0]
             logits = ahead.reshape(-1, n) @ p["o"][:n] + behind.reshape(-1, n) @ p["o"][n:] + p["b"]
             logits -= logits.max(1, keepdims=True)
