@@ -71,6 +71,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Parts into which the rows of one key are dealt by :func:`spread_join`.
+SALTS = 256
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], by: Column) -> DataFrame:
+    """``rows`` with the ``facts`` of their keys (one row a key), where one key may hold most of the rows.
+
+    The rows of a key are dealt by ``by`` into parts. Facts go to the parts that occur, of which there are
+    no more than rows, so that only keys with many rows are repeated. Null keys meet nothing.
+    """
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
+    parts = dealt.select(*keys, "salt").distinct().join(facts, keys)
+    return dealt.join(parts, [*keys, "salt"]).drop("salt")
+
+
 def crc_bucket(id_col: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n`` (a null id: of the empty text)."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n

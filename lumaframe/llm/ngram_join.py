@@ -8,7 +8,9 @@ member to the bucket's least class is kept; the connected clusters of these link
 candidate pair. Each cluster is verified once, on full n-gram sets, in pairs of blocks of
 bounded size that are dealt over all tasks, so that no task holds a large cluster
 and no list of pairs is ever written: a block pair gives, for each class, its number of
-links and one link that spans its component.
+links and one link that spans its component. Blocks of a large cluster hold sets of one
+level of size, where levels are so wide that linked sets are on the same or on neighbouring
+levels; blocks further apart are never met.
 
 Words are lower-cased runs of ASCII letters, digits and non-ASCII characters.
 
@@ -32,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, row_struct, unrow, written
+from .common import bounded_batches, row_struct, spread_join, unrow, written
 from .components import connected_components
 
 NGRAM, SIMILARITY, RECALL = 5, 0.8, 0.999
@@ -105,7 +107,7 @@ def signatures(sets: list[np.ndarray], hashes: int) -> np.ndarray:
     return out
 
 
-FEATURES = "rid long, digest binary, bands array<long>, chars long, text string"
+FEATURES = "rid long, digest binary, bands array<long>, grams long, chars long, text string"
 
 
 def _features(n: int, bands: int, rows: int, extra: list[str]):
@@ -123,7 +125,7 @@ def _features(n: int, bands: int, rows: int, extra: list[str]):
             digests = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary())
             rid = pa.array(np.arange(row, row + len(texts)))
             row += len(texts)
-            yield pa.RecordBatch.from_arrays([rid, digests, arrays, pa.array(list(map(len, texts)), pa.int64()), b.column("text"), *(b.column(c) for c in extra)], names=["rid", "digest", "bands", "chars", "text", *extra])
+            yield pa.RecordBatch.from_arrays([rid, digests, arrays, pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(len, texts)), pa.int64()), b.column("text"), *(b.column(c) for c in extra)], names=["rid", "digest", "bands", "grams", "chars", "text", *extra])
 
     return run
 
@@ -195,8 +197,39 @@ def _verify(n: int, similarity: float):
     return run
 
 
-def _joined(df: DataFrame, id_col: str, text_col: str, n: int, similarity: float, recall: float, carry: list[Column], extra_type: str) -> DataFrame:
-    """Rows (id, carried columns, class_id, n_links, set_class, stays)."""
+def _units(clusters: DataFrame, classes: DataFrame, feats: DataFrame, similarity: float) -> DataFrame:
+    """Rows (cluster, lo, hi, rep, size, blk, text): each text once in every pair of blocks that it takes part in."""
+    # Sizes of linked sets differ by the factor 1/similarity at most, so by one level at most.
+    level = F.floor(F.log("grams") / (math.log(1 / similarity) + 1e-6)).cast("int")
+    sized = clusters.join(classes.select("rep", "size", "chars", level.alias("level")), F.col("node") == F.col("rep")).select(F.col("component").alias("cluster"), "rep", "size", "chars", "level")
+    each = sized.groupBy("cluster", "level").agg(F.count("*").alias("k"), F.sum("chars").alias("chars"))
+    need = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
+    shape = each.groupBy("cluster").agg(F.sum("k").alias("k"), F.sum("chars").alias("all_chars"), F.map_from_entries(F.collect_list(F.struct("level", need))).alias("blocks"))
+    shape = shape.select("cluster", "blocks", ((F.col("k") <= BLOCK) & (F.col("all_chars") <= BLOCK_CHARS)).alias("whole"))
+    members = spread_join(sized, shape, ["cluster"], F.col("rep"))
+    members = members.withColumn("level", F.when(F.col("whole"), 0).otherwise(F.col("level")))
+
+    def blocks(step: int) -> Column:
+        """Blocks on the level ``step`` above; a small cluster is one block."""
+        other = F.coalesce(F.try_element_at("blocks", F.col("level") + step), F.lit(0))
+        return F.when(F.col("whole"), 1 - abs(step)).otherwise(other)
+
+    def code(step: int, blk: Column) -> Column:
+        return F.shiftleft((F.col("level") + step).cast("long"), 32) + blk
+
+    def reached(step: int) -> Column:
+        numbers = F.when(blocks(step) > 0, F.sequence(F.lit(0), blocks(step) - 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(numbers, lambda x: code(step, x))
+
+    mine = code(0, F.pmod(F.xxhash64("rep"), blocks(0)))
+    members = members.join(feats.select("rid", "text"), F.col("rid") == F.col("rep")).select("cluster", "rep", "size", "text", "level", "whole", "blocks", mine.alias("blk"))
+    others = F.concat(*(reached(step) for step in (-1, 0, 1)))
+    units = members.withColumn("other", F.explode(others))
+    return units.select("cluster", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "rep", "size", "blk", "text")
+
+
+def _classified(df: DataFrame, id_col: str, text_col: str, n: int, similarity: float, recall: float, carry: list[Column], extra_type: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (rid, digest, id, carried columns) of the documents, and classes (digest, rep, min_id, first_rid, stays_rep, class_id, n_links)."""
     spark = df.sparkSession
     bounded_batches(spark)
     bands, rows = choose_bands(similarity, recall)
@@ -205,18 +238,25 @@ def _joined(df: DataFrame, id_col: str, text_col: str, n: int, similarity: float
     source = df.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *carry)
     feats = written(source.mapInArrow(_features(n, bands, rows, extra), f"{FEATURES}, id {t}{extra_type}"), "ngrams")
     # Equal sets form a class; its band hashes are those of any member.
-    classes = written(feats.filter("digest is not null").groupBy("digest").agg(F.min("rid").alias("rep"), F.min("id").alias("min_id"), F.count("*").alias("size"), F.max("chars").alias("chars"), F.first("bands").alias("bands"), F.min(F.struct(F.col("id").isNull(), "id", "rid"))["rid"].alias("first_rid")), "classes")
+    classes = written(
+        feats.filter("digest is not null")
+        .groupBy("digest")
+        .agg(
+            F.min("rid").alias("rep"),
+            F.min("id").alias("min_id"),
+            F.count("*").alias("size"),
+            F.max("grams").alias("grams"),
+            F.max("chars").alias("chars"),
+            F.first("bands").alias("bands"),
+            F.min(F.struct(F.col("id").isNull(), "id", "rid"))["rid"].alias("first_rid"),
+        ),
+        "classes",
+    )
     keyed = classes.select("rep", F.posexplode("bands").alias("band", "hash"))
     buckets = keyed.groupBy("band", "hash").agg(F.min("rep").alias("lead"), F.count("*").alias("k")).filter("k > 1")
     star = keyed.join(buckets.select("band", "hash", "lead"), ["band", "hash"]).filter("rep <> lead").select(F.col("rep").alias("u"), F.col("lead").alias("v"))
     clusters = written(connected_components(star), "clusters")
-    sized = clusters.join(classes.select("rep", "size", "chars"), F.col("node") == F.col("rep"))
-    count = sized.groupBy("component").agg(F.count("*").alias("k"), F.sum("chars").alias("all_chars"))
-    members = sized.join(count, "component").join(feats.select("rid", "text"), F.col("rid") == F.col("rep"))
-    blocks = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("all_chars") / BLOCK_CHARS)).cast("int")
-    members = members.select(F.col("component").alias("cluster"), "rep", "size", "text", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("blk"))
-    units = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    units = units.select("cluster", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "rep", "size", "blk", "text")
+    units = _units(clusters, classes, feats, similarity)
     links = written(units.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(_verify(n, similarity), "rep long, links long, leader long"), "links")
     groups = connected_components(links.filter("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")))
     degree = links.groupBy("rep").agg(F.sum("links").alias("links"))
@@ -224,14 +264,7 @@ def _joined(df: DataFrame, id_col: str, text_col: str, n: int, similarity: float
     told = written(told, "told")
     names = told.groupBy("group").agg(F.min("min_id").alias("class_id"), F.min(F.struct(F.col("min_id").isNull(), "min_id", "rep"))["rep"].alias("stays_rep"))
     told = told.join(names, "group").select("digest", "rep", "min_id", "first_rid", "stays_rep", "class_id", (F.col("links") + F.col("size") - 1).alias("n_links"))
-    columns = feats.select("rid", "digest", *extra)
-    known = columns.filter("digest is not null").join(told, "digest")
-    alone = columns.filter("digest is null")
-    # Of the class that stays, one row stays: the first of those with its least id.
-    mine = (F.col("rep") == F.col("stays_rep")) & (F.col("rid") == F.col("first_rid"))
-    return known.select(*extra, "class_id", "n_links", F.col("min_id").alias("set_class_id"), mine.alias("stays")).unionByName(
-        alone.select(*extra, F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("set_class_id"), F.lit(True).alias("stays"))
-    )
+    return feats.select("rid", "digest", *extra), told
 
 
 def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
@@ -241,11 +274,17 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``n_links``: number of other documents whose similarity reaches the threshold, copies included;
     ``set_class_id``: the least id of the documents with the same n-gram set.
     """
-    out = _joined(df, id_col, text_col, n, similarity, recall, [], "")
-    return out.select(F.col("id").alias(id_col), "class_id", "n_links", "set_class_id")
+    docs, told = _classified(df, id_col, text_col, n, similarity, recall, [], "")
+    facts = told.select("digest", "class_id", "n_links", F.col("min_id").alias("set_class_id"))
+    known = spread_join(docs.filter("digest is not null"), facts, ["digest"], F.col("rid"))
+    alone = docs.filter("digest is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("set_class_id"))
+    return known.select("id", "class_id", "n_links", "set_class_id").unionByName(alone).select(F.col("id").alias(id_col), "class_id", "n_links", "set_class_id")
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """The rows of ``df`` that stay: of each group the one with the least id."""
-    out = _joined(df, id_col, text_col, n, similarity, recall, [row_struct(df)], f", row {df.schema.simpleString()}")
-    return unrow(out.filter("stays").select("row"), df.columns)
+    docs, told = _classified(df, id_col, text_col, n, similarity, recall, [row_struct(df)], f", row {df.schema.simpleString()}")
+    # Of the class that stays, one row stays: the first of those with its least id.
+    stays = told.filter("rep = stays_rep").select(F.col("first_rid").alias("rid"))
+    kept = docs.filter("digest is not null").join(stays, "rid", "left_semi").unionByName(docs.filter("digest is null"))
+    return unrow(kept.select("row"), df.columns)

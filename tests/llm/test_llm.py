@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lumaframe.llm import chat_template as ct
 from lumaframe.llm import language_id, licenses, lm_scoring, ngram_join, packing, toxicity
+from lumaframe.llm.common import spread_join
 from lumaframe.llm.components import connected_components
 from lumaframe.llm.decontamination import contamination, decontaminate
 from lumaframe.llm.exact_dedup import exact_dedup, exact_groups
@@ -168,6 +169,23 @@ def test_ngram_join_in_blocks(spark, near_texts, monkeypatch):
     assert [got[i] for i in range(len(lead))] == list(zip(lead, degree, strict=True))
 
 
+def test_ngram_join_of_many_sizes_in_blocks(spark, monkeypatch):
+    """A large cluster of texts of many lengths: levels of size leave out no link."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 2)
+    word = [f"w{k}" for k in range(200)]
+    texts = [" ".join(word[:n]) for n in (5, 6, 9, 10, 11, 14, 18, 23, 28, 29, 34, 35, 44, 53, 54, 64, 66, 81, 84, 100, 104, 124, 129, 154, 160, 192, 200)]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in ngram_join.ngram_jaccard_join(docs_of(spark, *texts), recall=1 - 1e-9).collect()}
+    lead, degree = brute_groups(texts)
+    assert [got[i] for i in range(len(lead))] == list(zip(lead, degree, strict=True))
+
+
+def test_spread_join(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") < 900, F.lit(1)).otherwise(F.col("id")).alias("key"), "id")
+    facts = spark.createDataFrame([(1, "hot"), (950, "one"), (5000, "none"), (None, "null")], "key long, fact string")
+    got = Counter(r["fact"] for r in spread_join(rows.unionByName(spark.createDataFrame([(None, 1)], "key long, id long")), facts, ["key"], F.col("id")).collect())
+    assert got == {"hot": 900, "one": 1}
+
+
 def test_bands_reach_the_recall():
     for similarity in (0.5, 0.8, 0.9):
         bands, rows = ngram_join.choose_bands(similarity, 0.99)
