@@ -72,18 +72,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Parts into which the rows of one key are dealt by :func:`spread_join`.
-SALTS = 256
+PARTS = 64
+
+
+def _part(by: Column) -> Column:
+    return F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int")
+
+
+def parts_of(by: Column) -> Column:
+    """Aggregate: the set of parts that rows dealt by ``by`` are in, as bits; such sets are put together by ``bit_or``."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), _part(by))).alias("parts")
 
 
 def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], by: Column) -> DataFrame:
     """``rows`` with the ``facts`` of their keys (one row a key), where one key may hold most of the rows.
 
-    The rows of a key are dealt by ``by`` into parts. Facts go to the parts that occur, of which there are
-    no more than rows, so that only keys with many rows are repeated. Null keys meet nothing.
+    The rows of a key are dealt by ``by`` into parts. ``facts`` tells in its column ``parts`` (see :func:`parts_of`)
+    which parts occur and is repeated for these, so that only keys with many rows are repeated. Null keys meet nothing.
     """
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)))
-    parts = dealt.select(*keys, "salt").distinct().join(facts, keys)
-    return dealt.join(parts, [*keys, "salt"]).drop("salt")
+    occurring = F.filter(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.getbit("parts", k) == 1)
+    spread = facts.withColumn("part", F.explode(occurring)).drop("parts")
+    return rows.withColumn("part", _part(by)).join(spread, [*keys, "part"]).drop("part")
 
 
 def crc_bucket(id_col: Column, n: int) -> Column:

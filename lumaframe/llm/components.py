@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spread_join, written
+from .common import parts_of, spread_join, written
 
 
 def _large_star(e: DataFrame) -> DataFrame:
     """Every larger neighbour of u is linked to the least node of u's neighbourhood."""
     both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return spread_join(both.filter(F.col("v") > F.col("u")), least, ["u"], F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m"), parts_of(F.col("v"))).select("u", F.least("u", "m").alias("m"), "parts")
+    return spread_join(both.filter(F.col("v") > F.col("u")), least, ["u"], F.col("v")).select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(e: DataFrame) -> DataFrame:
     """u and its smaller neighbours are linked to the least of them."""
     down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = down.groupBy("u").agg(F.min("v").alias("m"), parts_of(F.col("v")))
     met = spread_join(down, least, ["u"], F.col("v"))
     return met.select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, row_struct, spread_join, unrow, written
+from .common import bounded_batches, parts_of, row_struct, spread_join, unrow, written
 from .components import connected_components
 
 NGRAM, SIMILARITY, RECALL = 5, 0.8, 0.999
@@ -202,10 +202,10 @@ def _units(clusters: DataFrame, classes: DataFrame, feats: DataFrame, similarity
     # Sizes of linked sets differ by the factor 1/similarity at most, so by one level at most.
     level = F.floor(F.log("grams") / (math.log(1 / similarity) + 1e-6)).cast("int")
     sized = clusters.join(classes.select("rep", "size", "chars", level.alias("level")), F.col("node") == F.col("rep")).select(F.col("component").alias("cluster"), "rep", "size", "chars", "level")
-    each = sized.groupBy("cluster", "level").agg(F.count("*").alias("k"), F.sum("chars").alias("chars"))
+    each = sized.groupBy("cluster", "level").agg(F.count("*").alias("k"), F.sum("chars").alias("chars"), parts_of(F.col("rep")))
     need = F.greatest(F.ceil(F.col("k") / BLOCK), F.ceil(F.col("chars") / BLOCK_CHARS)).cast("int")
-    shape = each.groupBy("cluster").agg(F.sum("k").alias("k"), F.sum("chars").alias("all_chars"), F.map_from_entries(F.collect_list(F.struct("level", need))).alias("blocks"))
-    shape = shape.select("cluster", "blocks", ((F.col("k") <= BLOCK) & (F.col("all_chars") <= BLOCK_CHARS)).alias("whole"))
+    shape = each.groupBy("cluster").agg(F.sum("k").alias("k"), F.sum("chars").alias("all_chars"), F.map_from_entries(F.collect_list(F.struct("level", need))).alias("blocks"), F.bit_or("parts").alias("parts"))
+    shape = shape.select("cluster", "blocks", "parts", ((F.col("k") <= BLOCK) & (F.col("all_chars") <= BLOCK_CHARS)).alias("whole"))
     members = spread_join(sized, shape, ["cluster"], F.col("rep"))
     members = members.withColumn("level", F.when(F.col("whole"), 0).otherwise(F.col("level")))
 
@@ -229,7 +229,7 @@ def _units(clusters: DataFrame, classes: DataFrame, feats: DataFrame, similarity
 
 
 def _classified(df: DataFrame, id_col: str, text_col: str, n: int, similarity: float, recall: float, carry: list[Column], extra_type: str) -> tuple[DataFrame, DataFrame]:
-    """Rows (rid, digest, id, carried columns) of the documents, and classes (digest, rep, min_id, first_rid, stays_rep, class_id, n_links)."""
+    """Rows (rid, digest, id, carried columns) of the documents, and classes (digest, parts, rep, min_id, first_rid, stays_rep, class_id, n_links)."""
     spark = df.sparkSession
     bounded_batches(spark)
     bands, rows = choose_bands(similarity, recall)
@@ -249,6 +249,7 @@ def _classified(df: DataFrame, id_col: str, text_col: str, n: int, similarity: f
             F.max("chars").alias("chars"),
             F.first("bands").alias("bands"),
             F.min(F.struct(F.col("id").isNull(), "id", "rid"))["rid"].alias("first_rid"),
+            parts_of(F.col("rid")),
         ),
         "classes",
     )
@@ -260,10 +261,10 @@ def _classified(df: DataFrame, id_col: str, text_col: str, n: int, similarity: f
     links = written(units.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(_verify(n, similarity), "rep long, links long, leader long"), "links")
     groups = connected_components(links.filter("rep <> leader").select(F.col("rep").alias("u"), F.col("leader").alias("v")))
     degree = links.groupBy("rep").agg(F.sum("links").alias("links"))
-    told = classes.select("digest", "rep", "min_id", "size", "first_rid").join(groups, F.col("rep") == F.col("node"), "left").join(degree, "rep", "left").withColumn("group", F.coalesce("component", "rep")).select("digest", "rep", "min_id", "size", "first_rid", "group", F.coalesce("links", F.lit(0)).alias("links"))
+    told = classes.select("digest", "parts", "rep", "min_id", "size", "first_rid").join(groups, F.col("rep") == F.col("node"), "left").join(degree, "rep", "left").withColumn("group", F.coalesce("component", "rep")).select("digest", "parts", "rep", "min_id", "size", "first_rid", "group", F.coalesce("links", F.lit(0)).alias("links"))
     told = written(told, "told")
     names = told.groupBy("group").agg(F.min("min_id").alias("class_id"), F.min(F.struct(F.col("min_id").isNull(), "min_id", "rep"))["rep"].alias("stays_rep"))
-    told = told.join(names, "group").select("digest", "rep", "min_id", "first_rid", "stays_rep", "class_id", (F.col("links") + F.col("size") - 1).alias("n_links"))
+    told = told.join(names, "group").select("digest", "parts", "rep", "min_id", "first_rid", "stays_rep", "class_id", (F.col("links") + F.col("size") - 1).alias("n_links"))
     return feats.select("rid", "digest", *extra), told
 
 
@@ -275,7 +276,7 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ``set_class_id``: the least id of the documents with the same n-gram set.
     """
     docs, told = _classified(df, id_col, text_col, n, similarity, recall, [], "")
-    facts = told.select("digest", "class_id", "n_links", F.col("min_id").alias("set_class_id"))
+    facts = told.select("digest", "parts", "class_id", "n_links", F.col("min_id").alias("set_class_id"))
     known = spread_join(docs.filter("digest is not null"), facts, ["digest"], F.col("rid"))
     alone = docs.filter("digest is null").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("set_class_id"))
     return known.select("id", "class_id", "n_links", "set_class_id").unionByName(alone).select(F.col("id").alias(id_col), "class_id", "n_links", "set_class_id")

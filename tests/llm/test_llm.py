@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from lumaframe.llm import chat_template as ct
 from lumaframe.llm import language_id, licenses, lm_scoring, ngram_join, packing, toxicity
-from lumaframe.llm.common import spread_join
+from lumaframe.llm.common import parts_of, spread_join
 from lumaframe.llm.components import connected_components
 from lumaframe.llm.decontamination import contamination, decontaminate
 from lumaframe.llm.exact_dedup import exact_dedup, exact_groups
@@ -181,9 +181,12 @@ def test_ngram_join_of_many_sizes_in_blocks(spark, monkeypatch):
 
 def test_spread_join(spark):
     rows = spark.range(1000).select(F.when(F.col("id") < 900, F.lit(1)).otherwise(F.col("id")).alias("key"), "id")
-    facts = spark.createDataFrame([(1, "hot"), (950, "one"), (5000, "none"), (None, "null")], "key long, fact string")
-    got = Counter(r["fact"] for r in spread_join(rows.unionByName(spark.createDataFrame([(None, 1)], "key long, id long")), facts, ["key"], F.col("id")).collect())
+    rows = rows.unionByName(spark.createDataFrame([(None, 1)], "key long, id long"))
+    names = spark.createDataFrame([(1, "hot"), (950, "one"), (5000, "none"), (None, "null")], "key long, fact string")
+    facts = rows.groupBy("key").agg(parts_of(F.col("id"))).join(names, "key")
+    got = Counter(r["fact"] for r in spread_join(rows, facts, ["key"], F.col("id")).collect())
     assert got == {"hot": 900, "one": 1}
+    assert facts.filter("key = 950").first()["parts"] != 0
 
 
 def test_bands_reach_the_recall():
