@@ -95,6 +95,13 @@ def spread_join(rows: DataFrame, facts: DataFrame, keys: list[str], by: Column)
     return rows.withColumn("part", _part(by)).join(spread, [*keys, "part"]).drop("part")
 
 
+def table_columns(df: DataFrame, *names: str) -> None:
+    """Say which columns are missing before any job runs."""
+    missing = [n for n in names if n not in df.columns]
+    if missing:
+        raise ValueError(f"columns are missing: {', '.join(missing)}")
+
+
 def crc_bucket(id_col: Column, n: int) -> Column:
     """crc32 of the id written as text, modulo ``n`` (a null id: of the empty text)."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % n

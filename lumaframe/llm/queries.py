@@ -80,8 +80,26 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import embedding_near_dedup
+
+    return embedding_near_dedup(table(spark, sf_dir, "embeddings"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .merkle import manifest_digests
+
+    return manifest_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .vector_codes import vector_codes
+
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_language_id, op2_decontamination, op3_exact_dedup, op4_license_scan, op5_best_fit_packing, op6_ngram_jaccard_join, op7_chat_formatting, op8_lm_scoring, op9_toxicity, op10_html_extraction)
+    f.__name__: f for f in (op1_language_id, op2_decontamination, op3_exact_dedup, op4_license_scan, op5_best_fit_packing, op6_ngram_jaccard_join, op7_chat_formatting, op8_lm_scoring, op9_toxicity, op10_html_extraction, op11_embedding_near_dedup, op12_merkle_manifest, op13_vector_codes)
 }
 
 _WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -124,4 +142,40 @@ SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
        sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        CAST(sum(12 + length(er) + 1 + length(et) + 11) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op12_merkle_manifest": r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, lang, n_chars, text,
+         list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                     lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: xor(x >> 1, 3988292384 * (x & 1)))) AS c
+  FROM documents),
+e AS (
+  SELECT doc_id, source, xor(c, 4294967295) % 5 = 0 AS hit, text,
+         coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-')
+         || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head FROM d),
+l AS (
+  SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS total
+  FROM (SELECT doc_id, source, hit, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+               sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS lowered FROM e)),
+t(level, source, idx, total, digest) AS (
+  SELECT 0, source, idx, total, leaf FROM l
+  UNION ALL
+  SELECT level + 1, source, idx // 16, (total + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM t WHERE total > 1 GROUP BY level, source, idx // 16, total),
+s AS (SELECT source, level AS height, digest AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS idx, count(*) OVER () AS total FROM t WHERE total = 1),
+u(level, idx, total, digest) AS (
+  SELECT 0, idx, total, subroot FROM s
+  UNION ALL
+  SELECT level + 1, idx // 16, (total + 15) // 16, sha256(string_agg(digest, '' ORDER BY idx)) FROM u WHERE total > 1 GROUP BY level, idx // 16, total),
+n AS (SELECT l.doc_id, l.source, l.idx, l.leaf, CASE WHEN hit THEN lowered ELSE leaf END AS start, s.subroot, s.height, s.idx AS at,
+             row_number() OVER () AS r FROM l JOIN s ON l.source IS NOT DISTINCT FROM s.source),
+sib AS (
+  SELECT r, t.level AS step, t.idx AS i, t.digest, n.idx // (16 ** t.level)::BIGINT AS me FROM n JOIN t ON n.source IS NOT DISTINCT FROM t.source
+  AND t.total > 1 AND t.idx // 16 = n.idx // (16 ** (t.level + 1))::BIGINT
+  UNION ALL
+  SELECT r, n.height + u.level, u.idx, u.digest, n.at // (16 ** u.level)::BIGINT FROM n JOIN u ON u.total > 1 AND u.idx // 16 = n.at // (16 ** (u.level + 1))::BIGINT),
+w AS (SELECT r, step, coalesce(string_agg(digest, '' ORDER BY i) FILTER (i < me), '') AS before, coalesce(string_agg(digest, '' ORDER BY i) FILTER (i > me), '') AS after FROM sib GROUP BY r, step),
+f(r, step, digest) AS (SELECT r, 0, start FROM n UNION ALL SELECT w.r, f.step + 1, sha256(before || digest || after) FROM f JOIN w ON f.r = w.r AND f.step = w.step),
+p AS (SELECT r, sha256(string_agg(before || after, '' ORDER BY step)) AS proof FROM w GROUP BY r),
+g AS (SELECT r, arg_max(digest, step) AS folded FROM f GROUP BY r)
+SELECT doc_id, leaf, subroot, top.digest AS root, coalesce(proof, sha256('')) AS proof_sha256, folded AS folded_root, folded = top.digest AS verified
+FROM n JOIN g USING (r) LEFT JOIN p USING (r), (SELECT digest FROM u WHERE total = 1) AS top""",
 }
