@@ -109,7 +109,34 @@ def _lower(column: str) -> str:
     return f"translate({column}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+
+def _codes_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Each round is a step of two relations: every part's nearest entry, and the codebooks made of these."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (
+  SELECT vec_id, p, min(struct_pack(d := d, e := e)) AS m
+  FROM (SELECT x.vec_id, x.p, c.e, (list_inner_product(x.q, x.q) + list_inner_product(c.q, c.q) - 2 * list_inner_product(x.q, c.q))::BIGINT AS d FROM x JOIN c{k} AS c USING (p)) GROUP BY vec_id, p)""")
+        if k < rounds:
+            steps.append(f"""c{k + 1} AS MATERIALIZED (
+  SELECT p, e, coalesce(n.q, c{k}.q) AS q FROM c{k} LEFT JOIN (
+    SELECT p, e, list(v ORDER BY i) AS q FROM (
+      SELECT p, e, i, floor(sum(v::BIGINT) / count(*))::DOUBLE AS v FROM (
+        SELECT x.p, a.m.e AS e, unnest(range(1, len(x.q) + 1)) AS i, unnest(x.q) AS v FROM x JOIN a{k} AS a USING (vec_id, p)) GROUP BY p, e, i) GROUP BY p, e) AS n USING (p, e))""")
+    return f"""
+WITH k AS MATERIALIZED (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT vec_id, p, v[p * len(v) // {parts} + 1:(p + 1) * len(v) // {parts}] AS q FROM k, range({parts}) AS r(p)),
+c0 AS MATERIALIZED (SELECT p, e, q FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM k QUALIFY e < {entries}) USING (vec_id)),
+{", ".join(steps)},
+books AS (SELECT sha256(string_agg(array_to_string(list_transform(q, lambda x: x::BIGINT), ','), ',' ORDER BY p, e)) AS digest FROM c{rounds}),
+r AS (SELECT vec_id, string_agg(format('{{:02x}}', m.e), '' ORDER BY p) AS code, sum(m.d)::BIGINT AS error FROM a{rounds} GROUP BY vec_id)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, digest AS codebooks_sha256 FROM r JOIN k USING (vec_id), books"""
+
+
 ORACLES: dict[str, str] = {
+    "op13_vector_codes": _codes_sql(),
     "op2_decontamination": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '{_WORD}') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_lower("coalesce(text, '')")}, '{_WORD}') AS w FROM benchmark),

@@ -69,7 +69,10 @@ class Codebook:
     def __init__(self, entries: np.ndarray):
         self.entries = entries.astype(np.int64)
         self.forms = short_forms(self.entries)
+        self.squares = [(g**2).sum(1) for g in self.forms]
         self.norm = np.sqrt((self.entries.astype(float) ** 2).sum(1))
+        self.small = self.entries.astype(float)
+        self.most = np.abs(self.entries).max(initial=0)
         self.compared = self.possible = 0  # pairs compared exactly, pairs in all
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,36 +80,39 @@ class Codebook:
         found = [self._nearest(x[i : i + CHUNK]) for i in range(0, len(x), CHUNK)]
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
-    def _exact(self, x: np.ndarray, row: np.ndarray, entry: np.ndarray) -> np.ndarray:
-        d = x[row] - self.entries[entry]
-        return np.einsum("ij,ij->i", d, d)
+    def _exact(self, x: np.ndarray, entries: np.ndarray, row: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        d = x.take(row, 0)
+        d -= entries.take(entry, 0)
+        return np.einsum("ij,ij->i", d, d).astype(np.int64)
 
     def _nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, k = len(x), len(self.entries)
+        n, every = len(x), np.arange(len(x))
         forms = short_forms(x)
-        # Rounding of a bound: a few units in the last place of the squares it is made of. A squared residual norm may be off by as much.
-        size = np.sqrt((x.astype(float) ** 2).sum(1))
-        margin = lambda row, entry: 1e-7 * (1 + size[row] + self.norm[entry]) + 1e-11 * (size[row] + self.norm[entry]) ** 2
-        f, g = forms[0], self.forms[0]
-        bound = np.maximum(((f[:, None, :] - g[None]) ** 2).sum(2) - margin(np.arange(n)[:, None], np.arange(k)[None]), 0)
-        first = bound.argmin(1)
-        best = self._exact(x, np.arange(n), first)
-        row, entry = np.nonzero(bound <= best[:, None])
-        for f, g in zip(forms[1:], self.forms[1:], strict=True):
-            bound = ((f[row] - g[entry]) ** 2).sum(1) - margin(row, entry)
-            starts = np.searchsorted(row, np.arange(n))  # each row keeps its best entry at least
-            least = np.minimum.reduceat(bound, starts)
-            at = np.flatnonzero(bound == least[row])
-            pick = at[np.searchsorted(row[at], np.arange(n))]
-            best = np.minimum(best, self._exact(x, np.arange(n), entry[pick]))
-            keep = bound <= best[row]
-            row, entry = row[keep], entry[keep]
-        d = self._exact(x, row, entry)
+        norm = np.sqrt((x.astype(float) ** 2).sum(1))
+        entries = self.entries
+        # Doubles hold these whole numbers, their differences, squares and sums exactly.
+        if (max(np.abs(x).max(initial=0), self.most) * 2) ** 2 * max(x.shape[1], 1) < 2**52:
+            x, entries = x.astype(float), self.small
+        # A residual norm's square is off by a few units in the last place of the vector's, so a norm near zero by some 1e-8
+        # of the vector's norm; a bound is then off by less than this.
+        margin = 1e-7 * (norm[:, None] + self.norm[None]) ** 2 + 1e-6
+        alive = np.ones(margin.shape, bool)
+        best = None
+        for f, g, squares in zip(forms, self.forms, self.squares, strict=True):
+            bound = (f**2).sum(1)[:, None] + squares[None] - 2 * (f @ g.T) - margin
+            bound[~alive] = np.inf
+            found = self._exact(x, entries, every, bound.argmin(1))
+            best = found if best is None else np.minimum(best, found)
+            alive &= bound <= best[:, None]
+            if alive.sum() == n:  # one entry a row
+                break
+        row, entry = np.nonzero(alive)
+        d = self._exact(x, entries, row, entry)
         self.compared += len(row)
-        self.possible += n * k
-        least = np.minimum.reduceat(d, np.searchsorted(row, np.arange(n)))
+        self.possible += alive.size
+        least = np.minimum.reduceat(d, np.searchsorted(row, every))  # each row keeps its best entry at least
         at = np.flatnonzero(d == least[row])
-        return entry[at[np.searchsorted(row[at], np.arange(n))]], least
+        return entry[at[np.searchsorted(row[at], every)]], least
 
 
 def _edges(length: int, parts: int) -> list[int]:
