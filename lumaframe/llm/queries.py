@@ -136,6 +136,17 @@ SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS la
 
 
 ORACLES: dict[str, str] = {
+    "op11_embedding_near_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, coalesce(label IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS sound,
+         CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+l AS MATERIALIZED (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.sound AND b.sound AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(u, v) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.u, l.v FROM r JOIN l ON r.v = l.u),
+c AS (SELECT u, min(v) AS component_id FROM r GROUP BY u),
+n AS (SELECT u, count(*) AS n_links FROM l GROUP BY u)
+SELECT v.vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, v.vec_id = component_id AS kept FROM v JOIN c ON c.u = v.vec_id LEFT JOIN n ON n.u = v.vec_id""",
     "op13_vector_codes": _codes_sql(),
     "op2_decontamination": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_lower("coalesce(text, '')")}, '{_WORD}') AS w FROM documents),
