@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumaframe.llm import chat_template as ct
-from lumaframe.llm import language_id, licenses, lm_scoring, ngram_join, packing, toxicity
+from lumaframe.llm import html_text, language_id, licenses, lm_scoring, ngram_join, packing, toxicity
 from lumaframe.llm.common import parts_of, spread_join
 from lumaframe.llm.components import connected_components
 from lumaframe.llm.decontamination import contamination, decontaminate
@@ -475,6 +475,111 @@ def test_boilerplate_names():
     assert main_text("<body><p>sum <math><mi>a</mi><mo>+</mo><mi>b</mi></math> of <label>two</label> terms<xmp>a <b> c</xmp></body>").split("\n\n") == ["sum a+b of two terms", "a <b> c"]
 
 
+PARAGRAPHS = [f"{k} words of an article that goes on for quite a while, so that its paragraphs are dense" for k in range(12)]
+
+
+@pytest.mark.parametrize("wrapper", ["article", "div"])
+@pytest.mark.parametrize(
+    "fragment, want",
+    [
+        ('<p title="the hidden valley">kept text</p>', "kept text"),
+        ('<p><a title="hidden gem" href=/>kept text</a> and more</p>', "kept text and more"),
+        ("<p data-state=hidden>kept text</p>", "kept text"),
+        ("<p data-id='ad'>kept text</p>", "kept text"),
+        ("<div data-class='sidebar' data-role='navigation'>kept text</div>", "kept text"),
+        ('<h2 id="side-effects">kept text</h2>', "kept text"),
+        ('<h2 id="related-work">kept text</h2>', "kept text"),
+        ('<h2 id="navigation">kept text</h2>', "kept text"),
+        ('<section id="legal-aspects"><h2>Legal aspects</h2><p>kept text</p></section>', "Legal aspects\n\nkept text"),
+        ('<section id="navigation"><h2>Navigation</h2><p>kept text</p></section>', "Navigation\n\nkept text"),
+        ('<div class="share-price">kept text</div>', "kept text"),
+        ('<div class="social-science adaptive">kept text</div>', "kept text"),
+        ("<pre>x = 1 <span class=comment>kept text</span></pre>", "x = 1 kept text"),
+        ("<p>press <button>kept text</button> now</p>", "press kept text now"),
+        ("<p><video src=x>kept text</video></p>", "kept text"),
+        ("<p><object data=x>kept text</object><canvas>too</canvas><audio>as well</audio></p>", "kept texttooas well"),
+        ("<fieldset>kept text</fieldset><p><select><option>one</option></select></p>", "kept text\n\none"),
+        ("<textarea>kept &amp; text</textarea>", "kept & text"),
+        ('<div class="ad">gone</div>', None),
+        ('<div class="post-ads">gone</div>', None),
+        ('<div class="socialShare">gone</div>', None),
+        ('<div id="comments"><h2>Comments</h2><p>gone</p></div>', None),
+        ('<section class="comment-list"><p>gone</p></section>', None),
+        ('<div class="related-work"><a href=/>gone</a> <a href=/>gone</a></div>', None),
+        ("<form><p>gone</p><button>gone</button></form>", None),
+        ("<div hidden>gone</div><div style='DISPLAY: none'>gone</div><div role=navigation>gone</div>", None),
+        ("<nav>gone</nav><aside>gone</aside><footer>gone</footer><script>gone</script>", None),
+    ],
+)
+def test_what_stays_of_an_article(wrapper, fragment, want):
+    half = ["".join(f"<p>{x}</p>" for x in part) for part in (PARAGRAPHS[:6], PARAGRAPHS[6:])]
+    page = f"<html><body><nav><a href=/>Home</a></nav><{wrapper}>{half[0]}{fragment}{half[1]}</{wrapper}><footer>us</footer></body></html>"
+    assert main_text(page) == "\n\n".join([*PARAGRAPHS[:6], *([want] if want else []), *PARAGRAPHS[6:]])
+
+
+def test_headers_of_articles_stay():
+    text = "".join(f"<p>{x}</p>" for x in PARAGRAPHS)
+    page = f"<body><header><p>a site</p></header><article><header><p>by someone</p></header>{text}</article></body>"
+    assert main_text(page) == "\n\n".join(["by someone", *PARAGRAPHS])
+
+
+def brute_densities(node):
+    """Density sums by the definition, each node's counts gathered anew."""
+
+    def below(n):
+        for c in n.children:
+            if not isinstance(c, str):
+                yield c
+                yield from below(c)
+
+    def texts(n, linked):
+        for c in n.children:
+            if isinstance(c, str):
+                yield len(re.sub(r"\s+", " ", c.strip())), linked
+            else:
+                yield from texts(c, linked or c.tag == "a")
+
+    def counts(n):
+        found = list(texts(n, False))
+        inside = list(below(n))
+        return sum(k for k, _ in found), len(inside), sum(k for k, linked in found if linked), sum(c.tag == "a" for c in inside)
+
+    body = next(n for n in [node, *below(node)] if n.tag == "body")
+    chars, _, linked, _ = counts(body)
+
+    def density(n):
+        c, t, lc, lt = counts(n)
+        if not c or n.noise:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + linked / max(chars, 1) * c + math.e)
+        return c / max(t, 1) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0)) / math.log(max(base, math.e))
+
+    return {id(n): sum(density(c) for c in n.children if not isinstance(c, str)) for n in [node, *below(node)]}
+
+
+def test_densities_by_definition(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").limit(10).collect():
+        for page in (r["html"], r["html"].replace("article>", "div>"), PAGE):
+            root = html_text.parse(page)
+            nodes = html_text.densities(root)
+            want = brute_densities(root)
+            assert all(math.isclose(n.total, want[id(n)], rel_tol=1e-9, abs_tol=1e-9) for n in nodes)
+            best = max(nodes, key=lambda n: n.total)
+            up = html_text.main_node(root)
+            while best is not None and best is not up:  # the content holds the node of the largest sum
+                best = best.parent
+            assert best is up
+
+
+def test_main_text_of_rows(spark):
+    kind = "page_id long, html string, text string, row string"
+    df = spark.createDataFrame([(1, None, "a", "b"), (2, "", "a", "b"), (3, PAGE, "a", "b"), (3, PAGE, "a", "b"), (None, "<p>" + "long text " * 200_000, "a", "b")], kind)
+    rows = html_text.extract_main_text(df).collect()
+    assert [r["row"] for r in rows] == ["b"] * 5 and html_text.extract_main_text(df).columns == df.columns
+    assert [r["text"] for r in rows] == ["", "", main_text(PAGE), main_text(PAGE), ("long text " * 200_000).strip()]
+    assert html_text.extract_main_text(spark.createDataFrame([], kind)).count() == 0
+
+
 # --- queries and the pipeline ------------------------------------------------------------------------------
 
 
