@@ -51,18 +51,14 @@ def match_descriptors(query: DataFrame, train: DataFrame, idx: str = "idx", vec:
     return near.groupBy("query_idx").agg(F.min(F.struct("distance", "train_idx")).alias("m")).select("query_idx", F.col("m.train_idx").alias("train_idx"), F.col("m.distance").alias("distance"))
 
 
-def approximate_matches(query: DataFrame, train: DataFrame, radius: float, idx: str = "idx", vec: str = "vec", width: float = 1.0, tables: int = 5) -> DataFrame:
-    """As :func:`match_descriptors`, by random-projection hashing within ``radius`` (recall under 1); queries without a hit there are matched exactly."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+def approximate_matches(query: DataFrame, train: DataFrame, radius: float | None = None, idx: str = "idx", vec: str = "vec", **options) -> DataFrame:
+    """As :func:`match_descriptors`, by a search that leaves out what can't be near; unlike a tree with a budget of checks it loses no row.
+
+    ``radius`` is accepted for callers that give one; rows beyond it are found too.
+    """
+    from .nearest import pivot_matches
 
-    side = lambda df: df.select(F.col(idx).alias("i"), array_to_vector(F.col(vec).cast("array<double>")).alias("v"))
-    a, b = side(query), side(train)
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=width, numHashTables=tables, seed=7).fit(b)
-    found = model.approxSimilarityJoin(a, b, radius, "distance")
-    near = found.groupBy(F.col("datasetA.i").alias("query_idx")).agg(F.min(F.struct("distance", F.col("datasetB.i").alias("train_idx"))).alias("m")).select("query_idx", "m.train_idx", "m.distance").persist()
-    left = query.join(near, F.col(idx) == near["query_idx"], "left_anti")
-    return near.unionByName(match_descriptors(left, train, idx, vec))
+    return pivot_matches(query, train, idx, vec, **options)
 
 
 def _distances(vec: Column, centroids: list[list[float]]) -> Column:

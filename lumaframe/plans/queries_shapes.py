@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import shapes
-from ..operators import drawing, features, geometry, matching, models, segmentation, tracking, video
+from ..operators import drawing, features, geometry, matching, models, nearest, segmentation, tracking, video
 from ..sources import images as sources
 from ..schema import to_pixels
 from ..streaming import stateful
@@ -31,7 +31,22 @@ _NN = "SELECT a.vec_id AS query_idx, b.vec_id AS train_idx, list_distance(CAST(a
 _NN1 = f"SELECT query_idx, train_idx, round(dist, 5) AS distance FROM ({_NN}) QUALIFY row_number() OVER (PARTITION BY query_idx ORDER BY dist, train_idx) = 1"
 for _name in ("match_descriptors", "find_matches"):  # exact search answers both
     add(_name, lambda s, d: matching.match_descriptors(*_sides(s, d)).withColumn("distance", F.round("distance", 5)), _NN1)
-add("find_matches_approximate", lambda s, d: matching.approximate_matches(*_sides(s, d), radius=1.2).withColumn("distance", F.round("distance", 5)))
+add("find_matches_approximate", lambda s, d: matching.approximate_matches(*_sides(s, d)).withColumn("distance", F.round("distance", 5)), _NN1)
+
+
+def _goods(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Points of few dimensions: prices, sizes and balances of parts, and of customers."""
+    part = table(s, d, "part").select(F.col("p_partkey").alias("idx"), F.array(F.col("p_retailprice") / 100, F.col("p_size").cast("double"), (F.col("p_partkey") % 97).cast("double")).alias("vec"))
+    customer = table(s, d, "customer").select(F.col("c_custkey").alias("idx"), F.array(F.col("c_acctbal") / 100, F.col("c_nationkey").cast("double") * 2, (F.col("c_custkey") % 97).cast("double")).alias("vec"))
+    return customer, part
+
+
+add(
+    "pivot_search", lambda s, d: nearest.pivot_matches(*_goods(s, d)).withColumn("distance", F.round("distance", 5)),
+    "SELECT query_idx, train_idx, round(dist, 5) AS distance FROM (SELECT c_custkey AS query_idx, p_partkey AS train_idx,"
+    " sqrt(pow(c_acctbal / 100 - p_retailprice / 100, 2) + pow(c_nationkey * 2 - p_size, 2) + pow(c_custkey % 97 - p_partkey % 97, 2)) AS dist FROM customer, part)"
+    " QUALIFY row_number() OVER (PARTITION BY query_idx ORDER BY dist, train_idx) = 1",
+)
 
 
 def _kmeans(s: SparkSession, d: str) -> DataFrame:

@@ -26,6 +26,12 @@ def img8rgb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("image_id", F.lit(3).alias("c"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.flatten(F.transform("p", lambda p: p["plane"])).alias("data"))
 
 
+def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as the rows of one image as high as the table is long, as pixels; a missing row is black."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("y"), F.posexplode(F.transform("embedding", _unit)).alias("x", "v"))
+    return e.select(F.lit(0).cast("long").alias("image_id"), F.lit(0).alias("ch"), F.col("y").cast("int").alias("y"), "x", "v")
+
+
 def colors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Colours (r, g, b) from line items, distinct."""
     clamp = lambda c: F.least(F.greatest(c, F.lit(0.0)), F.lit(1.0))

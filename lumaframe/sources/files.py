@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
 from pyarrow import fs
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,3 +47,42 @@ class Whole:
             self.fs.move(self.part, self.name)
         else:
             self.fs.delete_file(self.part)
+
+
+#: Folders still to be deleted, by session.
+_LEFT: dict[str, SparkSession] = {}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        jvm = spark.sparkContext._jvm
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session ended before the interpreter did
+        pass
+
+
+@atexit.register
+def _delete_all() -> None:
+    for path, spark in list(_LEFT.items()):
+        _delete(spark, path)
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder, read back: lineage ends here, and numbers that a task gave stay as they are.
+
+    The table goes with the interpreter, or earlier by :func:`used_up`.
+    """
+    spark = df.sparkSession
+    path = new_folder(spark, name)
+    _LEFT[path] = spark
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def used_up(table: DataFrame) -> None:
+    """Delete a table of :func:`written` that nothing reads any more, such as one of an earlier round."""
+    for path, spark in list(_LEFT.items()):
+        if any(f"/{path.rsplit('/', 1)[1]}/" in f for f in table.inputFiles()[:1]):
+            _delete(spark, path)
+            del _LEFT[path]
