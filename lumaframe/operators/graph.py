@@ -33,3 +33,26 @@ def components(edges: DataFrame, group: str = "image_id") -> DataFrame:
         if not changed:
             used_up(both)
             return roots
+
+
+def first_kept(nodes: DataFrame, clashes: DataFrame, group: str) -> DataFrame:
+    """Greedy choice in order: nodes (group, node) that clash with no kept node before them; ``clashes`` (group, a, b) has a before b.
+
+    In each round every open node without an open node before it that it clashes with is kept, and what clashes with the kept
+    ones goes. Rounds are as many as the longest chain of clashes that decide each other; a group may have any size.
+    """
+    left = written(clashes.select(group, "a", "b").distinct(), "clashes")
+    gone = None  # nodes that clash with a kept one
+    while True:
+        # Sources: named first in a clash and never second, so nothing open stands before them.
+        sources = left.select(group, F.col("a").alias("node")).distinct().join(left.select(group, F.col("b").alias("node")).distinct(), [group, "node"], "left_anti")
+        fall = written(left.join(sources.withColumnRenamed("node", "a"), [group, "a"]).select(group, F.col("b").alias("node")).distinct(), "fallen")
+        if not fall.limit(1).count():
+            break
+        gone = fall if gone is None else gone.unionByName(fall)
+        out = fall.select(group, "node")
+        rest = left.join(out.withColumnRenamed("node", "a"), [group, "a"], "left_anti").join(out.withColumnRenamed("node", "b"), [group, "b"], "left_anti")
+        rest = written(rest.select(group, "a", "b"), "clashes")
+        used_up(left)
+        left = rest
+    return nodes if gone is None else nodes.join(gone.distinct(), [group, "node"], "left_anti")
