@@ -41,7 +41,7 @@ NGRAM, SIMILARITY, RECALL = 5, 0.8, 0.999
 #: Most hash functions of a signature.
 SIGNATURE = 320
 #: Classes and characters in one block of a cluster, about.
-BLOCK, BLOCK_CHARS = 256, 2_000_000
+BLOCK, BLOCK_CHARS = 512, 4_000_000
 _WORDS = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 
 
@@ -130,25 +130,32 @@ def _features(n: int, bands: int, rows: int, extra: list[str]):
     return run
 
 
-def linked(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Boolean matrix of the pairs of non-empty sets with Jaccard similarity of at least ``similarity``."""
-    k, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+def linked(sets: list[np.ndarray], similarity: float, cut: int = 0) -> np.ndarray:
+    """Boolean matrix of the pairs of non-empty sets with Jaccard similarity of at least ``similarity``; with ``cut``, of the first so many sets with the others."""
+    sizes = np.array([len(s) for s in sets], np.int64)
     values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    doc = np.repeat(np.arange(k), sizes)
-    shared = counts[inverse] > 1
-    column = np.cumsum(counts > 1) - 1
-    doc, col = doc[shared], column[inverse[shared]]
-    both = np.zeros((k, k), np.float32)
-    width, order = int((counts > 1).sum()), np.argsort(col, kind="stable")
+    doc = np.repeat(np.arange(len(sets)), sizes)
+    if cut:  # only what occurs on both sides can be shared
+        left = np.bincount(inverse[doc < cut], minlength=len(values))
+        wanted = (left > 0) & (counts > left)
+    else:
+        wanted = counts > 1
+    column = np.cumsum(wanted) - 1
+    doc, col = doc[wanted[inverse]], column[inverse[wanted[inverse]]]
+    order = np.argsort(col, kind="stable")
     doc, col = doc[order], col[order]
+    a, b = (slice(0, cut), slice(cut, len(sets))) if cut else (slice(0, len(sets)),) * 2
+    both = np.zeros((len(sizes[a]), len(sizes[b])), np.float32)
+    width = int(wanted.sum())
     for at in range(0, width, 4096):
         lo, hi = np.searchsorted(col, (at, at + 4096))
-        m = np.zeros((k, min(4096, width - at)), np.float32)
+        m = np.zeros((len(sets), min(4096, width - at)), np.float32)
         m[doc[lo:hi], col[lo:hi] - at] = 1
-        both += m @ m.T
-    union = sizes[:, None] + sizes[None, :] - both
+        both += m[a] @ m[b].T
+    union = sizes[a][:, None] + sizes[b][None, :] - both
     out = both >= similarity * union - 1e-9
-    np.fill_diagonal(out, False)
+    if not cut:
+        np.fill_diagonal(out, False)
     return out
 
 
@@ -158,21 +165,27 @@ def _verify(n: int, similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingles(n)
         unit, held, out = None, [], []
+        never = np.iinfo(np.int64).max
 
         def solve():
+            # Two blocks: pairs within one of them belong to its own unit.
+            cut = sum(not x[2] for x in held) if unit[1] != unit[2] else 0
+            if unit[1] != unit[2] and cut in (0, len(held)):
+                return
+            held.sort(key=lambda x: x[2])
             rep, size = np.array([x[0] for x in held]), np.array([x[1] for x in held])
-            adj = linked([make(x[3]) for x in held], similarity)
-            if unit[1] != unit[2]:  # two blocks: pairs within one of them belong to its own unit
-                side = np.array([x[2] for x in held])
-                adj &= side[:, None] != side[None, :]
+            adj = linked([make(x[3]) for x in held], similarity, cut)
             leader = rep.copy()
+            a, b = (slice(0, cut), slice(cut, len(held))) if cut else (slice(0, len(held)),) * 2
             while True:  # least class of each component inside the unit
-                near = np.where(adj, leader[None, :], np.iinfo(np.int64).max).min(1)
-                new = np.minimum(leader, near)
+                new = leader.copy()
+                new[a] = np.minimum(new[a], np.where(adj, leader[b][None, :], never).min(1))
+                if cut:
+                    new[b] = np.minimum(new[b], np.where(adj, leader[a][:, None], never).min(0))
                 if (new == leader).all():
                     break
                 leader = new
-            out.append((rep, adj @ size, leader))
+            out.append((rep, np.concatenate([adj @ size[b], size[a] @ adj]) if cut else adj @ size, leader))
 
         def flush():
             cols = [np.concatenate(c) for c in zip(*out, strict=True)]
