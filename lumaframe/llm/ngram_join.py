@@ -70,7 +70,7 @@ class Shingles:
         if not words:
             return np.zeros(0, np.uint64)
         cache = self.cache
-        if len(cache) > 500_000:
+        if len(cache) > 150_000:
             cache.clear()
         for w in words:
             if w not in cache:

@@ -40,7 +40,7 @@ FAN_IN = 16
 #: Receiving bins of a merged group, in multiples of the fan-in.
 REACH = 64
 #: Cached chunks, and words, of a worker in each of two generations.
-CACHE = 500_000
+CACHE = 150_000
 #: Characters of the longest chunk that is cached.
 LONGEST = 64
 #: Slices of a merged group whose emptiest bins are found side by side, so that no window holds all of its bins.
