@@ -99,23 +99,48 @@ def kmeans_fit(df: DataFrame, k: int, max_iter: int, idx: str = "idx", vec: str
     return centroids
 
 
-def iou_pairs(boxes: DataFrame, least: float) -> DataFrame:
-    """Pairs of boxes of a group (seq_a < seq_b) with an overlap of at least ``least``, which is over 0.
+def _met_boxes(boxes: DataFrame, *keep: str) -> DataFrame:
+    """Pairs of boxes of a group that may overlap, each once: (group_id, and of both sides ``keep``, seq, box).
 
-    Boxes meet by group and cell of a grid whose cells are as large as the largest box, so a box lies in four cells at
-    most; a pair is taken in the first cell that both lie in.
+    A box is entered in the cells of a grid of its size class (cells as wide as its longer side, rounded up to a power of two; four cells at most), and asks the
+    cells that it touches of every larger class in its group (four a class). So a huge box meets those under it, and others meet neighbours of their size.
     """
+    level = F.greatest(F.ceil(F.log2(F.greatest(F.col("width"), F.col("height"), F.lit(1)).cast("double"))), F.lit(0)).cast("int")
+    b = boxes.select("group_id", *keep, "seq", F.struct("x", "y", "width", "height").alias("box"), level.alias("level"))
+    classes = b.groupBy("group_id").agg(F.collect_set("level").alias("levels"))  # a few dozen a group
+    asking = b.join(classes, "group_id").withColumn("at", F.explode(F.filter("levels", lambda k: k >= F.col("level")))).drop("levels")
+    cell = lambda v: F.floor(v / F.pow(F.lit(2.0), F.col("at"))).cast("long")
+    low = asking.withColumn("x0", cell(F.col("box.x"))).withColumn("y0", cell(F.col("box.y")))
+    ends = low.withColumn("cx", F.explode(F.sequence("x0", cell(F.col("box.x") + F.col("box.width"))))).withColumn("cy", F.explode(F.sequence("y0", cell(F.col("box.y") + F.col("box.height")))))
+    side = lambda e, rows: rows.select("group_id", "at", "cx", "cy", *[F.col(c).alias(c + e) for c in (*keep, "seq", "box", "level", "x0", "y0")])
+    # The larger box is at home in the cells; of one class the smaller number asks. A pair is taken in the first cell that both touch.
+    met = side("_a", ends).join(side("_b", ends.filter("at = level")), ["group_id", "at", "cx", "cy"]).filter("(level_a < level_b OR level_a = level_b AND seq_a < seq_b) AND cx = greatest(x0_a, x0_b) AND cy = greatest(y0_a, y0_b)")
+    swap = F.col("seq_a") > F.col("seq_b")
+    both = [F.when(swap, F.col(f"{c}_{p}")).otherwise(F.col(f"{c}_{q}")).alias(f"{c}_{e}") for c in (*keep, "seq", "box") for e, p, q in (("a", "b", "a"), ("b", "a", "b"))]
+    return met.select("group_id", *both)
+
+
+def iou_pairs(boxes: DataFrame, least: float) -> DataFrame:
+    """Pairs of boxes of a group (seq_a < seq_b) with an overlap of at least ``least``, which is over 0; boxes meet by cells of size classes."""
     if least <= 0:
         raise InvalidParameter("boxes that do not meet have no overlap")
-    top = boxes.agg(F.max("width").alias("tw"), F.max("height").alias("th"))  # one row
-    cell = lambda v, side: F.floor(v / F.greatest(side, F.lit(1)))
-    b = boxes.crossJoin(F.broadcast(top)).select(
-        "group_id", "seq", F.struct("x", "y", "width", "height").alias("box"), cell(F.col("x"), F.col("tw")).alias("x0"), cell(F.col("y"), F.col("th")).alias("y0"), cell(F.col("x") + F.col("width"), F.col("tw")).alias("x1"), cell(F.col("y") + F.col("height"), F.col("th")).alias("y1")
-    )
-    b = b.withColumn("cx", F.explode(F.sequence("x0", "x1"))).withColumn("cy", F.explode(F.sequence("y0", "y1")))
-    side = lambda e: b.select("group_id", "cx", "cy", *[F.col(c).alias(c + e) for c in ("seq", "box", "x0", "y0")])
-    met = side("_a").join(side("_b"), ["group_id", "cx", "cy"]).filter("seq_a < seq_b AND cx = greatest(x0_a, x0_b) AND cy = greatest(y0_a, y0_b)")
-    return met.withColumn("iou", iou(F.col("box_a"), F.col("box_b"))).filter(F.col("iou") >= least).select("group_id", "seq_a", "seq_b", "iou")
+    return _met_boxes(boxes).withColumn("iou", iou(F.col("box_a"), F.col("box_b"))).filter(F.col("iou") >= least).select("group_id", "seq_a", "seq_b", "iou")
+
+
+def suppressed_boxes(boxes: DataFrame, score_threshold: float, nms_threshold: float) -> DataFrame:
+    """As :func:`nms_boxes` for groups of any size, without the rank: (group_id, seq) of the boxes that stay.
+
+    Overlapping pairs come from cells of size classes; the greedy choice by score is made in rounds over these pairs.
+    """
+    from .graph import first_kept
+
+    scored = boxes.filter(F.col("score") >= score_threshold)
+    met = _met_boxes(scored, "score").withColumn("iou", iou(F.col("box_a"), F.col("box_b"))).filter(F.col("iou") > nms_threshold)
+    name = lambda e: F.struct((-F.col(f"score{e}")).alias("order"), F.col(f"seq{e}").alias("seq"))
+    a, b = name("_a"), name("_b")
+    clashes = met.select("group_id", F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    kept = first_kept(scored.select("group_id", name("").alias("node")), clashes, "group_id")
+    return kept.select("group_id", "node.seq")
 
 
 def suppress(boxes: np.ndarray, scores: np.ndarray, score_threshold: float, nms_threshold: float) -> list[int]:

@@ -16,7 +16,7 @@ from ..schema import to_pixels
 from ..streaming import stateful
 from . import oracles as O
 from .kernels import apply_image, apply_pair, measure
-from .queries_images import QUERIES, _out, add
+from .queries_images import ORACLES, QUERIES, _out, add
 from .views import boxes, frames, img8, img8rgb, polygons, table, tracks
 
 # --- matching ---------------------------------------------------------------------------
