@@ -298,7 +298,8 @@ def ngram_jaccard_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, similarity: float = SIMILARITY, recall: float = RECALL) -> DataFrame:
     """The rows of ``df`` that stay: of each group the one with the least id."""
     docs, told = _classified(df, id_col, text_col, n, similarity, recall, [row_struct(df)], f", row {df.schema.simpleString()}")
-    # Of the class that stays, one row stays: the first of those with its least id.
+    # Of the class that stays, one row stays: the first of those with its least id. The rows that go are few, so that their numbers (a table, whose
+    # size Spark knows) mostly reach the rows by broadcast and texts needn't be shuffled for them.
     stays = told.filter("rep = stays_rep").select(F.col("first_rid").alias("rid"))
-    kept = docs.filter("digest is not null").join(stays, "rid", "left_semi").unionByName(docs.filter("digest is null"))
-    return unrow(kept.select("row"), df.columns)
+    gone = written(docs.filter("digest is not null").select("rid").join(stays, "rid", "left_anti"), "gone")
+    return unrow(docs.join(gone, "rid", "left_anti").select("row"), df.columns)
