@@ -3,7 +3,7 @@
 A byte-context trie holds, for each context of up to ``ORDER`` bytes, the symbols seen after it. A
 symbol is coded in its longest known context; where it is not among that context's
 symbols, an escape is coded and the next shorter context is tried, without the symbols
-already ruled out (exclusion). A context's escape has the weight of its distinct symbols. Below the empty context all
+already ruled out (exclusion). Each symbol of a context gives up ``DISCOUNT`` of its count; what they give up together is the escape's weight. Below the empty context all
 remaining symbols are equally likely. Each text ends in an end symbol.
 
 *Pretrained*: counts are gathered over all training texts and every pair is kept. A symbol's probability depends
@@ -50,6 +50,8 @@ LOW = 2
 BUCKET_BYTES, MOST_BUCKETS = 8_000_000, 4096
 #: Chunks of a bucket told by one task: as many, and more by the root of how often that number goes into all of them.
 PART_CHUNKS = 512
+#: What a context's symbol gives up of its count for the escape.
+DISCOUNT = 0.3
 START, END = 0xFE, 0xFF  # never part of UTF-8
 ALPHABET = 257  # 256 byte values and one spare
 #: Distinct words and bytes of text in one chunk, about.
@@ -87,10 +89,10 @@ class AdaptiveTrie:
             seen = self.counts.get(c)
             if not seen:
                 continue
-            escape = len(seen)
-            room = escape + sum(n for s, n in seen.items() if s not in excluded)
+            escape = DISCOUNT * len(seen)
+            room = escape + sum(n - DISCOUNT for s, n in seen.items() if s not in excluded)
             if symbol in seen:
-                return out + math.log10(seen[symbol] / room)
+                return out + math.log10((seen[symbol] - DISCOUNT) / room)
             out += math.log10(escape / room)
             excluded = seen.keys()
         return out - math.log10(ALPHABET - len(excluded))
@@ -284,11 +286,11 @@ def gram_logs(grams: np.ndarray, known: list[Level]) -> np.ndarray:
         gram = grams[at] & np.int64((1 << 8 * (k + 1)) - 1)
         context = _find(level.contexts, gram >> 8)
         at, gram, context = at[context >= 0], gram[context >= 0], context[context >= 0]
-        room = level.total[context] + level.distinct[context] - ruled[at]
+        room = level.total[context] - (ruled[at] - DISCOUNT * gone[at])  # symbols ruled out have given up theirs
         hit = _find(level.keys, gram)
         seen = hit >= 0
-        weight = level.distinct[context].astype(np.float64)
-        weight[seen] = level.counts[hit[seen]]
+        weight = DISCOUNT * level.distinct[context]
+        weight[seen] = level.counts[hit[seen]] - DISCOUNT
         out[at] += np.log10(weight / room)
         open_[at[seen]] = False
         ruled[at], gone[at] = level.ruled[context], level.distinct[context]

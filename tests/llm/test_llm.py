@@ -316,6 +316,15 @@ def test_probabilities_sum_to_one():
     assert first > 2 * lm_scoring.AdaptiveTrie().score("abababab" * 10)
 
 
+def test_bits_a_character_of_held_out_texts(spark):
+    """Held-out texts of the smallest fixture; with escapes as heavy as the distinct symbols they take 2.444 bits."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    held = {r["doc_id"] for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2}
+    got = {r["doc_id"]: r["score"] for r in lm_scoring.score_documents(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()}
+    size = sum(len(lm_scoring.encoded(r["text"])) for r in rows if r["doc_id"] in held)
+    assert -sum(got[i] for i in held) / math.log10(2) / size < 2.43
+
+
 def test_base_scores(spark):
     texts = [BASE, BASE.upper() + " new", None, "", " \t\n", "é É\x0b x", "y " * 3000]
     df = docs_of(spark, *texts, start=100)
