@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import shapes
 from ..operators import matching, polygons
 from . import oracles as O
+from . import oracles_edges
 from . import queries_shapes  # the per-polygon forms, some of which get their SQL here
 from .queries_images import add
 from .views import boxes, polys, table
@@ -111,3 +112,8 @@ SELECT image_id, contour_id, coalesce(m.id, -1) AS parent FROM c LEFT JOIN best
 
 _NMS = queries_shapes.ORACLES["nms_boxes"]
 add("suppressed_boxes", lambda s, d: matching.suppressed_boxes(boxes(s, d), 0.2, 0.05), f"SELECT group_id, seq FROM ({_NMS})")
+
+# --- the per-polygon and per-image forms get their SQL ---------------------------------------
+
+for _name, _sql in (oracles_edges.hull_of_polygons(_hull_sql(_SMALL)) | oracles_edges.EDGES).items():
+    add(_name, queries_shapes.QUERIES[_name], _sql)
