@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from ..schema import FRAME, IMAGE, DimensionMismatch, InvalidParameter, UnsupportedFormat
 from . import codecs
-from .files import Whole
+from .files import Whole, written
 
 IMAGE_SUFFIXES = ("png", "jpg", "jpeg", "bmp", "tiff", "webp")
 # Container formats by file suffix.
@@ -72,11 +72,16 @@ def read_images(spark: SparkSession, path: str, pattern: str | None = None) -> D
 def read_image_sequence(spark: SparkSession, path: str, pattern: str = "", fps: float = 30.0, video_id: int = 0) -> DataFrame:
     """A folder's images whose names hold ``pattern`` as frames, in order of their paths.
 
-    Only the paths are numbered in one place; the images are decoded where they are read.
+    Paths are numbered by a range partition: a path's place in its partition after what the partitions before hold. The images are decoded where they are read.
     """
     glob = "*.{" + ",".join(IMAGE_SUFFIXES) + "}"
     paths = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(path).select("path").filter(F.element_at(F.split("path", "/"), -1).contains(pattern))
-    numbered = paths.select(_plain(F.col("path")).alias("place"), (F.row_number().over(Window.partitionBy(F.lit(video_id)).orderBy("path")).cast("long") - 1).alias("index"))
+    placed = paths.repartitionByRange("path").sortWithinPartitions("path").select(_plain(F.col("path")).alias("place"), F.monotonically_increasing_id().alias("row"))
+    placed = written(placed.withColumn("pid", F.shiftright("row", 33)), "paths")
+    sizes = placed.groupBy("pid").agg(F.count("*").alias("n"), F.min("row").alias("first"))
+    before = Window.orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    sizes = sizes.select("pid", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    numbered = placed.join(sizes, "pid").select("place", (F.col("row") - F.col("first") + F.col("before")).alias("index"))
     return _framed(read_images(spark, path, glob).withColumn("place", _plain(F.col("path"))).join(numbered, "place"), fps, video_id)
 
 
