@@ -73,6 +73,17 @@ d AS (SELECT image_id, arg_max(got, k) AS l FROM f GROUP BY image_id)
 SELECT {_CELLS}, v::DOUBLE AS v FROM (SELECT image_id, unnest(range(64)) AS i, unnest(l) AS v FROM d)"""
 
 
+# The lowest wet pixel that has not spread yet labels its dry neighbours, until all have spread; two opposite corners are wet at first.
+WATERSHED = f"""WITH RECURSIVE a AS ({_V}),
+f(image_id, k, v, l, done) AS (
+  SELECT image_id, 0, v, list_transform(range(64), lambda i: CASE i WHEN 0 THEN 1 WHEN 63 THEN 2 ELSE 0 END), list_transform(range(64), lambda i: 0) FROM a
+  UNION ALL
+  SELECT image_id, k + 1, v, list_transform(range(64), lambda i: CASE WHEN l[i + 1] = 0 AND abs(i // 8 - p // 8) + abs(i % 8 - p % 8) = 1 THEN l[p + 1] ELSE l[i + 1] END), list_transform(range(64), lambda i: CASE WHEN i = p THEN 1 ELSE done[i + 1] END)
+  FROM (SELECT *, list_sort(list_transform(list_filter(range(64), lambda i: l[i + 1] > 0 AND done[i + 1] = 0), lambda i: struct_pack(v := v[i + 1], i := i)))[1].i AS p FROM f WHERE k < 64)),
+d AS (SELECT image_id, l FROM f WHERE k = 64)
+SELECT {_CELLS}, v::DOUBLE AS v FROM (SELECT image_id, unnest(range(64)) AS i, unnest(l) AS v FROM d)"""
+
+
 def hull_of_polygons(hull: str) -> dict[str, str]:
     """SQL of the per-polygon forms, given the relations corner and he (edges) of :mod:`.queries_polygons`; polygons of three points stay as they are."""
     size = "k AS (SELECT group_id, count(*) AS k FROM pl GROUP BY group_id)"
@@ -88,4 +99,4 @@ SELECT k.group_id, count(d) FILTER (d > 1e-6)::INTEGER AS n, round(max(d) FILTER
 LEFT JOIN (SELECT group_id, abs(sum(x * ny - nx * y)) / 2 AS area FROM he GROUP BY group_id) USING (group_id)"""
     return {"convex_hull": areas, "min_area_rect": angles, "convexity_defects": defects}
 
-EDGES = {"canny": CANNY, "thin": THIN, "skeleton": SKELETON}
+EDGES = {"canny": CANNY, "thin": THIN, "skeleton": SKELETON, "watershed": WATERSHED}
