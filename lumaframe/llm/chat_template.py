@@ -67,18 +67,61 @@ def unescape_role(role: str) -> str:
     return _UNESCAPE.sub(lambda m: "\n" if m[1] == "n" else m[1], role) if "\\" in role else role
 
 
+#: Bounds of a template: characters that a repetition and that any joined text may have, words of an expression, brackets and blocks inside each other.
+MOST_REPEATED, MOST_JOINED, MOST_WORDS, MOST_NESTED = 1_000_000, 1 << 28, 250, 40
+
+
+def _guarded(what: str, f: Callable) -> Callable:
+    """``f`` whose failures are the template's."""
+
+    def run(*args: Any) -> Any:
+        try:
+            return f(*args)
+        except (TypeError, ValueError, ArithmeticError) as e:
+            raise e if isinstance(e, TemplateError) else TemplateError(f"{what}: {e}") from e
+
+    return run
+
+
+def _times(a: Any, b: Any) -> Any:
+    for text, n in ((a, b), (b, a)):
+        if isinstance(text, (str, list, tuple)) and isinstance(n, int) and len(text) * n > MOST_REPEATED:
+            raise TemplateError("a repetition is too long")
+    if isinstance(a, int) and isinstance(b, int) and a.bit_length() + b.bit_length() > 256:
+        raise TemplateError("a number is too large")
+    return a * b
+
+
+def _remainder(a: Any, b: Any) -> Any:
+    if isinstance(a, str):  # which would be formatting, with widths of any size
+        raise TemplateError("a text has no remainder")
+    return a % b
+
+
+def _joined(a: Any, b: Any) -> Any:
+    if isinstance(a, str) and isinstance(b, str) and len(a) + len(b) > MOST_JOINED:
+        raise TemplateError("a text is too long")
+    return a + b
+
+
 FILTERS: dict[str, Callable[[Any], Any]] = {
-    "escape": lambda v: escape(_text(v)),
-    "escape_role": lambda v: escape_role(_text(v)),
-    "trim": lambda v: _text(v).strip(),
-    "upper": lambda v: _text(v).upper(),
-    "lower": lambda v: _text(v).lower(),
-    "capitalize": lambda v: _text(v).capitalize(),
-    "length": len,
-    "string": lambda v: _text(v),
-    "int": int,
+    name: _guarded(name, f)
+    for name, f in {
+        "escape": lambda v: escape(_text(v)),
+        "escape_role": lambda v: escape_role(_text(v)),
+        "trim": lambda v: _text(v).strip(),
+        "upper": lambda v: _text(v).upper(),
+        "lower": lambda v: _text(v).lower(),
+        "capitalize": lambda v: _text(v).capitalize(),
+        "length": len,
+        "string": lambda v: _text(v),
+        "int": int,
+    }.items()
+}
+BINARY = {
+    op: _guarded(op, f)
+    for op, f in {"+": _joined, "-": operator.sub, "*": _times, "%": _remainder, "==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "in": lambda a, b: a in b}.items()
 }
-BINARY = {"+": operator.add, "-": operator.sub, "*": operator.mul, "%": operator.mod, "==": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge, "in": lambda a, b: a in b}
 LEVELS = (("==", "!=", "<", "<=", ">", ">=", "in"), ("~",), ("+", "-"), ("*", "%"))
 
 
@@ -163,7 +206,9 @@ class _Expression:
                 raise TemplateError(f"can't read {source[at:]!r}")
             self.words.append((m.lastgroup, m[m.lastgroup]))
             at = m.end()
-        self.at = 0
+        if len(self.words) > MOST_WORDS:
+            raise TemplateError("an expression is too long")
+        self.at = self.depth = 0
 
     def peek(self, *values: str) -> bool:
         return self.at < len(self.words) and self.words[self.at][0] in ("op", "name") and self.words[self.at][1] in values
@@ -181,6 +226,14 @@ class _Expression:
         return out
 
     def choice(self) -> Any:
+        self.depth += 1
+        if self.depth > MOST_NESTED:
+            raise TemplateError("brackets are nested too deeply")
+        out = self._chosen()
+        self.depth -= 1
+        return out
+
+    def _chosen(self) -> Any:
         out = self.logic("or")
         if self.peek("if"):
             self.take()
@@ -241,6 +294,8 @@ class _Expression:
         kind, word = self.words[self.at]
         self.at += 1
         if kind == "num":
+            if len(word) > 18:
+                raise TemplateError("a number is too large")
             return Const(int(word))
         if kind == "str":
             return Const(re.sub(r"\\(.)", lambda m: _ESCAPES.get(m[1], m[1]), word[1:-1], flags=re.S))
@@ -271,7 +326,9 @@ def parse(source: str) -> tuple:
     return body
 
 
-def _body(words: list, at: int, ends: tuple) -> tuple[tuple, int]:
+def _body(words: list, at: int, ends: tuple, depth: int = 0) -> tuple[tuple, int]:
+    if depth > MOST_NESTED:
+        raise TemplateError("blocks are nested too deeply")
     out: list = []
     while at < len(words):
         kind, word = words[at]
@@ -285,13 +342,13 @@ def _body(words: list, at: int, ends: tuple) -> tuple[tuple, int]:
             if name in ends:
                 return tuple(out), at
             if name == "if":
-                node, at = _if(words, at, rest)
+                node, at = _if(words, at, rest, depth + 1)
                 out.append(node)
             elif name == "for":
                 m = re.fullmatch(r"([A-Za-z_]\w*)\s+in\s+(.+)", rest, re.S)
                 if not m:
                     raise TemplateError(f"can't read for {rest!r}")
-                body, at = _body(words, at + 1, ("endfor",))
+                body, at = _body(words, at + 1, ("endfor",), depth + 1)
                 out.append(For(m[1], _Expression(m[2]).whole(), body))
             elif name == "set":
                 m = re.fullmatch(r"([A-Za-z_]\w*)\s*=\s*(.+)", rest, re.S)
@@ -299,7 +356,7 @@ def _body(words: list, at: int, ends: tuple) -> tuple[tuple, int]:
                     raise TemplateError(f"can't read set {rest!r}")
                 out.append(Set(m[1], _Expression(m[2]).whole()))
             elif name == "generation":
-                body, at = _body(words, at + 1, ("endgeneration",))
+                body, at = _body(words, at + 1, ("endgeneration",), depth + 1)
                 out.append(Generation(body))
             else:
                 raise TemplateError(f"no tag {name!r}")
@@ -309,15 +366,15 @@ def _body(words: list, at: int, ends: tuple) -> tuple[tuple, int]:
     return tuple(out), at
 
 
-def _if(words: list, at: int, test: str) -> tuple[If, int]:
-    then, at = _body(words, at + 1, ("elif", "else", "endif"))
+def _if(words: list, at: int, test: str, depth: int) -> tuple[If, int]:
+    then, at = _body(words, at + 1, ("elif", "else", "endif"), depth)
     word = words[at][1].split(None, 1)
     if word[0] == "elif":
-        node, at = _if(words, at, word[1])
+        node, at = _if(words, at, word[1] if len(word) > 1 else "", depth + 1)
         return If(_Expression(test).whole(), then, (node,)), at
     other: tuple = ()
     if word[0] == "else":
-        other, at = _body(words, at + 1, ("endif",))
+        other, at = _body(words, at + 1, ("endif",), depth)
     return If(_Expression(test).whole(), then, other), at
 
 
@@ -369,7 +426,7 @@ def fold_body(body: Iterable) -> tuple:
 
 def _get(of: Any, key: Any) -> Any:
     if isinstance(of, dict):
-        return of.get(key)
+        return of.get(key) if isinstance(key, (str, int, float, type(None))) else None
     if isinstance(of, (list, tuple, str)) and isinstance(key, int):
         return of[key] if -len(of) <= key < len(of) else None
     return None
@@ -401,7 +458,7 @@ def _expression(node: Any) -> Callable[[dict], Any]:
     if node.op == "or":
         return lambda env: a(env) or b(env)
     if node.op == "~":
-        return lambda env: _text(a(env)) + _text(b(env))
+        return lambda env: _joined(_text(a(env)), _text(b(env)))
     f = BINARY[node.op]
     return lambda env: f(a(env), b(env))
 
@@ -444,7 +501,10 @@ def _part(node: Any) -> Callable[[dict, bool], Iterator[Segment]]:
 
     def loop(env: dict, generated: bool) -> Iterator[Segment]:
         outer = {k: env[k] for k in (name, "loop") if k in env}
-        for i, item in enumerate(over(env) or ()):
+        items = over(env) or ()
+        if not isinstance(items, Iterable):
+            raise TemplateError("a loop needs a list")
+        for i, item in enumerate(items):
             env[name], env["loop"] = item, {"index": i + 1, "index0": i, "first": i == 0}
             yield from body(env, generated)
         for k in (name, "loop"):
