@@ -2,7 +2,8 @@
 
 Inputs are points (image_id, h, w, y, x) of images of any size and number. Each point is exploded to the cells it votes for and
 votes are counted with partial aggregation, so that what is shuffled is at most one row a task and cell.
-Candidates, which are few, are joined with the votes of their neighbours.
+Candidates are joined with the votes of their neighbours. Joins sort and merge: the planner takes exploded rows for as small as the file
+they come from, and would send them whole to the driver and to all tasks.
 """
 
 from __future__ import annotations
@@ -49,8 +50,8 @@ def _unbeaten(cells: DataFrame, candidates: DataFrame, keys: list[str], steps: l
     same = [k for k in candidates.columns if k not in (*keys, "votes")]
     asked = candidates.select(*same, *[F.col(k).alias(f"own_{k}") for k in keys], F.col("votes").alias("own"), away.alias("n"))
     asked = asked.select(*same, *[f"own_{k}" for k in keys], "own", *[F.col(f"n.{k}").alias(k) for k in keys])
-    beaten = asked.join(cells, [*same, *keys]).filter("votes > own").select(*same, *[F.col(f"own_{k}").alias(k) for k in keys]).distinct()
-    return candidates.join(beaten, [*same, *keys], "left_anti")
+    beaten = asked.join(cells.hint("merge"), [*same, *keys]).filter("votes > own").select(*same, *[F.col(f"own_{k}").alias(k) for k in keys]).distinct()
+    return candidates.join(beaten.hint("merge"), [*same, *keys], "left_anti")
 
 
 def line_peaks(votes: DataFrame, theta: float, threshold: int) -> DataFrame:
@@ -61,7 +62,7 @@ def line_peaks(votes: DataFrame, theta: float, threshold: int) -> DataFrame:
 
 def line_segments(points: DataFrame, peaks: DataFrame, rho: float, theta: float, min_length: float, max_gap: float) -> DataFrame:
     """(image_id, r, t, x1, y1, x2, y2): the points on each peak's line in order, cut where they are more than ``max_gap`` apart."""
-    on = _in_cells(points, rho, theta).join(peaks.select("image_id", "r", "t"), ["image_id", "r", "t"])
+    on = _in_cells(points, rho, theta).join(peaks.select("image_id", "r", "t").hint("merge"), ["image_id", "r", "t"])
     angle = F.col("t") * F.lit(theta)
     along = F.when(F.abs(F.sin(angle)) < F.abs(F.cos(angle)), F.col("y")).otherwise(F.col("x"))
     line = Window.partitionBy("image_id", "r", "t").orderBy("along", "y", "x")  # a line's points at most
@@ -127,7 +128,7 @@ def apart(circles: DataFrame, min_dist: float) -> DataFrame:
     b = named.select("image_id", F.col("name").alias("b"), cell("cy").alias("gy"), cell("cx").alias("gx"))
     b = b.withColumn("dy", F.explode(around)).withColumn("dx", F.explode(around)).select("image_id", "b", (F.col("gy") + F.col("dy")).alias("gy"), (F.col("gx") + F.col("dx")).alias("gx"))
     near = F.sqrt(F.pow(F.col("a.cx") - F.col("b.cx"), 2) + F.pow(F.col("a.cy") - F.col("b.cy"), 2)) < min_dist
-    clashes = a.join(b, ["image_id", "gy", "gx"]).filter((F.col("a") < F.col("b")) & near).select("image_id", "a", "b")
+    clashes = a.join(b.hint("merge"), ["image_id", "gy", "gx"]).filter((F.col("a") < F.col("b")) & near).select("image_id", "a", "b")
     kept = first_kept(named.select("image_id", F.col("name").alias("node")), clashes, "image_id")
     return kept.select("image_id", "node.radius", "node.cy", "node.cx")
 
