@@ -32,7 +32,7 @@ def _angles(theta: float) -> int:
 
 def _cell(rho: float, theta: float) -> Column:
     angle = F.col("t") * F.lit(theta)
-    return F.floor((F.col("x") * F.cos(angle) + F.col("y") * F.sin(angle) + F.sqrt((F.col("h") * F.col("h") + F.col("w") * F.col("w")).cast("double"))) / F.lit(float(rho)) + 0.5).cast("int")
+    return F.floor((F.col("x") * F.cos(angle) + F.col("y") * F.sin(angle) + F.sqrt(F.pow("h", F.lit(2)) + F.pow("w", F.lit(2)))) / F.lit(float(rho)) + 0.5).cast("int")
 
 
 def _in_cells(points: DataFrame, rho: float, theta: float) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumaframe.operators import graph, hough
+from lumaframe.operators import graph, histograms, hough, matching, polygons
 from lumaframe.plans.queries import QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -25,3 +25,9 @@ def test_circles_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(graph, "written", lambda df, name: plans.append(plan_of(df)) or real(df, name))
     plans.append(plan_of(QUERIES["hough_circles_relation"](spark, DATA)))
     assert len(plans) > 2 and not [p for p in plans if "BroadcastExchange" in p]
+
+
+def test_lines_of_a_very_high_image(spark):
+    # 100,000 squared is no int.
+    points = spark.createDataFrame([(0, 100_000, 64, y, 5) for y in range(50, 99_000, 9_000)], "image_id long, h int, w int, y int, x int")
+    assert hough.line_votes(points, 1.0, np.pi / 36).agg(F.sum("votes")).first()[0] == 36 * points.count()
