@@ -222,9 +222,11 @@ def approx_poly_dp(p: np.ndarray, epsilon: float) -> np.ndarray:
         a, b = todo.pop()
         if b - a < 2:
             continue
-        d = p[b] - p[a]
-        t = np.clip(((p[a + 1 : b] - p[a]) @ d) / max(d @ d, 1e-12), 0, 1)
-        far = np.hypot(*(p[a + 1 : b] - p[a] - t[:, None] * d).T)
+        (x, y), (dx, dy) = p[a], p[b] - p[a]
+        px, py = p[a + 1 : b].T
+        # Plain products and sums, each rounded, in the order of the SQL and of polygons.simplified: of equal distances the first has to be found equal.
+        t = np.clip(((px - x) * dx + (py - y) * dy) / max(dx * dx + dy * dy, 1e-12), 0, 1)
+        far = np.sqrt((px - x - t * dx) ** 2 + (py - y - t * dy) ** 2)
         k = int(far.argmax())
         if far[k] > epsilon:
             keep.add(a + 1 + k)

@@ -31,3 +31,9 @@ def test_lines_of_a_very_high_image(spark):
     # 100,000 squared is no int.
     points = spark.createDataFrame([(0, 100_000, 64, y, 5) for y in range(50, 99_000, 9_000)], "image_id long, h int, w int, y int, x int")
     assert hough.line_votes(points, 1.0, np.pi / 36).agg(F.sum("votes")).first()[0] == 36 * points.count()
+
+
+def test_simplification_of_equal_distances():
+    # Of points equally far away the first stays, as in polygons.simplified and the SQL; fused products took another one here.
+    p = np.array([[14, 27], [19, 25], [6, 22], [6, 17], [21, 9], [25, 5], [5, 7], [2, 25], [17, 29], [23, 21], [19, 11], [15, 4], [2, 23], [1, 1]], float)
+    assert len(matching.approx_poly_dp(p, 5.0)) == 11
