@@ -173,7 +173,8 @@ def otsu_level(s: np.ndarray) -> np.ndarray:
     w1, m1 = w0[:, -1:] - w0, m0[:, -1:] - m0
     live = (w0 > 0) & (w1 > 0)
     gap = m0 / np.where(w0 > 0, w0, 1) - m1 / np.where(w1 > 0, w1, 1)
-    return np.where(live, w0 * w1 * gap * gap, 0).argmax(1)
+    # Bins that part the pixels alike, or in mirrored ways, differ by rounding only: the first of those equal to six digits is taken.
+    return np.floor(np.where(live, w0 * w1 * (gap * gap), 0) * 1e6 + 0.5).argmax(1)
 
 
 def triangle_level(s: np.ndarray) -> np.ndarray:

@@ -37,3 +37,9 @@ def test_simplification_of_equal_distances():
     # Of points equally far away the first stays, as in polygons.simplified and the SQL; fused products took another one here.
     p = np.array([[14, 27], [19, 25], [6, 22], [6, 17], [21, 9], [25, 5], [5, 7], [2, 25], [17, 29], [23, 21], [19, 11], [15, 4], [2, 23], [1, 1]], float)
     assert len(matching.approx_poly_dp(p, 5.0)) == 11
+
+
+def test_otsu_of_mirrored_histograms():
+    # Splits after 3 and after 4 part the pixels in mirrored ways; the first stays, whatever the rounding.
+    bins = np.array([3] * 4 + [4] * 56 + [5] * 4)
+    assert histograms.otsu_level(((bins + 0.5) / 255).reshape(1, 1, 8, 8))[0] == 3
