@@ -234,17 +234,20 @@ def approx_poly_dp(p: np.ndarray, epsilon: float) -> np.ndarray:
     return p[sorted(keep)]
 
 
+_COS = np.array([math.cos(math.radians(a)) for a in range(90)])
+_SIN = np.array([math.sin(math.radians(a)) for a in range(90)])
+
+
 def min_area_rect(p: np.ndarray) -> dict:
     """The smallest of the bounding boxes turned by 0 to 89 whole degrees."""
-    hull, best = convex_hull(p), None
-    for angle in range(90):
-        c, s = math.cos(math.radians(angle)), math.sin(math.radians(angle))
-        u, v = hull[:, 0] * c + hull[:, 1] * s, hull[:, 1] * c - hull[:, 0] * s
-        w, h = np.ptp(u), np.ptp(v)
-        if best is None or w * h < best[0]:
-            mu, mv = (u.max() + u.min()) / 2, (v.max() + v.min()) / 2
-            best = (w * h, {"cx": float(mu * c - mv * s), "cy": float(mu * s + mv * c), "width": float(w), "height": float(h), "angle": float(angle)})
-    return best[1]
+    hull = convex_hull(p)
+    x, y = hull[:, :1], hull[:, 1:]
+    u, v = x * _COS + y * _SIN, y * _COS - x * _SIN  # all angles at once
+    u0, u1, v0, v1 = u.min(0), u.max(0), v.min(0), v.max(0)
+    w, h = u1 - u0, v1 - v0
+    k = int((w * h).argmin())
+    c, s, mu, mv = _COS[k], _SIN[k], (u1[k] + u0[k]) / 2, (v1[k] + v0[k]) / 2
+    return {"cx": float(mu * c - mv * s), "cy": float(mu * s + mv * c), "width": float(w[k]), "height": float(h[k]), "angle": float(k)}
 
 
 def convexity_defects(p: np.ndarray) -> list[dict]:
@@ -270,11 +273,12 @@ def points_op(df: DataFrame, name: str, kind: str, kernel, **options) -> DataFra
     from pyspark.sql.types import StructType, _parse_datatype_string
 
     @F.pandas_udf(StructType().add("value", _parse_datatype_string(kind)))
-    def run(points: pd.Series) -> pd.DataFrame:
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
         out = []
-        for q in points:
-            value = kernel(np.array([(r["x"], r["y"]) for r in q], float).reshape(-1, 2), **options)
+        for q in zip(x, y, strict=True):
+            value = kernel(np.array(q, float).T.reshape(-1, 2), **options)
             out.append([{"x": float(x), "y": float(y)} for x, y in value] if isinstance(value, np.ndarray) else value)
         return pd.DataFrame({"value": pd.Series(out, dtype=object)})
 
-    return df.withColumn(name, run("points")["value"])
+    # Two flat arrays a row: structs would come as one dictionary a point.
+    return df.withColumn(name, run(F.col("points.x"), F.col("points.y"))["value"])

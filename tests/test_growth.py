@@ -43,3 +43,12 @@ def test_otsu_of_mirrored_histograms():
     # Splits after 3 and after 4 part the pixels in mirrored ways; the first stays, whatever the rounding.
     bins = np.array([3] * 4 + [4] * 56 + [5] * 4)
     assert histograms.otsu_level(((bins + 0.5) / 255).reshape(1, 1, 8, 8))[0] == 3
+
+
+def test_rectangles_take_few_calls(monkeypatch):
+    calls = []
+    real = np.ptp
+    monkeypatch.setattr(np, "ptp", lambda *a, **k: calls.append(1) or real(*a, **k))
+    p = np.array([[0, 0], [10, 0], [10, 4], [0, 4], [5, 2]], float)
+    assert matching.min_area_rect(p) == {"cx": 5.0, "cy": 2.0, "width": 10.0, "height": 4.0, "angle": 0.0}
+    assert not calls  # it measured angle by angle
