@@ -18,6 +18,8 @@ from .matching import POINTS
 
 #: Partial hulls merged by one task in one round.
 FAN_IN = 16
+#: Points of a group that one task merges at once without a tree; of so few, a batch sends them as they are.
+FEW, RAW = 4096, 16
 
 
 def chain(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -56,7 +58,7 @@ def _partial(points: DataFrame) -> DataFrame:
             order = np.argsort(group, kind="stable")
             x, y = pdf["x"].to_numpy(float)[order], pdf["y"].to_numpy(float)[order]
             names, starts = np.unique(group[order], return_index=True)
-            hulls = [chain(x[a:b], y[a:b]) for a, b in zip(starts, [*starts[1:], len(x)], strict=True)]
+            hulls = [chain(x[a:b], y[a:b]) if b - a > RAW else (x[a:b], y[a:b]) for a, b in zip(starts, [*starts[1:], len(x)], strict=True)]
             if hulls:
                 yield pd.DataFrame({"group_id": np.repeat(names, [len(h[0]) for h in hulls]), "x": np.concatenate([h[0] for h in hulls]), "y": np.concatenate([h[1] for h in hulls])})
 
@@ -71,24 +73,29 @@ def _hulls_of(x: pd.Series, y: pd.Series) -> pd.Series:
 def convex_hulls(points: DataFrame) -> DataFrame:
     """(group_id, hull): the corners of each group's hull, counter-clockwise from the leftmost; points without both coordinates or a group are left out.
 
-    Tasks send hulls of their own parts; these are merged in a tree of ``FAN_IN``, so that a task never holds more than so many
-    hulls of one group, however many points it has.
+    Tasks send hulls of their own parts. Groups of which ``FEW`` points are left are merged at once; those with more in a tree of ``FAN_IN``,
+    so that a task never holds more than so many hulls of one group, however many points it has.
     """
     sound = points.filter("group_id IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
     rows = _partial(sound.select(F.col("group_id").cast("long").alias("group_id"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")))
     rows = written(rows.withColumn("part", F.spark_partition_id()), "hulls")
-    most = rows.agg(F.max("part")).first()[0] or 0
+    large = written(rows.groupBy("group_id").count().filter(F.col("count") > FEW).select("group_id"), "large")  # each stands for many points
 
     corners = F.pandas_udf(_hulls_of, POINTS)
 
-    def merged(keys: list[str]) -> DataFrame:
-        """One row a key with the hull of its points, at most ``FAN_IN`` hulls of a group."""
+    def merged(rows: DataFrame, keys: list[str]) -> DataFrame:
+        """One row a key with the hull of its points: of at most ``FAN_IN`` hulls, or ``FEW`` points, of a group."""
         return rows.groupBy(*keys).agg(F.collect_list(F.struct("x", "y")).alias("p")).select(*keys, corners(F.col("p.x"), F.col("p.y")).alias("hull"))
 
+    if not large.limit(1).count():
+        return merged(rows, ["group_id"])
+    few = rows.join(large.hint("merge"), "group_id", "left_anti")
+    rows = rows.join(large.hint("merge"), "group_id", "left_semi")
+    most = rows.agg(F.max("part")).first()[0] or 0
     while most >= FAN_IN:
         rows = rows.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
-        rows, most = merged(["group_id", "part"]).select("group_id", "part", F.inline("hull")), most // FAN_IN
-    return merged(["group_id"])
+        rows, most = merged(rows, ["group_id", "part"]).select("group_id", "part", F.inline("hull")), most // FAN_IN
+    return merged(few, ["group_id"]).unionByName(merged(rows, ["group_id"]))
 
 
 def smallest_rects(hulls: DataFrame) -> DataFrame:
@@ -97,20 +104,29 @@ def smallest_rects(hulls: DataFrame) -> DataFrame:
     Of equal rectangles (to nine digits) the one of the least length, then of the least angle in degrees is told; a hull of one point has no extent.
     """
     n = F.size("hull")
-    follow = lambda i: F.col("hull")[(i + 1) % n]
-    corner = lambda i: F.col("hull")[i]
-
-    def rect(i: Column) -> Column:
-        dx, dy = follow(i)["x"] - corner(i)["x"], follow(i)["y"] - corner(i)["y"]
-        norm = F.sqrt(dx * dx + dy * dy)
-        c, s = dx / norm, dy / norm
-        along = F.transform("hull", lambda p: p["x"] * c + p["y"] * s)
-        across = F.transform("hull", lambda p: p["y"] * c - p["x"] * s)
-        a, b = F.array_max(along) - F.array_min(along), F.array_max(across) - F.array_min(across)
-        quarter = F.pmod(F.degrees(F.atan2(dy, dx)), F.lit(90.0))
-        return F.struct(F.round(a * b, 9).alias("area"), F.round(F.greatest(a, b), 9).alias("length"), F.round(F.least(a, b), 9).alias("breadth"), F.round(quarter, 9).alias("angle"))
-
-    edges = F.when(n > 1, F.transform(F.sequence(F.lit(0), n - 1), rect)).otherwise(F.array(F.struct(*[F.lit(0.0).alias(k) for k in ("area", "length", "breadth", "angle")])))
+
+    # Step by step, as an expression used twice within a lambda is computed twice.
+    def side(p: Column, q: Column) -> Column:
+        return F.struct((q["x"] - p["x"]).alias("dx"), (q["y"] - p["y"]).alias("dy"))
+
+    def turned(e: Column) -> Column:
+        norm = F.sqrt(e["dx"] * e["dx"] + e["dy"] * e["dy"])
+        return F.struct((e["dx"] / norm).alias("c"), (e["dy"] / norm).alias("s"), F.pmod(F.degrees(F.atan2(e["dy"], e["dx"])), F.lit(90.0)).alias("angle"))
+
+    def spread(e: Column) -> Column:
+        return F.struct(F.transform("hull", lambda p: p["x"] * e["c"] + p["y"] * e["s"]).alias("u"), F.transform("hull", lambda p: p["y"] * e["c"] - p["x"] * e["s"]).alias("v"), e["angle"].alias("angle"))
+
+    def sizes(e: Column) -> Column:
+        return F.struct((F.array_max(e["u"]) - F.array_min(e["u"])).alias("a"), (F.array_max(e["v"]) - F.array_min(e["v"])).alias("b"), e["angle"].alias("angle"))
+
+    def rect(e: Column) -> Column:
+        a, b = e["a"], e["b"]
+        return F.struct(F.round(a * b, 9).alias("area"), F.round(F.greatest(a, b), 9).alias("length"), F.round(F.least(a, b), 9).alias("breadth"), F.round(e["angle"], 9).alias("angle"))
+
+    rects = F.zip_with("hull", F.concat(F.slice("hull", 2, n), F.slice("hull", 1, 1)), side)
+    for step in (turned, spread, sizes, rect):
+        rects = F.transform(rects, step)
+    edges = F.when(n > 1, rects).otherwise(F.array(F.struct(*[F.lit(0.0).alias(k) for k in ("area", "length", "breadth", "angle")])))
     return hulls.select("group_id", F.array_min(edges).alias("r")).select("group_id", "r.area", "r.length", "r.breadth", "r.angle")
 
 

@@ -52,3 +52,25 @@ def test_rectangles_take_few_calls(monkeypatch):
     p = np.array([[0, 0], [10, 0], [10, 4], [0, 4], [5, 2]], float)
     assert matching.min_area_rect(p) == {"cx": 5.0, "cy": 2.0, "width": 10.0, "height": 4.0, "angle": 0.0}
     assert not calls  # it measured angle by angle
+
+
+def test_small_groups_take_no_tree(spark, monkeypatch):
+    calls = []
+    real = polygons.chain
+    monkeypatch.setattr(polygons, "chain", lambda x, y: calls.append(len(x)) or real(x, y))
+    rows = spark.range(0, 400, 1, 40).selectExpr("id % 80 AS group_id", "CAST(id * id % 13 AS double) AS x", "CAST(id % 7 AS double) AS y")
+    hulls = polygons.convex_hulls(rows)
+    assert plan_of(hulls).count("ArrowEvalPython") == 1  # with 40 parts there were three levels
+    for r in hulls.collect():
+        of = [(i * i % 13, i % 7) for i in range(r["group_id"], 400, 80)]
+        assert [(q["x"], q["y"]) for q in r["hull"]] == list(zip(*(c.tolist() for c in real(*np.array(of, float).T)), strict=True))
+
+
+def test_large_groups_take_the_tree(spark, monkeypatch):
+    monkeypatch.setattr(polygons, "FEW", 20)
+    monkeypatch.setattr(polygons, "RAW", 2)
+    rows = spark.range(0, 4000, 1, 40).selectExpr("CASE WHEN id < 3800 THEN 1 ELSE id END AS group_id", "CAST(id * id % 97 AS double) AS x", "CAST(id * 31 % 89 AS double) AS y")
+    hulls = {r["group_id"]: [(q["x"], q["y"]) for q in r["hull"]] for r in polygons.convex_hulls(rows).collect()}
+    assert len(hulls) == 201
+    i = np.arange(3800)
+    assert hulls[1] == list(zip(*(c.tolist() for c in polygons.chain((i * i % 97).astype(float), (i * 31 % 89).astype(float))), strict=True))
