@@ -51,21 +51,30 @@ def _runs(pdfs: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[tuple, pd.Da
                 yield (k[a], s[a]), pdf.iloc[a:b]
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` by ``keys`` in as many partitions as shuffles have: without a number they would be put together by their few bytes, though each row costs time."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _elements(rows: DataFrame, key: str, order: str, scan: Scan) -> DataFrame:
     kind = dict(rows.dtypes)[key]
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, element = None, None
-        told = lambda: pd.DataFrame({key: [now[0]], "seg": [now[1]], "element": [element]})
-        for at, part in _runs(pdfs, key):
-            if now is not None and at != now:
-                yield told()
-                element = None
-            now, element = at, scan.fold(element, part)
+        frame = lambda done: pd.DataFrame({key: [d[0][0] for d in done], "seg": [d[0][1] for d in done], "element": [d[1] for d in done]})
+        for pdf in pdfs:
+            done = []  # one frame a batch: sequences may be short and many
+            for at, part in _runs([pdf], key):
+                if now is not None and at != now:
+                    done.append((now, element))
+                    element = None
+                now, element = at, scan.fold(element, part)
+            if done:
+                yield frame(done)
         if now is not None:
-            yield told()
+            yield frame([(now, element)])
 
-    dealt = rows.repartition(key, "seg").sortWithinPartitions(key, "seg", order)
+    dealt = _dealt(rows, key, "seg").sortWithinPartitions(key, "seg", order)
     return written(dealt.mapInPandas(run, f"`{key}` {kind}, seg long, element array<double>"), "elements")
 
 
@@ -74,34 +83,50 @@ def _states(elements: DataFrame, key: str, scan: Scan, fan: int) -> DataFrame:
     kind = dict(elements.dtypes)[key]
     parent = F.floor(F.col("seg") / fan).cast("long")
 
-    def up(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg")
-        total = None
-        for e in pdf["element"]:
-            total = np.asarray(e) if total is None else scan.combine(total, np.asarray(e))
-        return pd.DataFrame({key: pdf[key].iloc[:1], "seg": pdf["seg"].iloc[:1] // fan, "element": [total]})
-
-    def down(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seg")
-        before, out = pdf["state"].iloc[0], []
-        before = None if before is None else np.asarray(before)
-        for e in pdf["element"]:
-            e = np.asarray(e)
-            before = scan.start(e) if before is None else before
-            out.append(before)
-            before = scan.push(before, e)
-        return pd.DataFrame({key: pdf[key].to_numpy(), "seg": pdf["seg"].to_numpy(), "state": out})
+    # Sequences may be short and many, so that groups are told apart in sorted streams; a call a group would cost more than its work.
+    def up(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, total = None, None
+        frame = lambda done: pd.DataFrame({key: [d[0][0] for d in done], "seg": [d[0][1] for d in done], "element": [d[1] for d in done]})
+        for pdf in pdfs:
+            done = []
+            for k, u, e in zip(pdf[key], pdf["up"], pdf["element"], strict=True):
+                if now != (k, u):
+                    if now is not None:
+                        done.append((now, total))
+                    now, total = (k, u), np.asarray(e)
+                else:
+                    total = scan.combine(total, np.asarray(e))
+            if done:
+                yield frame(done)
+        if now is not None:
+            yield frame([(now, total)])
+
+    def down(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, before = None, None
+        for pdf in pdfs:
+            out = []
+            for k, u, e, state in zip(pdf[key], pdf["up"], pdf["element"], pdf["state"], strict=True):
+                e = np.asarray(e)
+                if now != (k, u):
+                    now, before = (k, u), scan.start(e) if state is None else np.asarray(state)
+                out.append(before)
+                before = scan.push(before, e)
+            if out:
+                yield pd.DataFrame({key: pdf[key].to_numpy(), "seg": pdf["seg"].to_numpy(), "state": out})
+
+    def streamed(rows: DataFrame, step, made: str) -> DataFrame:
+        return _dealt(rows, key, "up").sortWithinPartitions(key, "up", "seg").mapInPandas(step, f"`{key}` {kind}, seg long, {made} array<double>")
 
     levels = [elements]
     while levels[-1].groupBy(key).count().filter(F.col("count") > 1).limit(1).count():
-        levels.append(written(levels[-1].withColumn("up", parent).groupBy(key, "up").applyInPandas(up, f"`{key}` {kind}, seg long, element array<double>"), "elements"))
+        levels.append(written(streamed(levels[-1].withColumn("up", parent), up, "element"), "elements"))
     states = levels[-1].select(key, "seg", F.lit(None).cast("array<double>").alias("state"))
     for level in levels[::-1]:
         # The topmost has one element a sequence, which starts it; below, a group goes on from its parent's state.
         top = level is levels[-1]
-        above = states.select(key, F.col("seg").alias("up"), "state")
+        above = states.select(key, F.col("seg").alias("up"), "state").hint("merge")
         joined = level.withColumn("up", F.col("seg") if top else parent).join(above, [key, "up"])
-        states = joined.groupBy(key, "up").applyInPandas(down, f"`{key}` {kind}, seg long, state array<double>")
+        states = streamed(joined, down, "state")
     return written(states, "states")
 
 
@@ -120,14 +145,18 @@ def scanned(df: DataFrame, key: str, order: str, scan: Scan, out: str, length: i
 
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = None
-        for _, part in _runs(pdfs, key):
-            if pd.isna(part[order].iloc[0]):
-                state, part = np.asarray(part["state"].iloc[0]), part.iloc[1:]
-            if len(part):
-                done, state = scan.emit(state, part)
-                yield done
+        for pdf in pdfs:
+            parts = []
+            for _, part in _runs([pdf], key):
+                if pd.isna(part[order].iloc[0]):
+                    state, part = np.asarray(part["state"].iloc[0]), part.iloc[1:]
+                if len(part):
+                    done, state = scan.emit(state, part)
+                    parts.append(done)
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
 
-    return both.repartition(key, "seg").sortWithinPartitions(key, "seg", F.col(order).asc_nulls_first()).mapInPandas(run, out)
+    return _dealt(both, key, "seg").sortWithinPartitions(key, "seg", F.col(order).asc_nulls_first()).mapInPandas(run, out)
 
 
 # --- background ---------------------------------------------------------------------------
@@ -191,6 +220,8 @@ class KalmanScan:
         rest = np.eye(n) - self.gain @ k.h
         back = k.f.T @ k.h.T @ s
         self.one = (rest @ k.f, rest @ k.q, back, back @ k.h @ k.f)
+        # All but b and eta of a stretch depends on its length alone, so that it is computed once a length: (A, C, J), and how the next row moves b and eta.
+        self.fixed, self.moves = [(rest @ k.f, rest @ k.q, back @ k.h @ k.f)], []
 
     def _split(self, e: np.ndarray) -> tuple[np.ndarray, ...]:
         n = self.n
@@ -198,11 +229,25 @@ class KalmanScan:
         return a.reshape(n, n), b, c.reshape(n, n), eta, j.reshape(n, n)
 
     def fold(self, element: np.ndarray | None, rows: pd.DataFrame) -> np.ndarray:
-        a, c, back, j = self.one
-        for z in rows["z"]:
-            one = np.concatenate([a.ravel(), self.gain[:, 0] * z, c.ravel(), back[:, 0] * z, j.ravel()])
-            element = one if element is None else self.combine(element, one)
-        return element
+        zs = rows["z"].to_numpy(float)
+        while len(self.moves) < len(zs) - 1:
+            self._longer()
+        back = self.one[2][:, 0]
+        b, eta = self.gain[:, 0] * zs[0], back * zs[0]
+        for z, (ahead, gain, behind, pull) in zip(zs[1:].tolist(), self.moves, strict=False):
+            b, eta = ahead @ b + gain * z, eta + behind * z - pull @ b
+        a, c, j = self.fixed[len(zs) - 1]
+        stretch = np.concatenate([a.ravel(), b, c.ravel(), eta, j.ravel()])
+        return stretch if element is None else self.combine(element, stretch)
+
+    def _longer(self) -> None:
+        """Adds the next length: :meth:`combine` with one row, but for b and eta."""
+        a, c, j = self.fixed[len(self.moves)]
+        a2, c2, back, j2 = self.one
+        ahead = a2 @ np.linalg.inv(np.eye(self.n) + c @ j2)
+        behind = a.T @ np.linalg.inv(np.eye(self.n) + j2 @ c)
+        self.moves.append((ahead, (ahead @ c @ back + self.gain)[:, 0], (behind @ back)[:, 0], behind @ j2))
+        self.fixed.append((ahead @ a, ahead @ c @ a2.T + c2, behind @ j2 @ a + j))
 
     def combine(self, first: np.ndarray, then: np.ndarray) -> np.ndarray:
         (a, b, c, eta, j), (a2, b2, c2, eta2, j2) = self._split(first), self._split(then)

@@ -74,3 +74,28 @@ def test_large_groups_take_the_tree(spark, monkeypatch):
     assert len(hulls) == 201
     i = np.arange(3800)
     assert hulls[1] == list(zip(*(c.tolist() for c in polygons.chain((i * i % 97).astype(float), (i * 31 % 89).astype(float))), strict=True))
+
+
+def test_short_tracks_take_no_call_each(spark, monkeypatch):
+    from lumaframe.operators import scans
+
+    plans = []
+    real = scans.written
+    monkeypatch.setattr(scans, "written", lambda df, name: plans.append(plan_of(df)) or real(df, name))
+    tracks = spark.range(3000).selectExpr("id % 90 AS track_id", "CAST(id / 90 AS int) AS seq", "CAST(id * 7 % 31 AS double) AS z")
+    rows = scans.kalman_tracks(tracks, length=4, fan=3).collect()
+    assert len(rows) == 3000 and len(plans) > 3 and not [p for p in plans if "FlatMapGroupsInPandas" in p]
+
+
+def test_stretches_fold_as_rows_combine():
+    import pandas as pd
+
+    from lumaframe.operators import scans
+
+    scan, z = scans.KalmanScan(), np.random.default_rng(3).normal(size=40)
+    rows = [scan.fold(None, pd.DataFrame({"z": [v]})) for v in z]
+    want = rows[0]
+    for r in rows[1:]:
+        want = scan.combine(want, r)
+    assert np.allclose(scan.fold(None, pd.DataFrame({"z": z})), want, rtol=1e-12, atol=1e-12)
+    assert np.allclose(scan.fold(scan.fold(None, pd.DataFrame({"z": z[:13]})), pd.DataFrame({"z": z[13:]})), want, rtol=1e-12, atol=1e-12)
