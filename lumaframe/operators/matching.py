@@ -38,14 +38,16 @@ def match_descriptors(query: DataFrame, train: DataFrame, idx: str = "idx", vec:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for qi, qd, ti, td in zip(*(b.column(c).to_pylist() for c in ("q_ids", "q_data", "t_ids", "t_data")), strict=True):
+            # One pair at a time and as flat arrays; a batch of blocks as Python numbers would take several times its bytes.
+            for row in range(b.num_rows):
+                qi, qd, ti, td = (b.column(c)[row].values.to_numpy(zero_copy_only=False) for c in ("q_ids", "q_data", "t_ids", "t_data"))
                 order = np.argsort(ti)
-                tr = np.array(td).reshape(len(ti), -1)[order]
-                qu = np.array(qd).reshape(len(qi), -1)
+                tr = td.reshape(len(ti), -1)[order]
+                qu = qd.reshape(len(qi), -1)
                 d = np.maximum((qu**2).sum(1)[:, None] + (tr**2).sum(1)[None] - 2 * qu @ tr.T, 0)
                 best = d.argmin(1)
                 dist = np.sqrt(((qu - tr[best]) ** 2).sum(1))
-                yield pa.RecordBatch.from_arrays([pa.array(qi, pa.int64()), pa.array(np.array(ti)[order][best]), pa.array(dist)], names=["query_idx", "train_idx", "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array(qi, pa.int64()), pa.array(ti[order][best]), pa.array(dist)], names=["query_idx", "train_idx", "distance"])
 
     near = pairs.mapInArrow(run, "query_idx long, train_idx long, distance double")
     return near.groupBy("query_idx").agg(F.min(F.struct("distance", "train_idx")).alias("m")).select("query_idx", F.col("m.train_idx").alias("train_idx"), F.col("m.distance").alias("distance"))

@@ -99,3 +99,23 @@ def test_stretches_fold_as_rows_combine():
         want = scan.combine(want, r)
     assert np.allclose(scan.fold(None, pd.DataFrame({"z": z})), want, rtol=1e-12, atol=1e-12)
     assert np.allclose(scan.fold(scan.fold(None, pd.DataFrame({"z": z[:13]})), pd.DataFrame({"z": z[13:]})), want, rtol=1e-12, atol=1e-12)
+
+
+def test_block_pairs_are_not_held_as_python_numbers(spark, monkeypatch):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    steps = []
+    rows = spark.range(4).selectExpr("id AS idx", "array(CAST(id AS double)) AS vec")
+    real = type(rows).mapInArrow
+    monkeypatch.setattr(type(rows), "mapInArrow", lambda df, f, *a, **k: steps.append(f) or real(df, f, *a, **k))
+    matching.match_descriptors(rows, rows)
+    ids, data = [list(range(50))] * 16, [np.random.default_rng(1).normal(size=50 * 64)] * 16
+    batch = pa.RecordBatch.from_pydict({"q_ids": ids, "q_data": data, "t_ids": ids, "t_data": data})
+    tracemalloc.start()
+    out = list(steps[0](iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(out) == 16 and all(o.column("query_idx").equals(o.column("train_idx")) for o in out)
+    assert peak < batch.nbytes  # it was several times the batch
