@@ -6,10 +6,13 @@ Points are rows (group_id, x, y), with ``seq`` where their order counts; a group
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import InvalidParameter
@@ -171,13 +174,169 @@ def simplified(points: DataFrame, epsilon: float) -> DataFrame:
 # --- nesting ------------------------------------------------------------------------------
 
 
-def _holds(points: Column, x: Column, y: Column) -> Column:
-    """Whether a ray from the point crosses the polygon's edges an odd number of times."""
-    n = F.size(points)
-    crossing = lambda p, q: ((p["y"] > y) != (q["y"] > y)) & (x < (q["x"] - p["x"]) * (y - p["y"]) / (q["y"] - p["y"] + 1e-9) + p["x"])
-    rolled = F.concat(F.slice(points, 2, n - 1), F.slice(points, 1, 1))
-    crossed = F.zip_with(points, rolled, lambda p, q: F.when(crossing(p, q), 1).otherwise(0))
-    return F.aggregate(crossed, F.lit(0), lambda s, v: s + v) % 2 == 1
+#: Contours of a block, middles that one task holds while it looks for what holds them, and middles sent at once.
+CONTOURS, WAITING, PACK = 64, 2048, 256
+#: Crossings worked out at once, in numbers.
+CROSSINGS = 1 << 20
+_CELL = ["image_id", "level", "gx", "gy"]
+
+
+class _Block:
+    """Contours of one cell in order of (area, number), as flat arrays."""
+
+    def __init__(self, ids: np.ndarray, areas: np.ndarray, counts: np.ndarray, xs: np.ndarray, ys: np.ndarray):
+        self.arrays = ids, areas, counts, xs, ys
+
+    def to_bytes(self) -> bytes:
+        ids, areas, counts, xs, ys = self.arrays
+        return b"".join((np.int64(len(ids)).tobytes(), ids.astype(np.int64).tobytes(), areas.tobytes(), counts.astype(np.int64).tobytes(), xs.tobytes(), ys.tobytes()))
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> _Block:
+        n = int(np.frombuffer(data, np.int64, 1)[0])
+        ids, areas, counts = np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, float, n, 8 + 8 * n), np.frombuffer(data, np.int64, n, 8 + 16 * n)
+        points = np.frombuffer(data, float, -1, 8 + 24 * n)
+        return cls(ids, areas, counts, points[: len(points) // 2], points[len(points) // 2 :])
+
+    def first_around(self, mx: np.ndarray, my: np.ndarray, area: np.ndarray) -> np.ndarray:
+        """Place of the first contour, larger than ``area``, that holds each point; -1 where none does."""
+        _, areas, counts, xs, ys = self.arrays
+        starts = np.cumsum(counts) - counts
+        after = np.arange(1, len(xs) + 1)
+        after[starts + counts - 1] = starts  # a contour's last point is followed by its first
+        nx, ny = xs[after], ys[after]
+        x0, x1, y0, y1 = (f.reduceat(v, starts) for v in (xs, ys) for f in (np.minimum, np.maximum))
+        out = np.full(len(mx), -1)
+        step = max(1, CROSSINGS // len(xs))
+        for k in range(0, len(mx), step):
+            x, y = mx[k : k + step, None], my[k : k + step, None]
+            crossed = ((ys > y) != (ny > y)) & (x < (nx - xs) * (y - ys) / (ny - ys + 1e-9) + xs)
+            inside = np.add.reduceat(crossed, starts, axis=1, dtype=np.int64) % 2 == 1
+            inside &= (areas > area[k : k + step, None]) & (x0 <= x) & (x <= x1) & (y0 <= y) & (y <= y1)
+            out[k : k + step] = np.where(inside.any(1), inside.argmax(1), -1)
+        return out
+
+
+_SWEPT = "kind int, image_id long, level int, gx long, gy long, pid int, seq long, contour_id long, mx double, my double, area double, outer long, outer_area double, data binary"
+
+
+def _sweep(batches: Iterator[pa.RecordBatch], most: int, wait: int) -> Iterator[pa.RecordBatch]:
+    """Rows of cells in order of area: blocks (kind 0), the least contour around a middle (1), and middles for which a later task may hold one (2).
+
+    A middle waits while the cell's larger contours go by, and leaves with the first that holds it; at most ``2 * wait + most`` wait at once.
+    """
+    pid, cell, seq = TaskContext.get().partitionId(), None, 0
+    block: list[tuple] = []
+    waiting: list[tuple] = []
+    out: list[tuple] = []
+
+    def close(last: bool) -> None:
+        """End a block; the middles that go on are those least in area, in front."""
+        nonlocal block, waiting, seq
+        if block:
+            ids, areas, xs, ys = zip(*block, strict=True)
+            made = _Block(np.array(ids), np.array(areas, float), np.array([len(x) for x in xs]), np.concatenate(xs), np.concatenate(ys))
+            out.append((0, *cell, pid, seq, None, None, None, None, None, None, made.to_bytes()))
+            if waiting:
+                _, mx, my, area = (np.array(v) for v in zip(*waiting, strict=True))
+                found = made.first_around(mx, my, area).tolist()
+                out.extend((1, *cell, pid, seq, *w, ids[f], areas[f], None) for w, f in zip(waiting, found, strict=True) if f >= 0)
+                waiting = [w for w, f in zip(waiting, found, strict=True) if f < 0]
+            block, seq = [], seq + 1
+        gone = len(waiting) if last else max(0, len(waiting) - wait)
+        out.extend((2, *cell, pid, seq, *w, None, None, None) for w in waiting[:gone])
+        waiting = waiting[gone:]
+
+    def told() -> pa.RecordBatch:
+        nonlocal out
+        rows, out = out, []
+        return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*rows, strict=True), _SWEPT_TYPES, strict=True)], schema=_SWEPT_TYPES)
+
+    for b in batches:
+        keys = list(zip(*(b.column(c).to_pylist() for c in _CELL), strict=True))
+        ids, mx, my, area, asks = (b.column(c).to_pylist() for c in ("id", "mx", "my", "area", "asks"))
+        xs, ys = (b.column(c) for c in ("xs", "ys"))
+        ends = xs.offsets.to_numpy()
+        flat_x, flat_y = (v.values.to_numpy(zero_copy_only=False) for v in (xs, ys))
+        for k, key in enumerate(keys):
+            if key != cell:
+                if cell is not None:
+                    close(True)
+                cell, seq = key, 0
+            if asks[k]:
+                waiting.append((ids[k], mx[k], my[k], area[k]))
+                if len(waiting) > 2 * wait:
+                    close(False)
+            else:
+                block.append((ids[k], area[k], flat_x[ends[k] : ends[k + 1]].copy(), flat_y[ends[k] : ends[k + 1]].copy()))
+                if len(block) == most:
+                    close(False)
+            if len(out) >= 4096:
+                yield told()
+    if cell is not None:
+        close(True)
+    if out:
+        yield told()
+
+
+_SWEPT_TYPES = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}[k]) for n, k in (c.split() for c in _SWEPT.split(", "))])
+_ANSWER = "image_id long, level int, gx long, gy long, contour_id long, outer long, outer_area double"
+_PACK = "image_id long, level int, gx long, gy long, at long, n long, asked binary"
+
+
+def _packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Middles (sorted) that ask one block, at most ``PACK`` a row."""
+    for b in batches:
+        keys = list(zip(*(b.column(c).to_pylist() for c in (*_CELL, "at")), strict=True))
+        ids, mx, my, area = (b.column(c).to_numpy() for c in ("contour_id", "mx", "my", "area"))
+        starts = [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]]
+        cuts = [c for s, e in zip(starts, [*starts[1:], len(keys)], strict=True) for c in range(s, e, PACK)]
+        rows = [(*keys[s], e - s, b"".join((ids[s:e].tobytes(), mx[s:e].tobytes(), my[s:e].tobytes(), area[s:e].tobytes()))) for s, e in zip(cuts, [*cuts[1:], len(keys)], strict=True)]
+        if rows:
+            yield pa.RecordBatch.from_pylist([dict(zip((*_CELL, "at", "n", "asked"), r, strict=True)) for r in rows], pa.schema([(c, pa.int32() if c == "level" else pa.binary() if c == "asked" else pa.int64()) for c in (*_CELL, "at", "n", "asked")]))
+
+
+def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The first contour of a block around each middle of a pack."""
+    names = [*_CELL, "contour_id", "outer", "outer_area"]
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+    for b in batches:
+        for k in range(b.num_rows):
+            n, asked, made = b.column("n")[k].as_py(), b.column("asked")[k].as_py(), _Block.from_bytes(b.column("data")[k].as_py())
+            ids, (mx, my, area) = np.frombuffer(asked, np.int64, n), np.frombuffer(asked, float, 3 * n, 8 * n).reshape(3, n)
+            found = made.first_around(mx, my, area)
+            hit = np.flatnonzero(found >= 0)
+            if len(hit):
+                cell = [np.full(len(hit), b.column(c)[k].as_py()) for c in _CELL]
+                values = [*cell, ids[hit], made.arrays[0][found[hit]], made.arrays[1][found[hit]]]
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, kinds, strict=True)], names=names)
+
+
+def _later(swept: DataFrame) -> DataFrame:
+    """Answers to the middles that outlast their task's rows: rounds over the next blocks of their cell, four times as many each."""
+    block = swept.filter("kind = 0")
+    marks = swept.filter("kind IN (0, 2)").select(*_CELL, "pid", "seq", (F.col("kind") == 0).cast("long").alias("is_block"), "contour_id", "mx", "my", "area")
+    order = Window.partitionBy(*_CELL).orderBy("pid", "seq", "is_block").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = written(marks.withColumn("at", F.sum("is_block").over(order)), "places")  # one row a block or middle left over
+    blocks = block.join(placed.filter("is_block = 1").select(*_CELL, "pid", "seq", (F.col("at") - 1).alias("at")), [*_CELL, "pid", "seq"]).select(*_CELL, "at", "data")
+    total = placed.filter("is_block = 1").groupBy(*_CELL).agg(F.count("*").alias("blocks"))
+    left = placed.filter("is_block = 0").drop("is_block", "pid", "seq").join(total, _CELL).filter("at < blocks")
+    left, width, found = written(left, "left"), 4, []
+    parts = int(swept.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if left.limit(1).count():
+        blocks = written(blocks, "blocks")
+    while left.limit(1).count():
+        asked = left.select(*_CELL, "contour_id", "mx", "my", "area", F.explode(F.sequence("at", F.least(F.col("at") + width, F.col("blocks")) - 1)).alias("at"))
+        packs = written(asked.repartition(parts, *_CELL, "at").sortWithinPartitions(*_CELL, "at").mapInArrow(_packs, _PACK), "packs")
+        found.append(written(packs.join(blocks, [*_CELL, "at"]).mapInArrow(_answers, _ANSWER), "answers"))
+        more = written(left.join(found[-1].select(*_CELL, "contour_id").distinct(), [*_CELL, "contour_id"], "left_anti").withColumn("at", F.col("at") + width).filter("at < blocks"), "left")
+        used_up(packs)
+        used_up(left)
+        left, width = more, 4 * width
+    out = swept.filter("kind = 1").select("image_id", "contour_id", "outer", "outer_area")
+    for f in found:
+        out = out.unionByName(f.select(*out.columns))
+    return out
 
 
 def _level(side: Column) -> Column:
@@ -185,11 +344,12 @@ def _level(side: Column) -> Column:
     return F.greatest(F.ceil(F.log2(F.greatest(side, F.lit(1.0)))), F.lit(0)).cast("int")
 
 
-def nesting(contours: DataFrame) -> DataFrame:
+def nesting(contours: DataFrame, block: int = CONTOURS, waiting: int = WAITING) -> DataFrame:
     """(image_id, contour_id, parent): of each contour (image_id, contour_id, points) the smallest of the larger ones that hold its middle, or -1.
 
     A contour is entered in the cells of a grid of its size class that its bounding box touches, four at most. The middle of each contour asks one cell of every
-    class in its image. So contours meet those whose box is near, never all of an image. Of equal areas the smaller number is the parent.
+    class in its image. A cell's contours and middles are dealt by ranges of area and go by in that order, and a middle goes once something holds it: so it meets the contours
+    up to its parent, never all of a cell, unless nothing there holds it. Of equal areas the smaller number is the parent.
     """
     p = F.col("points")
     n = F.size(p)
@@ -201,12 +361,18 @@ def nesting(contours: DataFrame) -> DataFrame:
     c = written(c.withColumn("level", _level(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))), "contours")
     cell = lambda v, level: F.floor(v / F.pow(F.lit(2.0), level)).cast("long")
     held = c.withColumn("gx", F.explode(F.sequence(cell(F.col("x0"), F.col("level")), cell(F.col("x1"), F.col("level"))))).withColumn("gy", F.explode(F.sequence(cell(F.col("y0"), F.col("level")), cell(F.col("y1"), F.col("level")))))
-    held = held.select("image_id", "level", "gx", "gy", F.col("contour_id").alias("outer"), F.col("points").alias("around"), F.col("area").alias("outer_area"), "x0", "x1", "y0", "y1")
+    sound = "image_id IS NOT NULL AND contour_id IS NOT NULL AND NOT isnan(area) AND NOT isnan(mx) AND NOT isnan(my)"
+    coordinates = [F.col(f"points.{k}").cast("array<double>").alias(f"{k}s") for k in ("x", "y")]
+    keys = [F.col("image_id").cast("long").alias("image_id"), "level", "gx", "gy", F.col("contour_id").cast("long").alias("id"), "mx", "my", "area"]
+    held = held.filter(sound).select(*keys, *coordinates, F.lit(False).alias("asks"))
     classes = c.groupBy("image_id").agg(F.collect_set("level").alias("levels"))  # a few dozen an image
-    asked = c.select("image_id", "contour_id", "mx", "my", "area").join(classes, "image_id").withColumn("level", F.explode("levels")).drop("levels")
+    asked = c.filter(sound).select("image_id", "contour_id", "mx", "my", "area").join(classes, "image_id").withColumn("level", F.explode("levels")).drop("levels")
     asked = asked.withColumn("gx", cell(F.col("mx"), F.col("level"))).withColumn("gy", cell(F.col("my"), F.col("level")))
-    met = asked.join(held, ["image_id", "level", "gx", "gy"]).filter("outer <> contour_id AND outer_area > area AND mx BETWEEN x0 AND x1 AND my BETWEEN y0 AND y1")
-    inside = met.filter(_holds(F.col("around"), F.col("mx"), F.col("my")))
-    least = inside.groupBy("image_id", "contour_id").agg(F.min(F.struct("outer_area", "outer")).alias("m"))
-    return c.select("image_id", "contour_id").join(least, ["image_id", "contour_id"], "left").select("image_id", "contour_id", F.coalesce("m.outer", F.lit(-1)).alias("parent"))
-
+    none = F.array().cast("array<double>")
+    asked = asked.select(*keys, none.alias("xs"), none.alias("ys"), F.lit(True).alias("asks"))
+    parts = int(contours.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = held.unionByName(asked).repartitionByRange(parts, *_CELL, "area", "id").sortWithinPartitions(*_CELL, "area", "id")
+    swept = written(dealt.mapInArrow(partial(_sweep, most=block, wait=waiting), _SWEPT), "swept")
+    least = _later(swept).groupBy("image_id", "contour_id").agg(F.min(F.struct("outer_area", "outer")).alias("m"))
+    parent = F.coalesce("m.outer", F.lit(-1)).cast(c.schema["contour_id"].dataType)
+    return c.select("image_id", "contour_id").join(least, ["image_id", "contour_id"], "left").select("image_id", "contour_id", parent.alias("parent"))

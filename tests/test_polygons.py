@@ -1,8 +1,10 @@
 """Point relations: hulls, rectangles, simplification, nesting and suppression against forms that hold a whole group."""
 
 import math
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lumaframe.operators import matching, polygons, segmentation
@@ -126,3 +128,45 @@ def test_suppression_of_one_large_group(spark):
     for threshold in (0.0, 0.3):
         want = {(r["group_id"], r["seq"]) for r in matching.nms_boxes(df, 0.2, threshold).collect()}
         assert {tuple(r) for r in matching.suppressed_boxes(df, 0.2, threshold).collect()} == want
+
+
+def test_nesting_of_one_crowded_image(spark):
+    """Contours of one cell: each middle meets the contours up to its parent, over the ends of blocks and tasks."""
+    rng = np.random.default_rng(8)
+    pts = {k: rng.integers(0, 60, (int(rng.integers(1, 7)), 2)).astype(float) for k in range(1200)}
+    pts |= {2000 + k: np.array([[0, 0], [k, 0], [k, 64], [0, 64]], float) for k in (61, 62, 63)} | {3000 + k: pts[k] for k in range(50)}
+    df = spark.createDataFrame([(1, k, [{"x": x, "y": y} for x, y in p.tolist()]) for k, p in pts.items()] + [(1, 5000, None), (1, 5001, [])], "image_id long, contour_id long, points array<struct<x:double,y:double>>")
+    area = lambda p: abs(float((p[:, 0] * np.roll(p[:, 1], -1) - np.roll(p[:, 0], -1) * p[:, 1]).sum())) / 2
+    order = sorted(pts, key=lambda k: (area(pts[k]), k))
+
+    def holds(p, x, y):
+        a, b = p[:, 0], p[:, 1]
+        c, d = np.roll(a, -1), np.roll(b, -1)
+        crossed = ((b > y) != (d > y)) & (x < (c - a) * (y - b) / (d - b + 1e-9) + a)
+        return crossed.sum() % 2 == 1 and a.min() <= x <= a.max() and b.min() <= y <= b.max()
+
+    want = {}
+    for i, k in enumerate(order):
+        x, y = (sum(v) / len(v) for v in pts[k].T.tolist())
+        want[k] = next((o for o in order[i + 1 :] if area(pts[o]) > area(pts[k]) and holds(pts[o], x, y)), -1)
+    for contours, waiting in ((64, 2048), (5, 3)):
+        assert {r["contour_id"]: r["parent"] for r in polygons.nesting(df, contours, waiting).collect()} == want
+
+
+def test_nesting_meets_few_of_a_crowded_cell(monkeypatch):
+    """Middles compared with contours do not grow with the square of a cell's contours."""
+    met = []
+    first_around = polygons._Block.first_around
+    monkeypatch.setattr(polygons, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    monkeypatch.setattr(polygons._Block, "first_around", lambda self, mx, *rest: met.append(len(mx) * len(self.arrays[0])) or first_around(self, mx, *rest))
+    rng, n, rows = np.random.default_rng(9), 4000, []
+    for k in range(n):
+        x, y = rng.integers(0, 60, (2, 4)).astype(float).tolist()
+        area = abs(sum(x[i - 1] * y[i] - x[i] * y[i - 1] for i in range(4))) / 2
+        cell = {"image_id": 1, "level": 6, "gx": 0, "gy": 0, "id": k, "mx": sum(x) / 4, "my": sum(y) / 4, "area": area}
+        rows += [cell | {"xs": x, "ys": y, "asks": False}, cell | {"xs": [], "ys": [], "asks": True}]
+    rows.sort(key=lambda r: (r["area"], r["id"]))
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([(c, pa.float64() if c in ("mx", "my", "area") else pa.list_(pa.float64()) if c in ("xs", "ys") else pa.bool_() if c == "asks" else pa.int32() if c == "level" else pa.int64()) for c in rows[0]]))
+    told = pa.Table.from_batches(polygons._sweep(iter([batch]), 64, 2048)).to_pylist()
+    assert sum(r["kind"] in (1, 2) for r in told) == n and sum(r["kind"] == 1 for r in told) > 0.9 * n
+    assert sum(met) < n * n / 2 / 10
