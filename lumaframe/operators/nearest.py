@@ -3,9 +3,10 @@
 Pivots are rows of the training side. Both sides are dealt to the cell of their nearest pivot, sorted by the distance to it and packed into
 blocks, so that a block of a cell is a shell around its pivot. A query first meets the innermost block of its own cell, which
 gives a distance ``b`` that its nearest row can't exceed. A row t of the shell [low, high] around pivot p is at least
-``d(q, p) - high``, ``low - d(q, p)`` and, as p is t's nearest pivot, ``(d(q, p) - d(q, own pivot)) / 2`` away; only shells for which all
-three are at most b for some query of a block are met in a second join. A cell may hold any share of the rows: it is
-then many blocks. Only the pivots, of bounded number and size, reach the driver and all tasks.
+``d(q, p) - high``, ``low - d(q, p)`` and, as p is t's nearest pivot, ``(d(q, p) - d(q, own pivot)) / 2`` away, and no nearer than the box around
+the shell's rows. Only queries for which all four are at most b go to a cell: they are sent there by themselves, put together to packs of ``BLOCK``, and meet its shells
+in a second join. A cell may hold any share of the rows: it is then many blocks. Only the pivots and the boxes of their cells, of bounded number and size, reach the
+driver and all tasks. The box matters for queries far outside of the rows, whose distances to all pivots are about the same.
 
 Vectors of many independent directions lie at about the same distance from each other, and then few pairs of blocks can be left out.
 """
@@ -13,7 +14,7 @@ Vectors of many independent directions lie at about the same distance from each
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +58,7 @@ def _matrix(column: pa.Array, d: int) -> np.ndarray:
 
 
 def _blocks(rows: DataFrame, pivots: np.ndarray, name: str, size: int) -> DataFrame:
-    """Blocks (block, cell, low, high, n, ids, data) of rows of one cell, in order of their distance from its pivot."""
+    """Blocks (block, cell, low, high, n, ids, data, box) of rows of one cell, in order of their distance from its pivot; a box is each component's least, then largest number."""
     d = pivots.shape[1]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,9 +75,10 @@ def _blocks(rows: DataFrame, pivots: np.ndarray, name: str, size: int) -> DataFr
         def block() -> pa.RecordBatch:
             t = pa.Table.from_batches(held)
             away = t.column("away").to_numpy()
-            values = [(pid << 33) + seq, t.column("cell")[0].as_py(), away.min(), away.max(), t.num_rows, t.column("i").to_numpy().astype(np.int64).tobytes(), t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).tobytes()]
-            kinds = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["block", "cell", "low", "high", "n", "ids", "data"])
+            x = t.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, d)
+            values = [(pid << 33) + seq, t.column("cell")[0].as_py(), away.min(), away.max(), t.num_rows, t.column("i").to_numpy().astype(np.int64).tobytes(), x.tobytes(), np.concatenate([x.min(0), x.max(0)])]
+            kinds = [pa.int64(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.float64())]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["block", "cell", "low", "high", "n", "ids", "data", "box"])
 
         for b in batches:
             cells, at = b.column("cell").to_numpy(), 0
@@ -92,7 +94,7 @@ def _blocks(rows: DataFrame, pivots: np.ndarray, name: str, size: int) -> DataFr
 
     dealt = rows.mapInArrow(deal, "i long, v array<double>, cell int, away double")
     ordered = dealt.repartitionByRange("cell", "away", "i").sortWithinPartitions("cell", "away", "i")
-    return written(ordered.mapInArrow(pack, "block long, cell int, low double, high double, n long, ids binary, data binary"), name)
+    return written(ordered.mapInArrow(pack, "block long, cell int, low double, high double, n long, ids binary, data binary, box array<double>"), name)
 
 
 def _nearest(q: np.ndarray, t: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,6 +113,39 @@ def _margin(away: np.ndarray) -> np.ndarray:
     return 1e-6 * (1 + away)
 
 
+def _outside(q: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Distance of each row of ``q`` from a box, or from the box of the same row."""
+    return np.sqrt((np.maximum(np.maximum(low - q, q - high), 0) ** 2).sum(1))
+
+
+#: Queries that go to one cell, as bytes.
+_ASKED = "cell int, block long, n long, least double, most double, ids binary, data binary, limit binary"
+
+
+def _packed(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows of one cell (sorted) put together until they have ``size`` queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
+
+        def pack() -> pa.RecordBatch:
+            first = {"cell": held[0]["cell"], "block": held[0]["block"], "n": sum(r["n"] for r in held), "least": min(r["least"] for r in held), "most": max(r["most"] for r in held)}
+            joined = {c: b"".join(r[c] for r in held) for c in ("ids", "data", "limit")}
+            return pa.RecordBatch.from_pylist([first | joined], pa.schema([("cell", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("least", pa.float64()), ("most", pa.float64()), *[(c, pa.binary()) for c in joined]]))
+
+        for b in batches:
+            for k in range(b.num_rows):
+                row = {c: b.column(c)[k].as_py() for c in b.schema.names}
+                if held and (held[0]["cell"] != row["cell"] or sum(r["n"] for r in held) + row["n"] > size):
+                    yield pack()
+                    held = []
+                held.append(row)
+        if held:
+            yield pack()
+
+    return run
+
+
 def _array(value: pa.Scalar, d: int | None = None, kind: type = float) -> np.ndarray:
     flat = np.frombuffer(value.as_buffer(), kind)
     return flat if d is None else flat.reshape(-1, d)
@@ -125,7 +160,7 @@ class PivotSearch:
     def __init__(self, query: DataFrame, train: DataFrame, idx: str = "idx", vec: str = "vec", block: int = BLOCK, pivots: int | None = None):
         if block < 1 or pivots is not None and pivots < 1:
             raise InvalidParameter("blocks and pivots are counted from one")
-        self.spark = query.sparkSession
+        self.spark, self.size = query.sparkSession, block
         q, t = _vectors(query, idx, vec), _vectors(train, idx, vec)
         size = t.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).first()
         self.empty = not size["n"]
@@ -135,7 +170,8 @@ class PivotSearch:
         self.pivots = choose_pivots(t, min(most, pivots or math.ceil(math.sqrt(size["n"]))))
         self.shells = _blocks(t, self.pivots, "shells", block)
         self.blocks = written(self._first_meeting(_blocks(q, self.pivots, "queries", block)), "first")
-        self.pairs = written(self._pairs(), "pairs")
+        self.asked = written(self._asked(), "asked")
+        self.pairs = self._met().select("pack", "shell")
 
     def _first_meeting(self, blocks: DataFrame) -> DataFrame:
         """Query blocks with the nearest row in the innermost block of their cell, which holds the pivot, and its distance as ``limit``."""
@@ -151,49 +187,61 @@ class PivotSearch:
 
         return blocks.select("block", "cell", "ids", "data").join(inner, "cell").mapInArrow(run, "block long, cell int, ids binary, data binary, near binary, limit binary")
 
-    def _pairs(self) -> DataFrame:
-        """Pairs (block, shell) that can hold a row as near as the first found."""
+    def _asked(self) -> DataFrame:
+        """Packs of the queries for which a cell can hold a row as near as the first found."""
         pivots = self.pivots
         d, k = pivots.shape[1], len(pivots)
         ends = {r["cell"]: r for r in self.shells.groupBy("cell").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()}  # one row a pivot
         low = np.array([ends[c]["low"] if c in ends else np.inf for c in range(k)])
         high = np.array([ends[c]["high"] if c in ends else -np.inf for c in range(k)])
+        sides = self.shells.select("cell", F.posexplode("box").alias("at", "v")).groupBy("cell", "at").agg(F.min("v").alias("low"), F.max("v").alias("high")).toArrow()  # as large as the pivots
+        cell, at = (sides.column(c).to_numpy() for c in ("cell", "at"))
+        bottom, top = np.full((k, 2 * d), np.inf), np.full((k, 2 * d), -np.inf)
+        bottom[cell, at], top[cell, at] = sides.column("low").to_numpy(), sides.column("high").to_numpy()
+        bottom, top = bottom[:, :d].copy(), top[:, d:].copy()
 
         def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for row in range(b.num_rows):
-                    away = distances(_array(b.column("data")[row], d), pivots)
-                    limit = _array(b.column("limit")[row])[:, None] + _margin(away)
-                    need = ((away - away.min(1, keepdims=True)) / 2 <= limit) & (away - limit <= high) & (away + limit >= low)
-                    cells = np.flatnonzero(need.any(0))
-                    least = np.where(need, away - limit, np.inf).min(0)[cells]
-                    most = np.where(need, away + limit, -np.inf).max(0)[cells]
-                    yield pa.RecordBatch.from_arrays([pa.array([b.column("block")[row].as_py()] * len(cells), pa.int64()), pa.array(cells, pa.int32()), pa.array(least), pa.array(most)], names=["block", "cell", "least", "most"])
-
-        asked = self.blocks.select("block", "data", "limit").mapInArrow(bounds, "block long, cell int, least double, most double")
-        shells = self.shells.select(F.col("block").alias("shell"), "cell", "low", "high")
-        return asked.join(shells, "cell").filter("low <= most AND high >= least").select("block", "shell")
+                    q, ids, limit = _array(b.column("data")[row], d), _array(b.column("ids")[row], kind=np.int64), _array(b.column("limit")[row])
+                    away = distances(q, pivots)
+                    far = limit[:, None] + _margin(away)
+                    need = ((away - away.min(1, keepdims=True)) / 2 <= far) & (away - far <= high) & (away + far >= low)
+                    for c in np.flatnonzero(need.any(0)):
+                        asks = np.flatnonzero(need[:, c])
+                        asks = asks[_outside(q[asks], bottom[c], top[c]) <= limit[asks] + _margin(limit[asks])]
+                        if len(asks):
+                            values = [c, b.column("block")[row].as_py(), len(asks), (away - far)[asks, c].min(), (away + far)[asks, c].max(), ids[asks].tobytes(), q[asks].tobytes(), limit[asks].tobytes()]
+                            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
+                            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names=[c.split()[0] for c in _ASKED.split(", ")])
+
+        asked = self.blocks.select("block", "data", "ids", "limit").mapInArrow(bounds, _ASKED)
+        # A cell that many ask is dealt over several tasks.
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        return asked.repartition(parts, "cell", F.pmod(F.hash("block"), F.lit(16))).sortWithinPartitions("cell").mapInArrow(_packed(self.size), _ASKED).withColumn("pack", F.monotonically_increasing_id())
+
+    def _met(self) -> DataFrame:
+        """Packs with the shells of their cell that are within reach."""
+        shells = self.shells.select(F.col("block").alias("shell"), "cell", "low", "high", "box", F.col("ids").alias("t_ids"), F.col("data").alias("t_data"))
+        return self.asked.join(shells, "cell").filter("low <= most AND high >= least")
 
     def _second_meeting(self) -> DataFrame:
         pivots = self.pivots
         d = pivots.shape[1]
-        shells = self.shells.select(F.col("block").alias("shell"), F.col("cell").alias("t_cell"), "low", "high", F.col("ids").alias("t_ids"), F.col("data").alias("t_data"))
-        pairs = self.pairs.join(self.blocks.select("block", "ids", "data", "limit"), "block").join(shells, "shell")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for row in range(b.num_rows):
                     at = {c: b.column(c)[row] for c in b.schema.names}
-                    q, ids = _array(at["data"], d), _array(at["ids"], kind=np.int64)
-                    away = distances(q, pivots)
-                    limit = _array(at["limit"]) + _margin(away[:, at["t_cell"].as_py()])
-                    there = away[:, at["t_cell"].as_py()]
-                    may = (there - limit <= at["high"].as_py()) & (there + limit >= at["low"].as_py()) & ((there - away.min(1)) / 2 <= limit)
+                    q, ids, near = _array(at["data"], d), _array(at["ids"], kind=np.int64), _array(at["limit"])
+                    there = np.sqrt(((q - pivots[at["cell"].as_py()]) ** 2).sum(1))
+                    limit, (bottom, top) = near + _margin(there), np.array(at["box"].as_py()).reshape(2, d)
+                    may = (there - limit <= at["high"].as_py()) & (there + limit >= at["low"].as_py()) & (_outside(q, bottom, top) <= near + _margin(near))
                     if may.any():
-                        near, distance = _nearest(q[may], _array(at["t_data"], d), _array(at["t_ids"], kind=np.int64))
-                        yield pa.RecordBatch.from_arrays([pa.array(ids[may]), pa.array(near), pa.array(distance)], names=["query_idx", "train_idx", "distance"])
+                        found, distance = _nearest(q[may], _array(at["t_data"], d), _array(at["t_ids"], kind=np.int64))
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[may]), pa.array(found), pa.array(distance)], names=["query_idx", "train_idx", "distance"])
 
-        return pairs.select("t_cell", "low", "high", "ids", "data", "limit", "t_ids", "t_data").mapInArrow(run, "query_idx long, train_idx long, distance double")
+        return self._met().select("cell", "low", "high", "box", "ids", "data", "limit", "t_ids", "t_data").mapInArrow(run, "query_idx long, train_idx long, distance double")
 
     def matches(self) -> DataFrame:
         """(query_idx, train_idx, distance): nearest row by Euclidean distance, the one of the smallest number of equals."""

@@ -235,3 +235,12 @@ def test_pivots_of_nothing(spark):
     with pytest.raises(InvalidParameter):
         nearest.pivot_matches(some, some, block=0)
     assert matching.approximate_matches(some, some).collect()[0]["train_idx"] == 1
+
+
+def test_pivots_leave_out_most_pairs_of_far_queries(spark):
+    """Queries far outside of the rows are about as far from every pivot; the boxes of cells tell them apart."""
+    rng = np.random.default_rng(7)
+    points = lambda n, away: spark.createDataFrame([(i, [x + away, y]) for i, (x, y) in enumerate((rng.random((n, 2)) * 100).tolist())], VEC)
+    search = nearest.PivotSearch(points(1500, 3000.0), points(1500, 0.0), block=32)
+    assert search.pairs.count() < search.blocks.count() * search.shells.count() / 8
+    assert search.matches().count() == 1500
