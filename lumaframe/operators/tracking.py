@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -79,6 +79,29 @@ def velocity_filter() -> KalmanFilter:
     return k
 
 
+def velocity_step(x: list[float], p: list[float]) -> Callable[..., tuple]:
+    """The filter of :func:`velocity_filter` from a state on, by plain numbers: a call takes a measurement and gives (position, speed), or without one the state."""
+    k = velocity_filter()
+    q0, q1, r = float(k.q[0, 0]), float(k.q[1, 1]), float(k.r[0, 0])
+    a, b = map(float, x)
+    p00, p01, p10, p11 = map(float, p)
+
+    def step(z: float | None = None) -> tuple:
+        nonlocal a, b, p00, p01, p10, p11
+        if z is None:
+            return [a, b], [p00, p01, p10, p11]
+        a = a + b
+        top, right = p00 + p10, p01 + p11
+        p00, p01, p10, p11 = top + right + q0, right, p10 + p11, p11 + q1
+        inverse = 1 / (p00 + r)
+        g0, g1, y = p00 * inverse, p10 * inverse, z - a
+        a, b = a + g0 * y, b + g1 * y
+        p00, p01, p10, p11 = (1 - g0) * p00, (1 - g0) * p01, p10 - g1 * p00, p11 - g1 * p01
+        return a, b
+
+    return step
+
+
 def kalman_tracks(tracks: DataFrame) -> DataFrame:
     """(track_id, seq, z) with the filtered position and speed.
 

@@ -5,22 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.files import new_folder
+from ..sources.files import new_folder, written
 from ..streaming import ordered, stateful
 from . import queries_shapes
 from .queries_images import add
 from .views import tracks
 
 
+#: Rows of the table for which a batch gets one more file.
+ROWS = 200_000
+
+
 def _shuffled(s: SparkSession, d: str) -> DataFrame:
     """Tracks as a stream of four batches in which no track is in order; a fifth repeats every fiftieth measurement."""
     folder = new_folder(s, "measurements")
-    t = tracks(s, d)
+    t = written(tracks(s, d), "tracks")
+    files = min(t.count() // ROWS + 1, int(s.conf.get("spark.sql.shuffle.partitions")))
     part = F.pmod(F.xxhash64("track_id", "seq"), F.lit(4))
-    for k in range(4):
-        t.filter(part == k).coalesce(1).write.mode("append").parquet(folder)
-    t.filter("seq % 50 = 0").coalesce(1).write.mode("append").parquet(folder)
-    return s.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    for some in (*(part == k for k in range(4)), F.expr("seq % 50 = 0")):
+        t.filter(some).repartition(files).write.mode("append").parquet(folder)
+    return s.readStream.schema(t.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def _results(s: SparkSession, d: str) -> DataFrame:

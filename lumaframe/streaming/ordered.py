@@ -10,17 +10,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.tracking import velocity_filter
+from ..operators.tracking import velocity_filter, velocity_step
 
 OUT = "track_id long, seq long, z double, position double, speed double, late boolean"
 STATE = "last long, x array<double>, p array<double>"
-WAITING = "seq long, z double"
+#: Waiting rows of a batch are one entry, or several of at most ``ENTRY`` rows.
+WAITING = "seqs array<long>, zs array<double>"
+ENTRY = 10_000
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -33,66 +33,71 @@ class OrderedKalman(StatefulProcessor):
         self.state = handle.getValueState("filter", STATE, self.ttl)
         self.waiting = handle.getListState("waiting", WAITING, self.ttl)
 
-    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
-        r = initialState.iloc[0]
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues) -> None:
+        r = initialState
         self.state.update((int(r["last"]), [float(v) for v in r["x"]], [float(v) for v in r["p"]]))
 
     def _held(self) -> tuple:
-        if self.state.exists():
-            return self.state.get()
+        held = self.state.get()
+        if held is not None:
+            return held
         k = velocity_filter()
         return (self.first - 1, k.x.tolist(), k.p.ravel().tolist())
 
-    def _filtered(self, key: tuple, rows: list[tuple[int, float]], held: tuple, all_: bool) -> tuple[list[tuple], list[tuple[int, float]]]:
+    def _filtered(self, key: tuple, rows: list[tuple[int, float]], held: tuple, all_: bool) -> tuple[list[Row], list[tuple[int, float]]]:
         """Results of the rows whose turn it is, and the rows that wait on; ``all_`` passes over gaps."""
         last, x, p = held
-        k = velocity_filter()
-        k.x, k.p = np.array(x), np.array(p).reshape(2, 2)
-        out, left = [], []
+        out, left, step = [], [], velocity_step(x, p)
         for seq, z in sorted(rows):
             if seq <= last:
-                out.append((key[0], seq, z, None, None, True))
+                out.append(Row(track_id=key[0], seq=seq, z=z, position=None, speed=None, late=True))
             elif all_ or seq == last + 1:
-                k.predict()
-                position, speed = k.update([z])
-                out.append((key[0], seq, z, float(position), float(speed), False))
+                position, speed = step(z)
+                out.append(Row(track_id=key[0], seq=seq, z=z, position=position, speed=speed, late=False))
                 last = seq
             else:
                 left.append((seq, z))
         if last != held[0]:
-            self.state.update((last, k.x.tolist(), k.p.ravel().tolist()))
+            self.state.update((last, *step()))
         return out, left
 
+    def _waiting(self) -> list[tuple[int, float]]:
+        return [r for seqs, zs in self.waiting.get() for r in zip(seqs, zs, strict=True)]
+
     @staticmethod
-    def _frame(out: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(out, columns=["track_id", "seq", "z", "position", "speed", "late"])
-        return frame.astype({"position": float, "speed": float, "late": bool})
+    def _entries(rows: list[tuple[int, float]]) -> list[tuple[list[int], list[float]]]:
+        return [tuple(map(list, zip(*rows[k : k + ENTRY], strict=True))) for k in range(0, len(rows), ENTRY)]
 
-    def _wait(self, left: list[tuple[int, float]]) -> None:
+    def _wait(self, left: list[tuple[int, float]], before: bool) -> None:
         if left:
-            self.waiting.put(left)
-        elif self.waiting.exists():
+            self.waiting.put(self._entries(left))
+        elif before:
             self.waiting.clear()
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = [(int(s), float(z)) for pdf in rows for s, z in zip(pdf["seq"], pdf["z"], strict=True)]
-        out, left = self._filtered(key, [*new, *((int(s), float(z)) for s, z in self.waiting.get())], self._held(), False)
-        self._wait(left)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        new = [(r["seq"], r["z"]) for r in rows]
+        held = self._held()
+        if self.ttl is not None or any(seq == held[0] + 1 for seq, _ in new):  # writing all anew puts off their end
+            waiting = self._waiting()
+            out, left = self._filtered(key, [*new, *waiting], held, False)
+            self._wait(left, bool(waiting))
+        else:  # no waiting row's turn has come, so that they stay as they are
+            out, left = self._filtered(key, new, held, False)
+            if left:
+                self.waiting.appendList(self._entries(left))
         if self.patience is not None:
             timers = list(self.handle.listTimers())
             if left and not timers:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.patience)
-            elif not left:
+            elif not left and not self.waiting.exists():
                 for t in timers:
                     self.handle.deleteTimer(t)
-        if out:
-            yield self._frame(out)
+        yield from out
 
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        out, left = self._filtered(key, [(int(s), float(z)) for s, z in self.waiting.get()], self._held(), True)
-        self._wait(left)
-        if out:
-            yield self._frame(out)
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        out, left = self._filtered(key, self._waiting(), self._held(), True)
+        self._wait(left, True)
+        yield from out
 
     def close(self) -> None:
         pass
@@ -113,7 +118,7 @@ def ordered_kalman(measurements: DataFrame, patience: int | None = None, ttl: in
     use_state_store(measurements.sparkSession)
     rows = measurements.filter("track_id IS NOT NULL AND seq IS NOT NULL AND z IS NOT NULL").select("track_id", F.col("seq").cast("long").alias("seq"), F.col("z").cast("double").alias("z"))
     start = initial.groupBy("track_id") if initial is not None else None
-    return rows.groupBy("track_id").transformWithStateInPandas(OrderedKalman(patience, ttl, first), OUT, "Append", "None" if patience is None and ttl is None else "ProcessingTime", start)
+    return rows.groupBy("track_id").transformWithState(OrderedKalman(patience, ttl, first), OUT, "Append", "None" if patience is None and ttl is None else "ProcessingTime", start)
 
 
 def on_time(results: DataFrame) -> DataFrame:

@@ -143,3 +143,38 @@ def test_a_timer_passes_over_gaps(spark, tmp_path):
         assert until({(1, False), (3, False), (4, False), (2, True), (5, False)}) == {(1, False), (3, False), (4, False), (2, True), (5, False)}
     finally:
         query.stop()
+
+
+def test_waiting_rows_are_read_only_when_a_turn_comes():
+    """Rows that wait are neither read nor written again by rows before whose turn others must come."""
+
+    class Held:
+        def __init__(self):
+            self.value, self.rows, self.moved = None, [], 0
+
+        def get(self):
+            self.moved += len(self.rows)
+            return self.value if self.value is not None else iter(self.rows) if self.rows else None
+
+        def update(self, value):
+            self.value = value
+
+        def exists(self):
+            return bool(self.rows or self.value)
+
+        def put(self, rows):
+            self.rows, self.moved = list(rows), self.moved + len(rows)
+
+        def appendList(self, rows):
+            self.rows, self.moved = self.rows + list(rows), self.moved + len(rows)
+
+        def clear(self):
+            self.rows = []
+
+    p = ordered.OrderedKalman(None, None, 1)
+    p.state, p.waiting = Held(), Held()
+    said = []
+    for first in (*range(91, 1, -10), 1):
+        said += p.handleInputRows((7,), iter([{"seq": s, "z": float(s)} for s in range(first, first + 10)]), None)
+    assert [r["seq"] for r in said] == list(range(1, 101)) and not any(r["late"] for r in said) and not p.waiting.rows
+    assert p.waiting.moved == 18  # each of nine batches of waiting rows written once and read once
