@@ -64,10 +64,11 @@ def sampled_hypotheses(matches: DataFrame, n: int) -> DataFrame:
 
     @F.pandas_udf(MATRIX)
     def solve(p: pd.Series) -> pd.Series:
-        points = np.array([[[q["x"], q["y"], q["u"], q["v"]] for q in four] for four in p], float).reshape(-1, 4, 4)
+        points = np.concatenate([np.empty(0), *p]).reshape(-1, 4, 4)
         return pd.Series([h if np.isfinite(h).all() else None for h in through_four(points)], dtype=object)
 
-    return four.withColumn("matrix", solve("p")).filter(F.col("matrix").isNotNull()).select("pair_id", "k", "matrix")
+    flat = F.flatten(F.transform("p", lambda q: F.array(q["x"], q["y"], q["u"], q["v"])))
+    return four.withColumn("matrix", solve(flat)).filter(F.col("matrix").isNotNull()).select("pair_id", "k", "matrix")
 
 
 def inlier_counts(matches: DataFrame, hypotheses: DataFrame, reach: float) -> DataFrame:
@@ -81,10 +82,11 @@ def inlier_counts(matches: DataFrame, hypotheses: DataFrame, reach: float) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for pair, points, ks, hs in zip(*(b.column(c) for c in ("pair_id", "m", "ks", "hs")), strict=True):
-                x, y, u, v = np.array(points.as_py()).reshape(-1, 4).T
-                inside = within(np.array(hs.as_py()).reshape(-1, 9), x, y, u, v, reach)
-                ks = ks.as_py()
-                yield pa.RecordBatch.from_arrays([pa.array([pair.as_py()] * len(ks), pa.int64()), pa.array(ks, pa.int32()), pa.array(inside.sum(1))], names=["pair_id", "k", "n"])
+                # Flat arrays, without a Python object for each number.
+                x, y, u, v = np.ascontiguousarray(points.values.to_numpy(zero_copy_only=False).reshape(-1, 4).T)
+                inside = within(hs.values.to_numpy(zero_copy_only=False).reshape(-1, 9), x, y, u, v, reach)
+                ks = ks.values
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ks), pair.as_py(), np.int64)), ks.cast(pa.int32()), pa.array(np.count_nonzero(inside, axis=1))], names=["pair_id", "k", "n"])
 
     met = m.join(h, "pair_id").select(F.col("pair_id").cast("long").alias("pair_id"), "m", "ks", "hs").mapInArrow(run, "pair_id long, k int, n long")
     return met.groupBy("pair_id", "k").agg(F.sum("n").alias("inliers"))
@@ -93,10 +95,21 @@ def inlier_counts(matches: DataFrame, hypotheses: DataFrame, reach: float) -> Da
 def within(h: np.ndarray, x: np.ndarray, y: np.ndarray, u: np.ndarray, v: np.ndarray, reach: float) -> np.ndarray:
     """Which of the points each of the (n, 9) matrices maps to within ``reach`` of (u, v)."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        w = h[:, 6:7] * x + h[:, 7:8] * y + h[:, 8:9]
-        dx = (h[:, 0:1] * x + h[:, 1:2] * y + h[:, 2:3]) / w - u
-        dy = (h[:, 3:4] * x + h[:, 4:5] * y + h[:, 5:6]) / w - v
-        return (w != 0) & (np.hypot(dx, dy) < reach)
+        spare = np.empty((len(h), len(x)))
+
+        def linear(k: int) -> np.ndarray:
+            out = h[:, k : k + 1] * x
+            out += np.multiply(h[:, k + 1 : k + 2], y, out=spare)
+            out += h[:, k + 2 : k + 3]
+            return out
+
+        w, dx, dy = linear(6), linear(0), linear(3)
+        for d, to in ((dx, u), (dy, v)):
+            d /= w
+            d -= to
+            d *= d
+        dx += dy
+        return (w != 0) & (np.sqrt(dx, out=dx) < reach)
 
 
 def _mapped(h: Column, reach: float) -> Column:
@@ -112,6 +125,7 @@ def robust_homographies(matches: DataFrame, n: int = 256, reach: float = 3.0) ->
 
     Pairs of fewer than four matches, or without any homography, have no row.
     """
+    matches = written(_sound(matches), "matches")  # read five times
     found = written(sampled_hypotheses(matches, n), "hypotheses")
     counts = inlier_counts(matches, found, reach)
     best = counts.groupBy("pair_id").agg(F.max(F.struct("inliers", (-F.col("k")).alias("first"))).alias("m")).select("pair_id", (-F.col("m.first")).alias("k"), F.col("m.inliers").alias("inliers"))

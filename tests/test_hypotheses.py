@@ -76,3 +76,17 @@ def test_chains_are_products(spark, length, fan):
                 assert np.allclose(got[p, i], (m / m[2, 2]).ravel())
     with pytest.raises(InvalidParameter):
         hypotheses.sampled_hypotheses(frame(spark, {}), 0)
+
+
+def test_matches_are_made_once(spark, truth):
+    """Whatever it costs to make the matches is paid once, not by every pass over them."""
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(pdfs):
+        for pdf in pdfs:
+            read.add(len(pdf))
+            yield pdf
+
+    df = frame(spark, {p: rows for p, (_, rows) in truth.items()}).mapInPandas(seen, MATCH)
+    assert hypotheses.robust_homographies(df, n=16, reach=1.0).count() == len(truth)
+    assert read.value == sum(len(rows) for _, rows in truth.values())
