@@ -16,6 +16,8 @@ from ..schema import InvalidParameter
 
 #: Rows of one block of descriptors.
 BLOCK = 2048
+#: Boxes of a group that one task holds, and of one that is settled together with others.
+FEW_BOXES, MOST_AT_ONCE = 4096, 32
 
 
 def _blocks(df: DataFrame, idx: str, vec: str, n: int, name: str) -> DataFrame:
@@ -129,20 +131,29 @@ def iou_pairs(boxes: DataFrame, least: float) -> DataFrame:
     return _met_boxes(boxes).withColumn("iou", iou(F.col("box_a"), F.col("box_b"))).filter(F.col("iou") >= least).select("group_id", "seq_a", "seq_b", "iou")
 
 
-def suppressed_boxes(boxes: DataFrame, score_threshold: float, nms_threshold: float) -> DataFrame:
+def suppressed_boxes(boxes: DataFrame, score_threshold: float, nms_threshold: float, few: int = FEW_BOXES) -> DataFrame:
     """As :func:`nms_boxes` for groups of any size, without the rank: (group_id, seq) of the boxes that stay.
 
-    Overlapping pairs come from cells of size classes; the greedy choice by score is made in rounds over these pairs.
+    Groups of at most ``few`` boxes are settled one at a time as they go by. In larger ones overlapping pairs come from cells of size classes, and the greedy choice
+    by score is made in rounds over these pairs.
     """
+    from ..sources.files import written
     from .graph import first_kept
 
-    scored = boxes.filter(F.col("score") >= score_threshold)
+    scored = written(boxes.filter(F.col("score") >= score_threshold), "scored")
+    large = written(scored.groupBy("group_id").agg(F.count("*").alias("n")).filter(F.col("n") > few).select("group_id"), "large")  # each stands for many boxes
+    kinds = dict(scored.dtypes)
+    small = scored.filter("group_id IS NOT NULL").join(large.hint("merge"), "group_id", "left_anti")
+    out = nms_boxes(small, score_threshold, nms_threshold).select(*[F.col(c).cast(kinds[c]).alias(c) for c in ("group_id", "seq")])
+    if not large.limit(1).count():
+        return out.unionByName(scored.filter("group_id IS NULL").select("group_id", "seq"))
+    scored = scored.filter("group_id IS NULL").unionByName(scored.join(large.hint("merge"), "group_id", "left_semi").select(*scored.columns))
     met = _met_boxes(scored, "score").withColumn("iou", iou(F.col("box_a"), F.col("box_b"))).filter(F.col("iou") > nms_threshold)
     name = lambda e: F.struct((-F.col(f"score{e}")).alias("order"), F.col(f"seq{e}").alias("seq"))
     a, b = name("_a"), name("_b")
     clashes = met.select("group_id", F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     kept = first_kept(scored.select("group_id", name("").alias("node")), clashes, "group_id")
-    return kept.select("group_id", "node.seq")
+    return out.unionByName(kept.select("group_id", "node.seq"))
 
 
 def suppress(boxes: np.ndarray, scores: np.ndarray, score_threshold: float, nms_threshold: float) -> list[int]:
@@ -161,6 +172,40 @@ def suppress(boxes: np.ndarray, scores: np.ndarray, score_threshold: float, nms_
     return keep
 
 
+def suppress_groups(sizes: np.ndarray, boxes: np.ndarray, scores: np.ndarray, score_threshold: float, nms_threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`suppress` for consecutive groups of ``sizes`` rows: rows that stay, and their ranks, group by group. Small groups of about one size go at once."""
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    valid = np.flatnonzero(scores >= score_threshold)
+    order = valid[np.lexsort((valid, -scores[valid], group[valid]))]
+    sizes = np.bincount(group[valid], minlength=len(sizes))
+    starts = np.cumsum(sizes) - sizes
+    rows, ranks = [np.empty(0, int)], [np.empty(0, int)]
+    for g in np.flatnonzero(sizes > MOST_AT_ONCE):
+        part = order[starts[g] : starts[g] + sizes[g]]
+        rows.append(part[suppress(boxes[part], scores[part], score_threshold, nms_threshold)])
+        ranks.append(np.arange(len(rows[-1])))
+    width = 1
+    while width <= MOST_AT_ONCE:
+        some = np.flatnonzero((sizes > width // 2) & (sizes <= width))
+        if len(some):
+            there = np.arange(width) < sizes[some, None]
+            at = order[np.where(there, starts[some, None] + np.arange(width), starts[some, None])]
+            x, y, w, h = np.moveaxis(boxes[at], 2, 0)
+            side = lambda p, e: np.clip(np.minimum((p + e)[:, :, None], (p + e)[:, None]) - np.maximum(p[:, :, None], p[:, None]), 0, None)
+            inter = side(x, w) * side(y, h)
+            union = (w * h)[:, :, None] + (w * h)[:, None] - inter
+            clash = (union > 0) & (inter > nms_threshold * union)
+            keep = there.copy()
+            for k in range(width - 1):
+                keep[:, k + 1 :] &= ~(clash[:, k, k + 1 :] & keep[:, k, None])
+            rows.append(at[keep])
+            ranks.append((np.cumsum(keep, 1) - 1)[keep])
+        width *= 2
+    rows, ranks = np.concatenate(rows), np.concatenate(ranks)
+    told = np.lexsort((ranks, group[rows]))
+    return rows[told], ranks[told]
+
+
 def nms_boxes(boxes: DataFrame, score_threshold: float, nms_threshold: float) -> DataFrame:
     """The boxes (group_id, seq, x, y, width, height, score) that stay, with their rank in the group.
 
@@ -188,10 +233,9 @@ def nms_boxes(boxes: DataFrame, score_threshold: float, nms_threshold: float) ->
     def kept(pdf: pd.DataFrame) -> pd.DataFrame:
         group, seq = pdf["group_id"].to_numpy(), pdf["seq"].to_numpy()
         box, score = pdf[["x", "y", "width", "height"]].to_numpy(float), pdf["score"].to_numpy(float)
-        cuts = [0, *(np.flatnonzero(group[1:] != group[:-1]) + 1).tolist(), len(group)]
-        rows = [(a + i, rank) for a, b in zip(cuts, cuts[1:], strict=False) if b > a for rank, i in enumerate(suppress(box[a:b], score[a:b], score_threshold, nms_threshold))]
-        at = np.array([r[0] for r in rows], int)
-        return pd.DataFrame({"group_id": group[at], "seq": seq[at], "rank": [r[1] for r in rows]})
+        cuts = np.concatenate([[0], np.flatnonzero(group[1:] != group[:-1]) + 1, [len(group)]])
+        at, rank = suppress_groups(np.diff(cuts), box, score, score_threshold, nms_threshold)
+        return pd.DataFrame({"group_id": group[at], "seq": seq[at], "rank": rank})
 
     ordered = boxes.filter(F.col("score") >= score_threshold).select("group_id", "seq", "x", "y", "width", "height", "score").repartition("group_id").sortWithinPartitions("group_id", "seq")
     return ordered.mapInPandas(run, "group_id long, seq int, rank int")

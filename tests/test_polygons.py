@@ -170,3 +170,31 @@ def test_nesting_meets_few_of_a_crowded_cell(monkeypatch):
     told = pa.Table.from_batches(polygons._sweep(iter([batch]), 64, 2048)).to_pylist()
     assert sum(r["kind"] in (1, 2) for r in told) == n and sum(r["kind"] == 1 for r in told) > 0.9 * n
     assert sum(met) < n * n / 2 / 10
+
+
+def test_suppression_of_many_small_groups(spark, monkeypatch):
+    """Small groups are settled many at a time, as one by one; larger ones in rounds. Only the latter make pairs."""
+    rng = np.random.default_rng(12)
+    sizes = rng.integers(1, 41, 300)
+    n = int(sizes.sum())
+    boxes = np.column_stack([rng.integers(0, 60, (n, 2)), rng.integers(0, 30, (n, 2))]).astype(float)
+    scores = np.round(rng.random(n), 1)
+    scores[5] = np.nan
+    ends = np.cumsum(sizes)
+    want = [(a + i, rank) for a, b in zip(ends - sizes, ends, strict=True) for rank, i in enumerate(matching.suppress(boxes[a:b], scores[a:b], 0.2, 0.1))]
+    alone = []
+    suppress = matching.suppress
+    monkeypatch.setattr(matching, "suppress", lambda *a: alone.append(len(a[0])) or suppress(*a))
+    assert list(zip(*(v.tolist() for v in matching.suppress_groups(sizes, boxes, scores, 0.2, 0.1)), strict=True)) == want
+    assert len(alone) < len(sizes) / 2 and min(alone) > matching.MOST_AT_ONCE
+    group, first = np.repeat(np.arange(300), sizes), np.repeat(ends - sizes, sizes)
+    rows = [(int(g), int(k - f), *map(int, b), float(s)) for k, (g, f, b, s) in enumerate(zip(group, first, boxes, scores, strict=True)) if s == s]
+    df = spark.createDataFrame(rows, "group_id long, seq int, x long, y long, width long, height long, score double")
+    met = []
+    real = matching._met_boxes
+    monkeypatch.setattr(matching, "_met_boxes", lambda b, *k: met.append(b.select("group_id").distinct().count()) or real(b, *k))
+    kept = {(int(group[k]), int(k - first[k])) for k, _ in want}
+    for few, large in ((100, []), (35, [int((np.bincount(group[scores >= 0.2]) > 35).sum())])):
+        met.clear()
+        assert {tuple(r) for r in matching.suppressed_boxes(df, 0.2, 0.1, few).collect()} == kept
+        assert met == large
