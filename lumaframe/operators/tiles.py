@@ -10,10 +10,11 @@ image's own edge the halo ends, so that a kernel meets the true edge there and k
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +24,8 @@ from .segmentation import label
 
 TILE = ("image_id", "c", "h", "w", "ty", "tx", "side")
 SIDE = 512
+#: Numbers of tiles with their surroundings that go through a kernel at once, but for the last tile's.
+STACK = 1 << 18
 
 
 def _checked(side: int) -> int:
@@ -136,26 +139,42 @@ def apply_tiled(tiles: DataFrame, kernel: Callable[..., np.ndarray], radius: int
     Kernels whose result depends on more of the image than the window (a global maximum, say) don't qualify.
     """
 
-    @F.pandas_udf("struct<c:int,data:array<double>>")
-    def run(c: pd.Series, h: pd.Series, w: pd.Series, ty: pd.Series, tx: pd.Series, side: pd.Series, pieces: pd.Series) -> pd.DataFrame:
-        found: list = [None] * len(c)
-        stacks: dict[tuple, list[tuple[int, np.ndarray]]] = {}
-        for i, (k, m, n, y, x, s, parts) in enumerate(zip(c, h, w, ty, tx, side, pieces, strict=True)):
-            top, left = max(0, y * s - radius), max(0, x * s - radius)
-            a = np.empty((k, min(m, (y + 1) * s + radius) - top, min(n, (x + 1) * s + radius) - left))
-            for p in parts:
-                a[:, p["y"] - top : p["y"] - top + p["ph"], p["x"] - left : p["x"] - left + p["pw"]] = np.asarray(p["data"], float).reshape(k, p["ph"], p["pw"])
-            inner = (y * s - top, x * s - left, min(s, m - y * s), min(s, n - x * s))
-            stacks.setdefault((*a.shape, *inner), []).append((i, a))
-        for (_, _, _, y, x, th, tw), some in stacks.items():
-            done = kernel(np.stack([a for _, a in some]), **options)
-            for (i, _), a in zip(some, done, strict=True):
-                core = a[:, y : y + th, x : x + tw]
-                found[i] = (core.shape[0], np.ascontiguousarray(core, float).ravel())
-        return pd.DataFrame({"c": [f[0] for f in found], "data": [f[1] for f in found]})
-
-    done = with_halo(tiles, radius).withColumn("r", run("c", "h", "w", "ty", "tx", "side", "pieces"))
-    return done.select("image_id", "r.c", "h", "w", "ty", "tx", "side", "r.data")
+    haloed = with_halo(tiles, radius)
+
+    def told(b: pa.RecordBatch, rows: list[int], cores: list[np.ndarray]) -> pa.RecordBatch:
+        data = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(a.size for a in cores)]), pa.int32()), pa.array(np.concatenate([a.ravel() for a in cores]), pa.float64()))
+        values = {c: b.column(c).take(pa.array(rows, pa.int64())) for c in TILE} | {"c": pa.array([len(a) for a in cores], pa.int32()), "data": data}
+        return pa.RecordBatch.from_arrays(list(values.values()), names=list(values))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tiles of one shape are stacked up to ``STACK`` numbers; pieces are read as flat arrays, a tile at a time."""
+        for b in batches:
+            stacks: dict[tuple, list[tuple[int, np.ndarray]]] = {}
+
+            def done(key: tuple, b=b, stacks=stacks) -> pa.RecordBatch:
+                some, (y, x, th, tw) = stacks.pop(key), key[3:]
+                out = kernel(np.stack([a for _, a in some]), **options)
+                return told(b, [i for i, _ in some], [np.ascontiguousarray(a[:, y : y + th, x : x + tw], float) for a in out])
+
+            pieces = b.column("pieces")
+            ends, parts = pieces.offsets.to_numpy(), pieces.values
+            at = np.column_stack([parts.field(c).to_numpy(zero_copy_only=False) for c in ("y", "x", "ph", "pw")]).astype(int).tolist()
+            starts, numbers = parts.field("data").offsets.to_numpy(), parts.field("data").values.to_numpy(zero_copy_only=False)
+            for i, (k, m, n, y, x, s) in enumerate(zip(*(b.column(c).to_pylist() for c in ("c", "h", "w", "ty", "tx", "side")), strict=True)):
+                top, left = max(0, y * s - radius), max(0, x * s - radius)
+                a = np.empty((k, min(m, (y + 1) * s + radius) - top, min(n, (x + 1) * s + radius) - left))
+                for p in range(ends[i], ends[i + 1]):
+                    py, px, ph, pw = at[p]
+                    a[:, py - top : py - top + ph, px - left : px - left + pw] = numbers[starts[p] : starts[p + 1]].reshape(k, ph, pw)
+                key = (*a.shape, y * s - top, x * s - left, min(s, m - y * s), min(s, n - x * s))
+                stacks.setdefault(key, []).append((i, a))
+                if len(stacks[key]) * a.size >= STACK:
+                    yield done(key)
+            for key in list(stacks):
+                yield done(key)
+
+    kinds = dict(haloed.dtypes)
+    return haloed.mapInArrow(run, ", ".join(f"{c} {kinds[c]}" for c in TILE) + ", data array<double>")
 
 
 # --- components ---------------------------------------------------------------------------

@@ -244,3 +244,11 @@ def test_pivots_leave_out_most_pairs_of_far_queries(spark):
     search = nearest.PivotSearch(points(1500, 3000.0), points(1500, 0.0), block=32)
     assert search.pairs.count() < search.blocks.count() * search.shells.count() / 8
     assert search.matches().count() == 1500
+
+
+def test_a_kernel_sees_few_small_tiles_at_once(spark):
+    """However many tiles come in a batch, so many numbers are stacked."""
+    pixels = spark.range(0, 600 * 64).selectExpr("0L AS image_id", "0 AS ch", "CAST(id / 64 AS INT) AS y", "CAST(id % 64 AS INT) AS x", "1.0D AS v").coalesce(1)
+    made = tiles.apply_tiled(tiles.tiles_from_pixels(pixels, 4).coalesce(1), lambda s: np.full(s.shape, float(s.size)), 18)
+    sizes = {v for r in made.select("data").collect() for v in r["data"]}
+    assert max(sizes) < tiles.STACK + 40 * 40 and made.count() == 150 * 16
