@@ -21,8 +21,10 @@ from .matching import POINTS
 
 #: Partial hulls merged by one task in one round.
 FAN_IN = 16
-#: Points of a group that one task merges at once without a tree; of so few, a batch sends them as they are.
-FEW, RAW = 4096, 16
+#: Points of a group that one task merges at once without a tree; of so few, a batch sends them as they are. Stretches shorter than ``SHORT`` are many, and not worth a call each.
+FEW, RAW, SHORT = 4096, 16, 16
+#: Points of a stretch that one task holds, some ten megabytes.
+LONG = 1 << 17
 
 
 def chain(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -139,11 +141,62 @@ def _segment_distance(x: Column, y: Column, a: Column, b: Column) -> Column:
     return F.sqrt(F.pow(x - a["x"] - t * dx, 2) + F.pow(y - a["y"] - t * dy, 2))
 
 
+def _cuts(s: np.ndarray, x: np.ndarray, y: np.ndarray, a: tuple, b: tuple, epsilon: float) -> list[int]:
+    """Places of the points that simplification keeps between ``a`` and ``b``; points are sorted by (s, -x, -y), so that the first of the farthest is the one to take."""
+    keep, todo = [], [(0, len(s), a, b)]
+    while todo:
+        lo, hi, (ax, ay), (bx, by) = todo.pop()
+        if lo == hi:
+            continue
+        px, py, dx, dy = x[lo:hi], y[lo:hi], bx - ax, by - ay
+        t = np.clip(((px - ax) * dx + (py - ay) * dy) / max(dx * dx + dy * dy, 1e-12), 0, 1)
+        far = np.sqrt((px - ax - t * dx) ** 2 + (py - ay - t * dy) ** 2)
+        k = int(far.argmax())
+        if far[k] > epsilon:
+            k += lo
+            keep.append(k)
+            corner = (x[k], y[k])
+            todo += [(lo, lo + int(np.searchsorted(s[lo:hi], s[k])), (ax, ay), corner), (lo + int(np.searchsorted(s[lo:hi], s[k], "right")), hi, corner, (bx, by))]
+    return keep
+
+
+def _finished(stretches: DataFrame, epsilon: float) -> DataFrame:
+    """(group_id, p): points kept within stretches that fit in a task, one held at a time."""
+    kinds = dict(stretches.dtypes)
+    rows = stretches.select("group_id", "s", "px", "py", F.col("a.seq").alias("begin"), *[F.col(f"{e}.{c}").alias(f"{e}{c}") for e in ("a", "b") for c in ("x", "y")])
+
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def kept(pdf: pd.DataFrame) -> pd.DataFrame:
+            group, begin = pdf["group_id"].to_numpy(), pdf["begin"].to_numpy()
+            cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]) | (begin[1:] != begin[:-1])) + 1).tolist(), len(pdf)]
+            s, x, y, ax, ay, bx, by = (pdf[c].to_numpy() for c in ("s", "px", "py", "ax", "ay", "bx", "by"))
+            at = [i + k for i, j in zip(cuts, cuts[1:], strict=False) for k in _cuts(s[i:j], x[i:j], y[i:j], (ax[i], ay[i]), (bx[i], by[i]), epsilon)]
+            return pdf.iloc[at][["group_id", "s", "px", "py"]]
+
+        held: list[pd.DataFrame] = []  # of the last stretch, which may go on
+        for pdf in pdfs:
+            if not len(pdf):
+                continue
+            pdf = pd.concat([*held, pdf]) if held else pdf
+            last = np.flatnonzero((pdf["group_id"].to_numpy() == pdf["group_id"].iloc[-1]) & (pdf["begin"].to_numpy() == pdf["begin"].iloc[-1]))[0]
+            if last:
+                yield kept(pdf.iloc[:last])
+            held = [pdf.iloc[last:]]
+        if held:
+            yield kept(held[0])
+
+    parts = int(stretches.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(parts, "group_id", "begin").sortWithinPartitions("group_id", "begin", "s", F.desc("px"), F.desc("py"))
+    found = dealt.mapInPandas(run, f"group_id {kinds['group_id']}, s {kinds['s']}, px double, py double")
+    return found.select("group_id", F.struct(F.col("s").alias("seq"), F.col("px").alias("x"), F.col("py").alias("y")).alias("p"))
+
+
 def simplified(points: DataFrame, epsilon: float) -> DataFrame:
     """The points (group_id, seq, x, y) that Douglas and Peucker's simplification keeps, all groups and all stretches of a level at once.
 
     A level finds each stretch's farthest point by partial aggregation; stretches with none beyond ``epsilon`` are done and their points
-    go. Levels are as many as the deepest split, each a table that replaces the one before.
+    go. Stretches of ``SHORT`` to ``LONG`` points are finished by one task each, after the levels. Levels are as many as the deepest split of what is longer
+    or shorter, each a table that replaces the one before.
     """
     if epsilon < 0:
         raise InvalidParameter("a distance is not negative")
@@ -151,20 +204,31 @@ def simplified(points: DataFrame, epsilon: float) -> DataFrame:
     ends = points.groupBy("group_id").agg(F.min(at).alias("a"), F.max(at).alias("b"))
     kept = [ends.select("group_id", F.explode(F.array_distinct(F.array("a", "b"))).alias("p"))]
     inner = points.select("group_id", F.col("seq").alias("s"), F.col("x").cast("double").alias("px"), F.col("y").cast("double").alias("py")).join(ends, "group_id").filter("s > a.seq AND s < b.seq")
-    inner = written(inner, "stretches")
+    inner, short = written(inner, "stretches"), []
     while True:
         far = inner.withColumn("d", _segment_distance(F.col("px"), F.col("py"), F.col("a"), F.col("b")))
         # The farthest, the first of equals.
-        top = far.groupBy("group_id", F.col("a.seq").alias("from"), F.col("b.seq").alias("to")).agg(F.max(F.struct("d", (-F.col("s")).alias("back"), "px", "py")).alias("m")).filter(F.col("m.d") > epsilon)
-        cut = written(top.select("group_id", "from", "to", F.struct((-F.col("m.back")).alias("seq"), F.col("m.px").alias("x"), F.col("m.py").alias("y")).alias("k")), "cuts")
+        top = far.groupBy("group_id", F.col("a.seq").alias("from"), F.col("b.seq").alias("to")).agg(F.max(F.struct("d", (-F.col("s")).alias("back"), "px", "py")).alias("m"), F.count("*").alias("n"), F.count("d").alias("known")).filter(F.col("m.d") > epsilon)
+        ends_here = F.col("n").between(SHORT, LONG) & (F.col("n") == F.col("known")) & ~F.isnan("m.d")
+        cut = written(top.select("group_id", "from", "to", ends_here.alias("last"), F.struct((-F.col("m.back")).alias("seq"), F.col("m.px").alias("x"), F.col("m.py").alias("y")).alias("k")), "cuts")
         if not cut.limit(1).count():
             break
-        kept.append(cut.select("group_id", F.col("k").alias("p")))
-        now = inner.join(cut, (inner["group_id"] == cut["group_id"]) & (inner["a.seq"] == cut["from"]) & (inner["b.seq"] == cut["to"])).drop(cut["group_id"]).filter("s <> k.seq")
+        kept.append(cut.filter("NOT last").select("group_id", F.col("k").alias("p")))
+        now = inner.join(cut, (inner["group_id"] == cut["group_id"]) & (inner["a.seq"] == cut["from"]) & (inner["b.seq"] == cut["to"])).drop(cut["group_id"]).filter("last OR s <> k.seq")
         before = F.col("s") < F.col("k.seq")
-        new = written(now.select("group_id", "s", "px", "py", F.when(before, F.col("a")).otherwise(F.col("k")).alias("a"), F.when(before, F.col("k")).otherwise(F.col("b")).alias("b")), "stretches")
+        begin, end = F.when(F.col("last") | before, F.col("a")).otherwise(F.col("k")), F.when(F.col("last") | ~before, F.col("b")).otherwise(F.col("k"))
+        new = written(now.select("group_id", "s", "px", "py", begin.alias("a"), end.alias("b"), "last"), "stretches")
+        if cut.filter("last").limit(1).count():
+            short.append(written(new.filter("last").drop("last"), "short"))
         used_up(inner)
-        inner = new
+        inner = new.filter("NOT last").drop("last")
+    if short:
+        rest = short[0]
+        for r in short[1:]:
+            rest = rest.unionByName(r)
+        kept.append(written(_finished(rest, epsilon), "finished"))
+        for r in short:
+            used_up(r)
     out = kept[0]
     for k in kept[1:]:
         out = out.unionByName(k)

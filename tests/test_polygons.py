@@ -198,3 +198,18 @@ def test_suppression_of_many_small_groups(spark, monkeypatch):
         met.clear()
         assert {tuple(r) for r in matching.suppressed_boxes(df, 0.2, 0.1, few).collect()} == kept
         assert met == large
+
+
+def test_short_stretches_are_finished_at_once(spark, monkeypatch):
+    """A long line takes few levels, each of them a table, and gives what it gave level by level, for repeated numbers too."""
+    rng = np.random.default_rng(13)
+    rows = [(1, int(s), float(s), float(v)) for s, v in enumerate(rng.normal(size=3000).cumsum().round(1))] + [(2, int(s), float(s % 7), float(v)) for s, v in zip(rng.integers(0, 40, 80), rng.integers(0, 9, 80), strict=True)]
+    df = spark.createDataFrame(rows, POINT).repartition(3)
+    tables = []
+    real = polygons.written
+    monkeypatch.setattr(polygons, "written", lambda d, name: tables.append(name) or real(d, name))
+    got = sorted(map(tuple, polygons.simplified(df, 1.0).collect()))
+    assert tables.count("cuts") < 8
+    monkeypatch.setattr(polygons, "SHORT", 1 << 30)
+    tables.clear()
+    assert sorted(map(tuple, polygons.simplified(df, 1.0).collect())) == got and tables.count("cuts") > 12
