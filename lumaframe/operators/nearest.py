@@ -5,7 +5,8 @@ blocks, so that a block of a cell is a shell around its pivot. A query first mee
 gives a distance ``b`` that its nearest row can't exceed. A row t of the shell [low, high] around pivot p is at least
 ``d(q, p) - high``, ``low - d(q, p)`` and, as p is t's nearest pivot, ``(d(q, p) - d(q, own pivot)) / 2`` away, and no nearer than the box around
 the shell's rows. Only queries for which all four are at most b go to a cell: they are sent there by themselves, put together to packs of ``BLOCK``, and meet its shells
-in a second join. A cell may hold any share of the rows: it is then many blocks. Only the pivots and the boxes of their cells, of bounded number and size, reach the
+in a second join. A query that more than ``FEW_CELLS`` cells may answer is sent to none of them: such queries meet all shells in a grid of tasks, each of which holds a
+bounded group of shells, so that what is sent grows with the rows and not with the number of cells. A cell may hold any share of the rows: it is then many blocks. Only the pivots and the boxes of their cells, of bounded number and size, reach the
 driver and all tasks. The box matters for queries far outside of the rows, whose distances to all pivots are about the same.
 
 Vectors of many independent directions lie at about the same distance from each other, and then few pairs of blocks can be left out.
@@ -27,6 +28,8 @@ from ..sources.files import written
 
 #: Rows of a block, pivots, and bytes of all pivots at most.
 BLOCK, MOST_PIVOTS, PIVOT_BYTES = 2048, 1024, 4 << 20
+#: Cells that a query is sent to at most, and bytes of shells that one task holds for the others.
+FEW_CELLS, HELD = 16, 32 << 20
 #: Relative rounding of the bounds and of distances by matrix products.
 SLACK = 1e-9
 
@@ -171,7 +174,8 @@ class PivotSearch:
         self.shells = _blocks(t, self.pivots, "shells", block)
         self.blocks = written(self._first_meeting(_blocks(q, self.pivots, "queries", block)), "first")
         self.asked = written(self._asked(), "asked")
-        self.pairs = self._met().select("pack", "shell")
+        wide = self.asked.filter("cell < 0").select("pack")
+        self.pairs = self._met().select("pack", "shell").unionByName(wide.crossJoin(self.shells.select(F.col("block").alias("shell"))))
 
     def _first_meeting(self, blocks: DataFrame) -> DataFrame:
         """Query blocks with the nearest row in the innermost block of their cell, which holds the pivot, and its distance as ``limit``."""
@@ -209,7 +213,11 @@ class PivotSearch:
                     need = ((away - away.min(1, keepdims=True)) / 2 <= far) & (away - far <= high) & (away + far >= low)
                     for c in np.flatnonzero(need.any(0)):
                         asks = np.flatnonzero(need[:, c])
-                        asks = asks[_outside(q[asks], bottom[c], top[c]) <= limit[asks] + _margin(limit[asks])]
+                        need[asks, c] = _outside(q[asks], bottom[c], top[c]) <= limit[asks] + _margin(limit[asks])
+                    wide = need.sum(1) > FEW_CELLS
+                    need[wide] = False
+                    for c in [-1, *np.flatnonzero(need.any(0))]:  # -1 stands for all cells
+                        asks = np.flatnonzero(wide if c < 0 else need[:, c])
                         if len(asks):
                             values = [c, b.column("block")[row].as_py(), len(asks), (away - far)[asks, c].min(), (away + far)[asks, c].max(), ids[asks].tobytes(), q[asks].tobytes(), limit[asks].tobytes()]
                             kinds = [pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary()]
@@ -221,7 +229,7 @@ class PivotSearch:
         return asked.repartition(parts, "cell", F.pmod(F.hash("block"), F.lit(16))).sortWithinPartitions("cell").mapInArrow(_packed(self.size), _ASKED).withColumn("pack", F.monotonically_increasing_id())
 
     def _met(self) -> DataFrame:
-        """Packs with the shells of their cell that are within reach."""
+        """Packs with the shells of their cell that are within reach; a wide pack has no cell here."""
         shells = self.shells.select(F.col("block").alias("shell"), "cell", "low", "high", "box", F.col("ids").alias("t_ids"), F.col("data").alias("t_data"))
         return self.asked.join(shells, "cell").filter("low <= most AND high >= least")
 
@@ -243,6 +251,49 @@ class PivotSearch:
 
         return self._met().select("cell", "low", "high", "box", "ids", "data", "limit", "t_ids", "t_data").mapInArrow(run, "query_idx long, train_idx long, distance double")
 
+    def _wide_meeting(self) -> DataFrame | None:
+        """Queries that many cells may answer with all shells: groups of queries go to each group of shells, which comes before them in a sorted stream."""
+        pivots, wide = self.pivots, self.asked.filter("cell < 0")
+        d, packs = pivots.shape[1], wide.count()
+        if not packs:
+            return None
+        blocks, rows = self.shells.agg(F.count("*"), F.sum("n")).first()
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        columns = min(blocks, max(math.ceil(rows * 8 * (d + 1) / HELD), math.ceil(math.sqrt(2 * parts))))
+        lines = min(packs, math.ceil(2 * parts / columns))
+        part, every = (lambda name, n: F.pmod(F.xxhash64(name), F.lit(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+        held = self.shells.select("cell", "low", "high", "box", "ids", "data", every(lines).alias("line"), part("block", columns).alias("column"))
+        asks = wide.select("ids", "data", "limit", part("pack", lines).alias("line"), every(columns).alias("column"))
+        for name, kind in (("cell", "int"), ("low", "double"), ("high", "double"), ("box", "array<double>")):
+            asks = asks.withColumn(name, F.lit(None).cast(kind))
+        both = held.withColumn("limit", F.lit(None).cast("binary")).unionByName(asks).withColumn("task", F.col("line") * columns + F.col("column"))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, shells = None, []
+            for b in batches:
+                for row in range(b.num_rows):
+                    at = {c: b.column(c)[row] for c in b.schema.names}
+                    ids, x = _array(at["ids"], kind=np.int64), _array(at["data"], d)
+                    if at["task"].as_py() != now:
+                        now, shells = at["task"].as_py(), []
+                    if at["cell"].is_valid:
+                        shells.append((pivots[at["cell"].as_py()], at["low"].as_py(), at["high"].as_py(), *np.array(at["box"].as_py()).reshape(2, d), ids, x))
+                        continue
+                    limit, found = _array(at["limit"]).copy(), np.full(len(ids), np.iinfo(np.int64).max)
+                    for pivot, low, high, bottom, top, numbers, rows in shells:
+                        there = np.sqrt(((x - pivot) ** 2).sum(1))
+                        far = limit + _margin(there)
+                        may = np.flatnonzero((there - far <= high) & (there + far >= low) & (_outside(x, bottom, top) <= limit + _margin(limit)))
+                        if len(may):
+                            number, distance = _nearest(x[may], rows, numbers)
+                            nearer = (distance < limit[may]) | ((distance == limit[may]) & (number < found[may]))
+                            limit[may[nearer]], found[may[nearer]] = distance[nearer], number[nearer]
+                    got = found < np.iinfo(np.int64).max
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[got]), pa.array(found[got]), pa.array(limit[got])], names=["query_idx", "train_idx", "distance"])
+
+        dealt = both.repartitionById(min(parts, lines * columns), F.col("task") % min(parts, lines * columns)).sortWithinPartitions("task", F.col("cell").asc_nulls_last())
+        return dealt.select("task", "cell", "low", "high", "box", "ids", "data", "limit").mapInArrow(run, "query_idx long, train_idx long, distance double")
+
     def matches(self) -> DataFrame:
         """(query_idx, train_idx, distance): nearest row by Euclidean distance, the one of the smallest number of equals."""
         shape = "query_idx long, train_idx long, distance double"
@@ -255,6 +306,8 @@ class PivotSearch:
                     yield pa.RecordBatch.from_arrays([pa.array(_array(i, kind=np.int64)), pa.array(_array(near, kind=np.int64)), pa.array(_array(limit))], names=["query_idx", "train_idx", "distance"])
 
         found = self.blocks.select("ids", "near", "limit").mapInArrow(flat, shape).unionByName(self._second_meeting())
+        wide = self._wide_meeting()
+        found = found if wide is None else found.unionByName(wide)
         return found.groupBy("query_idx").agg(F.min(F.struct("distance", "train_idx")).alias("m")).select("query_idx", F.col("m.train_idx").alias("train_idx"), F.col("m.distance").alias("distance"))
 
 

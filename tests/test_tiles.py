@@ -228,6 +228,20 @@ def test_pivots_leave_out_most_pairs(spark):
     assert search.matches().count() == 1500
 
 
+def test_queries_that_any_cell_may_answer_are_sent_to_few(spark, monkeypatch):
+    """Among independent directions nothing can be left out: a query goes to a bounded number of places, however many cells there are."""
+    rng = np.random.default_rng(8)
+    query, train = ([(i, v) for i, v in enumerate(np.round(rng.normal(size=(n, 24)), 2).tolist())] for n in (150, 900))
+    train += [(5000 + i, v) for i, v in train[:40]]  # equal rows
+    monkeypatch.setattr(nearest, "HELD", 40 * 8 * 25)  # several groups
+    search = nearest.PivotSearch(spark.createDataFrame(query, VEC), spark.createDataFrame(train, VEC), block=16)
+    sent = search.asked.agg({"n": "sum"}).first()[0]
+    assert len(search.pivots) > 25 and sent <= len(query) * nearest.FEW_CELLS
+    got = {r["query_idx"]: (r["train_idx"], r["distance"]) for r in search.matches().collect()}
+    want = brute_nearest(query, train)
+    assert got.keys() == want.keys() and all(got[k][0] == want[k][0] and np.isclose(got[k][1], want[k][1]) for k in want)
+
+
 def test_pivots_of_nothing(spark):
     some = spark.createDataFrame([(1, [1.0, 2.0])], VEC)
     none = spark.createDataFrame([], VEC)
