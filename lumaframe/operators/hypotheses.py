@@ -185,6 +185,41 @@ class ProductScan:
             element = m if element is None else self._times(element, m)
         return element
 
+    @staticmethod
+    def _products(starts: np.ndarray, matrices: np.ndarray, cuts: list[int], out: np.ndarray | None = None) -> np.ndarray:
+        """``starts`` times the matrices of each stretch, a place of all stretches at a time; ``out`` takes the products up to each matrix."""
+        first, n = np.array(cuts[:-1], int), np.diff(cuts)
+        longest = np.argsort(-n, kind="stable")
+        state, left = starts[longest].copy(), np.sort(n)
+        for k in range(n.max(initial=0)):
+            some = len(n) - int(np.searchsorted(left, k, "right"))
+            at = first[longest[:some]] + k
+            m = state[:some] @ matrices[at]
+            last = m[:, 2:, 2:]
+            state[:some] = np.divide(m, last, out=m.copy(), where=np.abs(last) > 1e-12)
+            if out is not None:
+                out[at] = state[:some]
+        back = np.empty_like(state)
+        back[longest] = state
+        return back
+
+    @staticmethod
+    def _matrices(rows: pd.DataFrame) -> np.ndarray:
+        return np.array(rows["matrix"].tolist(), float).reshape(len(rows), 3, 3)
+
+    def folds(self, rows: pd.DataFrame, cuts: list[int]) -> np.ndarray:
+        matrices = self._matrices(rows)
+        # The first matrix of a stretch is taken as it is.
+        one, rest = np.zeros(len(rows), bool), np.arange(len(cuts) - 1)
+        one[cuts[:-1]] = True
+        return self._products(matrices[one], matrices[~one], [*(np.array(cuts[:-1]) - rest).tolist(), len(rows) - len(rest)]).reshape(-1, 9)
+
+    def emits(self, states: list[np.ndarray], rows: pd.DataFrame, cuts: list[int]) -> tuple[pd.DataFrame, np.ndarray]:
+        """A stretch may have no rows; its state stays."""
+        out = np.empty((len(rows), 3, 3))
+        last = self._products(np.array(states, float).reshape(-1, 3, 3), self._matrices(rows), cuts, out)[-1]
+        return pd.DataFrame({self.key: rows[self.key].to_numpy(), self.order: rows[self.order].to_numpy(np.int64), "matrix": list(out.reshape(-1, 9))}), last.ravel()
+
     def combine(self, first: np.ndarray, then: np.ndarray) -> np.ndarray:
         return self._times(first, then)
 

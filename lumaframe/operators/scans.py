@@ -25,7 +25,10 @@ from .tracking import velocity_filter
 
 
 class Scan(Protocol):
-    """Elements and states are flat arrays."""
+    """Elements and states are flat arrays.
+
+    A scan may also have ``folds`` and ``emits``, which do what ``fold`` and ``emit`` do for all stretches of a batch at once, told by where each begins and, last, by the number of rows.
+    """
 
     def fold(self, element: np.ndarray | None, rows: pd.DataFrame) -> np.ndarray:
         """The element of the rows so far and ``rows``."""
@@ -41,11 +44,16 @@ class Scan(Protocol):
         """Results of ``rows``, and the state after them."""
 
 
+def _cuts(pdf: pd.DataFrame, key: str) -> list[int]:
+    """Where stretches of rows of one sequence and segment begin, and the number of rows."""
+    k, s = pdf[key].to_numpy(), pdf["seg"].to_numpy()
+    return [0, *(np.flatnonzero((k[1:] != k[:-1]) | (s[1:] != s[:-1])) + 1).tolist(), len(pdf)]
+
+
 def _runs(pdfs: Iterator[pd.DataFrame], key: str) -> Iterator[tuple[tuple, pd.DataFrame]]:
     """Stretches of rows of one sequence and segment, batch by batch."""
     for pdf in pdfs:
-        k, s = pdf[key].to_numpy(), pdf["seg"].to_numpy()
-        cuts = [0, *(np.flatnonzero((k[1:] != k[:-1]) | (s[1:] != s[:-1])) + 1).tolist(), len(pdf)]
+        k, s, cuts = pdf[key].to_numpy(), pdf["seg"].to_numpy(), _cuts(pdf, key)
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield (k[a], s[a]), pdf.iloc[a:b]
@@ -59,16 +67,28 @@ def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
 def _elements(rows: DataFrame, key: str, order: str, scan: Scan) -> DataFrame:
     kind = dict(rows.dtypes)[key]
 
+    def stretches(pdf: pd.DataFrame, now: tuple | None, element: np.ndarray | None) -> Iterator[tuple[tuple, np.ndarray]]:
+        """Each stretch of a batch with its element, the first one's going on from ``element`` of ``now``."""
+        if not hasattr(scan, "folds"):
+            for at, part in _runs([pdf], key):
+                element = scan.fold(element if at == now else None, part)
+                now = at
+                yield at, element
+        elif len(pdf):
+            cuts = _cuts(pdf, key)
+            first = cuts[:-1]
+            for at, made in zip(zip(pdf[key].to_numpy()[first], pdf["seg"].to_numpy()[first], strict=True), scan.folds(pdf, cuts), strict=True):
+                yield at, scan.combine(element, made) if at == now else made
+
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         now, element = None, None
         frame = lambda done: pd.DataFrame({key: [d[0][0] for d in done], "seg": [d[0][1] for d in done], "element": [d[1] for d in done]})
         for pdf in pdfs:
             done = []  # one frame a batch: sequences may be short and many
-            for at, part in _runs([pdf], key):
+            for at, made in stretches(pdf, now, element):
                 if now is not None and at != now:
                     done.append((now, element))
-                    element = None
-                now, element = at, scan.fold(element, part)
+                now, element = at, made
             if done:
                 yield frame(done)
         if now is not None:
@@ -146,6 +166,14 @@ def scanned(df: DataFrame, key: str, order: str, scan: Scan, out: str, length: i
     def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         state = None
         for pdf in pdfs:
+            if hasattr(scan, "emits"):
+                if len(pdf):
+                    cuts, lead = np.array(_cuts(pdf, key)), pdf[order].isna().to_numpy()
+                    starts = [np.asarray(pdf["state"].iloc[a]) if lead[a] else state for a in cuts[:-1].tolist()]
+                    done, state = scan.emits(starts, pdf[~lead], (cuts - np.concatenate([[0], np.cumsum(lead)])[cuts]).tolist())
+                    if len(done):
+                        yield done
+                continue
             parts = []
             for _, part in _runs([pdf], key):
                 if pd.isna(part[order].iloc[0]):

@@ -1,6 +1,7 @@
 """Robust homographies as relations against the matrices that made the matches, and chains against plain products."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lumaframe.operators import hypotheses
@@ -78,6 +79,23 @@ def test_chains_are_products(spark, length, fan):
         hypotheses.sampled_hypotheses(frame(spark, {}), 0)
 
 
+def test_stretches_of_a_batch_are_multiplied_at_once():
+    rng = np.random.default_rng(9)
+    rows = pd.DataFrame({"panorama_id": 1, "image": range(40), "matrix": list((np.eye(3) + rng.normal(size=(40, 3, 3)) * 0.1).reshape(-1, 9))})
+    rows.at[5, "matrix"] = np.zeros(9)  # products without a last entry are not scaled
+    scan, cuts = hypotheses.ProductScan("panorama_id", "image"), [0, 1, 14, 17, 40]
+    parts = [rows.iloc[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
+    assert np.allclose(scan.folds(rows, cuts), [scan.fold(None, p) for p in parts], rtol=1e-12, atol=1e-12)
+    states = [m.ravel() for m in np.eye(3) + rng.normal(size=(5, 3, 3)) * 0.1]
+    got, last = scan.emits(states, rows, [0, 1, 14, 14, 17, 40])  # one without rows
+    each = [scan.emit(s, p) for s, p in zip([*states[:2], *states[3:]], parts, strict=True)]
+    want = pd.concat([e[0] for e in each])
+    assert got[["panorama_id", "image"]].values.tolist() == want[["panorama_id", "image"]].values.tolist()
+    assert np.allclose(np.stack(got["matrix"]), np.stack(want["matrix"]), rtol=1e-12, atol=1e-12) and np.allclose(last, each[-1][1])
+    _, kept = scan.emits(states[:2], rows[:1], [0, 1, 1])
+    assert np.array_equal(kept, states[1])
+
+
 def test_matches_are_made_once(spark, truth):
     """Whatever it costs to make the matches is paid once, not by every pass over them."""
     read = spark.sparkContext.accumulator(0)
