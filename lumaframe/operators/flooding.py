@@ -13,9 +13,11 @@ result is the least spanning forest rooted at the markers and doesn't depend on
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,27 +52,28 @@ def flood(a: np.ndarray, markers: np.ndarray) -> np.ndarray:
     return out
 
 
-def _basins(a: np.ndarray, markers: np.ndarray, open_: tuple[bool, bool, bool, bool], place: np.ndarray) -> tuple[np.ndarray, list[tuple], dict[int, int]]:
-    """Of one tile: each pixel's basin (named by the first pixel's place, from 1), candidate edges between basins, and the labels of wet basins.
+def _basins(a: np.ndarray, markers: np.ndarray, open_: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Of a stack of tiles (n, h, w): each pixel's basin (named by the first pixel's place, from 1), candidate edges between basins, and the labels of wet basins,
+    the last two with the number of their ``tile``.
 
-    ``open_`` says at which sides (top, bottom, left, right) the image goes on.
+    ``open_`` says at which sides (top, bottom, left, right) of each tile the image goes on.
     """
-    h, w = a.shape
-    flat, n = a.ravel(), h * w
-    top, bottom, left, right = open_
-    edge = np.zeros((h, w), bool)
-    edge[0] |= top
-    edge[-1] |= bottom
-    edge[:, 0] |= left
-    edge[:, -1] |= right
-    open_now, label = edge.ravel().tolist(), markers.ravel().tolist()
+    m, h, w = a.shape
+    n = h * w
+    flat, place = a.reshape(m, n), place.reshape(m, n)
+    edge = np.zeros((m, h, w), bool)
+    edge[:, 0] |= open_[:, 0, None]
+    edge[:, -1] |= open_[:, 1, None]
+    edge[:, :, 0] |= open_[:, 2, None]
+    edge[:, :, -1] |= open_[:, 3, None]
     i = np.arange(n).reshape(h, w)
     p = np.concatenate([i[:, :-1].ravel(), i[:-1].ravel()])
     q = np.concatenate([i[:, 1:].ravel(), i[1:].ravel()])
     down = np.concatenate([np.zeros(h * (w - 1), int), np.ones((h - 1) * w, int)])
-    high, low = np.maximum(flat[p], flat[q]), np.minimum(flat[p], flat[q])
-    order = np.lexsort((down, place.ravel()[p], low, high))
-    joined, settled = list(range(n)), list(range(n))  # by accepted edges, and by those that hold for good
+    high, low = np.maximum(flat[:, p], flat[:, q]), np.minimum(flat[:, p], flat[:, q])
+    order = np.lexsort((np.broadcast_to(down, high.shape), place[:, p], low, high))
+    names, found = np.empty((m, n), np.int64), ([], [])
+    p_at, q_at = p.tolist(), q.tolist()
 
     def root(up: list[int], k: int) -> int:
         while up[k] != k:
@@ -78,26 +81,31 @@ def _basins(a: np.ndarray, markers: np.ndarray, open_: tuple[bool, bool, bool, b
             k = up[k]
         return k
 
-    candidates = []
-    for k in order.tolist():
-        s, t = int(p[k]), int(q[k])
-        u, v = root(joined, s), root(joined, t)
-        if u == v or (label[u] > 0 and label[v] > 0):
-            continue
-        sure = (not open_now[u] and label[u] <= 0) or (not open_now[v] and label[v] <= 0)
-        low_root, high_root = min(u, v), max(u, v)
-        joined[high_root] = low_root
-        open_now[low_root] = open_now[u] or open_now[v]
-        label[low_root] = max(label[u], label[v])
-        if sure:
-            x, y = root(settled, s), root(settled, t)
-            settled[max(x, y)] = min(x, y)
-        else:
-            candidates.append((s, t, float(high[k]), float(low[k]), int(place.ravel()[s]), int(down[k])))
-    name = np.array([root(settled, k) for k in range(n)])
-    named = place.ravel()[name] + 1
-    wet = {int(named[k]): int(m) for k, m in enumerate(markers.ravel().tolist()) if m > 0}
-    return named.reshape(h, w), [(int(named[s]), int(named[t]), *rest) for s, t, *rest in candidates], wet
+    for tile in range(m):
+        open_now, label = edge[tile].ravel().tolist(), markers[tile].ravel().tolist()
+        joined, settled = list(range(n)), list(range(n))  # by accepted edges, and by those that hold for good
+        for k in order[tile].tolist():
+            s, t = p_at[k], q_at[k]
+            u, v = root(joined, s), root(joined, t)
+            if u == v or (label[u] > 0 and label[v] > 0):
+                continue
+            sure = (not open_now[u] and label[u] <= 0) or (not open_now[v] and label[v] <= 0)
+            low_root, high_root = min(u, v), max(u, v)
+            joined[high_root] = low_root
+            open_now[low_root] = open_now[u] or open_now[v]
+            label[low_root] = max(label[u], label[v])
+            if sure:
+                x, y = root(settled, s), root(settled, t)
+                settled[max(x, y)] = min(x, y)
+            else:
+                found[0].append(tile)
+                found[1].append(k)
+        names[tile] = [root(settled, k) for k in range(n)]
+    named = np.take_along_axis(place, names, 1) + 1
+    tile, k = (np.array(f, np.int64) for f in found)
+    edges = {"tile": tile, "u": named[tile, p[k]], "v": named[tile, q[k]], "high": high[tile, k], "low": low[tile, k], "place": place[tile, p[k]], "down": down[k].astype(np.int32)}
+    tile, k = np.nonzero(markers.reshape(m, n) > 0)
+    return named.reshape(m, h, w), edges, {"tile": tile, "node": named[tile, k], "label": markers.reshape(m, n)[tile, k].astype(np.int64)}
 
 
 #: An image with at most so many edges between basins left is finished in one task.
@@ -106,24 +114,48 @@ _EDGE = "struct<u:long,v:long,high:double,low:double,place:long,down:int>"
 _TILE = f"struct<names:array<long>,edges:array<{_EDGE}>,wet:array<struct<node:long,label:long>>,top:array<struct<n:long,v:double>>,bottom:array<struct<n:long,v:double,p:long>>,left:array<struct<n:long,v:double>>,right:array<struct<n:long,v:double,p:long>>>"
 
 
+#: Pixels of tiles that are flooded together.
+AT_ONCE = 1 << 16
+
+
+def _listed(n: int, parts: list[dict[str, np.ndarray]]) -> pa.Array:
+    """A list of structs for each of ``n`` rows, from columns of which "tile" tells the row."""
+    columns = {c: np.concatenate([e[c] for e in parts]) for c in parts[0]}
+    rows = columns.pop("tile")
+    order = np.argsort(rows, kind="stable")
+    ends = np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=n))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(v[order]) for v in columns.values()], names=list(columns)))
+
+
 def _tile_basins() -> Column:
-    @F.pandas_udf(_TILE)
-    def run(c: pd.Series, h: pd.Series, w: pd.Series, ty: pd.Series, tx: pd.Series, side: pd.Series, data: pd.Series) -> pd.DataFrame:
-        rows = []
-        for k, m, n, y, x, s, d in zip(c, h, w, ty, tx, side, data, strict=True):
-            th, tw = min(s, m - y * s), min(s, n - x * s)
-            planes = np.asarray(d, float).reshape(k, th, tw)
-            place = (np.arange(th)[:, None] + y * s) * np.int64(n) + np.arange(tw) + x * s
-            names, edges, wet = _basins(planes[0], planes[1].astype(np.int64), (y > 0, (y + 1) * s < m, x > 0, (x + 1) * s < n), place)
-            side_of = lambda at, names=names, planes=planes: [{"n": int(i), "v": float(v)} for i, v in zip(names[at], planes[0][at], strict=True)]
-            from_ = lambda at, place=place, side_of=side_of: [e | {"p": int(p)} for e, p in zip(side_of(at), place[at], strict=True)]
-            rows.append(
-                {
-                    "names": names.ravel(), "edges": [dict(zip(("u", "v", "high", "low", "place", "down"), e, strict=True)) for e in edges], "wet": [{"node": i, "label": v} for i, v in wet.items()],
-                    "top": side_of(np.s_[0]), "bottom": from_(np.s_[-1]), "left": side_of(np.s_[:, 0]), "right": from_(np.s_[:, -1]),
-                }
-            )
-        return pd.DataFrame(rows, columns=["names", "edges", "wet", "top", "bottom", "left", "right"])
+    @F.arrow_udf(_TILE)
+    def run(c: pa.Array, h: pa.Array, w: pa.Array, ty: pa.Array, tx: pa.Array, side: pa.Array, data: pa.Array) -> pa.Array:
+        c, h, w, ty, tx, side = (v.to_numpy(zero_copy_only=False).astype(np.int64) for v in (c, h, w, ty, tx, side))
+        first, values = data.offsets.to_numpy(), data.values.to_numpy(zero_copy_only=False)
+        th, tw = np.minimum(side, h - ty * side), np.minimum(side, w - tx * side)
+        places, parts = [], {k: [] for k in ("edges", "wet", "top", "bottom", "left", "right")}
+        for k, m, n in sorted(set(zip(c.tolist(), th.tolist(), tw.tolist(), strict=True))):
+            alike, step = np.flatnonzero((c == k) & (th == m) & (tw == n)), max(1, AT_ONCE // (m * n))
+            for at in (alike[j : j + step] for j in range(0, len(alike), step)):
+                planes = values[first[at][:, None] + np.arange(2 * m * n)].astype(float).reshape(len(at), 2, m, n)
+                y, x = (ty * side)[at, None, None] + np.arange(m)[:, None], (tx * side)[at, None, None] + np.arange(n)
+                place = y * w[at, None, None] + x
+                open_ = np.stack([ty > 0, (ty + 1) * side < h, tx > 0, (tx + 1) * side < w], 1)[at]
+                names, edges, wet = _basins(planes[:, 0], planes[:, 1].astype(np.int64), open_, place)
+                parts["edges"].append(edges | {"tile": at[edges["tile"]]})
+                parts["wet"].append(wet | {"tile": at[wet["tile"]]})
+                places.append({"tile": np.repeat(at, m * n), "n": names.ravel()})
+                for name, cut in (("top", np.s_[:, 0]), ("bottom", np.s_[:, -1]), ("left", np.s_[:, :, 0]), ("right", np.s_[:, :, -1])):
+                    border = {"tile": np.repeat(at, names[cut].shape[1]), "n": names[cut].ravel(), "v": planes[:, 0][cut].ravel()}
+                    parts[name].append(border | ({"p": place[cut].ravel()} if name in ("bottom", "right") else {}))
+        if not places:
+            from pyspark.sql.pandas.types import to_arrow_type
+            from pyspark.sql.types import _parse_datatype_string
+
+            return pa.array([], to_arrow_type(_parse_datatype_string(_TILE)))
+        lists = _listed(len(c), places)
+        lists = [pa.ListArray.from_arrays(lists.offsets, lists.values.field("n")), *[_listed(len(c), p) for p in parts.values()]]
+        return pa.StructArray.from_arrays(lists, names=["names", *parts])
 
     return run("c", "h", "w", "ty", "tx", "side", "data")
 
@@ -150,35 +182,54 @@ def _lowest(edges: DataFrame) -> DataFrame:
     return ends.groupBy("image_id", "u", "v").agg(F.min("key").alias("key")).select("image_id", "u", "v", *[F.col(f"key.{k}").alias(k) for k in _KEY])
 
 
+def risen(edges: pd.DataFrame) -> pd.DataFrame:
+    """(image_id, basin, label) of the basins that water reaches along ``edges`` (image_id, u, v, key, and labels ul and vl) of whole images, all at once: they share no basin."""
+    edges = edges.sort_values(list(_KEY))
+    n, image = len(edges), pd.factorize(edges["image_id"])
+    names, rank = np.unique(np.concatenate([edges["u"], edges["v"]]), return_inverse=True)
+    codes, at = np.unique(np.concatenate([image[0], image[0]]) * np.int64(len(names)) + rank, return_inverse=True)
+    up, label = list(range(len(codes))), [0] * len(codes)
+    for ends, labels in ((at[:n], edges["ul"]), (at[n:], edges["vl"])):
+        for i, v in zip(ends.tolist(), labels.fillna(0).astype(np.int64).tolist(), strict=True):
+            label[i] = max(label[i], v)
+
+    def root(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    for i, j in zip(at[:n].tolist(), at[n:].tolist(), strict=True):
+        i, j = root(i), root(j)
+        if i != j and not (label[i] and label[j]):
+            up[j], label[i] = i, label[i] or label[j]
+    found = np.array([label[root(k)] for k in range(len(codes))], np.int64)
+    wet = codes[found > 0]
+    return pd.DataFrame({"image_id": np.asarray(image[1])[wet // len(names)], "basin": names[wet % len(names)], "label": found[found > 0]})
+
+
 def _finish(e: DataFrame, state: DataFrame) -> DataFrame:
-    """(image_id, basin, label) of basins that water reaches, for images whose graph is small: rising edges, an image at a time."""
+    """(image_id, basin, label) of basins that water reaches, for images whose graph is small: rising edges, the images of a batch at once."""
     known = state.filter("label IS NOT NULL")
     both = e.join(known.select("image_id", F.col("basin").alias("u"), F.col("label").alias("ul")), ["image_id", "u"], "left").join(known.select("image_id", F.col("basin").alias("v"), F.col("label").alias("vl")), ["image_id", "v"], "left")
 
-    def kruskal(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(_KEY))
-        names, at = np.unique(np.concatenate([pdf["u"], pdf["v"]]), return_inverse=True)
-        up, label = list(range(len(names))), [0] * len(names)
-        n = len(pdf)
-        for ends, labels in ((at[:n], pdf["ul"]), (at[n:], pdf["vl"])):
-            for i, v in zip(ends.tolist(), labels.fillna(0).astype(np.int64).tolist(), strict=True):
-                label[i] = max(label[i], v)
-
-        def root(k: int) -> int:
-            while up[k] != k:
-                up[k] = up[up[k]]
-                k = up[k]
-            return k
-
-        for i, j in zip(at[:n].tolist(), at[n:].tolist(), strict=True):
-            i, j = root(i), root(j)
-            if i != j and not (label[i] and label[j]):
-                up[j], label[i] = i, label[i] or label[j]
-        found = np.array([label[root(k)] for k in range(len(names))])
-        wet = found > 0
-        return pd.DataFrame({"image_id": pdf["image_id"].iloc[0], "basin": names[wet], "label": found[wet]})
-
-    reached = both.groupBy("image_id").applyInPandas(kruskal, "image_id long, basin long, label long")
+    def run(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []  # of the last image, which may go on
+        for pdf in pdfs:
+            last = pdf["image_id"].to_numpy().searchsorted(pdf["image_id"].iloc[-1]) if len(pdf) else 0
+            if held and len(pdf) and (last or held[-1]["image_id"].iloc[-1] != pdf["image_id"].iloc[0]):
+                yield risen(pd.concat([*held, pdf.iloc[:last]]))
+                held = []
+            elif last:
+                yield risen(pdf.iloc[:last])
+            if len(pdf):
+                held.append(pdf.iloc[last:])
+        if held:
+            yield risen(pd.concat(held))
+
+    # A number of partitions: by their bytes they would be put together to few tasks.
+    dealt = both.repartition(int(e.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id").sortWithinPartitions("image_id")
+    reached = dealt.mapInPandas(run, "image_id long, basin long, label long")
     return reached.union(known.select("image_id", "basin", "label")).distinct()  # basins without any edge too
 
 

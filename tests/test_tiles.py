@@ -1,6 +1,7 @@
 """Tiles, halos, components, watershed and Hough relations against the forms that hold a whole image, and pivots against all pairs."""
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from lumaframe.operators import filters, flooding, graph, hough, matching, nearest, segmentation, tiles
@@ -145,6 +146,25 @@ def test_watershed_of_tiles_is_that_of_the_image(spark, monkeypatch, side, finis
     assert not got[3].any()  # without a marker all stays dry
 
 
+def test_tiles_and_images_are_flooded_many_at_once():
+    """Whole images as a stack of tiles that nothing borders, and the graphs of images whose basins have the same names."""
+    rng = np.random.default_rng(13)
+    planes, marks = rng.integers(0, 9, (20, 6, 5)).astype(float), np.where(rng.integers(0, 8, (20, 6, 5)) == 0, rng.integers(1, 9, (20, 6, 5)), 0)
+    marks[:, 0, 0] = 3
+    place = np.broadcast_to(np.arange(30).reshape(6, 5), planes.shape)
+    for open_, settled in ((False, True), (True, False)):
+        names, edges, wet = flooding._basins(planes, marks, np.full((20, 4), open_), place)
+        e = pd.DataFrame(edges).rename(columns={"tile": "image_id"})
+        known = pd.DataFrame(wet).rename(columns={"tile": "image_id"})
+        for end in "uv":
+            e = e.merge(known.rename(columns={"node": end, "label": f"{end}l"}), "left", ["image_id", end])
+        assert (len(e) == 0) == settled
+        told = pd.concat([flooding.risen(e).rename(columns={"basin": "node"}), known]) if len(e) else known
+        told = dict(zip(zip(told["image_id"], told["node"], strict=True), told["label"], strict=True))
+        for k, (a, m) in enumerate(zip(planes, marks, strict=True)):
+            assert np.array_equal([[told[k, n] for n in line] for line in names[k].tolist()], flooding.flood(a, m)), k
+
+
 def test_flooding_needs_markers():
     with pytest.raises(InvalidParameter):
         flooding.flood(np.zeros((2, 2)), np.zeros((2, 2), int))
