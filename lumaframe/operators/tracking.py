@@ -319,44 +319,59 @@ def sparse_flow(prev: np.ndarray, nxt: np.ndarray, points: list[tuple[float, flo
 
 
 def _poly(g: np.ndarray, n: int, sigma: float):
-    """Second-order expansion of each neighbourhood: (a11, a22, a12, b1, b2)."""
+    """Second-order expansion of each neighbourhood of a stack of planes: (a11, a22, a12, b1, b2)."""
     k = gaussian_kernel(n, sigma)
     d = np.arange(n) - n // 2
-    s = g[None, None]
-    f = lambda px, py: separable(s, k * d**px, k * d**py)[0, 0]
+    s = g[:, None]
+    f = lambda px, py: separable(s, k * d**px, k * d**py)[:, 0]
     m2, m4 = (k * d**2).sum(), (k * d**4).sum()
     f00, f20, f02 = f(0, 0), f(2, 0), f(0, 2)
     mid = np.linalg.inv(np.array([[1, m2, m2], [m2, m4, m2 * m2], [m2, m2 * m2, m4]]))
-    c = np.einsum("ij,jhw->ihw", mid, np.stack([f00, f20, f02]))
+    c = np.einsum("ij,jshw->ishw", mid, np.stack([f00, f20, f02]))
     return c[1], c[2], f(1, 1) / (m2 * m2), f(1, 0) / m2, f(0, 1) / m2
 
 
+def _bilinear_stack(g: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """:func:`_bilinear` of each plane of a stack (n, h, w) at its own places."""
+    n, h, w = g.shape
+    y, x = np.clip(y, 0, h - 1), np.clip(x, 0, w - 1)
+    y0, x0 = np.floor(y).astype(int), np.floor(x).astype(int)
+    y1, x1 = np.minimum(y0 + 1, h - 1), np.minimum(x0 + 1, w - 1)
+    fy, fx, k = y - y0, x - x0, np.arange(n)[:, None, None]
+    return (g[k, y0, x0] * (1 - fx) + g[k, y0, x1] * fx) * (1 - fy) + (g[k, y1, x0] * (1 - fx) + g[k, y1, x1] * fx) * fy
+
+
 def dense_flow(prev: np.ndarray, nxt: np.ndarray, levels: int = 5, iterations: int = 3, poly_n: int = 7, poly_sigma: float = 1.5, window: int = 15) -> np.ndarray:
     """Polynomial-expansion flow (2, h, w): x, then y displacement."""
-    a, b = gray(prev[None])[0, 0], gray(nxt[None])[0, 0]
+    return dense_flows(prev[None], nxt[None], levels, iterations, poly_n, poly_sigma, window)[0]
+
+
+def dense_flows(prev: np.ndarray, nxt: np.ndarray, levels: int = 5, iterations: int = 3, poly_n: int = 7, poly_sigma: float = 1.5, window: int = 15) -> np.ndarray:
+    """:func:`dense_flow` of each pair of two stacks (n, c, h, w)."""
+    a, b = gray(prev)[:, 0], gray(nxt)[:, 0]
     pyramid = [(a, b)]
     blur = gaussian_kernel(5, 1.0)
-    while len(pyramid) < levels and min(pyramid[-1][0].shape) >= 16:
-        pyramid.append(tuple(separable(v[None, None], blur, blur)[0, 0][::2, ::2] for v in pyramid[-1]))
+    while len(pyramid) < levels and min(pyramid[-1][0].shape[1:]) >= 16:
+        pyramid.append(tuple(separable(v[:, None], blur, blur)[:, 0, ::2, ::2] for v in pyramid[-1]))
     flow = np.zeros((2, *pyramid[-1][0].shape))
     smooth = gaussian_kernel(window, window / 6)
     for p, q in reversed(pyramid):
-        h, w = p.shape
-        if flow.shape[1:] != (h, w):
-            ys, xs = np.arange(h) * flow.shape[1] // h, np.arange(w) * flow.shape[2] // w
-            flow = flow[:, ys[:, None], xs] * np.array([w / flow.shape[2], h / flow.shape[1]])[:, None, None]
+        h, w = p.shape[1:]
+        if flow.shape[2:] != (h, w):
+            ys, xs = np.arange(h) * flow.shape[2] // h, np.arange(w) * flow.shape[3] // w
+            flow = flow[:, :, ys[:, None], xs] * np.array([w / flow.shape[3], h / flow.shape[2]])[:, None, None, None]
         pa, pb = _poly(p, poly_n, poly_sigma), _poly(q, poly_n, poly_sigma)
         gy, gx = np.mgrid[:h, :w].astype(float)
         for _ in range(iterations):
-            moved = [_bilinear(v, gy + flow[1], gx + flow[0]) for v in pb]
+            moved = [_bilinear_stack(v, gy + flow[1], gx + flow[0]) for v in pb]
             a11, a22, a12 = ((x + y) / 2 for x, y in zip(pa[:3], moved[:3], strict=True))
             b1 = (pa[3] - moved[3]) / 2 + a11 * flow[0] + a12 / 2 * flow[1]
             b2 = (pa[4] - moved[4]) / 2 + a12 / 2 * flow[0] + a22 * flow[1]
             h12 = a12 / 2
-            terms = np.stack([a11 * a11 + h12 * h12, h12 * (a11 + a22), a22 * a22 + h12 * h12, a11 * b1 + h12 * b2, h12 * b1 + a22 * b2])
-            g11, g12, g22, r1, r2 = separable(terms[None], smooth, smooth)[0]
+            terms = np.stack([a11 * a11 + h12 * h12, h12 * (a11 + a22), a22 * a22 + h12 * h12, a11 * b1 + h12 * b2, h12 * b1 + a22 * b2], 1)
+            g11, g12, g22, r1, r2 = separable(terms, smooth, smooth).swapaxes(0, 1)
             det = g11 * g22 - g12 * g12
             fine = np.abs(det) > 1e-12
             safe = np.where(fine, det, 1)
             flow = np.where(fine, np.stack([(g22 * r1 - g12 * r2) / safe, (g11 * r2 - g12 * r1) / safe]), flow)
-    return flow
+    return flow.swapaxes(0, 1)

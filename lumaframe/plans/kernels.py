@@ -68,6 +68,30 @@ def apply_pair(images: DataFrame, other: tuple[str, str, str, str], kernel: Call
     return _replaced(images, run(*(F.col(x) for x in ("c", "h", "w", "data", *other))))
 
 
+#: Numbers of one side that go through a kernel of stacks of pairs at once, but for the last image's.
+STACK = 1 << 16
+
+
+def apply_pairs(images: DataFrame, other: tuple[str, str, str, str], kernel: Stack, **options) -> DataFrame:
+    """As :func:`apply_pair` for a kernel of two stacks; pairs of the same shapes go through it together."""
+
+    @F.pandas_udf(IMAGE)
+    def run(c: pd.Series, h: pd.Series, w: pd.Series, data: pd.Series, c2: pd.Series, h2: pd.Series, w2: pd.Series, data2: pd.Series) -> pd.DataFrame:
+        out: list[np.ndarray | None] = [None] * len(data)
+        alike: dict[tuple[int, ...], list[int]] = {}
+        for i, key in enumerate(zip(c, h, w, c2, h2, w2, strict=True)):
+            alike.setdefault(tuple(int(k) for k in key), []).append(i)
+        for key, rows in alike.items():
+            step = max(1, STACK // max(1, int(np.prod(key[:3])), int(np.prod(key[3:]))))
+            for some in (rows[j : j + step] for j in range(0, len(rows), step)):
+                one, two = (np.stack([np.asarray(d[i], np.float64) for i in some]).reshape(len(some), *shape) for d, shape in ((data, key[:3]), (data2, key[3:])))
+                for i, a in zip(some, kernel(one, two, **options), strict=True):
+                    out[i] = a
+        return _image_frame(out)
+
+    return _replaced(images, run(*(F.col(x) for x in ("c", "h", "w", "data", *other))))
+
+
 def measure(images: DataFrame, name: str, kind: DataType | str, kernel: Callable, **options) -> DataFrame:
     """``images`` with a column ``name``: ``kernel(image, **options)`` of each image as ``kind``."""
     from pyspark.sql.types import ArrayType, StructType, _parse_datatype_string

@@ -224,3 +224,22 @@ def test_suppression_streams_groups(spark):
     pairs = {(r["group_id"], r["seq_a"], r["seq_b"]) for r in matching.iou_pairs(df, 0.15).collect()}
     over = lambda a, b: max(0, min(a[2], b[2]) + 10 - max(a[2], b[2])) * max(0, min(a[3], b[3]) + 10 - max(a[3], b[3]))
     assert pairs == {(a[0], a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and over(a, b) / (200 - over(a, b)) >= 0.15}
+
+
+def test_flows_of_a_stack_are_those_of_its_pairs(monkeypatch):
+    """Pairs of one shape go through the flow together, and are told apart in it."""
+    rng = np.random.default_rng(14)
+    for shape in ((7, 3, 21, 34), (5, 1, 8, 8)):
+        a = rng.random(shape)
+        b = np.roll(a, 1, 3) + rng.random(shape) * 0.01
+        a[2] = b[2] = 0.5  # no flow can be told
+        calls = []
+        each = np.stack([tracking.dense_flow(x, y) for x, y in zip(a, b, strict=True)])
+        plain = tracking.separable
+        monkeypatch.setattr(tracking, "separable", lambda *args: calls.append(1) or plain(*args))
+        got = tracking.dense_flows(a, b)
+        assert got.shape == (len(a), 2, *shape[2:]) and np.allclose(got, each, rtol=1e-9, atol=1e-12)
+        some = len(calls)
+        tracking.dense_flows(a[:1], b[:1])
+        assert len(calls) == 2 * some  # as many steps for all pairs as for one
+        monkeypatch.undo()
