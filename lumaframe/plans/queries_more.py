@@ -41,7 +41,7 @@ def _images_back(s: SparkSession, d: str) -> DataFrame:
 def _qoi_back(s: SparkSession, d: str) -> DataFrame:
     folder = new_folder(s, "qoi")
     sources.save_images(img8(s, d), folder, "qoi")
-    named = s.read.format("binaryFile").load(folder).select(F.xxhash64("path").alias("video_id"), "path")
+    named = sources.files_of(s, folder).select(F.xxhash64("path").alias("video_id"), "path")
     return _out(_named(sources.read_animation(s, folder).join(named, "video_id")))
 
 

@@ -2,6 +2,7 @@
 
 import json
 import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -86,3 +87,46 @@ def test_apng():
     (a, d), (b, _) = codecs.read_apng(file)
     assert d == 50 and not a.any() and b[:, 1:3, 1:3].all() and b.sum() == 12
     assert len(codecs.read_apng(first)) == 1
+
+
+def _png(color: int, px: np.ndarray, *chunks: tuple[bytes, bytes]) -> bytes:
+    h, w = px.shape[:2]
+    rows = np.concatenate([np.zeros((h, 1), np.uint8), px.reshape(h, -1)], 1)
+    head = codecs._chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, color, 0, 0, 0))
+    return b"\x89PNG\r\n\x1a\n" + head + b"".join(codecs._chunk(*c) for c in chunks) + codecs._chunk(b"IDAT", zlib.compress(rows.tobytes())) + codecs._chunk(b"IEND", b"")
+
+
+def test_small_images_are_read_in_few_tasks_as_spark_reads_them(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(15)
+    px = lambda *shape: rng.integers(0, 256, shape, np.uint8)
+    whole = {f"k{i}.png": codecs.write_png(rng.random((3, 2, 3))) for i in range(600)}
+    whole |= {"gray.png": _png(0, px(4, 5, 1)), "rgb.png": _png(2, px(4, 5, 3)), "palette.png": _png(3, px(4, 5, 1) % 7, (b"PLTE", px(21).tobytes())), "ga.png": _png(4, px(4, 5, 2)), "rgba.png": _png(6, px(4, 5, 4))}
+    for name, data in (whole | {"cut.png": whole["rgb.png"][:60]}).items():
+        (tmp_path / name).write_bytes(data)
+    got = sources.read_images(spark, str(tmp_path))
+    assert got.rdd.getNumPartitions() <= sources.READERS * spark.sparkContext.defaultParallelism
+    assert sources.read_animation(spark, str(tmp_path)).rdd.getNumPartitions() <= sources.READERS * spark.sparkContext.defaultParallelism
+    rows = lambda df: {r["path"].rsplit("/", 1)[1]: tuple(r) for r in df.collect()}
+    small = rows(got)
+    monkeypatch.setattr(sources, "SMALL", 0)
+    assert small.keys() == whole.keys() and small == rows(sources.read_images(spark, str(tmp_path)))
+
+
+def test_one_large_image_leaves_all_to_the_image_source(spark, tmp_path):
+    (tmp_path / "a.png").write_bytes(codecs.write_png(np.full((3, 2, 2), 0.4)))
+    (tmp_path / "b.png").write_bytes(codecs.write_png(np.full((3, 90, 90), 0.2)))
+    (tmp_path / "c.gif").write_bytes(codecs.write_gif([np.ones((3, 4, 4))], [0]))
+    got = {r["path"].rsplit("/", 1)[1]: (r["c"], r["h"], r["w"]) for r in sources.read_images(spark, str(tmp_path)).collect()}
+    assert got == {"a.png": (3, 2, 2), "b.png": (3, 90, 90), "c.gif": (3, 4, 4)}
+    assert sources.read_images(spark, str(tmp_path), "a*").count() == 1
+
+
+def test_frames_of_many_files_come_together(spark, tmp_path):
+    for k in range(5):
+        (tmp_path / f"{k}.gif").write_bytes(codecs.write_gif([np.full((1, 2, 2), i / 4) for i in range(k + 1)], [100 + 10 * i for i in range(k + 1)]))
+    (tmp_path / "s.qoi").write_bytes(codecs.write_qoi(np.zeros((1, 3, 2))))
+    videos = {}
+    for r in sources.read_animation(spark, str(tmp_path)).collect():
+        videos.setdefault(r["video_id"], []).append((r["index"], r["pts_us"], r["duration_us"], len(r["data"])))
+    want = [[(i, sum(100 + 10 * j for j in range(i)) * 1000, (100 + 10 * i) * 1000, 12) for i in range(k + 1)] for k in range(5)] + [[(0, 0, 0, 18)]]
+    assert sorted(sorted(v) for v in videos.values()) == sorted(want)
